@@ -23,6 +23,10 @@ _MASK = (1 << 64) - 1
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_NOT_ALNUM = np.ones(256, dtype=bool)
+_NOT_ALNUM[0x80:] = False
+for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
+    _NOT_ALNUM[_low:_high] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -86,9 +90,9 @@ def slices(offsets: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of each word, and how many words each row has."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of each run of bytes outside ``breaks``, and how many each row has."""
+    solid = ~breaks[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.zeros(len(data), dtype=bool)
