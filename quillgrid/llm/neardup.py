@@ -226,7 +226,8 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     docs = documents.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     load = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, math.ceil(load / task_shingles) * 4)
-    dealt = tasks.join(docs, "node").select(F.pmod(F.xxhash64("task"), F.lit(bins)).alias("bin"), "task", "node", "text")
+    # a merge join at every size: what is broadcast would grow with the input, and the plan would turn over at some size
+    dealt = tasks.hint("merge").join(docs, "node").select(F.pmod(F.xxhash64("task"), F.lit(bins)).alias("bin"), "task", "node", "text")
     links = dealt.groupBy("bin").applyInArrow(_link_tasks(shingle, percent), "u long, v long")
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
     named = reps.select("set_a", "set_b", "rep").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("linked", "rep").alias("component"))
