@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, decontam, fingerprint, neardup, secrets, sentencepieces, substring_dedup, token_counts, toxicity
+from quillgrid.llm import chat, decontam, fingerprint, neardup, quality, secrets, sentencepieces, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,6 +70,15 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_read(spark, sf_dir, "documents"), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good. A document is kept if it is likelier good than poor."""
+    documents = _read(spark, sf_dir, "documents")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    model = quality.fit(documents, _read(spark, sf_dir, "labels"), F.when(F.col("quality").isNotNull(), grade), 3)
+    rated = quality.rate(documents, model, at_least=1)
+    return rated.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
