@@ -147,7 +147,9 @@ def fit(documents: DataFrame, ratings: DataFrame, grade: Column, grades: int, id
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= MOST_CHARS)
     rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(MOST_PER_GRADE * grades).toArrow()
     y = rows.column("y").to_numpy().astype(int)
-    x = read(*string_bytes(rows.column("text")))
+    data, offsets = string_bytes(rows.column("text"))
+    parts = [read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]  # 1 MB at a time
+    x = tuple(np.concatenate(column) for column in zip(*parts, strict=True))
     model.mean, model.spread = x[3].mean(0), x[3].std(0) + 1e-6
     sampled = np.bincount(y, minlength=grades)
     _learn(model, x, y, np.array([share.get(k, 0) / max(1, sampled[k]) for k in range(grades)])[y])
