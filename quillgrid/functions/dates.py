@@ -52,3 +52,9 @@ def percent(share: Column) -> Column:
 def snapshot_times(created: Column, updated: Column, now: Column) -> Column:
     """created from updated from now, and updated from now, where they are missing."""
     return F.struct(F.coalesce(created, updated, now).alias("created_at"), F.coalesce(updated, now).alias("updated_at"))
+
+
+def minutes_left(seconds: Column) -> Column:
+    """``1 min 5 sec`` of a number of seconds."""
+    whole = F.floor(seconds)
+    return F.concat(F.floor(whole / 60).cast("string"), F.lit(" min "), (whole % 60).cast("string"), F.lit(" sec"))

@@ -7,6 +7,7 @@ Messages arrive in four shapes: an object with ``kwargs`` and a class path in
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,35 +19,42 @@ _CLASSES = {"HumanMessage": "user", "HumanMessageChunk": "user", "AIMessage": "a
 _TYPES = {"human": "user", "humanmessage": "user", "ai": "assistant", "aimessage": "assistant", "system": "system", "systemmessage": "system", "tool": "tool", "toolmessage": "tool"}
 
 
-def _kind(value: Column, path: str = "$") -> Column:
-    """The first letter of the JSON value at a path: { [ " t f n or a digit; null if there is none."""
-    return F.left(F.ltrim(F.to_json(F.try_variant_get(F.try_parse_json(value), path, "variant"))), F.lit(1))
+def _parsed(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over the parsed JSON text, which is parsed once; bad JSON is null."""
+    return F.transform(F.array(F.try_parse_json(value)), lambda v: body(v))[0]
 
 
-def _is_text(value: Column, path: str) -> Column:
-    return F.coalesce(_kind(value, path) == '"', F.lit(False))
+def _kind(v: Column, path: str = "$") -> Column:
+    """The first letter of the value at a path: { [ " t f n or a digit; null if there is none."""
+    return F.left(F.to_json(F.try_variant_get(v, path, "variant")), F.lit(1))
 
 
-def _text(value: Column, path: str) -> Column:
+def _is(v: Column, path: str, kind: str) -> Column:
+    return F.coalesce(_kind(v, path) == kind, F.lit(False))
+
+
+def _text(v: Column, path: str = "$") -> Column:
     """The string at a path, null for any other kind of value."""
-    return F.when(_is_text(value, path), F.try_variant_get(F.try_parse_json(value), path, "string"))
+    return F.when(_is(v, path, '"'), F.try_variant_get(v, path, "string"))
+
 
+def _elements(v: Column, path: str) -> Column:
+    """The elements of the array at a path; null if it is no array."""
+    return F.when(_is(v, path, "["), F.try_variant_get(v, path, "array<variant>"))
 
-def _elements(value: Column, path: str) -> Column:
-    """The elements of the array at a path as JSON strings; null if it is no array."""
-    array = F.try_variant_get(F.try_parse_json(value), path, "array<variant>")
-    return F.when(_kind(value, path) == "[", F.transform(array, lambda x: F.to_json(x)))
+
+def _content(v: Column, path: str) -> Column:
+    blocks = F.transform(_elements(v, path), lambda b: F.coalesce(_text(b), _text(b, "$.text"), F.lit("")))
+    return F.coalesce(_text(v, path), F.array_join(blocks, ""), F.lit(""))
 
 
 def content_text(value: Column, path: str = "$.content") -> Column:
     """Text of a content field: a string as it is, blocks joined, '' for anything else."""
-    blocks = F.transform(_elements(value, path), lambda b: F.coalesce(_text(b, "$"), _text(b, "$.text"), F.lit("")))
-    return F.coalesce(_text(value, path), F.array_join(blocks, ""), F.lit(""))
+    return _parsed(value, lambda v: _content(v, path))
 
 
-def _class_name(value: Column) -> Column:
-    last = F.element_at(_elements(value, "$.id"), -1)
-    return F.coalesce(_text(last, "$"), F.substring_index(_text(value, "$.id"), ":", -1))
+def _class_name(v: Column) -> Column:
+    return F.coalesce(_text(F.element_at(_elements(v, "$.id"), -1)), F.substring_index(_text(v, "$.id"), ":", -1))
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
@@ -55,53 +63,57 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
 
 def message(value: Column) -> Column:
     """role, text, id, tool_call_id and the raw tool calls of a JSON message; role is null for what is none."""
-    wrapped = F.coalesce(_kind(value, "$.kwargs") == "{", F.lit(False))
-    typed = _text(value, "$.type")
-    inner = F.coalesce(_kind(value, "$.data") == "{", F.lit(False)) & typed.isNotNull()
-    of_class = F.coalesce(_lookup(F.coalesce(_class_name(value), F.lit("")), _CLASSES), F.lit("assistant"))
-    role = F.when(wrapped, of_class).otherwise(_lookup(F.lower(typed), _TYPES))
 
-    def pick(read):
-        return F.when(wrapped, read("$.kwargs.")).when(inner, read("$.data.")).otherwise(read("$."))
+    def read(v: Column) -> Column:
+        wrapped, typed = _is(v, "$.kwargs", "{"), _text(v, "$.type")
+        inner = _is(v, "$.data", "{") & typed.isNotNull()
+        of_class = F.coalesce(_lookup(F.coalesce(_class_name(v), F.lit("")), _CLASSES), F.lit("assistant"))
+        pick = lambda get: F.when(wrapped, get("$.kwargs.")).when(inner, get("$.data.")).otherwise(get("$."))
+        return F.struct(
+            F.when(wrapped, of_class).otherwise(_lookup(F.lower(typed), _TYPES)).alias("role"),
+            pick(lambda at: _content(v, at + "content")).alias("text"),
+            pick(lambda at: _text(v, at + "id")).alias("id"),
+            F.coalesce(pick(lambda at: _text(v, at + "tool_call_id")), F.lit("")).alias("tool_call_id"),
+            F.transform(pick(lambda at: _elements(v, at + "tool_calls")), lambda c: F.to_json(c)).alias("tool_calls"),
+        )
 
-    return F.struct(
-        role.alias("role"),
-        pick(lambda at: content_text(value, at + "content")).alias("text"),
-        pick(lambda at: _text(value, at + "id")).alias("id"),
-        F.coalesce(pick(lambda at: _text(value, at + "tool_call_id")), F.lit("")).alias("tool_call_id"),
-        pick(lambda at: _elements(value, at + "tool_calls")).alias("tool_calls"),
-    )
+    return _parsed(value, read)
 
 
 def tool_arguments(value: Column) -> Column:
     """Arguments as a JSON object: objects stay, text is parsed, arrays and bad JSON become {}."""
-    inner = F.when(_kind(value) == '"', _text(value, "$")).otherwise(value)
-    return F.when(_kind(inner) == "{", inner).otherwise(F.lit("{}"))
+    inner = F.coalesce(_parsed(value, _text), value)
+    return F.when(_parsed(inner, lambda v: _is(v, "$", "{")), inner).otherwise(F.lit("{}"))
 
 
 def tool_call(value: Column) -> Column:
     """id, name and arguments of a JSON tool call; null for what is no object."""
-    has = lambda name: F.to_json(F.try_variant_get(F.try_parse_json(value), f"$.{name}", "variant"))
-    arguments = F.coalesce(F.nullif(has("args"), F.lit("null")), has("arguments"))
-    call = F.struct(F.coalesce(_text(value, "$.id"), F.lit("")).alias("id"), F.coalesce(_text(value, "$.name"), F.lit("")).alias("name"), F.coalesce(tool_arguments(arguments), F.lit("{}")).alias("args"))
-    return F.when(_kind(value) == "{", call)
+
+    def read(v: Column) -> Column:
+        raw = lambda name: F.to_json(F.try_variant_get(v, f"$.{name}", "variant"))
+        arguments = F.coalesce(F.nullif(raw("args"), F.lit("null")), raw("arguments"))
+        call = F.struct(F.coalesce(_text(v, "$.id"), F.lit("")).alias("id"), F.coalesce(_text(v, "$.name"), F.lit("")).alias("name"), F.coalesce(tool_arguments(arguments), F.lit("{}")).alias("args"))
+        return F.when(_is(v, "$", "{"), call)
+
+    return _parsed(value, read)
 
 
 def tool_input(raw: Column) -> Column:
     """A tool input as a JSON object: null is {}, objects stay, other JSON is {value}, bad JSON is {input}."""
-    kind = _kind(raw)
+    kind = _parsed(raw, _kind)
     bad = F.to_json(F.struct(raw.alias("input")))
     return F.when(raw.isNull(), F.lit("{}")).when(kind == "{", raw).when(kind.isNotNull(), F.concat(F.lit('{"value":'), raw, F.lit("}"))).otherwise(bad)
 
 
 def error_of(value: Column) -> Column:
     """message (with its default) and name of a JSON error object; null for other values."""
-    error = F.struct(F.coalesce(F.try_variant_get(F.try_parse_json(value), "$.message", "string"), F.lit("Unknown error")).alias("message"), F.nullif(F.try_variant_get(F.try_parse_json(value), "$.name", "string"), F.lit("")).alias("name"))
-    return F.when(_kind(value).isin("{", "["), error)
+    get = lambda v, path: F.try_variant_get(v, path, "string")
+    error = lambda v: F.struct(F.coalesce(get(v, "$.message"), F.lit("Unknown error")).alias("message"), F.nullif(get(v, "$.name"), F.lit("")).alias("name"))
+    return _parsed(value, lambda v: F.when(_kind(v).isin("{", "["), error(v)))
 
 
 def has_messages(value: Column) -> Column:
-    return F.coalesce(_kind(value, "$.messages") == "[", F.lit(False))
+    return F.coalesce(_parsed(value, lambda v: _is(v, "$.messages", "[")), F.lit(False))
 
 
 def _pretty(value: object) -> str:
@@ -150,3 +162,36 @@ def tool_output(values: pd.Series) -> pd.Series:
             return raw
 
     return values.map(one)
+
+
+
+def _block_text(value: object) -> str:
+    if isinstance(value, str):
+        return value
+    if isinstance(value, list):
+        return "".join(b if isinstance(b, str) else next((b[k] for k in ("text", "content") if isinstance(b.get(k), str)), "") if isinstance(b, dict) else "" for b in value)
+    return ""
+
+
+def text_of_chunk(value: object) -> str:
+    """Text of a streamed chunk: itself, its text, its content, its message's content or its delta, in this order; '' if there is none."""
+    if not isinstance(value, dict):
+        return _block_text(value)
+    if isinstance(value.get("text"), str):
+        return value["text"]
+    message = value.get("message")
+    nested = (value.get("content"), message.get("content") if isinstance(message, dict) else None, value.get("delta"))
+    return next((t for t in map(text_of_chunk, nested) if t), "")
+
+
+@F.pandas_udf(StringType())
+def chunk_text(values: pd.Series) -> pd.Series:
+    """``text_of_chunk`` of JSON text, null where there is none: chunks nest to any depth, which needs a recursion."""
+
+    def one(raw):
+        try:
+            return text_of_chunk(json.loads(raw)) or None
+        except (TypeError, ValueError):
+            return None
+
+    return values.map(one)

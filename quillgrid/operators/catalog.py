@@ -104,3 +104,22 @@ def slug_conflicts(servers: DataFrame, name: str = "name") -> DataFrame:
     """Ids that more than one server name would get."""
     ids = servers.select(strings.slug(F.col(name)).alias("id"))
     return ids.where("id <> ''").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def configured_models(providers: DataFrame, models: str = "chat_models") -> DataFrame:
+    """provider and model of each entry of the providers' model maps."""
+    return providers.where("is_configured").select("provider", F.explode(F.map_keys(models)).alias("model"))
+
+
+def tool_enabled(tools: DataFrame, settings: DataFrame, key: str = "tool") -> DataFrame:
+    """Tools with their setting; a tool without one is enabled."""
+    return tools.join(settings.select(key, F.col("enabled").alias("_own")), key, "left").select(key, F.coalesce("_own", F.lit(True)).alias("enabled"))
+
+
+def auth_fields(fields: DataFrame, required: bool) -> DataFrame:
+    return fields.where(F.coalesce("required", F.lit(False)) == required)
+
+
+def provider_states(providers: DataFrame, states: DataFrame) -> DataFrame:
+    """Every provider with its discovery state, null where it has not answered yet."""
+    return providers.join(states, "provider", "left")

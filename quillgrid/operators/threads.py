@@ -146,3 +146,11 @@ def joined_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens of each run in order, as one text; a run's text has to fit a row."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "token")))
     return tokens.groupBy("thread_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("text"))
+
+
+def write_snapshots(index: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The thread index after new snapshots: title, metadata and updated_at are theirs, created_at stays where there is one."""
+    new = snapshots.select("thread_id", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in ("title", "metadata", "created_at", "updated_at")])
+    both = index.join(new, "thread_id", "full_outer")
+    taken = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("thread_id", taken("title"), taken("metadata"), F.coalesce("created_at", "_created_at").alias("created_at"), taken("updated_at"))

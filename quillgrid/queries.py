@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions import dates, strings, values
+from quillgrid.functions import dates, scripts, strings, values
 from quillgrid.operators import catalog, metadata, search, threads
 from quillgrid.plans.notes_query import NotesQuery, choice, folder, prop, tag
 from quillgrid.sources import tables
@@ -559,3 +559,196 @@ def stream_fold(spark, d):
 @_query(_STREAM + "SELECT thread_id, arg_max(seq, seq) FILTER (WHERE type = 'result') IS NULL AS failed FROM e GROUP BY thread_id")
 def latest_output(spark, d):
     return folds.latest_output(_stream_events(spark, d)).select("thread_id", "failed")
+
+
+# Settings, stores and rendering
+
+
+def _providers(spark, d):
+    """Nations as providers; their models are the suppliers there."""
+    nations = tables.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("provider"), (F.col("n_regionkey") != 1).alias("is_configured"))
+    models = tables.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.map_from_entries(F.collect_list(F.struct("s_name", "s_acctbal"))).alias("chat_models"))
+    return nations.join(models, "n_nationkey", "left").select("provider", "is_configured", "chat_models")
+
+
+@_query("SELECT n_name AS provider, s_name AS model FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey <> 1")
+def configured_models(spark, d):
+    return catalog.configured_models(_providers(spark, d))
+
+
+@_query("SELECT n_name AS provider, r_name AS state FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey")
+def provider_states(spark, d):
+    states = tables.table(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("provider"), F.col("r_name").alias("state"))
+    nations = tables.table(spark, d, "nation").select(F.col("n_regionkey").alias("provider"), "n_name")
+    return catalog.provider_states(nations, states).select(F.col("n_name").alias("provider"), "state")
+
+
+@_query("SELECT n_name AS provider FROM nation WHERE n_regionkey IN (0, 3) AND n_nationkey % 2 = 0")
+def unavailable_providers(spark, d):
+    nations = tables.table(spark, d, "nation")
+    providers = nations.select(F.col("n_name").alias("provider"), (F.col("n_nationkey") % 2 == 0).alias("is_configured"))
+    states = nations.where("n_regionkey < 4").select(F.col("n_name").alias("provider"), F.col("n_regionkey").isin(1, 2).alias("auth_ok"))
+    return catalog.unavailable(providers, states)
+
+
+@_query("SELECT DISTINCT event_type AS tool, event_type <> 'error' AND event_type <> 'view' AS enabled FROM events")
+def tool_enabled(spark, d):
+    tools = _events(spark, d).select(F.col("event_type").alias("tool")).distinct()
+    settings = tools.where("tool IN ('error', 'view', 'click')").withColumn("enabled", F.col("tool") == "click")
+    return catalog.tool_enabled(tools, settings)
+
+
+@_query("SELECT 'required' AS kind, count(*) AS n FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'optional', count(*) FROM part WHERE p_size % 2 = 1")
+def auth_fields(spark, d):
+    fields = tables.table(spark, d, "part").select((F.col("p_size") % 2 == 0).alias("required"))
+    count = lambda required, kind: catalog.auth_fields(fields, required).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return count(True, "required").union(count(False, "optional"))
+
+
+@_query("SELECT p_brand AS grp, count(*) AS n FROM part WHERE contains(lower(p_name), '1') GROUP BY p_brand")
+def options_filter(spark, d):
+    options = tables.table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("label"))
+    return search.filter_options(options, "1").groupBy("grp").agg(F.count("*").alias("n"))
+
+
+_SNAPSHOTS = """
+WITH i AS (SELECT user_id AS thread_id, min(event_id) AS created_at, max(event_id) AS updated_at FROM events WHERE user_id % 2 = 0 GROUP BY user_id),
+s AS (SELECT conv_id AS thread_id, max(turn) AS created_at, max(turn) + 1000 AS updated_at FROM conversations GROUP BY conv_id)
+"""
+
+
+@_query(_SNAPSHOTS + "SELECT coalesce(i.thread_id, s.thread_id) AS thread_id, CASE WHEN s.thread_id IS NULL THEN 'old' ELSE 'new' END AS title, coalesce(i.created_at, s.created_at) AS created_at, coalesce(s.updated_at, i.updated_at) AS updated_at FROM i FULL JOIN s ON i.thread_id = s.thread_id")
+def snapshot_upsert(spark, d):
+    none = F.lit(None).cast("string").alias("metadata")
+    index = _events(spark, d).where("user_id % 2 = 0").groupBy(F.col("user_id").alias("thread_id")).agg(F.min("event_id").alias("created_at"), F.max("event_id").alias("updated_at"))
+    new = _messages(spark, d).groupBy("thread_id").agg(F.max("seq").alias("created_at"), (F.max("seq") + 1000).alias("updated_at"))
+    index, new = index.select("*", F.lit("old").alias("title"), none), new.select("*", F.lit("new").alias("title"), none)
+    return threads.write_snapshots(index, new).select("thread_id", "title", "created_at", "updated_at")
+
+
+@_query("SELECT user_id AS thread_id, arg_max(event_type, event_id) AS v FROM events WHERE event_id % 9 = 0 AND user_id % 2 = 0 GROUP BY user_id UNION ALL SELECT DISTINCT user_id, 'old' FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 9 = 0 AND user_id % 2 = 0)")
+def store_upsert_last_wins(spark, d):
+    e = _events(spark, d)
+    now = e.select(F.col("user_id").alias("thread_id")).distinct().withColumn("v", F.lit("old"))
+    changes = e.where("event_id % 9 = 0 AND user_id % 2 = 0").select(F.col("user_id").alias("thread_id"), F.col("event_type").alias("v"), F.col("event_id").alias("at"))
+    return tables.upsert(now, changes, "thread_id", "at")
+
+
+@_query("SELECT DISTINCT conv_id AS thread_id FROM conversations WHERE conv_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def thread_delete(spark, d):
+    gone = _events(spark, d).where("event_type = 'error'").select(F.col("user_id").alias("thread_id"))
+    return tables.delete(_messages(spark, d).select("thread_id").distinct(), gone, "thread_id")
+
+
+@_query("""
+WITH f AS (SELECT DISTINCT 'chats/' || source || '.chat' AS path, source FROM documents),
+w AS (SELECT path, CASE WHEN source LIKE '%1' THEN ' ' WHEN source LIKE '%2' THEN 'src0' ELSE 'new: ' || source END AS title FROM f),
+n AS (SELECT path, 'chats/' || replace(title, ':', '-') || '.chat' AS new_path FROM w WHERE trim(title) <> '')
+SELECT * FROM n WHERE path <> new_path AND new_path NOT IN (SELECT path FROM f)""")
+def rename_collisions(spark, d):
+    source = F.col("source")
+    files = tables.table(spark, d, "documents").select("source").distinct().withColumn("path", F.concat(F.lit("chats/"), source, F.lit(".chat")))
+    title = F.when(source.endswith("1"), " ").when(source.endswith("2"), "src0").otherwise(F.concat(F.lit("new: "), source))
+    return tables.renamed(files, files.select("path", title.alias("title")))
+
+
+@_query("SELECT n_name AS provider, s_name AS model FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0")
+def discovered_models(spark, d):
+    """Discovery answers of both forms with blank, missing and null ids, read back."""
+    rows = tables.table(spark, d, "supplier").join(tables.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    ident = F.when(F.col("s_suppkey") % 3 == 0, F.when(F.col("s_suppkey") % 2 == 0, " ")).otherwise(F.col("s_name"))
+    listed = rows.groupBy("n_name").agg(F.collect_list(F.struct(ident.alias("id"))).alias("data"), F.collect_list(F.struct(ident.alias("name"))).alias("models"))
+    first = F.to_json(F.struct("data"))
+    body = F.when(F.length("n_name") % 2 == 0, first).otherwise(F.to_json(F.struct("models")))
+    return tables.discovered_models(listed.select(F.col("n_name").alias("provider"), body.alias("body")))
+
+
+@_query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{}' WHEN 1 THEN props WHEN 2 THEN '{\"value\":[1,2]}' WHEN 3 THEN '{\"value\":7}' ELSE '{\"input\":\"not json\"}' END AS input FROM events")
+def tool_inputs(spark, d):
+    m = F.col("event_id") % 5
+    raw = F.when(m == 1, F.col("props")).when(m == 2, "[1,2]").when(m == 3, "7").when(m == 4, "not json")
+    return _events(spark, d).select("event_id", values.tool_input(raw).alias("input"))
+
+
+@_query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN '' ELSE 'id' || event_id END AS id, CASE event_id % 4 WHEN 0 THEN replace(props, ': ', ':') WHEN 1 THEN '{\"a\":1}' ELSE '{}' END AS args FROM events")
+def tool_calls_parsed(spark, d):
+    m, ident = F.col("event_id") % 4, F.concat(F.lit('{"id":"id'), F.col("event_id").cast("string"), F.lit('","args":'))
+    raw = F.when(m == 0, F.concat(ident, F.col("props"), F.lit("}"))).when(m == 1, F.concat(ident, F.lit('"{\\"a\\":1}"}'))).when(m == 2, F.concat(ident, F.lit("[3]}"))).otherwise('{"id":4,"arguments":"x"}')
+    return _events(spark, d).select("event_id", values.tool_call(raw).alias("c")).select("event_id", "c.id", "c.args")
+
+
+@_query("SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL ELSE event_type END AS token FROM events")
+def token_extraction(spark, d):
+    m, text = F.col("event_id") % 6, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    wrap = lambda a, b: F.concat(F.lit(a), text, F.lit(b))
+    chunk = (
+        F.when(m == 0, text)
+        .when(m == 1, wrap('[{"text":', '},""]'))
+        .when(m == 2, wrap('{"content":[', "]}"))
+        .when(m == 3, wrap('{"message":{"content":', "}}"))
+        .when(m == 4, wrap('{"content":"","delta":{"text":', "}}"))
+        .otherwise('{"other":1}')
+    )
+    return _events(spark, d).select("event_id", values.chunk_text(chunk).alias("token"))
+
+
+@_query("SELECT user_id, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS millis FROM events GROUP BY user_id")
+def run_duration(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return _events(spark, d).groupBy("user_id").agg(dates.duration_millis(F.min(ts), F.max(ts)).alias("millis"))
+
+
+@_query("SELECT conv_id AS thread_id, 'kept' AS own, 'run' || max(turn) AS last_run, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id")
+def metadata_merge(spark, d):
+    existing = F.create_map(F.lit("own"), F.lit("kept"), F.lit("lastRunId"), F.lit("old"))
+    added = F.create_map(F.lit("lastRunId"), F.concat(F.lit("run"), F.col("seq").cast("string")), F.lit("lastMessageRole"), F.col("role"))
+    merged = threads.last_message(_messages(spark, d)).select("thread_id", threads.merge_metadata(existing, added).alias("m"))
+    return merged.select("thread_id", F.col("m")["own"].alias("own"), F.col("m")["lastRunId"].alias("last_run"), F.col("m")["lastMessageRole"].alias("role"))
+
+
+@_query(_PAIRS.format(and_="") + "SELECT thread_id, pair, CASE WHEN n_assistant > 0 THEN content ELSE '> [!Warning] stopped by user' END AS shown FROM p")
+def pair_text_shown(spark, d):
+    errors = spark.createDataFrame([], "thread_id long, error_count long")
+    states = threads.pair_states(threads.pairs(_messages(spark, d)), errors)
+    return states.select("thread_id", "pair", threads.state_text(F.col("state"), F.col("content")).alias("shown"))
+
+
+@_query("SELECT CAST(user_id AS VARCHAR) AS thread_id, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error') GROUP BY user_id")
+def event_forwarding(spark, d):
+    return folds.forwarded(_stream_events(spark, d)).groupBy("thread_id").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT string_agg(n || '. ' || name || ' (' || path || ')', chr(10) ORDER BY n) AS text FROM ({_grep_sql('the', 10)})")
+def search_rendered(spark, d):
+    hits = _grep(spark, d, "the").select("n", strings.render_hits(F.col("n"), F.col("name"), F.col("path")).alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("n", "line")))  # ten at most
+    return hits.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+
+@_query("SELECT doc_id, trim(left(text, 30), ' \t\n\r') AS title FROM documents")
+def title_cleanup(spark, d):
+    return _documents(spark, d, strings.clean_title(F.concat(F.lit('"'), F.left("text", F.lit(30)), F.lit("'"))).alias("title"))
+
+
+@_query("SELECT o_orderkey, CAST(floor(o_totalprice / 60) AS BIGINT) || ' min ' || (CAST(floor(o_totalprice) AS BIGINT) % 60) || ' sec' AS left_, CAST(least(round(o_totalprice / 1000), 100) AS BIGINT) AS percent FROM orders")
+def time_and_percent(spark, d):
+    price = F.col("o_totalprice")
+    return tables.table(spark, d, "orders").select("o_orderkey", dates.minutes_left(price).alias("left_"), dates.percent(price / 1000 / 100).alias("percent"))
+
+
+@_query("SELECT item_id, links FROM (SELECT item_id, 'note-' || item_id || ' note' AS links FROM benchmark)")
+def wiki_links(spark, d):
+    text = F.concat(F.lit("see [[note-"), F.col("item_id").cast("string"), F.lit("|alias]] and [[note]] but not [[open\n]]"))
+    return tables.table(spark, d, "benchmark").select("item_id", F.array_join(strings.wiki_links(text), " ").alias("links"))
+
+
+@_query(None)
+def command_arguments(spark, d):
+    """Pandas UDF with a state machine; tests hold it against a scan by character."""
+    return _documents(spark, d, scripts.arguments(F.left("text", F.lit(80))).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.array_join("a", "|").alias("joined"))
+
+
+@_query(None)
+def fuzzy_paths(spark, d):
+    """Our own scorer, tested on fixtures: the reference's is outside it."""
+    return search.fuzzy(_notes(spark, d).select("path"), "fs1d").select("path", "score")
