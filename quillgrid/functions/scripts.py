@@ -10,6 +10,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 _WORDS = re.compile(r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^ "'])+""")
 _QUOTED = re.compile(r""""([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)""")
+# The languages of query blocks.
+_QUERY_LANGUAGES = ("dataview", "dataviewjs")
 _FENCE = re.compile(r"```(\w+)?", re.ASCII)
 
 
@@ -22,7 +24,7 @@ def split_arguments(text: str | None) -> list[str]:
 def open_query_fence(text: str | None) -> int | None:
     """Offset of a last, unclosed fence of a query block."""
     fences = list(_FENCE.finditer(text or ""))
-    if len(fences) % 2 and (fences[-1][1] or "").lower() in ("dataview", "dataviewjs"):
+    if len(fences) % 2 and (fences[-1][1] or "").lower() in _QUERY_LANGUAGES:
         return fences[-1].start()
     return None
 

@@ -75,7 +75,7 @@ def vector_search(vectors: DataFrame, query: Column, most: int = 100, threshold:
 
 def search(notes: DataFrame, query: str, algorithm: str = "grep", most: int = CAP, rank: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """Search by name of algorithm; where a ranked backend is missing or fails, and for vectors, substring search serves."""
-    if algorithm == "omnisearch" and rank is not None:
+    if algorithm == "ranked" and rank is not None:
         try:
             return ranked_hits(rank(query), notes, most)
         except Exception:  # noqa: BLE001  the backend is someone else's

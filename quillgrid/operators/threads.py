@@ -56,8 +56,12 @@ def pair_states(pairs: DataFrame, errors: DataFrame) -> DataFrame:
     return counted.withColumn("state", state).drop("open", "error_count")
 
 
+# What is shown in place of a missing answer.
+_STOPPED, _FAILED = "> [!Warning] stopped by user", "> [!Error] an error occured"
+
+
 def state_text(state: Column, content: Column) -> Column:
-    return F.when(state == "cancelled", "> [!Warning] stopped by user").when(state == "error", "> [!Error] an error occured").otherwise(content)
+    return F.when(state == "cancelled", _STOPPED).when(state == "error", _FAILED).otherwise(content)
 
 
 def last_message(messages: DataFrame, role: str | None = None) -> DataFrame:

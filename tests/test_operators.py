@@ -35,9 +35,9 @@ def test_search(spark):
     def broken(query):
         raise RuntimeError(query)
 
-    assert paths(search.search(n, "dune", "omnisearch", rank=broken)) == ["Books/a.md", "Templates/c.md"]
+    assert paths(search.search(n, "dune", "ranked", rank=broken)) == ["Books/a.md", "Templates/c.md"]
     hits = spark.createDataFrame([("Books/b.md", 2.0), ("gone.md", 9.0), ("Books/a.md", 1.0)], "path string, score double")
-    assert sorted(paths(search.search(n, "x", "omnisearch", 2, lambda q: hits))) == ["Books/b.md"]
+    assert sorted(paths(search.search(n, "x", "ranked", 2, lambda q: hits))) == ["Books/b.md"]
     assert paths(search.bm25(n, "dune"))[0] == "Templates/c.md"
     assert paths(search.within_folders(n, ["Books"])) == ["Templates/c.md"] and len(paths(search.within_folders(n, ["Books/"], False))) == 3
     assert paths(search.fuzzy(n.select("path"), "tmc")) == ["Templates/c.md"] and len(paths(search.fuzzy(n.select("path"), "", 2))) == 2
