@@ -12,7 +12,9 @@ to the second step, where all its 20 words are compared, only if one of its
 anchors occurs twice.
 
 How it runs. Documents are dealt once, by the hash of doc_id, to blocks of about
-4 MB of text; every step below reads that one exchange.
+4 MB of text; every step below reads that one exchange. Beyond 4 GB of text
+blocks and buckets grow with the square root of the whole, up to 16 times (at
+1 TB), so that a block has many hashes for each bucket and they travel packed.
 
 1. Each block sends its distinct anchor hashes to buckets by hash; a bucket
    answers each block with the hashes that another block has too.
@@ -51,6 +53,7 @@ COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+GROW_FROM, GROW_MOST = 4 << 30, 16
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -214,6 +217,8 @@ def _cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space) for every row."""
     total = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    grown = min(GROW_MOST, max(1.0, math.sqrt(total / GROW_FROM)))
+    block_bytes, bucket_bytes = block_bytes * grown, bucket_bytes * grown
     n_blocks = max(1, math.ceil(total / block_bytes))
     # a cover position takes 6 bytes, a candidate window about 14, of some 6.5 bytes of text
     anchor_buckets = max(1, math.ceil(total * len(COVER) / PERIOD * 6 / 6.5 / bucket_bytes))

@@ -55,6 +55,11 @@ def test_equals_brute_force_in_many_blocks(spark):
     check(spark, corpus(4), block_bytes=1500, bucket_bytes=900)
 
 
+def test_sizes_that_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROW_FROM", 100)
+    check(spark, corpus(5), block_bytes=300, bucket_bytes=200)
+
+
 def test_every_alignment(spark):
     passage = [f"p{i}" for i in range(20)]
     rows = [(k, " ".join([f"d{k}w{i}" for i in range(k)] + passage + [f"t{k}"])) for k in range(30)]
