@@ -28,11 +28,14 @@ from quillgrid.llm.hashing import slices
 from quillgrid.llm.unigram import DEFAULT_MODEL, MARK, Memory, Vocabulary, load, marked_words
 
 
+_NO_ENDING = object()
+
+
 def best_paths(words: list[str], v: Vocabulary) -> dict[str, bytes]:
     """Packed little-endian 32-bit ids of the best path of each word."""
     out: dict[str, bytes] = {}
     forward, came, before = [0.0], [0], ""
-    score, longest, unknown = v.score, v.longest, v.unknown
+    ending, packed, unknown = v.ending, v.packed, v.unknown
     for word in sorted(words):
         shared = 0
         for a, b in zip(word, before, strict=False):
@@ -41,28 +44,30 @@ def best_paths(words: list[str], v: Vocabulary) -> dict[str, bytes]:
             shared += 1
         del forward[shared + 1 :], came[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            best, start = float("-inf"), end - 1
-            for begin in range(max(0, end - longest), end):
-                s = score.get(word[begin:end])
-                if s is not None and forward[begin] + s > best:
-                    best, start = forward[begin] + s, begin
-            if word[end - 1] not in score and forward[end - 1] + unknown > best:
-                best, start = forward[end - 1] + unknown, end - 1
+            # an unknown character, unless some piece ends here; of equal paths the one with the longest last piece
+            best, start = forward[end - 1] + unknown, end - 1
+            for begin in range(end - 1, -1, -1):
+                s = ending.get(word[begin:end], _NO_ENDING)
+                if s is _NO_ENDING:
+                    break
+                if s is not None and (total := forward[begin] + s) >= best:
+                    best, start = total, begin
             forward.append(best)
             came.append(start)
         pieces, end = [], len(word)
         while end:
-            piece = word[came[end] : end]
-            pieces.append([v.ids[piece]] if piece in score else [v.byte_ids[b] for b in piece.encode()])
-            end = came[end]
-        out[word] = np.array(list(chain.from_iterable(reversed(pieces))), dtype="<i4").tobytes()
+            start = came[end]
+            piece = word[start:end]
+            pieces.append(packed[piece] if piece in packed else v.pack(piece))
+            end = start
+        pieces.reverse()
+        out[word] = b"".join(pieces)
         before = word
     return out
 
 
 def _computer(v: Vocabulary):
-    mark = np.array([v.byte_ids[b] for b in MARK.encode()], dtype="<i4").tobytes()
-    return lambda words: {**best_paths([w for w in words if w != MARK], v), **({MARK: mark} if MARK in words else {})}
+    return lambda words: {**best_paths([w for w in words if w != MARK], v), **({MARK: v.pack(MARK)} if MARK in words else {})}
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:

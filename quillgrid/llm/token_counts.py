@@ -24,38 +24,52 @@ from quillgrid.llm.sentencepieces import _chunks
 from quillgrid.llm.unigram import DEFAULT_MODEL, MARK, Memory, Vocabulary, load, marked_words
 
 
+_NO_ENDING = object()
+
+
+_CHARACTERS = 0x110000
+
+
 class Trie:
-    """Pre-tokens by their characters; node 0 is the root."""
+    """Pre-tokens by their characters; node 0 is the root.
+
+    ``child`` finds a node by its parent's number and a character; a node has
+    the forward score of its prefix and the token count of the best path there.
+    """
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.score, self.tokens = [0.0], [0]
 
     def insert(self, word: str) -> int:
         """The token count of ``word``, making the nodes that are missing."""
-        node, path = 0, [0]
-        for i, c in enumerate(word):
-            after = self.child.get((node, c))
-            if after is None:
-                after = self.child[node, c] = self._grow(word, i + 1, path)
-            path.append(after)
-            node = after
-        return self.tokens[node]
-
-    def _grow(self, word: str, end: int, path: list[int]) -> int:
-        known, score, tokens = self.v.score, self.score, self.tokens
-        best, count = float("-inf"), 0
-        for begin in range(max(0, end - self.v.longest), end):
-            s = known.get(word[begin:end])
-            if s is not None and score[path[begin]] + s > best:
-                best, count = score[path[begin]] + s, tokens[path[begin]] + 1
-        last = word[end - 1]
-        if last not in known and score[path[-1]] + self.v.unknown > best:
-            best, count = score[path[-1]] + self.v.unknown, tokens[path[-1]] + len(last.encode())
-        score.append(best)
-        tokens.append(count)
-        return len(score) - 1
+        child, node, path, fresh = self.child, 0, [0], 0
+        for code in map(ord, word):
+            node = child.get(node * _CHARACTERS + code)
+            if node is None:
+                break
+            path.append(node)
+        else:
+            return self.tokens[node]
+        score, tokens, ending, unknown = self.score, self.tokens, self.v.ending, self.v.unknown
+        scores = [score[n] for n in path]
+        for end in range(len(path), len(word) + 1):
+            # an unknown character, unless some piece ends here; of equal paths the one with the longest last piece
+            best, source, added = scores[end - 1] + unknown, end - 1, 0
+            for begin in range(end - 1, -1, -1):
+                s = ending.get(word[begin:end], _NO_ENDING)
+                if s is _NO_ENDING:
+                    break
+                if s is not None and (total := scores[begin] + s) >= best:
+                    best, source, added = total, begin, 1
+            fresh = len(score)
+            child[path[-1] * _CHARACTERS + ord(word[end - 1])] = fresh
+            score.append(best)
+            tokens.append(tokens[path[source]] + (added or len(word[end - 1].encode())))
+            scores.append(best)
+            path.append(fresh)
+        return tokens[fresh]
 
 
 def word_counts(words: list[str], v: Vocabulary) -> dict[str, int]:

@@ -26,20 +26,29 @@ MARKED_WORD = re.compile(f" *[^ \n{MARK}]+| +|[\n{MARK}]")
 #: Words up to this length are remembered between texts; longer ones are computed each time.
 REMEMBERED_CHARS = 64
 #: Words remembered at most, twice over.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 300_000
 
 
 @dataclass
 class Vocabulary:
-    """score and id of each text piece (with plain spaces), byte pieces, and the bytes of every id."""
+    """Text pieces (with plain spaces), byte pieces, and the bytes of every id.
 
-    score: dict[str, float]
-    ids: dict[str, int]
-    byte_ids: list[int]
-    longest: int
+    ``ending`` has every ending of every piece: its score if it is a piece
+    itself, else None. What is no ending of a piece has no longer piece that
+    ends in it, so a search from an end backwards stops there.
+    """
+
+    ending: dict[str, float | None]
+    packed: dict[str, bytes]  # ids of pieces, and of unknown characters their byte pieces
+    byte_packed: list[bytes]
     unknown: float
     spelled: list[bytes]
 
+    def pack(self, piece: str) -> bytes:
+        """Packed little-endian 32-bit ids of a piece or an unknown character."""
+        found = self.packed.get(piece)
+        return found if found is not None else b"".join(self.byte_packed[b] for b in piece.encode())
+
 
 def load(path: str = DEFAULT_MODEL) -> Vocabulary:
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -49,17 +58,20 @@ def load(path: str = DEFAULT_MODEL) -> Vocabulary:
         model.ParseFromString(f.read())
     kind = proto.ModelProto.SentencePiece
     normal = [p.score for p in model.pieces if p.type == kind.NORMAL]
-    score, ids, byte_ids, spelled = {}, {}, [0] * 256, []
+    ending: dict[str, float | None] = {}
+    packed, byte_packed, spelled = {}, [b""] * 256, []
     for i, p in enumerate(model.pieces):
         text = p.piece.replace(MARK, " ")
         spelled.append(b"")
         if p.type == kind.BYTE:
             value = int(p.piece[3:5], 16)
-            byte_ids[value], spelled[i] = i, bytes([value])
+            byte_packed[value], spelled[i] = i.to_bytes(4, "little"), bytes([value])
         elif p.type in (kind.NORMAL, kind.USER_DEFINED):
-            ids[text], spelled[i] = i, text.encode()
-            score[text] = p.score if p.type == kind.NORMAL else len(p.piece.encode()) * max(normal) - 0.1
-    return Vocabulary(score, ids, byte_ids, max(map(len, ids)), min(normal) - 10.0, spelled)
+            packed[text], spelled[i] = i.to_bytes(4, "little"), text.encode()
+            for k in range(1, len(text)):
+                ending.setdefault(text[k:], None)
+            ending[text] = p.score if p.type == kind.NORMAL else len(p.piece.encode()) * max(normal) - 0.1
+    return Vocabulary(ending, packed, byte_packed, min(normal) - 10.0, spelled)
 
 
 def marked_words(text: str) -> list[str]:
