@@ -20,10 +20,8 @@ def unconfigured(discovered: DataFrame, configured: DataFrame, keys: list[str])
 
 
 def semi_or_all(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``left`` with a partner in ``right``, all of them if ``right`` is empty; decided within the query."""
-    some = right.limit(1).agg((F.count("*") > 0).alias("_some"))
-    marked = left.join(right.select(*keys).distinct().withColumn("_hit", F.lit(True)), keys, "left").crossJoin(F.broadcast(some))
-    return marked.where(F.col("_hit") | ~F.col("_some")).drop("_hit", "_some")
+    """Rows of ``left`` with a partner in ``right``, all of them if ``right`` is empty (which one row tells)."""
+    return left if right.isEmpty() else left.join(right, keys, "left_semi")
 
 
 def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,13 +48,15 @@ def bm25(notes: DataFrame, query: str, most: int = CAP, k1: float = 1.2, b: floa
     terms = sorted({w for w in query.lower().split() if w})
     words = F.split(F.lower("content"), r"[^\p{L}\p{N}]+")
     counted = notes.select("path", "name", "ord", F.size(words).alias("len"), *[F.size(F.filter(words, _equals(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
+    # one row of totals comes back to the driver and goes into the plan as numbers
+    stats = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
+    docs, mean = stats["docs"], stats["mean"] or 1.0
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log((F.col("docs") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5) + 1)
+        idf = math.log((docs - stats[f"df_{i}"] + 0.5) / (stats[f"df_{i}"] + 0.5) + 1)
         tf = F.col(f"tf_{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = counted.crossJoin(F.broadcast(stats)).withColumn("score", score).where("score > 0")
+        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / mean))
+    scored = counted.withColumn("score", score).where("score > 0")
     return scored.select("ord", "path", "name", "score").orderBy(F.desc("score"), "ord").limit(limit_of(most))
 
 
