@@ -115,3 +115,15 @@ def wiki_links(text: Column) -> Column:
 
 def render_hits(ordinal: Column, name: Column, path: Column) -> Column:
     return F.concat(ordinal.cast("string"), F.lit(". "), name, F.lit(" ("), path, F.lit(")"))
+
+
+def is_provider_id(text: Column) -> Column:
+    """Lower-case words and numbers joined by single dashes, the first a letter."""
+    return F.coalesce(text.rlike("^[a-z][a-z0-9]*(-[a-z0-9]+)*$") & ~F.contains(text, F.lit("\n")), F.lit(False))
+
+
+def model_kind(model: Column) -> Column:
+    """``embedding`` or ``chat`` by the model's name; null for moderation and audio models."""
+    name = F.lower(model)
+    other = F.contains(name, F.lit("moderation")) | F.contains(name, F.lit("whisper")) | F.contains(name, F.lit("tts"))
+    return F.when(other, F.lit(None)).when(F.contains(name, F.lit("embed")), "embedding").otherwise("chat")

@@ -116,6 +116,15 @@ def has_messages(value: Column) -> Column:
     return F.coalesce(_parsed(value, lambda v: _is(v, "$.messages", "[")), F.lit(False))
 
 
+def headers(text: Column) -> Column:
+    """Headers as a map from the text of a JSON object of strings; blank text is no headers, anything else is null."""
+    read = lambda v: F.when(_is(v, "$", "{"), F.try_variant_get(v, "$", "map<string,variant>"))
+    found = _parsed(text, read)
+    plain = F.when(~F.exists(F.map_values(found), lambda x: ~_is(x, "$", '"')), F.transform_values(found, lambda _, x: F.try_variant_get(x, "$", "string")))
+    blank = F.trim(F.regexp_replace(text, r"\s+", "")) == ""
+    return F.when(blank, F.create_map().cast("map<string,string>")).otherwise(plain)
+
+
 def _pretty(value: object) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False)
 

@@ -26,6 +26,7 @@ def test_strings(spark):
     assert column(spark, ["http://x//", "http://x"], strings.base_url) == ["http://x", "http://x"]
     assert column(spark, ["T - Chat - 2024", "New Chat", " ", None], strings.thread_name) == ["Chat 2024", None, None, None]
     assert column(spark, ["a:b:c", "c"], strings.last_segment) == ["c", "c"]
+    assert column(spark, ["#tag", "tag"], strings.tag_text) == ["tag", "tag"]
     assert column(spark, ["a%b", "ab"], lambda c: strings.contains_ignoring_case(c, "%")) == [True, False]
 
 
@@ -42,6 +43,16 @@ def test_key_values_and_links(spark):
     assert column(spark, ["[[a|b]] [[c]] [[d\n]]"], strings.wiki_links) == [["a", "c"]]
 
 
+def test_provider_ids_headers_and_models(spark):
+    good = ["openai", "my-provider", "a1-b2"]
+    bad = ["", "   ", "my provider", " x", "x ", "MyProvider", "my_provider", "my@provider", "123-x", "-x", "x-", "my--provider", "x\n", None]
+    assert column(spark, good + bad, strings.is_provider_id) == [True] * len(good) + [False] * len(bad)
+    texts = ['{"A": "b", "C": "d"}', "{}", '  { "k" : "v" }  ', "", "\n\t\r", "{bad}", '["a"]', '"s"', "123", "null", '{"a": 1}', '{"a": null}']
+    assert column(spark, texts, values.headers) == [{"A": "b", "C": "d"}, {}, {"k": "v"}, {}, {}, None, None, None, None, None, None, None]
+    models = ["gpt-4o", "text-embedding-3-small", "nomic-embed-text", "text-moderation-latest", "whisper-1", "tts-1-hd"]
+    assert column(spark, models, strings.model_kind) == ["chat", "embedding", "embedding", None, None, None]
+
+
 def test_dates(spark):
     row = spark.sql("select timestamp'2024-03-05 07:08:09' t, '018e0d2f-1234-7abc-8def-0123456789ab' u").select(
         dates.thread_id(F.lit("Chat"), F.col("t")), dates.short_date(F.col("t")), dates.uuid7_millis(F.col("u")), dates.is_uuid7(F.col("u")), dates.percent(F.lit(1.7)), dates.percent(F.lit(0.256)), dates.parsed_or(F.lit("nope"), F.col("t")) == F.col("t")
