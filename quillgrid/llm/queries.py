@@ -32,7 +32,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentencepieces.decode(sentencepieces.encode(_read(spark, sf_dir, "documents")))
+    rows = sentencepieces.round_trip(_read(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),

@@ -21,8 +21,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from quillgrid.llm.hashing import slices
 from quillgrid.llm.unigram import DEFAULT_MODEL, MARK, Memory, Vocabulary, load, marked_words
@@ -70,36 +72,55 @@ def _computer(v: Vocabulary):
     return lambda words: {**best_paths([w for w in words if w != MARK], v), **({MARK: v.pack(MARK)} if MARK in words else {})}
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    yield from slices(np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int64))
+def spell(ids: list[int], spelled: list[bytes]) -> str:
+    """The text of a sequence of ids."""
+    raw = b"".join(map(spelled.__getitem__, ids))
+    return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def encode(documents: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, ids for every row."""
+def _spell_column(ids: pa.ListArray, spelled: list[bytes]) -> pa.Array:
+    values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+    return pa.array([spell(values[a:b].tolist(), spelled) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist(), strict=True)], pa.string())
+
+
+def _encoded_parts(texts: pa.Array, memory: Memory) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """First row, row behind the last, and ids of about 1 MB of texts at a time."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    for i, j in slices(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)):
+        part = texts.slice(i, j - i).to_pylist()
+        words = [marked_words(t or "") for t in part]
+        known = memory.of(list(chain.from_iterable(words)))
+        packed = [b"".join(map(known.__getitem__, w)) for w in words]
+        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+        yield i, j, pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([t is None for t in part], pa.bool_()))
+
+
+def _encode(documents: DataFrame, model: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(_computer(shared.value))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in _chunks(texts):
-                words = [marked_words(t or "") for t in texts[i:j]]
-                known = memory.of(list(chain.from_iterable(words)))
-                packed = [b"".join(map(known.__getitem__, w)) for w in words]
-                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-                valid = pa.array([t is None for t in texts[i:j]], pa.bool_())
-                ids = pa.ListArray.from_arrays(pa.array(ends), values, mask=valid)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i), ids], ["doc_id", "text", "ids"])
+            for i, j, ids in _encoded_parts(batch.column("text"), memory):
+                columns = [batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i), ids]
+                names = ["doc_id", "text", "ids"]
+                if decoded:
+                    columns, names = [*columns, _spell_column(ids, shared.value.spelled)], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
 
 
-def spell(ids: list[int], spelled: list[bytes]) -> str:
-    """The text of a sequence of ids."""
-    raw = b"".join(map(spelled.__getitem__, ids))
-    return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
+def encode(documents: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, ids for every row."""
+    return _encode(documents, model, id_col, text_col, False)
+
+
+def round_trip(documents: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, ids and decoded, the text of the ids, for every row, in one pass."""
+    return _encode(documents, model, id_col, text_col, True)
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:
@@ -108,13 +129,7 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids")
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = shared.value
         for batch in batches:
-            column = batch.column(at)
-            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            texts = [None if not ok else spell(values[a:b].tolist(), spelled) for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
-
-    from pyspark.sql.types import StringType, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, _spell_column(batch.column(at), shared.value)], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType(encoded.schema.fields[:]).add("decoded", StringType()))

@@ -16,11 +16,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.sentencepieces import _chunks
+from quillgrid.llm.hashing import slices
 from quillgrid.llm.unigram import DEFAULT_MODEL, MARK, Memory, Vocabulary, load, marked_words
 
 
@@ -85,14 +87,16 @@ def count(documents: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_i
         vocabulary = shared.value
         memory = Memory(lambda words: word_counts(words, vocabulary))
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in _chunks(texts):
-                words = [marked_words(t) for t in texts[i:j]]
+            column = batch.column("text")
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+            for i, j in slices(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)):
+                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+                words = [marked_words(t) for t in texts]
                 known = memory.of(list(chain.from_iterable(words)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
-                        pa.array(list(map(len, texts[i:j])), pa.int64()),
+                        pa.array(list(map(len, texts)), pa.int64()),
                         pa.array(list(map(len, words)), pa.int64()),
                         pa.array([sum(map(known.__getitem__, w)) for w in words], pa.int64()),
                     ],

@@ -26,7 +26,7 @@ MARKED_WORD = re.compile(f" *[^ \n{MARK}]+| +|[\n{MARK}]")
 #: Words up to this length are remembered between texts; longer ones are computed each time.
 REMEMBERED_CHARS = 64
 #: Words remembered at most, twice over.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 
 
 @dataclass

@@ -58,6 +58,8 @@ def test_round_trip_and_counts(spark):
     rows = list(enumerate([*texts(), "a ▁b▁▁ c", None]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in sentencepieces.decode(sentencepieces.encode(df)).collect()}
+    once = {r.doc_id: r for r in sentencepieces.round_trip(df).collect()}
+    assert once == got
     counts = {r.doc_id: r for r in token_counts.count(df).collect()}
     for i, t in rows:
         assert got[i].decoded == t
