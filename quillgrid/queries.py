@@ -208,20 +208,22 @@ def merged_assistant_content(spark, d):
     return threads.pairs(_messages(spark, d)).select("thread_id", "pair", "user_text", "content")
 
 
-@_query(_PAIRS.format(and_="AND turn >= 1") + "SELECT thread_id, pair, first_seq, user_text, content FROM p WHERE pair = 0")
+@_query(_PAIRS.format(and_="AND turn <> 0") + "SELECT thread_id, pair, first_seq, user_text, content FROM p WHERE pair = 0")
 def orphan_assistant(spark, d):
-    return threads.pairs(_messages(spark, d).where("seq >= 1")).where("pair = 0").select("thread_id", "pair", "first_seq", "user_text", "content")
+    """Threads whose opening message counts as a system message, so that assistants come first."""
+    opened = _messages(spark, d).withColumn("role", F.when(F.col("seq") == 0, "system").otherwise(F.col("role")))
+    return threads.pairs(opened).where("pair = 0").select("thread_id", "pair", "first_seq", "user_text", "content")
 
 
 @_query(
     _PAIRS.format(and_="")
-    + """, e AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY user_id),
+    + """, e AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND value > 150 GROUP BY user_id),
 o AS (SELECT p.*, sum(CASE WHEN n_assistant = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY first_seq) AS open FROM p)
-SELECT thread_id, pair, CASE WHEN n_assistant > 0 THEN 'success' WHEN open <= CASE WHEN errors IS NULL THEN 0 ELSE 1 END THEN 'error' ELSE 'cancelled' END AS state
+SELECT thread_id, pair, CASE WHEN n_assistant > 0 THEN 'success' WHEN open <= coalesce(errors, 0) THEN 'error' ELSE 'cancelled' END AS state
 FROM o LEFT JOIN e ON user_id = thread_id"""
 )
 def turn_pair_states(spark, d):
-    errors = _events(spark, d).where("event_type = 'error' AND user_id % 3 = 0").groupBy(F.col("user_id").alias("thread_id")).agg(F.least(F.count("*"), F.lit(1)).alias("error_count"))
+    errors = _events(spark, d).where("event_type = 'error' AND value > 150").groupBy(F.col("user_id").alias("thread_id")).agg(F.count("*").alias("error_count"))
     return threads.pair_states(threads.pairs(_messages(spark, d)), errors).select("thread_id", "pair", "state")
 
 
@@ -283,24 +285,24 @@ def error_count_last_error(spark, d):
 
 
 @_query("""
-WITH w AS (SELECT user_id AS thread_id, CAST(event_id % 7 AS VARCHAR) AS checkpoint_id, event_id AS pos, event_type = 'error' AS e FROM events WHERE user_id < 40),
+WITH w AS (SELECT user_id AS thread_id, CAST(event_id % 7 AS VARCHAR) AS checkpoint_id, event_id AS pos, event_type = 'error' AS e FROM events),
 c AS (SELECT thread_id, max(checkpoint_id) AS chosen FROM w GROUP BY thread_id)
 SELECT thread_id, checkpoint_id, pos, row_number() OVER (PARTITION BY thread_id ORDER BY checkpoint_id <> chosen, checkpoint_id, pos) AS n
 FROM w JOIN c USING (thread_id) WHERE checkpoint_id = chosen OR e""")
 def pending_writes_with_errors(spark, d):
-    writes = _events(spark, d).where("user_id < 40").select(F.col("user_id").alias("thread_id"), (F.col("event_id") % 7).cast("string").alias("checkpoint_id"), F.col("event_id").alias("at"), (F.col("event_type") == "error").alias("names_error"))
+    writes = _events(spark, d).select(F.col("user_id").alias("thread_id"), (F.col("event_id") % 7).cast("string").alias("checkpoint_id"), F.col("event_id").alias("at"), (F.col("event_type") == "error").alias("names_error"))
     chosen = writes.groupBy("thread_id").agg(F.max("checkpoint_id").alias("chosen"))
     rows = threads.writes_with_errors(writes, chosen)
     return rows.select("thread_id", "checkpoint_id", F.col("at").alias("pos"), F.row_number().over(Window.partitionBy("thread_id").orderBy("place")).cast("long").alias("n"))
 
 
 @_query("""
-WITH t AS (SELECT conv_id, min(text) AS title FROM conversations WHERE turn = 0 GROUP BY conv_id), c AS (SELECT user_id, max(event_id) AS ts FROM events WHERE user_id % 2 = 0 GROUP BY user_id)
+WITH t AS (SELECT conv_id, min(text) AS title FROM conversations WHERE turn = 0 GROUP BY conv_id), c AS (SELECT user_id, max(event_id) AS ts FROM events WHERE event_type = 'error' AND value > 150 GROUP BY user_id)
 SELECT coalesce(conv_id, user_id) AS thread_id, title, coalesce(CASE WHEN conv_id % 5 = 0 THEN conv_id END, ts, -1) AS updated_at FROM t FULL JOIN c ON conv_id = user_id""")
 def thread_history_full_outer(spark, d):
     index = _messages(spark, d).where("seq = 0").groupBy("thread_id").agg(F.min("text").alias("title"))
     index = index.select("thread_id", "title", F.lit(None).cast("long").alias("created_at"), F.when(F.col("thread_id") % 5 == 0, F.col("thread_id")).alias("updated_at"))
-    latest = _events(spark, d).where("user_id % 2 = 0").groupBy(F.col("user_id").alias("thread_id")).agg(F.max("event_id").alias("ts"))
+    latest = _events(spark, d).where("event_type = 'error' AND value > 150").groupBy(F.col("user_id").alias("thread_id")).agg(F.max("event_id").alias("ts"))
     return threads.history(index, latest).select("thread_id", "title", F.coalesce("updated_at", F.lit(-1).cast("long")).alias("updated_at"))
 
 
@@ -325,10 +327,10 @@ def tool_result_left_join(spark, d):
 
 
 @_query("""
-SELECT user_id AS thread_id, CASE WHEN bool_or(event_type = 'view') THEN 'running' ELSE 'completed' END AS status,
-       'Used ' || count(*) || CASE WHEN count(*) = 1 THEN ' tool' ELSE ' tools' END AS summary FROM events WHERE event_id % 40 < 2 GROUP BY user_id""")
+SELECT user_id AS thread_id, CASE WHEN bool_or(event_type = 'error' AND value > 150) THEN 'running' ELSE 'completed' END AS status,
+       'Used ' || count(*) || CASE WHEN count(*) = 1 THEN ' tool' ELSE ' tools' END AS summary FROM events GROUP BY user_id""")
 def tool_status_any_running(spark, d):
-    calls = _events(spark, d).where("event_id % 40 < 2").select(F.col("user_id").alias("thread_id"), F.when(F.col("event_type") == "view", "running").otherwise("completed").alias("status"))
+    calls = _events(spark, d).select(F.col("user_id").alias("thread_id"), F.when(F.expr("event_type = 'error' AND value > 150"), "running").otherwise("completed").alias("status"))
     return threads.tool_status(calls)
 
 
@@ -605,14 +607,14 @@ def auth_fields(spark, d):
     return count(True, "required").union(count(False, "optional"))
 
 
-@_query("SELECT p_brand AS grp, count(*) AS n FROM part WHERE contains(lower(p_name), '1') GROUP BY p_brand")
+@_query("SELECT p_brand AS grp, count(*) AS n FROM part WHERE contains(lower(p_name), lower('R')) GROUP BY p_brand")
 def options_filter(spark, d):
     options = tables.table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("label"))
-    return search.filter_options(options, "1").groupBy("grp").agg(F.count("*").alias("n"))
+    return search.filter_options(options, "R").groupBy("grp").agg(F.count("*").alias("n"))
 
 
 _SNAPSHOTS = """
-WITH i AS (SELECT user_id AS thread_id, min(event_id) AS created_at, max(event_id) AS updated_at FROM events WHERE user_id % 2 = 0 GROUP BY user_id),
+WITH i AS (SELECT user_id AS thread_id, min(event_id) AS created_at, max(event_id) AS updated_at FROM events GROUP BY user_id),
 s AS (SELECT conv_id AS thread_id, max(turn) AS created_at, max(turn) + 1000 AS updated_at FROM conversations GROUP BY conv_id)
 """
 
@@ -620,23 +622,23 @@ s AS (SELECT conv_id AS thread_id, max(turn) AS created_at, max(turn) + 1000 AS
 @_query(_SNAPSHOTS + "SELECT coalesce(i.thread_id, s.thread_id) AS thread_id, CASE WHEN s.thread_id IS NULL THEN 'old' ELSE 'new' END AS title, coalesce(i.created_at, s.created_at) AS created_at, coalesce(s.updated_at, i.updated_at) AS updated_at FROM i FULL JOIN s ON i.thread_id = s.thread_id")
 def snapshot_upsert(spark, d):
     none = F.lit(None).cast("string").alias("metadata")
-    index = _events(spark, d).where("user_id % 2 = 0").groupBy(F.col("user_id").alias("thread_id")).agg(F.min("event_id").alias("created_at"), F.max("event_id").alias("updated_at"))
+    index = _events(spark, d).groupBy(F.col("user_id").alias("thread_id")).agg(F.min("event_id").alias("created_at"), F.max("event_id").alias("updated_at"))
     new = _messages(spark, d).groupBy("thread_id").agg(F.max("seq").alias("created_at"), (F.max("seq") + 1000).alias("updated_at"))
     index, new = index.select("*", F.lit("old").alias("title"), none), new.select("*", F.lit("new").alias("title"), none)
     return threads.write_snapshots(index, new).select("thread_id", "title", "created_at", "updated_at")
 
 
-@_query("SELECT user_id AS thread_id, arg_max(event_type, event_id) AS v FROM events WHERE event_id % 9 = 0 AND user_id % 2 = 0 GROUP BY user_id UNION ALL SELECT DISTINCT user_id, 'old' FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 9 = 0 AND user_id % 2 = 0)")
+@_query("SELECT user_id AS thread_id, arg_max(CAST(event_id AS VARCHAR), event_id) AS v FROM events WHERE event_type = 'error' AND value > 150 GROUP BY user_id UNION ALL SELECT DISTINCT user_id, 'old' FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)")
 def store_upsert_last_wins(spark, d):
     e = _events(spark, d)
     now = e.select(F.col("user_id").alias("thread_id")).distinct().withColumn("v", F.lit("old"))
-    changes = e.where("event_id % 9 = 0 AND user_id % 2 = 0").select(F.col("user_id").alias("thread_id"), F.col("event_type").alias("v"), F.col("event_id").alias("at"))
+    changes = e.where("event_type = 'error' AND value > 150").select(F.col("user_id").alias("thread_id"), F.col("event_id").cast("string").alias("v"), F.col("event_id").alias("at"))
     return tables.upsert(now, changes, "thread_id", "at")
 
 
-@_query("SELECT DISTINCT conv_id AS thread_id FROM conversations WHERE conv_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@_query("SELECT DISTINCT conv_id AS thread_id FROM conversations WHERE conv_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)")
 def thread_delete(spark, d):
-    gone = _events(spark, d).where("event_type = 'error'").select(F.col("user_id").alias("thread_id"))
+    gone = _events(spark, d).where("event_type = 'error' AND value > 150").select(F.col("user_id").alias("thread_id"))
     return tables.delete(_messages(spark, d).select("thread_id").distinct(), gone, "thread_id")
 
 
