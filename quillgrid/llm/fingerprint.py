@@ -144,15 +144,18 @@ def edited(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first as many of the next document. Texts are dealt once by doc_id; of the
     next document only the characters needed travel.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), fingerprint(text).alias("fingerprint"))
+    # an alias that changes nothing would keep the planner from seeing that both exchanges are one
+    ident = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
+    texts = documents.select(ident, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # both joins read one exchange of plain texts; fingerprints are computed behind it
     placed = texts.where("doc_id IS NOT NULL")
     heads = placed.join(_order(documents, id_col, text_col), "doc_id")
-    heads = heads.groupBy("prev_id").agg(F.min(F.struct(F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), F.col("fingerprint").alias("next"))).alias("n"))
-    with_next = placed.join(heads, F.col("doc_id") == F.col("prev_id"), "left").select("doc_id", "text", "fingerprint", "n.head", F.col("n.next").alias("next_fingerprint"))
+    heads = heads.select("prev_id", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), fingerprint(F.col("text")).alias("next"))
+    heads = heads.groupBy("prev_id").agg(F.min(F.struct("head", "next")).alias("n"))
+    with_next = placed.join(heads, F.col("doc_id") == F.col("prev_id"), "left").select("doc_id", "text", "n.head", F.col("n.next").alias("next_fingerprint"))
     outside = texts.where("doc_id IS NULL").select("*", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("next_fingerprint"))
     rows = with_next.union(outside)
     quarter = F.floor(F.length("text") / 4).cast("int")
     new = F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter))
-    rows = rows.select("doc_id", "text", new.alias("edited"), "fingerprint", F.coalesce("next_fingerprint", F.lit(NONE * SKETCHES)).alias("next_fingerprint"))
-    return rows.select("doc_id", "text", "edited", "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    rows = rows.select("doc_id", "text", new.alias("edited"), F.coalesce("next_fingerprint", F.lit(NONE * SKETCHES)).alias("next_fingerprint"))
+    return rows.select("doc_id", "text", "edited", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
