@@ -14,8 +14,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a file that one task would read alone is dealt to all cores."""
+    documents = _read(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() * 2 <= cores else documents
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(_read(spark, sf_dir, "documents"))
+    return token_counts.count(_documents(spark, sf_dir))
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +39,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentencepieces.round_trip(_read(spark, sf_dir, "documents"))
+    rows = sentencepieces.round_trip(_documents(spark, sf_dir))
     return rows.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
@@ -43,7 +50,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _read(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     scored = toxicity.score(documents, toxicity.fit(documents, _read(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
@@ -67,12 +74,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(_read(spark, sf_dir, "documents"), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
+    return neardup.classes(_documents(spark, sf_dir), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 poor, 1 good but toxic, 2 good. A document is kept if it is likelier good than poor."""
-    documents = _read(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     model = quality.fit(documents, _read(spark, sf_dir, "labels"), F.when(F.col("quality").isNotNull(), grade), 3)
     rated = quality.rate(documents, model, at_least=1)
@@ -80,7 +87,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = decontam.scan(_documents(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",
@@ -92,7 +99,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    found = secrets.scan(_documents(spark, sf_dir))
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*secrets.KINDS[: secrets.BASE]))
