@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.hashing import _Q1, mix, sequence_prefix, slices, string_bytes, window_hash, word_hashes
-from quillgrid.llm.storage import materialise
+from quillgrid.llm.storage import discard, materialise
 
 BANDS = 28
 ROWS = 4
@@ -220,7 +220,7 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     ties = keys.join(smallest, "key").where("rep <> least").select("rep", "least")
     groups = connected_components(ties, "rep", "least").withColumnRenamed("component", "grp")
     members = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("node", "grp").agg(F.min("n").alias("n"))
-    members, _ = materialise(members, "members")
+    members, members_path = materialise(members, "members")
     tasks = _tasks(members, task_shingles)
     # rows of one rep are equal sets or share a doc_id: one text a node is enough
     docs = documents.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
@@ -230,6 +230,7 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     dealt = tasks.hint("merge").join(docs, "node").select(F.pmod(F.xxhash64("task"), F.lit(bins)).alias("bin"), "task", "node", "text")
     links = dealt.groupBy("bin").applyInArrow(_link_tasks(shingle, percent), "u long, v long")
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
+    discard(documents.sparkSession, members_path)  # the links are found and written
     named = reps.select("set_a", "set_b", "rep").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("linked", "rep").alias("component"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["set_a", "set_b"])
     alone = sketch.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").withColumn("component", F.col("doc_id"))
