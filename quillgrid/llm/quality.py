@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.hashing import slices, string_bytes, word_hashes
 
 MOST_PER_GRADE = 1200
-MOST_CHARS = 100_000
+MOST_CHARS = 20_000
 BUCKETS = 1 << 17
 MEASURES = 10
 

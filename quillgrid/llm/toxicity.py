@@ -42,7 +42,7 @@ from quillgrid.llm.hashing import _BYTE_TABLE, _LOWER, _NOT_ALNUM, _R, sequence_
 
 MOST_TOXIC = 800
 MOST_PLAIN = 2400
-MOST_CHARS = 100_000
+MOST_CHARS = 20_000
 THRESHOLD = 0.3
 SPAN_FROM = 0.5
 
@@ -78,6 +78,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, starts, ends, counts
 
 
+def tokens_in_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets and tokens a row, read about 1 MB at a time."""
+    parts = [tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]
+    return np.concatenate([p[0] for p in parts], 1), np.concatenate([p[3] for p in parts])
+
+
 def _emission(model: Model, features: np.ndarray) -> np.ndarray:
     table = np.append(model.weights[:BUCKETS], 0.0)
     total = np.full(features.shape[1], model.weights[BUCKETS])
@@ -220,8 +226,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if len(set(y.tolist())) < 2:
         model.constant = share[1] / sum(share.values())
         return model
-    data, offsets = string_bytes(rows.column("text"))
-    features, _, _, counts = tokens(data, offsets)
+    features, counts = tokens_in_parts(*string_bytes(rows.column("text")))
     cut = max(1, int(len(y) * 0.7))
     upto = int(counts[:cut].sum())
     model.weights[BUCKETS] = -4.0
