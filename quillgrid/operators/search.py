@@ -46,8 +46,9 @@ def _equals(term: str) -> Callable[[Column], Column]:
 def bm25(notes: DataFrame, query: str, most: int = CAP, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Ranked search by BM25 over lower-cased words (our own scorer: the plugin that ranks is outside the reference)."""
     terms = sorted({w for w in query.lower().split() if w})
-    words = F.split(F.lower("content"), r"[^\p{L}\p{N}]+")
-    counted = notes.select("path", "name", "ord", F.size(words).alias("len"), *[F.size(F.filter(words, _equals(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    split = notes.select("path", "name", "ord", F.split(F.lower("content"), r"[^\p{L}\p{N}]+").alias("words"))
+    words = F.col("words")
+    counted = split.select("path", "name", "ord", F.size(words).alias("len"), *[F.size(F.filter(words, _equals(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
     # one row of totals comes back to the driver and goes into the plan as numbers
     stats = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
     docs, mean = stats["docs"], stats["mean"] or 1.0
