@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fingerprint.edited(_read(spark, sf_dir, "documents"))
+    rows = fingerprint.edited(_documents(spark, sf_dir))
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
