@@ -48,7 +48,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
         grams, lengths = grams.limit(0), [window]
     else:
         lengths = sorted(r["wlen"] for r in size)
-    if sum(r["n"] for r in size) <= BROADCAST_WINDOWS:
+    small = sum(r["n"] for r in size) <= BROADCAST_WINDOWS
+    if small:
         grams = F.broadcast(grams)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
     docs = docs.where(F.size("words") >= lengths[0])
@@ -57,8 +58,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_co
         at = at.withColumn("wlen", F.lit(lengths[0]))
     else:
         at = at.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("wlen")).where(F.col("p") + F.col("wlen") - 1 <= F.size("words"))
-    at = at.withColumn("h", F.xxhash64(F.slice("words", F.col("p"), F.col("wlen"))))
-    found = at.join(grams, ["h", "wlen"]).where(F.slice("words", F.col("p"), F.col("wlen")) == F.col("win"))
+    here = F.slice("words", F.col("p"), F.col("wlen"))
+    at = at.withColumn("h", F.xxhash64(here))
+    if not small:
+        # what a shuffle moves is the window, never a text once per position
+        at, here = at.select("doc_id", "text_key", "p", "wlen", "h", here.alias("here")), F.col("here")
+    found = at.join(grams, ["h", "wlen"]).where(here == F.col("win"))
     return found.select("doc_id", "text_key", (F.col("p") - 1).alias("p"), "wlen", "item_id")
 
 
