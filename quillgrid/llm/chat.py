@@ -39,7 +39,8 @@ _ROLES = {v: k for k, v in TITLES.items()}
 _CONFLICTS = re.compile(r"\\|### |</turn>")
 _ROLE_CONFLICTS = re.compile(r"[\\:\n]|### |</turn>")
 _HEADER = re.compile(r"### ((?:[^\\:\n]|\\.)*): ", re.DOTALL)
-_BODY = re.compile(r"(?:[^\\#<]|\\.|#(?!## )|<(?!/turn>))*", re.DOTALL)
+#: Possessive: what is matched is never given back, so a body of any length needs constant memory.
+_BODY = re.compile(r"(?:[^\\#<]++|\\.|#(?!## )|<(?!/turn>))*+", re.DOTALL)
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 END = "</turn>\n"
 

@@ -24,6 +24,12 @@ def test_plain_turns_are_not_escaped():
         chat.parse("### User: x ### y</turn>\n")
 
 
+def test_very_long_texts():
+    for text in ("ab # < " * 300_000, "\\### </turn>" * 50_000):
+        rendered, start, end = chat.render_turn("user", text)
+        assert chat.parse(rendered) == [("user", text, start, end)]
+
+
 def brute(rows):
     out = {}
     for conv in {r[0] for r in rows}:
