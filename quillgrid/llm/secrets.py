@@ -37,7 +37,9 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 # Added kinds, published token formats.
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*+")
+PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 KINDS = ("assign", "access", "hex", "checked", "pem")
@@ -48,7 +50,7 @@ _KEYWORDS = {
     "checked": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"),
     "pem": ("-----begin ",),
 }
-_EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "checked": CHECKED, "pem": PEM}
+_EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "checked": CHECKED}
 
 SCHEMA = "doc_id long, n_chars long, spans array<struct<kind:string,start:int,end:int>>"
 
@@ -79,13 +81,29 @@ def _passes(kind: str, m: re.Match) -> bool:
     return kind != "checked" or crc_valid(m[0])
 
 
+def _pem(text: str, start: int) -> tuple[int | None, int]:
+    """Where the key that begins at ``start`` ends, None if none does, and up to where no other key can begin."""
+    if not (head := PEM_HEAD.match(text, start)):
+        return None, start
+    body = PEM_BODY.match(text, head.end()).end()
+    end = PEM_END.search(text, head.end(), body)
+    # later heads in a body without an end have the same body, so it is searched once
+    return (end.end(), end.end()) if end else (None, body)
+
+
 def find_spans(text: str, automaton: ahocorasick.Automaton, with_hex: bool = True) -> list[tuple[str, int, int]]:
     """All spans of one text by start, then by the order of KINDS."""
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    upto = dict.fromkeys(_EXPRESSIONS, 0)
+    upto = dict.fromkeys(_KEYWORDS, 0)
     found = []
     for start, kind in sorted((end + 1 - n, kind) for end, (kind, n) in automaton.iter(low)):
-        if start >= upto[kind] and (m := _EXPRESSIONS[kind].match(text, start)):
+        if start < upto[kind]:
+            continue
+        if kind == "pem":
+            end, upto[kind] = _pem(text, start)
+            if end:
+                found.append((start, KINDS.index(kind), end))
+        elif m := _EXPRESSIONS[kind].match(text, start):
             upto[kind] = m.end()
             if _passes(kind, m):
                 found.append((start, KINDS.index(kind), m.end()))

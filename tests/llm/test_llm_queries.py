@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 
 import duckdb
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from quillgrid.llm.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are elsewhere")
 
 
@@ -51,5 +53,12 @@ def test_contract(spark, duck, name):
             assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
         elif name.startswith("op8_"):
             assert 0 <= r.expected_grade <= 2 and 0 <= r.tail_probability <= 1
+        elif name.startswith("op10_"):
+            base = [("assign", m) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+            base += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+            base += [("hex", m) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+            listed = [f"{k}:{m.start()}:{m.end()}" for k, m in sorted(base, key=lambda x: x[1].start())]
+            assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _ in base) for kind in ("assign", "access", "hex")]
+            assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(r.spans.split(",") if r.spans else [])
         elif name.startswith("op1_"):
             assert r.n_chars == len(t) and r.n_tokens >= r.n_pretokens
