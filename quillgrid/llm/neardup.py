@@ -20,9 +20,13 @@ How it runs.
    sets through an inverted index: it sweeps from the most central document
    until every document outside the largest class has met all others, so the
    many links inside a class are never listed, yet no link between classes is
-   lost. Groups beyond ``task_shingles`` are cut by set size (only neighbouring
-   size levels, a factor of 1.25 apart, can reach 0.8) and by hash into pairs of
-   parts; every pair of parts that could hold a link meets in some task.
+   lost. Groups beyond ``task_shingles`` are first dealt to parts by hash, each
+   with the group's hub (its smallest member), and members linked to the hub are
+   settled: they are one class, so no two of them need to meet again. The group
+   is then cut by set size (only neighbouring size levels, a factor of 1.25
+   apart, can reach 0.8), by settled or open, and by hash into parts; every pair
+   of parts that could hold a link, but for two settled ones, meets in some
+   task. A group of near copies of one text thus costs one pass.
 4. Components of the links found give component_id.
 
 Defined results: null, empty and blank texts have an empty set and link with
@@ -187,26 +191,62 @@ def _link_tasks(shingle: int, percent: int):
     return run
 
 
-def _tasks(members: DataFrame, task_shingles: int) -> DataFrame:
-    """members (node, grp, n) with the tasks, one or more, in which each has to be compared."""
-    level = F.floor(F.log("n") / F.lit(_LEVEL)).cast("int")
-    levels = members.select("*", level.alias("level")).groupBy("grp", "level").agg(F.sum("n").alias("load"))
-    parts = F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("load") / task_shingles).cast("int").alias("parts"))))
-    groups = levels.groupBy("grp").agg(F.sum("load").alias("load"), parts.alias("parts"))  # some hundred levels at most
-    placed = members.join(groups, "grp").select("node", "grp", "parts", "load", level.alias("level"))
-    whole = placed.where(F.col("load") <= task_shingles).select("node", F.col("grp").cast("string").alias("task"))
-    count = lambda lvl: F.coalesce(F.element_at("parts", lvl), F.lit(0))
-    part = F.pmod(F.xxhash64("node"), count(F.col("level"))).cast("int")
-    cut = placed.where(F.col("load") > task_shingles).select("node", "grp", "level", part.alias("part"), count(F.col("level")).alias("own"), count(F.col("level") + 1).alias("above"), count(F.col("level") - 1).alias("below"))
+def _hub_links(shingle: int, percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("task", "ascending"), ("node", "ascending")])
+        data, offsets = string_bytes(rows.column("text"))
+        node, hub, task = rows.column("node").to_numpy(), rows.column("grp").to_numpy(), rows.column("task").to_pylist()
+        us, vs, of, hubs = [], [], None, []
+        for i, j in slices(offsets):
+            o = offsets[i : j + 1]
+            hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+            for r, mine in enumerate(np.split(hashes, np.cumsum(counts)[:-1]), i):
+                if task[r] != of:
+                    of, hubs = task[r], []
+                if node[r] == hub[r]:  # the smallest node of its task: it comes first
+                    hubs.append(mine)
+                    continue
+                both = [len(np.intersect1d(mine, h, assume_unique=True)) for h in hubs]
+                if any(100 * b >= percent * (len(mine) + len(h) - b) for b, h in zip(both, hubs, strict=True)):
+                    us.append(hub[r])
+                    vs.append(node[r])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
 
-    def name(a, i, b, j):
-        return F.concat_ws(":", F.col("grp"), a, i, b, j)
 
-    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda j: j < n)
-    within = F.transform(upto(F.col("own")), lambda j: name(F.col("level"), F.least(F.col("part"), j), F.col("level"), F.greatest(F.col("part"), j)))
-    up = F.transform(upto(F.col("above")), lambda j: name(F.col("level"), F.col("part"), F.col("level") + 1, j))
-    down = F.transform(upto(F.col("below")), lambda j: name(F.col("level") - 1, j, F.col("level"), F.col("part")))
-    return whole.union(cut.select("node", F.explode(F.concat(within, up, down)).alias("task")))
+def _with_hubs(members: DataFrame, task_shingles: int) -> DataFrame:
+    """grp, node, task: members of the groups beyond ``task_shingles`` in parts, the hub in each part."""
+    loads = members.groupBy("grp").agg(F.sum("n").alias("load")).where(F.col("load") > task_shingles)
+    parts = F.ceil(F.col("load") / task_shingles).cast("int")
+    large = members.join(loads, "grp").select("grp", "node", parts.alias("parts"))
+    dealt = large.where("node <> grp").select("grp", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    hubs = large.where("node = grp").select("grp", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.union(hubs).select("grp", "node", F.concat_ws(":", "grp", "part").alias("task"))
+
+
+def _tasks(members: DataFrame, task_shingles: int) -> DataFrame:
+    """members (node, grp, n, settled) with the tasks, one or more, in which each has to be compared.
+
+    A key is a size level, doubled, and one more for open members.
+    """
+    key = (F.floor(F.log("n") / F.lit(_LEVEL)).cast("int") * 2 + F.when(F.col("settled"), 0).otherwise(1)).alias("key")
+    keyed = members.select("node", "grp", "n", key)
+    keys = keyed.groupBy("grp", "key").agg(F.sum("n").alias("load"))
+    parts = F.map_from_entries(F.collect_list(F.struct("key", F.ceil(F.col("load") / task_shingles).cast("int").alias("parts"))))
+    groups = keys.groupBy("grp").agg(F.sum("load").alias("load"), parts.alias("parts"))  # some hundred keys at most
+    placed = keyed.join(groups, "grp")
+    whole = placed.where(F.col("load") <= task_shingles).select("node", F.col("grp").cast("string").alias("task"))
+    count = lambda k: F.coalesce(F.element_at("parts", k), F.lit(0))
+    own = F.pmod(F.xxhash64("node"), count(F.col("key"))).cast("int")
+    cut = placed.where(F.col("load") > task_shingles).select("node", "grp", "key", "parts", own.alias("part"))
+    level = F.floor(F.col("key") / 2).cast("int") * 2
+    near = F.array(*[level + d for d in (-1, 1, 3)])  # open members of three levels
+    settled = F.when(F.col("key") % 2 != 0, F.array(*[level + d for d in (-2, 0, 2)])).otherwise(F.array().cast("array<int>"))
+    part = lambda k, i: F.concat_ws(".", k.cast("string"), i.cast("string"))
+    pair = lambda k, i: F.concat_ws(":", F.col("grp").cast("string"), F.sort_array(F.array(part(F.col("key"), F.col("part")), part(k, i))))
+    met = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count(k), F.lit(1)) - 1), lambda i: i < count(k)), lambda i: pair(k, i))
+    return whole.union(cut.select("node", F.explode(F.flatten(F.transform(F.concat(near, settled), met))).alias("task")))
 
 
 def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -221,14 +261,23 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     groups = connected_components(ties, "rep", "least").withColumnRenamed("component", "grp")
     members = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("node", "grp").agg(F.min("n").alias("n"))
     members, members_path = materialise(members, "members")
-    tasks = _tasks(members, task_shingles)
     # rows of one rep are equal sets or share a doc_id: one text a node is enough
     docs = documents.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    load = members.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, math.ceil(load / task_shingles) * 4)
-    # a merge join at every size: what is broadcast would grow with the input, and the plan would turn over at some size
-    dealt = tasks.hint("merge").join(docs, "node").select(F.pmod(F.xxhash64("task"), F.lit(bins)).alias("bin"), "task", "node", "text")
-    links = dealt.groupBy("bin").applyInArrow(_link_tasks(shingle, percent), "u long, v long")
+
+    def compared(tasks: DataFrame, load: int, links, *more: str) -> DataFrame:
+        bins = max(1, math.ceil(load / task_shingles) * 4)
+        # a merge join at every size: what is broadcast would grow with the input, and the plan would turn over at some size
+        dealt = tasks.hint("merge").join(docs, "node").select(F.pmod(F.xxhash64("task"), F.lit(bins)).alias("bin"), "task", "node", *more, "text")
+        return dealt.groupBy("bin").applyInArrow(links(shingle, percent), "u long, v long")
+
+    load, largest = members.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if largest > task_shingles:
+        stars, _ = materialise(compared(_with_hubs(members, task_shingles), load, _hub_links, "grp"), "stars")
+        settled = stars.select(F.col("v").alias("node")).distinct().withColumn("hit", F.lit(True))
+        marked = members.join(settled, "node", "left").withColumn("settled", F.col("hit").isNotNull() | (F.col("node") == F.col("grp")))
+        links = compared(_tasks(marked, task_shingles), load, _link_tasks).union(stars)
+    else:
+        links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles), load, _link_tasks)
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
     discard(documents.sparkSession, members_path)  # the links are found and written
     named = reps.select("set_a", "set_b", "rep").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("linked", "rep").alias("component"))

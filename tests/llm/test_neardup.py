@@ -52,8 +52,29 @@ def test_equals_brute_force(spark):
 
 
 def test_large_groups_are_cut_and_still_whole(spark):
-    rows = corpus(90, 6)
-    assert got(spark, rows, shingle=2, task_shingles=400) == brute(rows, 2)
+    for seed in (6, 16):
+        rows = corpus(90, seed)
+        assert got(spark, rows, shingle=2, task_shingles=400) == brute(rows, 2)
+
+
+def test_a_large_group_of_near_copies_is_compared_with_its_hub_alone(spark):
+    rng = random.Random(9)
+    text = [f"v{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        w = list(text)
+        if i:
+            w[rng.randrange(100)] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    assert {c for _, c in got(spark, rows, shingle=2, task_shingles=500).values()} == {0}
+    members = spark.createDataFrame([(i, 0, 99, True) for i in range(60)], "node long, grp long, n long, settled boolean")
+    assert neardup._tasks(members, 500).count() == 0
+    one = spark.createDataFrame([(i, 0, 99, i != 30) for i in range(60)], members.schema)
+    met = {}
+    for r in neardup._tasks(one, 500).collect():
+        met.setdefault(r.task, set()).add(r.node)
+    assert set().union(*(m for m in met.values() if 30 in m)) == set(range(60))
+    assert len(neardup._with_hubs(members.drop("settled"), 500).where("node = 0").collect()) == 12
 
 
 def test_five_word_shingles(spark):
