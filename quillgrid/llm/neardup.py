@@ -27,6 +27,10 @@ How it runs.
    apart, can reach 0.8), by settled or open, and by hash into parts; every pair
    of parts that could hold a link, but for two settled ones, meets in some
    task. A group of near copies of one text thus costs one pass.
+   Where pairs of parts would send members more than ``MOST_SENT`` times, members
+   meet by the rare shingles they share, if that sends less: shingles are put in
+   one order, by frequency, and of a linked pair each has a common one among its
+   first (100 - percent) / 100 and one more. A task, too, looks for links there.
 4. Components of the links found give component_id.
 
 Defined results: null, empty and blank texts have an empty set and link with
@@ -53,6 +57,8 @@ BANDS = 28
 ROWS = 4
 PERCENT = 80
 TASK_SHINGLES = 1_000_000
+MOST_SENT = 4
+SLOTS = 1 << 18
 _LEVEL = math.log(1.2500001)
 
 
@@ -140,10 +146,16 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     ends = np.concatenate([[0], np.cumsum(sizes)])
     _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(n), sizes)
-    order = np.argsort(token, kind="stable")
-    posting, edge = doc[order], np.concatenate([[0], np.cumsum(df)])
     central = np.bincount(doc, weights=df[token], minlength=n) / np.maximum(sizes, 1)
     queue = np.argsort(-central, kind="stable")
+    token = token[np.lexsort((token, df[token], doc))]  # of each document, the rarest first
+    place = np.arange(len(token)) - ends[doc]
+    # a linked pair shares more than all but the rarest (100 - percent) / 100 of either: one of these at least
+    rare = (100 * place <= (100 - percent) * sizes[doc]) & (df[token] > 1)
+    token_of, doc_of = token[rare], doc[rare]
+    order = np.argsort(token_of, kind="stable")
+    posting, edge = doc_of[order], np.searchsorted(token_of[order], np.arange(len(df) + 1))
+    mark = np.zeros(len(df), dtype=bool)
     label, swept, out = np.arange(n), np.zeros(n, dtype=bool), []
     while True:
         weight = np.bincount(label, minlength=n)
@@ -155,11 +167,19 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         x = open_[0]
         swept[x] = True
         mine = token[ends[x] : ends[x + 1]]
-        mine = mine[df[mine] > 1]
-        if not len(mine):
+        first = mine[100 * np.arange(len(mine)) <= (100 - percent) * len(mine)]
+        first = first[df[first] > 1]
+        if not len(first):
             continue
-        both = np.bincount(np.concatenate([posting[edge[t] : edge[t + 1]] for t in mine]), minlength=n)
-        linked = 100 * both >= percent * (sizes + sizes[x] - both)
+        met = np.unique(np.concatenate([posting[edge[t] : edge[t + 1]] for t in first]))
+        met = met[(100 * sizes[met] >= percent * sizes[x]) & (percent * sizes[met] <= 100 * sizes[x])]
+        mark[mine] = True
+        both = np.zeros(n, dtype=np.int64)
+        begins = np.concatenate([[0], np.cumsum(sizes[met])])
+        at = np.arange(begins[-1]) + np.repeat(ends[met] - begins[:-1], sizes[met])
+        both[met] = np.add.reduceat(mark[token[at]].astype(np.int64), begins[:-1]) if len(met) else 0
+        mark[mine] = False
+        linked = (both > 0) & (100 * both >= percent * (sizes + sizes[x] - both))
         linked[x] = False
         found, where = np.unique(label[linked], return_index=True)
         others = np.flatnonzero(linked)[where]
@@ -173,18 +193,18 @@ def _link_tasks(shingle: int, percent: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.select(["task", "node", "text"]).sort_by([("task", "ascending"), ("node", "ascending")])
         data, offsets = string_bytes(rows.column("text"))
-        sets: list[np.ndarray] = []
-        for i, j in slices(offsets):
-            o = offsets[i : j + 1]
-            hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
-            sets += np.split(hashes, np.cumsum(counts)[:-1])
         node, task = rows.column("node").to_numpy(), rows.column("task").to_pylist()
         found, i = [], 0
         while i < len(task):
             j = i
             while j < len(task) and task[j] == task[i]:
                 j += 1
-            found += [(node[i + x], node[i + y]) for x, y in links_within(sets[i:j], percent)]
+            sets: list[np.ndarray] = []
+            for a, b in slices(offsets[i : j + 1]):
+                o = offsets[i + a : i + b + 1]
+                hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+                sets += np.split(hashes, np.cumsum(counts)[:-1])
+            found += [(node[i + x], node[i + y]) for x, y in links_within(sets, percent)]
             i = j
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
@@ -216,17 +236,17 @@ def _hub_links(shingle: int, percent: int):
 
 
 def _with_hubs(members: DataFrame, task_shingles: int) -> DataFrame:
-    """grp, node, task: members of the groups beyond ``task_shingles`` in parts, the hub in each part."""
+    """grp, node, n, task: members of the groups beyond ``task_shingles`` in parts, the hub in each part."""
     loads = members.groupBy("grp").agg(F.sum("n").alias("load")).where(F.col("load") > task_shingles)
     parts = F.ceil(F.col("load") / task_shingles).cast("int")
-    large = members.join(loads, "grp").select("grp", "node", parts.alias("parts"))
-    dealt = large.where("node <> grp").select("grp", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    hubs = large.where("node = grp").select("grp", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return dealt.union(hubs).select("grp", "node", F.concat_ws(":", "grp", "part").alias("task"))
+    large = members.join(loads, "grp").select("grp", "node", "n", parts.alias("parts"))
+    dealt = large.where("node <> grp").select("grp", "node", "n", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    hubs = large.where("node = grp").select("grp", "node", "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.union(hubs).select("grp", "node", "n", F.concat_ws(":", "grp", "part").alias("task"))
 
 
-def _tasks(members: DataFrame, task_shingles: int) -> DataFrame:
-    """members (node, grp, n, settled) with the tasks, one or more, in which each has to be compared.
+def _placed(members: DataFrame, task_shingles: int) -> DataFrame:
+    """members (node, grp, n, settled) with the tasks, none or more, in which each has to be compared.
 
     A key is a size level, doubled, and one more for open members.
     """
@@ -236,17 +256,104 @@ def _tasks(members: DataFrame, task_shingles: int) -> DataFrame:
     parts = F.map_from_entries(F.collect_list(F.struct("key", F.ceil(F.col("load") / task_shingles).cast("int").alias("parts"))))
     groups = keys.groupBy("grp").agg(F.sum("load").alias("load"), parts.alias("parts"))  # some hundred keys at most
     placed = keyed.join(groups, "grp")
-    whole = placed.where(F.col("load") <= task_shingles).select("node", F.col("grp").cast("string").alias("task"))
+    whole = placed.where(F.col("load") <= task_shingles).select("node", "grp", "n", F.array(F.col("grp").cast("string")).alias("tasks"))
     count = lambda k: F.coalesce(F.element_at("parts", k), F.lit(0))
     own = F.pmod(F.xxhash64("node"), count(F.col("key"))).cast("int")
-    cut = placed.where(F.col("load") > task_shingles).select("node", "grp", "key", "parts", own.alias("part"))
+    cut = placed.where(F.col("load") > task_shingles).select("node", "grp", "n", "key", "parts", own.alias("part"))
     level = F.floor(F.col("key") / 2).cast("int") * 2
     near = F.array(*[level + d for d in (-1, 1, 3)])  # open members of three levels
     settled = F.when(F.col("key") % 2 != 0, F.array(*[level + d for d in (-2, 0, 2)])).otherwise(F.array().cast("array<int>"))
     part = lambda k, i: F.concat_ws(".", k.cast("string"), i.cast("string"))
     pair = lambda k, i: F.concat_ws(":", F.col("grp").cast("string"), F.sort_array(F.array(part(F.col("key"), F.col("part")), part(k, i))))
     met = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count(k), F.lit(1)) - 1), lambda i: i < count(k)), lambda i: pair(k, i))
-    return whole.union(cut.select("node", F.explode(F.flatten(F.transform(F.concat(near, settled), met))).alias("task")))
+    return whole.union(cut.select("node", "grp", "n", F.flatten(F.transform(F.concat(near, settled), met)).alias("tasks")))
+
+
+def _tasks(members: DataFrame, task_shingles: int) -> DataFrame:
+    """node, n, task of every member and each of its tasks."""
+    return _placed(members, task_shingles).select("node", "n", F.explode("tasks").alias("task"))
+
+
+def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts have the shingles of each slot: never less than those of one shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            data, offsets = string_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                o = offsets[i : j + 1]
+                hashes, _ = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+                seen += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(seen[slot], pa.int64())], ["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, dtype=np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _rare_shingles(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, key: the rarest (100 - percent) / 100 of each text's shingles and one more, but for those that only it has.
+
+    In any one order of all shingles, the first shingle that a linked pair has in
+    common is among these of both texts. This order is by slot's frequency, then by hash.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            data, offsets = string_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                o = offsets[i : j + 1]
+                hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+                doc = np.repeat(np.arange(j - i), counts)
+                often = seen[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((hashes, often, doc))
+                place = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
+                rare = order[(100 * place <= (100 - percent) * counts[doc]) & (often[order] > 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(node[i:j][doc[rare]], pa.int64()), pa.array(hashes[rare].view(np.int64))], ["node", "key"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, key long")
+
+
+def _spread(members: DataFrame, docs: DataFrame, shingle: int, percent: int, task_shingles: int) -> DataFrame:
+    """node, n, task: where each member has to be compared.
+
+    A group whose pairs of parts would send its members more than ``MOST_SENT``
+    times is dealt by rare shingles instead, if that sends less: a task has the
+    members with one of some rare shingles that an open member and another one
+    share, and a task too large is cut into pairs of parts as groups are.
+    """
+    direct = _placed(members, task_shingles)
+    sent = direct.groupBy("grp").agg(F.sum("n").alias("load"), F.sum(F.col("n") * F.size("tasks")).alias("sent"))
+    costly, _ = materialise(sent.where(F.col("sent") > F.col("load") * MOST_SENT), "costly")
+    by_parts = direct.select("node", "grp", "n", F.explode("tasks").alias("task"))
+    if costly.isEmpty():
+        return by_parts.drop("grp")
+    large, _ = materialise(members.join(costly.select("grp"), "grp"), "large")
+    rare, _ = materialise(_rare_shingles(large.hint("merge").join(docs, "node"), shingle, percent).distinct(), "rare")
+    rare = rare.hint("merge").join(large, "node")
+    both = rare.groupBy("grp", "key").agg(F.count("*").alias("c"), F.bool_or(~F.col("settled")).alias("open")).where("c > 1 AND open").select("grp", "key")
+    rare, _ = materialise(rare.join(both.hint("merge"), ["grp", "key"]), "shared")
+    buckets = rare.groupBy("grp").agg(F.ceil(F.sum("n") / task_shingles).alias("buckets"))
+    bucket = F.pmod(F.xxhash64("key"), F.col("buckets"))
+    dealt = rare.join(buckets, "grp").select("node", "n", "settled", F.concat_ws("/", "grp", bucket).alias("grp")).distinct()
+    pieces, _ = materialise(_placed(dealt, task_shingles).withColumn("grp", F.substring_index("grp", "/", 1).cast("long")), "pieces")
+    less = pieces.groupBy("grp").agg(F.sum(F.col("n") * F.size("tasks")).alias("by_shingles"))
+    better = costly.join(less, "grp", "left").where(F.coalesce("by_shingles", F.lit(0)) < F.col("sent")).select("grp")
+    by_shingles = pieces.join(better, "grp", "left_semi").select("node", "n", F.explode("tasks").alias("task"))
+    return by_parts.join(better, "grp", "left_anti").select("node", "n", "task").union(by_shingles)
+
+
+def _binned(tasks: DataFrame, task_shingles: int) -> DataFrame:
+    """tasks with the bin of each: about four bins for each ``task_shingles`` that are sent, copies counted."""
+    load = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bins = max(1, math.ceil(load / task_shingles) * 4)
+    return tasks.withColumn("bin", F.pmod(F.xxhash64("task"), F.lit(bins)))
 
 
 def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -264,20 +371,21 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     # rows of one rep are equal sets or share a doc_id: one text a node is enough
     docs = documents.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
 
-    def compared(tasks: DataFrame, load: int, links, *more: str) -> DataFrame:
-        bins = max(1, math.ceil(load / task_shingles) * 4)
+    def compared(tasks: DataFrame, links, *more: str) -> DataFrame:
         # a merge join at every size: what is broadcast would grow with the input, and the plan would turn over at some size
-        dealt = tasks.hint("merge").join(docs, "node").select(F.pmod(F.xxhash64("task"), F.lit(bins)).alias("bin"), "task", "node", *more, "text")
+        dealt = _binned(tasks, task_shingles).hint("merge").join(docs, "node").select("bin", "task", "node", *more, "text")
         return dealt.groupBy("bin").applyInArrow(links(shingle, percent), "u long, v long")
 
-    load, largest = members.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    largest = members.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     if largest > task_shingles:
-        stars, _ = materialise(compared(_with_hubs(members, task_shingles), load, _hub_links, "grp"), "stars")
+        stars, _ = materialise(compared(_with_hubs(members, task_shingles), _hub_links, "grp"), "stars")
         settled = stars.select(F.col("v").alias("node")).distinct().withColumn("hit", F.lit(True))
-        marked = members.join(settled, "node", "left").withColumn("settled", F.col("hit").isNotNull() | (F.col("node") == F.col("grp")))
-        links = compared(_tasks(marked, task_shingles), load, _link_tasks).union(stars)
+        marked = members.join(settled, "node", "left").withColumn("settled", F.col("hit").isNotNull() | (F.col("node") == F.col("grp"))).drop("hit")
+        marked, _ = materialise(marked, "marked")
+        tasks, _ = materialise(_spread(marked, docs, shingle, percent, task_shingles), "tasks")
+        links = compared(tasks, _link_tasks).union(stars)
     else:
-        links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles), load, _link_tasks)
+        links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles), _link_tasks)
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
     discard(documents.sparkSession, members_path)  # the links are found and written
     named = reps.select("set_a", "set_b", "rep").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("linked", "rep").alias("component"))

@@ -1,7 +1,9 @@
 import random
 import re
 
+import pyarrow as pa
 from helpers import clashing, empty, odd
+from pyspark.sql import functions as F
 
 from quillgrid.llm import neardup
 from quillgrid.llm.components import connected_components
@@ -77,6 +79,43 @@ def test_a_large_group_of_near_copies_is_compared_with_its_hub_alone(spark):
     assert len(neardup._with_hubs(members.drop("settled"), 500).where("node = 0").collect()) == 12
 
 
+def forms(n=120, seed=4):
+    """Texts that share half of their pairs of words, some with a near copy of their own."""
+    rng = random.Random(seed)
+    form, rows = [f"f{i}" for i in range(60)], []
+    for i in range(n):
+        own = [f"o{i // 2 if i % 20 < 2 else -i}x{j}" for j in range(45 if i % 3 else 60)]
+        own[rng.randrange(len(own))] = f"u{i}"
+        rows.append((i, " ".join(form + own)))
+    return rows
+
+
+def test_open_members_of_a_form_meet_by_what_is_rare(spark):
+    rows = forms()
+    assert got(spark, rows, shingle=2, task_shingles=1000) == brute(rows, 2)
+    members = spark.createDataFrame([(d, 0, len(shingles(t, 2)), d == 0) for d, t in rows], "node long, grp long, n long, settled boolean")
+    load = members.agg({"n": "sum"}).first()[0]
+    sent = lambda tasks: tasks.agg({"n": "sum"}).first()[0]
+    docs = spark.createDataFrame(rows, DOC).withColumnRenamed("doc_id", "node")
+    assert sent(neardup._tasks(members, 1000)) > 5 * load
+    assert (sent(neardup._spread(members, docs, 2, 80, 1000)) or 0) < load
+
+
+def test_bins_hold_a_task_or_two_however_large_the_group(spark):
+    members = spark.createDataFrame([(i, 0, 100, False) for i in range(600)], "node long, grp long, n long, settled boolean")
+    loads = [r.load for r in neardup._binned(neardup._tasks(members, 1000), 1000).groupBy("bin").agg(F.sum("n").alias("load")).collect()]
+    assert sum(loads) > 40 * 60_000 and max(loads) < 15_000  # bins by the members' own load: over 15,000 on the mean
+
+
+def test_a_task_is_hashed_by_itself(monkeypatch):
+    calls, plain = [], neardup.shingle_sets
+    monkeypatch.setattr(neardup, "shingle_sets", lambda data, offsets, k: calls.append(len(offsets) - 1) or plain(data, offsets, k))
+    rows = [("a", 1, "x y z"), ("b", 2, "q r"), ("a", 3, "x y z"), ("b", 4, "s t"), ("b", 5, "q r")]
+    table = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("task", "node", "text"))})
+    links = neardup._link_tasks(2, 80)(table).to_pylist()
+    assert calls == [2, 3] and {frozenset(x.values()) for x in links} == {frozenset((1, 3)), frozenset((2, 5))}
+
+
 def test_five_word_shingles(spark):
     rows = corpus(80, 7)
     assert got(spark, rows) == brute(rows, 5)
