@@ -425,12 +425,22 @@ def slugify(spark, d):
     return _documents(spark, d, strings.slug(F.left("text", F.lit(40))).alias("slug"))
 
 
+@_query("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+def slugify_whole(spark, d):
+    return _documents(spark, d, strings.slug(F.col("text")).alias("slug"))
+
+
 @_query("SELECT c_custkey, CASE WHEN length(left(c_name, n)) > 9 THEN left(left(c_name, n), 3) || '...' || right(left(c_name, n), 4) ELSE left(c_name, n) END AS masked FROM (SELECT *, CAST(c_custkey % 15 AS INTEGER) AS n FROM customer)")
 def mask_secret(spark, d):
     name = F.left("c_name", (F.col("c_custkey") % 15).cast("int"))
     return tables.table(spark, d, "customer").select("c_custkey", strings.mask_secret(name).alias("masked"))
 
 
+@_query("SELECT c_custkey, CASE WHEN length(c_name) > 9 THEN left(c_name, 3) || '...' || right(c_name, 4) ELSE c_name END AS masked FROM customer")
+def mask_secret_whole(spark, d):
+    return tables.table(spark, d, "customer").select("c_custkey", strings.mask_secret(F.col("c_name")).alias("masked"))
+
+
 @_query("""
 SELECT p_partkey, array_to_string(list_transform(string_split(replace(p_type, '_', ' '), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS title FROM (
   SELECT p_partkey, lower(replace(p_name || ' ' || p_type, ' ', '_')) AS p_type FROM part)""")
@@ -444,6 +454,11 @@ def sanitize_filename(spark, d):
     return _documents(spark, d, strings.file_name(F.left("text", F.lit(160))).alias("name"))
 
 
+@_query("""SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[<>:"/|?*\\\\]', '-', 'g'), '\\s+', ' ', 'g')), 100) AS name FROM documents""")
+def sanitize_filename_whole(spark, d):
+    return _documents(spark, d, strings.file_name(F.col("text")).alias("name"))
+
+
 @_query("SELECT event_id, 'Chat ' || strftime(ts, '%Y-%m-%d %H-%M-%S') AS thread_id FROM events")
 def thread_id_format(spark, d):
     return _events(spark, d).select("event_id", dates.thread_id(F.lit("Chat"), F.col("ts")).alias("thread_id"))
@@ -472,10 +487,19 @@ def names_and_keys(spark, d):
 @_query("""SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN left(text, 20) || left(text, 5) ELSE left(text, 20) END AS text FROM conversations WHERE turn % 5 <> 4""")
 def message_normalization(spark, d):
     """Turns in the four serialized shapes, back to roles and texts; those of an unknown type drop out."""
-    m, t = F.col("turn") % 5, F.left("text", F.lit(20))
+    return _normalized(spark, d, F.left("text", F.lit(20)), F.left("text", F.lit(5)))
+
+
+@_query("""SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN text || text ELSE text END AS text FROM conversations WHERE turn % 5 <> 4""")
+def message_normalization_whole(spark, d):
+    return _normalized(spark, d, F.col("text"), F.col("text"))
+
+
+def _normalized(spark, d, t, second):
+    m = F.col("turn") % 5
     plain = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "ai").otherwise(F.col("role"))
     kind = F.when(F.col("role") == "user", "HumanMessage").when(F.col("role") == "assistant", "AIMessage").otherwise("SystemMessage")
-    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), t.alias("text")), F.struct(F.lit("text").alias("type"), F.left("text", F.lit(5)).alias("text"))))
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), t.alias("text")), F.struct(F.lit("text").alias("type"), second.alias("text"))))
     content = F.when(F.col("turn") % 4 == 3, blocks).otherwise(F.regexp_extract(F.to_json(F.struct(t.alias("c"))), r'^\{"c":([\s\S]*)\}$', 1))
     raw = (
         F.when(m == 0, F.concat(F.lit('{"id":["core","'), kind, F.lit('"],"kwargs":{"content":'), content, F.lit("}}")))
@@ -732,6 +756,11 @@ def title_cleanup(spark, d):
     return _documents(spark, d, strings.clean_title(F.concat(F.lit('"'), F.left("text", F.lit(30)), F.lit("'"))).alias("title"))
 
 
+@_query("SELECT doc_id, trim(text, ' \t\n\r') AS title FROM documents")
+def title_cleanup_whole(spark, d):
+    return _documents(spark, d, strings.clean_title(F.concat(F.lit('"'), F.col("text"), F.lit("'"))).alias("title"))
+
+
 @_query("SELECT o_orderkey, CAST(floor(o_totalprice / 60) AS BIGINT) || ' min ' || (CAST(floor(o_totalprice) AS BIGINT) % 60) || ' sec' AS left_, CAST(least(round(o_totalprice / 1000), 100) AS BIGINT) AS percent FROM orders")
 def time_and_percent(spark, d):
     price = F.col("o_totalprice")
@@ -747,7 +776,7 @@ def wiki_links(spark, d):
 @_query(None)
 def command_arguments(spark, d):
     """Pandas UDF with a state machine; tests hold it against a scan by character."""
-    return _documents(spark, d, scripts.arguments(F.left("text", F.lit(80))).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.array_join("a", "|").alias("joined"))
+    return _documents(spark, d, scripts.arguments(F.col("text")).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.array_join("a", "|").alias("joined"))
 
 
 @_query(None)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quillgrid.functions import scripts
 from quillgrid.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,3 +32,15 @@ def test_query(spark, duck, name):
     if name in ORACLE_SQL:
         want = duck.execute(ORACLE_SQL[name])
         assert got == rows([c[0] for c in want.description], want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are elsewhere")
+def test_whole_texts_reach_the_operators(spark, duck):
+    texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert max(map(len, texts.values())) > 160
+    for r in QUERIES["command_arguments"](spark, FOLDER).collect():
+        want = scripts.split_arguments(texts[r.doc_id])
+        assert (r.n, r.joined) == (len(want), "|".join(want))
+    whole = {"slugify_whole": "slug", "title_cleanup_whole": "title", "message_normalization_whole": "text"}
+    for name, column in whole.items():
+        assert max(len(r[column]) for r in QUERIES[name](spark, FOLDER).collect()) > 160
