@@ -7,15 +7,16 @@ lengths, log length). Thresholds stay ordered because they are learned as a
 first value and positive gaps.
 
 ``fit`` learns from a bounded sample of rated rows: at most ``MOST_PER_GRADE``
-of each grade, the first by a hash of doc_id, of at most ``MOST_CHARS``
-characters, weighted to the shares of all rated rows. ``rate`` scores every
+of each grade that are in ``documents``, whole, the first by a hash of doc_id that
+fit a bound of characters (``samples.draw``), weighted to the shares of all rated rows. ``rate`` scores every
 whole text and returns the expected grade and the tail probability of reaching a
 chosen grade, for selection.
 
 Defined results: null and empty texts have no words and the score of that;
 several ratings of one document count as their least; without ratings of at
 least two grades the expected grade is that grade (0 if none) and the tail
-probability 0 or 1 accordingly; repeated rows agree; an empty table gives no
+probability 0 or 1 accordingly; if rated documents that are there have fewer than
+two grades, every text has the shares of the ratings; repeated rows agree; an empty table gives no
 rows; other columns are ignored by ``rate`` and kept by ``select``.
 """
 
@@ -30,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.hashing import slices, string_bytes, word_hashes
+from quillgrid.llm.samples import draw
 
 MOST_PER_GRADE = 1200
-MOST_CHARS = 20_000
 BUCKETS = 1 << 17
 MEASURES = 10
 
@@ -140,13 +141,14 @@ def fit(documents: DataFrame, ratings: DataFrame, grade: Column, grades: int, id
     if len(share) < 2:
         model.first = 30.0 if max(share, default=0) == 0 else -30.0
         return model
-    picked = None
-    for y in sorted(share):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_PER_GRADE)
-        picked = part if picked is None else picked.union(part)
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= MOST_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(MOST_PER_GRADE * grades).toArrow()
+    rows = draw(documents, known, {y: MOST_PER_GRADE for y in share}, id_col, text_col)
     y = rows.column("y").to_numpy().astype(int)
+    if len(set(y.tolist())) < 2:
+        tail = np.array([sum(n for g, n in share.items() if g > k) for k in range(grades - 1)]) / sum(share.values())
+        tail = np.clip(tail, 1e-9, 1 - 1e-9)
+        edges = np.log((1 - tail) / tail)
+        model.first, model.gaps = float(edges[0]), np.log(np.maximum(np.diff(edges), 1e-6))
+        return model
     data, offsets = string_bytes(rows.column("text"))
     parts = [read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets)]  # 1 MB at a time
     x = tuple(np.concatenate(column) for column in zip(*parts, strict=True))

@@ -6,8 +6,8 @@ its prefixes of 4 to 8 bytes, hashed to shared weights, and a bias; two-state
 transitions join neighbours.
 
 Training (``fit``) takes a bounded sample: at most ``MOST_TOXIC`` toxic and
-``MOST_PLAIN`` plain labelled documents of at most ``MOST_CHARS`` characters,
-the first by a hash of doc_id. Labels are given by document, so the tokens of
+``MOST_PLAIN`` plain labelled documents, whole, the first by a hash of doc_id that
+fit a bound of characters (``samples.draw``). Labels are given by document, so the tokens of
 plain documents are labelled plain, and those tokens of toxic documents toxic
 that have a feature which toxic documents show far oftener than plain ones.
 Seven tenths of the sample train the weights by maximum likelihood
@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.hashing import _BYTE_TABLE, _LOWER, _NOT_ALNUM, _R, sequence_prefix, slices, string_bytes, window_hash, word_spans
+from quillgrid.llm.samples import draw
 
 MOST_TOXIC = 800
 MOST_PLAIN = 2400
-MOST_CHARS = 20_000
 THRESHOLD = 0.3
 SPAN_FROM = 0.5
 
@@ -219,9 +219,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if len(share) < 2:
         model.constant = float(bool(share.get(1)))
         return model
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= MOST_CHARS)
-    sampled = known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TOXIC).union(known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_PLAIN))
-    rows = texts.join(F.broadcast(sampled), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(MOST_TOXIC + MOST_PLAIN).toArrow()
+    rows = draw(documents, known, {0: MOST_PLAIN, 1: MOST_TOXIC}, id_col, text_col)
     y = rows.column("y").to_numpy().astype(int)
     if len(set(y.tolist())) < 2:
         model.constant = share[1] / sum(share.values())

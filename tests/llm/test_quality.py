@@ -67,3 +67,16 @@ def test_odd_rows(spark):
     assert quality.select(clashing(odd(spark)), model).columns == clashing(odd(spark)).columns
     none = quality.fit(d, spark.createDataFrame([], RATE), F.col("stars"), 4)
     assert max(x.tail_probability for x in quality.rate(odd(spark), none).collect()) < 1e-6
+
+
+def test_long_and_absent_documents_leave_a_sample(spark):
+    docs, ratings = corpus(100)
+    d, r = spark.createDataFrame([(i, t + " and" * 6000) for i, t in docs], DOC), spark.createDataFrame(ratings, RATE)
+    model = quality.fit(d, r, F.col("stars"), 4)
+    rows = quality.rate(d, model).collect()
+    assert np.corrcoef([x.expected_grade for x in rows], [ratings[x.doc_id][1] for x in rows])[0, 1] > 0.5
+    for none in (empty(spark), d.where("doc_id < 0")):
+        alone = quality.fit(none, r, F.col("stars"), 4)
+        assert (np.diff(alone.thresholds()) > 0).all()
+        share = np.mean([y for _, y in ratings])
+        assert all(abs(x.expected_grade - share) < 1e-3 for x in quality.rate(d, alone).collect())

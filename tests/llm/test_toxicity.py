@@ -91,3 +91,15 @@ def test_odd_rows(spark):
     none = toxicity.fit(d, spark.createDataFrame([], LABEL))
     assert {r.score for r in toxicity.score(odd(spark), none).collect()} == {0.0}
     assert toxicity.reject(clashing(odd(spark)), none).columns == clashing(odd(spark)).columns
+
+
+def test_long_and_absent_documents_leave_a_sample(spark):
+    docs, labels = corpus(200, 7)
+    filler = " plain" * 4000
+    d = spark.createDataFrame([(i, t + filler) for i, t in docs], DOC)
+    absent = [(10_000 + i, 1, i % 2) for i in range(8000)]
+    model = toxicity.fit(d, spark.createDataFrame(labels + absent, LABEL))
+    assert model.constant is None and np.abs(model.weights).sum() > 4
+    scores = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
+    mean = lambda y: np.mean([scores[i] for i, _, toxic in labels if toxic == y])
+    assert mean(1) > mean(0) + 0.2
