@@ -378,6 +378,12 @@ def configured_first_sort(spark, d):
     return catalog.configured_first(rows, "doc_id").limit(50)
 
 
+@_query("SELECT doc_id, doc_id % 3 = 0 AS is_configured FROM documents ORDER BY is_configured DESC, doc_id")
+def configured_first_whole(spark, d):
+    rows = tables.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3 == 0).alias("is_configured"))
+    return catalog.configured_first(rows, "doc_id")
+
+
 @_query("SELECT lang AS grp, count(*) AS n, min(doc_id) AS first_seen, row_number() OVER (ORDER BY min(doc_id)) AS place FROM documents GROUP BY lang")
 def grouped_options(spark, d):
     return catalog.grouped(tables.table(spark, d, "documents"), "lang", "doc_id")

@@ -44,3 +44,10 @@ def test_whole_texts_reach_the_operators(spark, duck):
     whole = {"slugify_whole": "slug", "title_cleanup_whole": "title", "message_normalization_whole": "text"}
     for name, column in whole.items():
         assert max(len(r[column]) for r in QUERIES[name](spark, FOLDER).collect()) > 160
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are elsewhere")
+def test_unconfigured_rows_follow_the_configured(spark, duck):
+    got = [tuple(r) for r in QUERIES["configured_first_whole"](spark, FOLDER).collect()]
+    assert got == duck.execute(ORACLE_SQL["configured_first_whole"]).fetchall()
+    assert not got[-1][1] and len(got) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
