@@ -5,15 +5,19 @@ maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D), which is
 the word class ``[^\\x20\\x09-\\x0D]+`` on code points, because no byte of a
 multi-byte UTF-8 character falls in the ASCII range.
 
-Hashes are polynomials modulo 2**64 over a fixed random byte table, finished by
-a bijective mixer, so equal words and equal word sequences hash alike in every
-task, on every executor and at every position.
+``word_hashes`` serves features, where unequal words may share a bucket: it is a
+polynomial modulo 2**64 over a fixed random byte table, finished by a bijective
+mixer. Where equality matters, ``coded_words`` numbers the distinct words of a
+batch by their bytes, so equal numbers are equal words, and gives each distinct
+word two independent 64-bit hashes (XXH3, 128 bits) to be known by in other
+tasks. All hashes are the same in every task and on every executor.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BYTE_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = 0x9E3779B97F4A7C15
@@ -112,3 +116,43 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     starts, ends, counts = word_spans(data, offsets)
     prefix = sequence_prefix(_BYTE_TABLE[data], _R)
     return window_hash(prefix, starts, ends, _R), starts, ends, counts
+
+
+def coded_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each word, the two hashes of each number, byte start and end of each word, and the words of each row.
+
+    Words have equal numbers if and only if their bytes are equal.
+    """
+    if lower:
+        data = _LOWER[data]
+    starts, ends, counts = word_spans(data, offsets, breaks)
+    ends_packed = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    packed = np.ascontiguousarray(data[~breaks[data]])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends_packed), pa.py_buffer(packed)]).dictionary_encode()
+    digests = b"".join(map(xxhash.xxh3_128_digest, words.dictionary.to_pylist()))
+    return words.indices.to_numpy(), np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2), starts, ends, counts
+
+
+def gram_hashes(values: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """Hash of values[p : p + k] for every p, by doubling; mixed at every step, so no algebra carries through."""
+    join = lambda a, b: mix(a * np.uint64(_R) + b * np.uint64(_Q1), salt)
+    n = len(values) - k + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    out, done, power, width = None, 0, values, 1
+    while True:
+        if k & width:
+            out = power if out is None else join(out[: len(power) - done], power[done:])
+            done += width
+        if done == k:
+            return out[:n]
+        power, width = join(power[:-width], power[width:]), width * 2
+
+
+def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A number of codes[p : p + k] for every p; numbers are equal if and only if the codes are."""
+    out = codes.astype(np.int64)
+    for i in range(1, k):
+        pairs = out[: len(codes) - i] * (int(codes.max(initial=0)) + 1) + codes[i:]
+        out = pa.array(pairs).dictionary_encode().indices.to_numpy().astype(np.int64)
+    return out[: max(0, len(codes) - k + 1)]

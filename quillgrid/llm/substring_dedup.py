@@ -7,30 +7,37 @@ the same document and an earlier start).
 Method. Word positions are taken modulo 13; {0, 1, 3, 9} is a difference cover
 of 13, so any two equal 20-word windows, however they are aligned, have an equal
 anchor of 8 words at one common shift below 13 where both positions fall in the
-cover. Only anchors at cover positions are hashed and shuffled. A window goes on
-to the second step, where all its 20 words are compared, only if one of its
-anchors occurs twice.
+cover. Only anchors at cover positions are hashed and compared. An anchor that
+occurs once settles that it belongs to no repeat; one that occurs again is
+extended to the windows that hold it, up to 12 words left and right. Hashes only
+nominate: a window is removed if all its 20 words equal those of an earlier
+one, word by word (``earlier_windows``), within a block and between blocks.
 
-How it runs. Documents are dealt once, by the hash of doc_id, to blocks of about
-4 MB of text; every step below reads that one exchange. Beyond 4 GB of text
-blocks and buckets grow with the square root of the whole, up to 16 times (at
-1 TB), so that a block has many hashes for each bucket and they travel packed.
+How it runs. Documents are dealt once, by the hash of doc_id and text, to blocks
+of about 4 MB of text; every step below reads that one exchange. Beyond 4 GB of
+text blocks and buckets grow with the square root of the whole, up to 16 times
+(at 1 TB), so that a block has many hashes for each bucket and they travel packed.
 
 1. Each block sends its distinct anchor hashes to buckets by hash; a bucket
    answers each block with the hashes that another block has too.
-2. Each block sends its distinct candidate windows (96-bit hashes) with the
-   smallest doc_id that has them; a bucket answers with those that start in an
-   earlier document of another block.
-3. Each block removes the words that such windows, and windows that repeat
-   within the block, cover.
-
-A block names a hash once, however often it occurs there, so a passage that a
-third of all documents share costs each bucket one entry a block. No step holds
-more than a block or a bucket, and both are sized by the whole input.
+2. Each block sends the windows that such anchors extend to, but for those that
+   repeat an earlier one of the block: 96 bits of hash and the place in the order
+   of documents. A bucket chains equal hashes in that order and asks the block
+   of each link's earlier end to show its words to the block of the later end.
+3. Each block sends those words, runs of windows at a time.
+4. Each block puts the words it was shown before its own documents, and removes
+   what windows that start earlier among all these, word by word, cover.
+
+A block names a hash once, however often it occurs there, and shows a window to
+one other block, so a passage that a third of all documents share costs each
+bucket one entry a block and each block one copy of the passage. No step holds
+more than a block, what it is shown (at most its own size) or a bucket, and
+these are sized by the whole input.
 
 Defined results: null and empty texts have no words and keep an empty text;
 documents of fewer than 20 words lose nothing; rows with a null doc_id come
-after all others, rows that share a doc_id are ordered by their text; an empty
+after all others, rows that share a doc_id are ordered by a hash of their text;
+doc_id is a whole number; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -41,11 +48,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.hashing import _Q1, _Q2, sequence_prefix, slices, string_bytes, window_hash, word_hashes
+from quillgrid.llm.hashing import coded_words, gram_hashes, string_bytes
 
 WINDOW = 20
 PERIOD = 13
@@ -57,42 +63,73 @@ GROW_FROM, GROW_MOST = 4 << 30, 16
 
 _LOW48 = np.uint64((1 << 48) - 1)
 _LAST = np.iinfo(np.int64).max
+_COVERED = np.isin(np.arange(PERIOD), COVER)
+
 
+class _Words:
+    """Sequences of words, in their order: a number, its two hashes, and the place of each word."""
 
-class _Block:
-    """The words of a block's documents in order of doc_id, then text."""
-
-    def __init__(self, table: pa.Table):
-        ids = table.column("doc_id").combine_chunks()
-        order = pc.sort_indices(pa.table({"d": ids, "t": pc.fill_null(table.column("text"), "")}), sort_keys=[("d", "ascending"), ("t", "ascending")])
-        self.ids = ids.take(order)
-        self.texts = table.column("text").combine_chunks().cast(pa.large_string()).take(order)
-        self.id_values = self.ids.fill_null(_LAST).to_numpy()
-        data, offsets = string_bytes(self.texts)
-        parts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, j in slices(offsets):
-            o = offsets[i : j + 1]
-            h, _, _, n = word_hashes(data[o[0] : o[-1]], o - o[0])
-            parts.append(h)
-            counts.append(n)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        self.words, self.counts = np.concatenate(parts), np.concatenate(counts)
+        self.code, self.lanes, self.starts, self.ends, self.counts = coded_words(data, offsets)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.position = np.arange(len(self.words)) - self.first[self.doc]
-        self.left = self.counts[self.doc] - self.position
-        self.prefix = sequence_prefix(self.words, _Q1)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each anchor at a cover position of a document long enough to have a window."""
-        cover = np.zeros(PERIOD, dtype=bool)
-        cover[list(COVER)] = True
-        starts = np.flatnonzero((self.left >= ANCHOR) & cover[self.position % PERIOD] & (self.counts[self.doc] >= WINDOW))
-        return starts, window_hash(self.prefix, starts, starts + ANCHOR, _Q1)
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        self.sequence = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        self.position = (np.arange(len(self.code)) - self.first[self.sequence]).astype(np.int32)
+        self.left = self.counts[self.sequence].astype(np.int32) - self.position
+
+    def hashed(self, lane: int) -> np.ndarray:
+        return self.lanes[self.code, lane] if len(self.code) else np.zeros(0, np.uint64)
+
+    def anchors(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of each anchor at a cover position of a sequence long enough to have a window."""
+        starts = np.flatnonzero((self.left >= ANCHOR) & _COVERED[self.position % PERIOD] & (self.left + self.position >= WINDOW))
+        return starts, gram_hashes(hashes, ANCHOR)[starts]
+
+    def extended(self, anchors: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold one of these anchors at a shift below ``PERIOD``."""
+        upto = np.zeros(len(self.code) + PERIOD + 1, dtype=np.int32)
+        upto[anchors + 1] = 1
+        np.cumsum(upto, out=upto)
         starts = np.flatnonzero(self.left >= WINDOW)
-        return starts, window_hash(self.prefix, starts, starts + WINDOW, _Q1)
+        return starts[upto[starts + PERIOD] > upto[starts]]
+
+
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    """Which of these occur more than once."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    out = np.zeros(len(hashes), dtype=bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def earlier_windows(words: _Words, hashes: np.ndarray) -> np.ndarray:
+    """Starts of the windows whose 20 words also start earlier, found through anchors, decided word by word."""
+    anchors, h = words.anchors(hashes)
+    starts = words.extended(anchors[_repeated(h)])
+    key = gram_hashes(hashes, WINDOW)[starts]
+    twice = _repeated(key)
+    starts, key = starts[twice], key[twice]
+    late, todo = np.zeros(len(starts), dtype=bool), np.arange(len(starts))
+    while len(todo):
+        order = todo[np.argsort(key[todo], kind="stable")]
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        alike = np.ones(len(order), dtype=bool)
+        for i in range(WINDOW):
+            alike &= words.code[starts[order] + i] == words.code[starts[head] + i]
+        late[order] = alike & ~new
+        todo = np.sort(order[~alike])  # equal hashes of unequal words are compared again among themselves
+    return starts[late]
+
+
+def _block(table: pa.Table) -> tuple[pa.ChunkedArray, np.ndarray, _Words]:
+    """Row numbers, their place in the order of documents, and the words of a block, in that order."""
+    table = table.select(["row", "place", "tie", "text"]).sort_by([("place", "ascending"), ("tie", "ascending")])
+    place = table.column("place").combine_chunks().fill_null(_LAST).to_numpy()
+    order = np.stack([place, table.column("tie").to_numpy()], 1)
+    return table.column("row"), order, _Words(*string_bytes(table.column("text")))
 
 
 def _pack48(h: np.ndarray) -> bytes:
@@ -105,13 +142,19 @@ def _unpack48(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _by_bucket(h: np.ndarray, n: int):
-    """Bucket number and the indices of its hashes, in their order, for each bucket that has some."""
-    bucket = ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    present, edges = np.unique(bucket[order], return_index=True)
-    for b, at in zip(present.tolist(), np.split(order, edges[1:]), strict=False):
-        yield b, at
+def _groups(key: np.ndarray):
+    """Each key and the indices that have it, in their order."""
+    order = np.argsort(key, kind="stable")
+    present, edges = np.unique(key[order], return_index=True)
+    yield from zip(present.tolist(), np.split(order, edges[1:]), strict=False)
+
+
+def _buckets(h: np.ndarray, n: int):
+    return _groups(((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64))
+
+
+def _joined(packs: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(packs), dtype=kind)
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -120,98 +163,114 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())])
 _ANSWER_ROWS = pa.schema([("block", pa.int32()), ("hashes", pa.binary())])
-_WINDOW_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary()), ("runs", pa.binary())])
-_RESULT_ROWS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+_WINDOW_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary()), ("runs", pa.binary())])
+_ASKED_ROWS = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("to", pa.binary())])
+_SHOWN_ROWS = pa.schema([("block", pa.int32()), ("words", pa.binary())])
+_ddl = lambda schema: ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
 
 def _send_anchors(n_buckets: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        h = np.unique(_Block(docs).anchors()[1])
-        return _table(_ANCHOR_ROWS, [(b, key[0].as_py(), _pack48(h[at])) for b, at in _by_bucket(h, n_buckets)])
+        words = _block(docs)[2]
+        h = np.unique(words.anchors(words.hashed(0))[1])
+        return _table(_ANCHOR_ROWS, [(b, key[0].as_py(), _pack48(h[at])) for b, at in _buckets(h, n_buckets)])
 
     return run
 
 
 def _answer_anchors(rows: pa.Table) -> pa.Table:
     packs = [_unpack48(x) for x in rows.column("hashes").to_pylist()]
-    every = np.concatenate(packs)
-    ordered = np.sort(every)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    out = []
-    for block, pack in zip(rows.column("block").to_pylist(), packs, strict=True):
-        at = np.searchsorted(twice, pack)
-        at[at == len(twice)] = 0
-        mine = pack[twice[at] == pack] if len(twice) else pack[:0]
-        if len(mine):
-            out.append((block, _pack48(mine)))
-    return _table(_ANSWER_ROWS, out)
+    every = np.sort(np.concatenate(packs))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    answers = [(block, pack[np.isin(pack, twice)]) for block, pack in zip(rows.column("block").to_pylist(), packs, strict=True)]
+    return _table(_ANSWER_ROWS, [(block, _pack48(mine)) for block, mine in answers if len(mine)])
 
 
 def _send_windows(n_buckets: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(docs)
-        starts, h = block.anchors()
-        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        known = np.concatenate([np.zeros(0, np.uint64), *map(_unpack48, answers.column("hashes").to_pylist())])
-        repeated = (times[back] > 1) | np.isin(h & _LOW48, known)
-        seen = np.zeros(len(block.words) + PERIOD + 1, dtype=np.int64)
-        seen[starts[repeated] + 1] = 1
-        np.cumsum(seen, out=seen)
-        starts, h = block.windows()
-        some = seen[starts + PERIOD] > seen[starts]
-        starts, h = starts[some], h[some]
-        _, first = np.unique(h, return_index=True)
-        first.sort()  # by doc_id, then position
-        starts, h = starts[first], h[first]
-        check = (window_hash(sequence_prefix(block.words, _Q2), starts, starts + WINDOW, _Q2, 1) >> np.uint64(32)).astype(np.uint32)
-        ids = block.id_values[block.doc[starts]]
-        out = []
-        for b, at in _by_bucket(h, n_buckets):
-            mine = ids[at]
+        _, order, words = _block(docs)
+        hashes = words.hashed(0)
+        anchors, h = words.anchors(hashes)
+        known = _unpack48(b"".join(answers.column("hashes").to_pylist()))
+        starts = np.setdiff1d(words.extended(anchors[np.isin(h & _LOW48, known)]), earlier_windows(words, hashes), assume_unique=True)
+        h, check = gram_hashes(hashes, WINDOW)[starts], (gram_hashes(words.hashed(1), WINDOW)[starts] >> np.uint64(32)).astype(np.uint32)
+        of, out = words.sequence[starts], []
+        for b, at in _buckets(h, n_buckets):
+            mine = of[at]
             runs = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             lengths = np.diff(np.concatenate([runs, [len(mine)]])).astype(np.uint32)
-            out.append((b, key[0].as_py(), h[at].tobytes(), check[at].tobytes(), mine[runs].tobytes(), lengths.tobytes()))
+            out.append((b, key[0].as_py(), h[at].tobytes(), check[at].tobytes(), order[mine[runs]].tobytes(), lengths.tobytes()))
         return _table(_WINDOW_ROWS, out)
 
     return run
 
 
-def _answer_windows(rows: pa.Table) -> pa.Table:
-    read = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in rows.column(name).to_pylist()]
-    packs, checks = read("hashes", np.uint64), np.concatenate(read("checks", np.uint32))
-    ids = np.concatenate([np.repeat(i, n) for i, n in zip(read("ids", np.int64), read("runs", np.uint32), strict=True)])
-    every = np.concatenate(packs)
-    order = np.lexsort((ids, checks, every))
-    same = np.concatenate([[False], (every[order][1:] == every[order][:-1]) & (checks[order][1:] == checks[order][:-1])])
-    late = np.zeros(len(every), dtype=bool)
-    late[order] = same  # all but the first of equal windows
-    out, upto = [], 0
-    for block, pack in zip(rows.column("block").to_pylist(), packs, strict=True):
-        mine = pack[late[upto : upto + len(pack)]]
-        upto += len(pack)
-        if len(mine):
-            out.append((block, mine.tobytes()))
-    return _table(_ANSWER_ROWS, out)
-
-
-def _cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-    block = _Block(docs)
-    starts, h = block.windows()
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    late = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, dtype=np.uint64) for x in answers.column("hashes").to_pylist())])
-    gone = starts[(first[back] != np.arange(len(h))) | np.isin(h, late)]
-    step = np.zeros(len(block.words) + 1, dtype=np.int64)
+def _chain_windows(rows: pa.Table) -> pa.Table:
+    """For each window but the last of equal ones: its block is to show it to the block of the next one."""
+    packs = {c: rows.column(c).to_pylist() for c in ("hashes", "checks", "places", "runs")}
+    h, check = _joined(packs["hashes"], np.uint64), _joined(packs["checks"], np.uint32)
+    place = np.repeat(_joined(packs["places"], np.int64).reshape(-1, 2), _joined(packs["runs"], np.uint32), axis=0)
+    block = np.repeat(rows.column("block").to_numpy(), [len(x) // 8 for x in packs["hashes"]]).astype(np.int32)
+    order = np.lexsort((place[:, 1], place[:, 0], check, h))
+    a, b = order[:-1], order[1:]
+    linked = (h[a] == h[b]) & (check[a] == check[b]) & (block[a] != block[b])
+    a, b = a[linked], b[linked]
+    return _table(_ASKED_ROWS, [(source, h[a[at]].tobytes(), block[b[at]].tobytes()) for source, at in _groups(block[a])])
+
+
+def _runs_of_words(words: _Words, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Bytes of runs of words: a space after each word, a line feed after the last of a run."""
+    upto = np.cumsum(lengths)
+    word = np.arange(upto[-1]) + np.repeat(starts - (upto - lengths), lengths)
+    size = words.ends[word] - words.starts[word] + 1
+    after = np.cumsum(size)
+    source = np.arange(after[-1]) + np.repeat(words.starts[word] - (after - size), size)
+    out = words.data[np.minimum(source, len(words.data) - 1)]
+    out[after - 1] = 0x20
+    out[after[upto - 1] - 1] = 0x0A
+    return out
+
+
+def _show_words(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    if not asked.num_rows or not docs.num_rows:
+        return _table(_SHOWN_ROWS, [])
+    words = _block(docs)[2]
+    h, to = _joined(asked.column("hashes").to_pylist(), np.uint64), _joined(asked.column("to").to_pylist(), np.int32)
+    starts = np.flatnonzero(words.left >= WINDOW)
+    mine = gram_hashes(words.hashed(0), WINDOW)[starts]
+    wanted = np.isin(mine, h)
+    starts, mine = starts[wanted], mine[wanted]
+    mine, first = np.unique(mine, return_index=True)  # the first window of the block with a hash was sent
+    out, at = [], starts[first[np.searchsorted(mine, h)]]
+    for block, i in _groups(to):
+        run = np.sort(at[i])
+        new = np.flatnonzero(np.concatenate([[True], np.diff(run) != 1]))
+        lengths = np.diff(np.concatenate([new, [len(run)]])) + WINDOW - 1
+        out.append((block, _runs_of_words(words, run[new], lengths).tobytes()))
+    return _table(_SHOWN_ROWS, out)
+
+
+def _cut(docs: pa.Table, shown: pa.Table) -> pa.Table:
+    row, _, words = _block(docs)
+    data, offsets, counts, first = words.data, words.offsets, words.counts, words.first
+    before = _joined(shown.column("words").to_pylist(), np.uint8)
+    upto = 0
+    if len(before):
+        lines = np.concatenate([[0], np.flatnonzero(before == 0x0A) + 1])
+        words = _Words(np.concatenate([before, data]), np.concatenate([lines[:-1], offsets + len(before)]))
+        upto = int(words.first[len(lines) - 1])
+    gone = earlier_windows(words, words.hashed(0)) - upto
+    gone = gone[gone >= 0]
+    step = np.zeros(int(first[-1]) + 1, dtype=np.int64)
     np.add.at(step, gone, 1)
     np.add.at(step, gone + WINDOW, -1)
     removed = np.cumsum(step)[:-1] > 0
-    upto = np.concatenate([[0], np.cumsum(removed)])
-    n_removed = upto[block.first[1:]] - upto[block.first[:-1]]
-    raw, kept = block.data.tobytes(), []
+    n_removed = np.diff(np.concatenate([[0], np.cumsum(removed)])[first])
+    raw, kept = data.tobytes(), []
     for i, n in enumerate(n_removed):
-        words = raw[block.offsets[i] : block.offsets[i + 1]].split()
-        kept.append(b" ".join(words if not n else compress(words, (~removed[block.first[i] : block.first[i + 1]]).tolist())))
-    arrays = [block.ids, pa.array(block.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-    return pa.Table.from_arrays(arrays, schema=_RESULT_ROWS)
+        mine = raw[offsets[i] : offsets[i + 1]].split()
+        kept.append(b" ".join(mine if not n else compress(mine, (~removed[first[i] : first[i + 1]]).tolist())))
+    return pa.table({"row": row, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -223,10 +282,13 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a cover position takes 6 bytes, a candidate window about 14, of some 6.5 bytes of text
     anchor_buckets = max(1, math.ceil(total * len(COVER) / PERIOD * 6 / 6.5 / bucket_bytes))
     window_buckets = max(1, math.ceil(total * 14 / 6.5 / 3 / bucket_bytes))
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias("block")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), block)
-    anchors = docs.groupBy("block").applyInArrow(_send_anchors(anchor_buckets), "bucket int, block int, hashes binary")
-    repeated = anchors.groupBy("bucket").applyInArrow(_answer_anchors, "block int, hashes binary")
-    windows = docs.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_windows(window_buckets), "bucket int, block int, hashes binary, checks binary, ids binary, runs binary")
-    late = windows.groupBy("bucket").applyInArrow(_answer_windows, "block int, hashes binary")
-    return docs.groupBy("block").cogroup(late.groupBy("block")).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block")
+    ids = F.col(id_col)
+    docs = documents.select(ids.alias("row"), ids.cast("long").alias("place"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), block)
+    anchors = docs.groupBy("block").applyInArrow(_send_anchors(anchor_buckets), _ddl(_ANCHOR_ROWS))
+    repeated = anchors.groupBy("bucket").applyInArrow(_answer_anchors, _ddl(_ANSWER_ROWS))
+    windows = docs.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_windows(window_buckets), _ddl(_WINDOW_ROWS))
+    asked = windows.groupBy("bucket").applyInArrow(_chain_windows, _ddl(_ASKED_ROWS))
+    shown = docs.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_show_words, _ddl(_SHOWN_ROWS))
+    out = docs.groupBy("block").cogroup(shown.groupBy("block")).applyInArrow(_cut, f"row {docs.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    return out.withColumnRenamed("row", "doc_id")

@@ -1,9 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from helpers import clashing, empty, odd, odd_rows
 
 from quillgrid.llm import substring_dedup
+from quillgrid.llm.hashing import string_bytes
 from quillgrid.llm.substring_dedup import COVER, PERIOD
 
 DOC = "doc_id long, text string"
@@ -73,3 +76,40 @@ def test_odd_rows(spark):
     assert substring_dedup.dedup(empty(spark)).count() == 0
     same = spark.createDataFrame([(None, rows[4][1]), (1, rows[4][1]), (1, rows[4][1])], DOC)
     assert sorted(r.n_removed for r in substring_dedup.dedup(same).collect()) == [brute([rows[4]])[5][1], 20_000, 20_000]
+
+
+def test_rows_without_an_id_are_dealt_to_all_blocks(spark):
+    rows = [(None, f"{text} {i}") for i, (_, text) in enumerate(corpus(6, 60))]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, DOC), block_bytes=900, bucket_bytes=500).collect()
+    want = brute([(i, t) for i, (_, t) in enumerate(rows)])
+    # which of equal windows comes first is settled by a hash; how many words stay apart is not checked here
+    assert len(got) == 60 and all(r.doc_id is None for r in got)
+    assert (sum(r.n_removed for r in got) > 0) == (sum(n for _, n, _ in want.values()) > 0)
+    assert {r.n_words for r in got} == {n for n, _, _ in want.values()}
+
+
+def test_the_result_comes_through_anchors(spark, monkeypatch):
+    rows = corpus(8)
+    words = substring_dedup._Words(*string_bytes(pa.array([t for _, t in sorted(rows)])))
+    assert len(substring_dedup.earlier_windows(words, words.hashed(0))) > 100
+    monkeypatch.setattr(substring_dedup._Words, "anchors", lambda self, hashes: (np.zeros(0, int), np.zeros(0, np.uint64)))
+    assert len(substring_dedup.earlier_windows(words, words.hashed(0))) == 0
+
+
+def test_equal_hashes_of_unequal_words_remove_nothing():
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"] + [" ".join(f"a{i}" for i in range(10, 35))]
+    words = substring_dedup._Words(*string_bytes(pa.array(text)))
+    same = words.hashed(0).copy()
+    same[40:80] = same[:40]  # the second text hashes as the first
+    same[80:] = same[10:35]
+    assert substring_dedup.earlier_windows(words, same).tolist() == list(range(80, 86))
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_collide_in_polynomials_modulo_a_power_of_two(spark):
+    tail = " ".join(f"t{i}" for i in range(19))
+    check(spark, [(1, thue_morse(1024, "a", "b") + " " + tail), (2, thue_morse(1024, "b", "a") + " " + tail)])
+    check(spark, [(i, thue_morse(1024, *("ab" if i % 2 else "ba")) + " " + tail) for i in range(6)], block_bytes=1100, bucket_bytes=100)
