@@ -7,11 +7,27 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.storage import discard, materialise
 
+#: A node with more than one in ``HOT`` edge ends is hot: there are fewer than ``HOT`` of them.
+HOT, SALTS = 64, 64
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
 
 
+def _with_least(edges: DataFrame, ends: int) -> DataFrame:
+    """u, v, m: edges with the smallest neighbour ``m`` of u. The edges of a hot u are dealt to ``SALTS`` keys."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    hot = F.col("c") * HOT > ends
+    # fewer than HOT rows, whatever the size of the table
+    hubs = F.broadcast(least.where(hot).select(F.col("u").alias("hub")))
+    salt = F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(SALTS))).cast("int")
+    dealt = edges.join(hubs, F.col("u") == F.col("hub"), "left").select("u", "v", salt.alias("salt"))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    # merge join: what one side holds grows with the input
+    return dealt.hint("merge").join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """node, component (the smallest node reachable) for every node of an edge.
 
@@ -26,11 +42,10 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     mark = _mark(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         # every edge now leads from a larger node to a smaller one
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "at")
-        small = large.join(least, F.col("u") == F.col("at")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        star = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = _with_least(large, mark[0]).select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct()
         new, new_path = materialise(small, "edges")
         new_mark = _mark(new)
         discard(spark, path)

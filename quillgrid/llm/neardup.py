@@ -7,36 +7,39 @@ linked; a class is a connected component of links.
 
 Method. One permutation spreads the shingles over the 32-bit ring, a second one,
 shifted by k round the ring, gives coordinate k of the signature: two
-permutations serve all coordinates. Bands of ``rows`` coordinates are hashed;
-with 28 bands of 4, a pair at 0.8 shares none with probability 4e-7.
+permutations serve all coordinates. Bands of ``ROWS`` coordinates are hashed, as
+many bands as leave a pair at ``percent`` without a common one with probability
+4e-7: 28 at 80.
 
 How it runs.
 
-1. One pass gives each document a 128-bit hash of its set and its band keys.
-   Equal sets are one vertex from here on, so copies cost nothing more.
+1. One pass gives each document its band keys and a 128-bit hash of its set, from
+   two independent hashes of its words. Equal sets are one vertex from here on,
+   so copies cost nothing more.
 2. Within a band key each vertex is tied to the smallest one there; components
    of these ties are groups. Whatever shares a band key is in one group.
-3. Texts of grouped vertices are dealt to tasks by group. A task compares exact
-   sets through an inverted index: it sweeps from the most central document
+3. Texts of grouped vertices are dealt to tasks by group. A task numbers shingles
+   by their words, so it compares sets exactly, through an inverted index: it
+   sweeps from the most central document
    until every document outside the largest class has met all others, so the
    many links inside a class are never listed, yet no link between classes is
    lost. Groups beyond ``task_shingles`` are first dealt to parts by hash, each
    with the group's hub (its smallest member), and members linked to the hub are
    settled: they are one class, so no two of them need to meet again. The group
-   is then cut by set size (only neighbouring size levels, a factor of 1.25
-   apart, can reach 0.8), by settled or open, and by hash into parts; every pair
-   of parts that could hold a link, but for two settled ones, meets in some
-   task. A group of near copies of one text thus costs one pass.
-   Where pairs of parts would send members more than ``MOST_SENT`` times, members
-   meet by the rare shingles they share, if that sends less: shingles are put in
-   one order, by frequency, and of a linked pair each has a common one among its
-   first (100 - percent) / 100 and one more. A task, too, looks for links there.
+   is then cut by set size (only neighbouring size levels, a factor of
+   100 / ``percent`` apart, can hold a link), by settled or open, and by hash into
+   parts; every pair of parts that could hold a link, but for two settled ones,
+   meets in some task. A group of near copies of one text thus costs one pass.
+   Where pairs of parts would send members more than ``MOST_SENT`` times, as in a
+   group that chance ties or a common form hold together, members meet by the
+   band keys they share, if that sends less: only keys of several members, one of
+   them open, count, and a member is sent at most once for each of its bands.
 4. Components of the links found give component_id.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; a null doc_id links with nothing and is its own (null) class; rows with
-the same doc_id and set share a result; an empty table gives no rows; other
-columns are ignored by ``classes`` and kept by ``keep_one``.
+the same doc_id and set share a result; doc_id is a whole number; an empty table
+gives no rows; other columns are ignored by ``classes`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -50,33 +53,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.components import connected_components
-from quillgrid.llm.hashing import _Q1, mix, sequence_prefix, slices, string_bytes, window_hash, word_hashes
+from quillgrid.llm.hashing import coded_words, gram_codes, gram_hashes, mix, slices, string_bytes
 from quillgrid.llm.storage import discard, materialise
 
-BANDS = 28
 ROWS = 4
+MISSED = 4.2e-7
 PERCENT = 80
 TASK_SHINGLES = 1_000_000
 MOST_SENT = 4
 SLOTS = 1 << 18
-_LEVEL = math.log(1.2500001)
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all rows, row by row in order of hash, and how many each row has."""
-    h, _, _, counts = word_hashes(data, offsets, lower=True)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    doc = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(h))
-    left = first[doc + 1] - at
-    starts = at[(left >= shingle) | (at == first[doc])]
-    ends = np.minimum(starts + shingle, first[doc[starts] + 1])
-    hashes, rows = window_hash(sequence_prefix(h, _Q1), starts, ends, _Q1), doc[starts]
-    order = np.lexsort((hashes, rows))
-    hashes, rows = hashes[order], rows[order]
-    new = np.ones(len(hashes), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    return hashes[new], np.bincount(rows[new], minlength=len(counts))
+_FILL = np.array([[0x6A09E667F3BCC908, 0xBB67AE8584CAA73B]], dtype=np.uint64)
+
+
+def n_bands(percent: int) -> int:
+    """Bands of which a pair at this similarity shares none with probability ``MISSED`` at most."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-min((percent / 100) ** ROWS, 1 - 1e-9))))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int, hashed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the distinct shingles of all rows, row by row, how many each row has, and their two hashes if asked for.
+
+    Numbers are equal if and only if the words of the shingles are. A row of
+    fewer words is filled up with a word that no text has.
+    """
+    code, lanes, _, _, counts = coded_words(data, offsets, lower=True)
+    length = np.where(counts > 0, np.maximum(counts, shingle), 0)
+    first = np.cumsum(length) - length
+    filled = np.full(int(length.sum()), len(lanes), dtype=np.int64)
+    filled[np.arange(len(code)) + np.repeat(first - (np.cumsum(counts) - counts), counts)] = code
+    row = np.repeat(np.arange(len(counts)), length)
+    starts = np.flatnonzero(np.arange(len(filled)) - first[row] + shingle <= length[row])
+    grams = gram_codes(filled, shingle)[starts]
+    _, at = np.unique(row[starts] * (grams.max(initial=0) + 1) + grams, return_index=True)
+    hashes = np.zeros((2, 0), dtype=np.uint64)
+    if hashed and len(at):
+        lanes = np.concatenate([lanes, _FILL])
+        hashes = np.stack([gram_hashes(lanes[filled, i], shingle)[starts[at]] for i in (0, 1)])
+    return grams[at], np.bincount(row[starts[at]], minlength=len(counts)), hashes
 
 
 def _second_permutation(x: np.ndarray) -> np.ndarray:
@@ -117,13 +130,13 @@ def _sketch_batches(shingle: int, bands: int, rows: int):
             data, offsets = string_bytes(batch.column("text"))
             for i, j in slices(offsets):
                 o = offsets[i : j + 1]
-                hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+                _, counts, hashes = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle, hashed=True)
                 full = counts > 0
                 sums, keys = np.zeros((2, j - i), dtype=np.uint64), np.zeros((0, bands), dtype=np.uint64)
                 if full.any():
                     begins = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-                    sums[0, full], sums[1, full] = np.add.reduceat(mix(hashes, 1), begins), np.add.reduceat(mix(hashes, 2), begins)
-                    keys = band_keys(signatures(hashes, counts[full], bands * rows), rows)
+                    sums[0, full], sums[1, full] = (np.add.reduceat(mix(h, i), begins) for i, h in enumerate(hashes, 1))
+                    keys = band_keys(signatures(hashes[0], counts[full], bands * rows), rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists],
@@ -133,7 +146,7 @@ def _sketch_batches(shingle: int, bands: int, rows: int):
     return run
 
 
-def sketches(documents: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(documents: DataFrame, shingle: int, bands: int, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, the set's hash (set_a, set_b) and band keys of every row."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_sketch_batches(shingle, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
@@ -189,24 +202,27 @@ def links_within(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         label[np.isin(label, found)] = label[x]
 
 
+def _tasks_of(rows: pa.Table, shingle: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """The rows of each task and their sets, one task at a time; rows are in order of task."""
+    data, offsets = string_bytes(rows.column("text"))
+    task = rows.column("task").combine_chunks().dictionary_encode().indices.to_numpy()
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1, [len(task)]])
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        o = offsets[i : j + 1]
+        grams, counts, _ = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+        yield slice(i, j), np.split(grams, np.cumsum(counts)[:-1])
+
+
+def _edges(us: list[int], vs: list[int]) -> pa.Table:
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
 def _link_tasks(shingle: int, percent: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.select(["task", "node", "text"]).sort_by([("task", "ascending"), ("node", "ascending")])
-        data, offsets = string_bytes(rows.column("text"))
-        node, task = rows.column("node").to_numpy(), rows.column("task").to_pylist()
-        found, i = [], 0
-        while i < len(task):
-            j = i
-            while j < len(task) and task[j] == task[i]:
-                j += 1
-            sets: list[np.ndarray] = []
-            for a, b in slices(offsets[i : j + 1]):
-                o = offsets[i + a : i + b + 1]
-                hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
-                sets += np.split(hashes, np.cumsum(counts)[:-1])
-            found += [(node[i + x], node[i + y]) for x, y in links_within(sets, percent)]
-            i = j
-        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+        node = rows.column("node").to_numpy()
+        found = [(node[of][x], node[of][y]) for of, sets in _tasks_of(rows, shingle) for x, y in links_within(sets, percent)]
+        return _edges([u for u, _ in found], [v for _, v in found])
 
     return run
 
@@ -214,23 +230,17 @@ def _link_tasks(shingle: int, percent: int):
 def _hub_links(shingle: int, percent: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("task", "ascending"), ("node", "ascending")])
-        data, offsets = string_bytes(rows.column("text"))
-        node, hub, task = rows.column("node").to_numpy(), rows.column("grp").to_numpy(), rows.column("task").to_pylist()
-        us, vs, of, hubs = [], [], None, []
-        for i, j in slices(offsets):
-            o = offsets[i : j + 1]
-            hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
-            for r, mine in enumerate(np.split(hashes, np.cumsum(counts)[:-1]), i):
-                if task[r] != of:
-                    of, hubs = task[r], []
-                if node[r] == hub[r]:  # the smallest node of its task: it comes first
-                    hubs.append(mine)
-                    continue
-                both = [len(np.intersect1d(mine, h, assume_unique=True)) for h in hubs]
-                if any(100 * b >= percent * (len(mine) + len(h) - b) for b, h in zip(both, hubs, strict=True)):
-                    us.append(hub[r])
-                    vs.append(node[r])
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+        node, hub = rows.column("node").to_numpy(), rows.column("grp").to_numpy()
+        us, vs = [], []
+        for of, sets in _tasks_of(rows, shingle):
+            mine, least = node[of], hub[of.start]
+            hubs = [x for x, n in zip(sets, mine, strict=True) if n == least]  # rows of one doc_id may differ
+            for x, n in zip(sets, mine, strict=True):
+                both = [len(np.intersect1d(x, h, assume_unique=True)) for h in hubs] if n != least else []
+                if any(100 * b >= percent * (len(x) + len(h) - b) for b, h in zip(both, hubs, strict=False)):
+                    us.append(least)
+                    vs.append(n)
+        return _edges(us, vs)
 
     return run
 
@@ -245,12 +255,12 @@ def _with_hubs(members: DataFrame, task_shingles: int) -> DataFrame:
     return dealt.union(hubs).select("grp", "node", "n", F.concat_ws(":", "grp", "part").alias("task"))
 
 
-def _placed(members: DataFrame, task_shingles: int) -> DataFrame:
+def _placed(members: DataFrame, task_shingles: int, percent: int = PERCENT) -> DataFrame:
     """members (node, grp, n, settled) with the tasks, none or more, in which each has to be compared.
 
     A key is a size level, doubled, and one more for open members.
     """
-    key = (F.floor(F.log("n") / F.lit(_LEVEL)).cast("int") * 2 + F.when(F.col("settled"), 0).otherwise(1)).alias("key")
+    key = (F.floor(F.log("n") / F.lit(math.log(100 / percent + 1e-7))).cast("int") * 2 + F.when(F.col("settled"), 0).otherwise(1)).alias("key")
     keyed = members.select("node", "grp", "n", key)
     keys = keyed.groupBy("grp", "key").agg(F.sum("n").alias("load"))
     parts = F.map_from_entries(F.collect_list(F.struct("key", F.ceil(F.col("load") / task_shingles).cast("int").alias("parts"))))
@@ -269,9 +279,9 @@ def _placed(members: DataFrame, task_shingles: int) -> DataFrame:
     return whole.union(cut.select("node", "grp", "n", F.flatten(F.transform(F.concat(near, settled), met)).alias("tasks")))
 
 
-def _tasks(members: DataFrame, task_shingles: int) -> DataFrame:
+def _tasks(members: DataFrame, task_shingles: int, percent: int = PERCENT) -> DataFrame:
     """node, n, task of every member and each of its tasks."""
-    return _placed(members, task_shingles).select("node", "n", F.explode("tasks").alias("task"))
+    return _placed(members, task_shingles, percent).select("node", "n", F.explode("tasks").alias("task"))
 
 
 def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -283,7 +293,7 @@ def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
             data, offsets = string_bytes(batch.column("text"))
             for i, j in slices(offsets):
                 o = offsets[i : j + 1]
-                hashes, _ = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+                hashes = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle, hashed=True)[2][0]
                 seen += np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         slot = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(seen[slot], pa.int64())], ["slot", "n"])
@@ -309,7 +319,8 @@ def _rare_shingles(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
             data, offsets = string_bytes(batch.column("text"))
             for i, j in slices(offsets):
                 o = offsets[i : j + 1]
-                hashes, counts = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle)
+                _, counts, hashes = shingle_sets(data[o[0] : o[-1]], o - o[0], shingle, hashed=True)
+                hashes = hashes[0]
                 doc = np.repeat(np.arange(j - i), counts)
                 often = seen[(hashes % np.uint64(SLOTS)).astype(np.int64)]
                 order = np.lexsort((hashes, often, doc))
@@ -320,33 +331,38 @@ def _rare_shingles(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, key long")
 
 
-def _spread(members: DataFrame, docs: DataFrame, shingle: int, percent: int, task_shingles: int) -> DataFrame:
-    """node, n, task: where each member has to be compared.
+def _spread(members: DataFrame, keys: DataFrame, docs: DataFrame, shingle: int, percent: int, task_shingles: int) -> DataFrame:
+    """node, n, task: where each member has to be compared; ``keys`` (rep, key) are the bands of all vertices.
 
     A group whose pairs of parts would send its members more than ``MOST_SENT``
-    times is dealt by rare shingles instead, if that sends less: a task has the
-    members with one of some rare shingles that an open member and another one
-    share, and a task too large is cut into pairs of parts as groups are.
+    times is dealt by band keys or by rare shingles instead, whichever sends
+    least: a task has the members with one of some keys that an open member and
+    another one share, and a task too large is cut into pairs of parts as groups are.
     """
-    direct = _placed(members, task_shingles)
+    direct = _placed(members, task_shingles, percent)
     sent = direct.groupBy("grp").agg(F.sum("n").alias("load"), F.sum(F.col("n") * F.size("tasks")).alias("sent"))
     costly, _ = materialise(sent.where(F.col("sent") > F.col("load") * MOST_SENT), "costly")
     by_parts = direct.select("node", "grp", "n", F.explode("tasks").alias("task"))
     if costly.isEmpty():
         return by_parts.drop("grp")
-    large, _ = materialise(members.join(costly.select("grp"), "grp"), "large")
+    # merge joins: costly groups grow in number with the input
+    large, _ = materialise(members.join(costly.select("grp").hint("merge"), "grp").select("node", "grp", "n", "settled"), "large")
     rare, _ = materialise(_rare_shingles(large.hint("merge").join(docs, "node"), shingle, percent).distinct(), "rare")
-    rare = rare.hint("merge").join(large, "node")
-    both = rare.groupBy("grp", "key").agg(F.count("*").alias("c"), F.bool_or(~F.col("settled")).alias("open")).where("c > 1 AND open").select("grp", "key")
-    rare, _ = materialise(rare.join(both.hint("merge"), ["grp", "key"]), "shared")
-    buckets = rare.groupBy("grp").agg(F.ceil(F.sum("n") / task_shingles).alias("buckets"))
+    ways = keys.select(F.lit("band").alias("way"), F.col("rep").alias("node"), "key").union(rare.select(F.lit("rare").alias("way"), "node", "key"))
+    keyed, _ = materialise(ways.join(large.hint("merge"), "node"), "keyed")
+    met = keyed.groupBy("way", "grp", "key").agg(F.count("*").alias("c"), F.bool_or(~F.col("settled")).alias("open")).where("c > 1 AND open").select("way", "grp", "key")
+    keyed, _ = materialise(keyed.join(met.hint("merge"), ["way", "grp", "key"]), "met")
+    buckets = keyed.groupBy("way", "grp").agg(F.ceil(F.sum("n") / task_shingles).alias("buckets"))
     bucket = F.pmod(F.xxhash64("key"), F.col("buckets"))
-    dealt = rare.join(buckets, "grp").select("node", "n", "settled", F.concat_ws("/", "grp", bucket).alias("grp")).distinct()
-    pieces, _ = materialise(_placed(dealt, task_shingles).withColumn("grp", F.substring_index("grp", "/", 1).cast("long")), "pieces")
-    less = pieces.groupBy("grp").agg(F.sum(F.col("n") * F.size("tasks")).alias("by_shingles"))
-    better = costly.join(less, "grp", "left").where(F.coalesce("by_shingles", F.lit(0)) < F.col("sent")).select("grp")
-    by_shingles = pieces.join(better, "grp", "left_semi").select("node", "n", F.explode("tasks").alias("task"))
-    return by_parts.join(better, "grp", "left_anti").select("node", "n", "task").union(by_shingles)
+    dealt = keyed.join(buckets, ["way", "grp"]).select("node", "n", "settled", F.concat_ws("/", "grp", "way", bucket).alias("grp")).distinct()
+    named = F.split("grp", "/")
+    pieces, _ = materialise(_placed(dealt, task_shingles, percent).select("node", "n", "tasks", named[0].cast("long").alias("grp"), named[1].alias("way")), "pieces")
+    # a way in which nobody meets anybody has no pieces, and sends nothing
+    found = pieces.groupBy("grp").pivot("way", ["band", "rare"]).agg(F.sum(F.col("n") * F.size("tasks")))
+    by = costly.join(found, "grp", "left").select("grp", "sent", F.coalesce("band", F.lit(0)).alias("band"), F.coalesce("rare", F.lit(0)).alias("rare"))
+    best = by.select("grp", F.when(F.col("sent") <= F.least("band", "rare"), "parts").when(F.col("band") < F.col("rare"), "band").otherwise("rare").alias("way"))
+    by_keys = pieces.join(best, ["grp", "way"], "left_semi").select("node", "n", F.explode("tasks").alias("task"))
+    return by_parts.join(best.where("way <> 'parts'"), "grp", "left_anti").select("node", "n", "task").union(by_keys)
 
 
 def _binned(tasks: DataFrame, task_shingles: int) -> DataFrame:
@@ -358,7 +374,7 @@ def _binned(tasks: DataFrame, task_shingles: int) -> DataFrame:
 
 def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of its class), kept for every row."""
-    sketch, _ = materialise(sketches(documents, shingle, id_col=id_col, text_col=text_col), "sketches")
+    sketch, _ = materialise(sketches(documents, shingle, n_bands(percent), id_col=id_col, text_col=text_col), "sketches")
     sets = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     reps, _ = materialise(reps, "vertices")
@@ -382,10 +398,10 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
         settled = stars.select(F.col("v").alias("node")).distinct().withColumn("hit", F.lit(True))
         marked = members.join(settled, "node", "left").withColumn("settled", F.col("hit").isNotNull() | (F.col("node") == F.col("grp"))).drop("hit")
         marked, _ = materialise(marked, "marked")
-        tasks, _ = materialise(_spread(marked, docs, shingle, percent, task_shingles), "tasks")
+        tasks, _ = materialise(_spread(marked, keys, docs, shingle, percent, task_shingles), "tasks")
         links = compared(tasks, _link_tasks).union(stars)
     else:
-        links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles), _link_tasks)
+        links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles, percent), _link_tasks)
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
     discard(documents.sparkSession, members_path)  # the links are found and written
     named = reps.select("set_a", "set_b", "rep").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("linked", "rep").alias("component"))

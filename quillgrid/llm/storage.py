@@ -7,16 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
-
 _own: list[str] = []
+_written: list[str] = []
 
 
-def _own_dir() -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset and all tasks run in this process.
+
+    On a cluster without that setting this raises: a folder of the driver's own
+    would be another one on every executor, and tables would come back empty.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quillgrid-"))
     return _own[0]
@@ -26,6 +32,7 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -34,3 +41,17 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def kept_tables() -> list[str]:
+    """Tables of this application that are not deleted yet, in the order they were written."""
+    return list(_written)
+
+
+def discard_written(spark: SparkSession, but: list[str]) -> None:
+    """Delete all tables of this application but these: to be called once the results that read them are written."""
+    for path in kept_tables():
+        if path not in but:
+            discard(spark, path)

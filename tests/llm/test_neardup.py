@@ -1,12 +1,16 @@
+import os
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from helpers import clashing, empty, odd
 from pyspark.sql import functions as F
 
-from quillgrid.llm import neardup
+from quillgrid.llm import neardup, storage
 from quillgrid.llm.components import connected_components
+from quillgrid.llm.hashing import string_bytes
 
 DOC = "doc_id long, text string"
 
@@ -96,9 +100,68 @@ def test_open_members_of_a_form_meet_by_what_is_rare(spark):
     members = spark.createDataFrame([(d, 0, len(shingles(t, 2)), d == 0) for d, t in rows], "node long, grp long, n long, settled boolean")
     load = members.agg({"n": "sum"}).first()[0]
     sent = lambda tasks: tasks.agg({"n": "sum"}).first()[0]
+    keys = neardup.sketches(spark.createDataFrame(rows, DOC), 2, neardup.n_bands(80)).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     docs = spark.createDataFrame(rows, DOC).withColumnRenamed("doc_id", "node")
     assert sent(neardup._tasks(members, 1000)) > 5 * load
-    assert (sent(neardup._spread(members, docs, 2, 80, 1000)) or 0) < load
+    assert (sent(neardup._spread(members, keys, docs, 2, 80, 1000)) or 0) < load
+
+
+def test_open_members_held_together_by_chance_meet_by_bands(spark):
+    # a chain of texts, each a third like the next: one group, yet few share a band
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(60))) for i in range(200)]
+    sets = [shingles(t, 1) for _, t in rows]
+    keys = neardup.sketches(spark.createDataFrame(rows, DOC), 1, 28).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    members = spark.createDataFrame([(i, 0, len(x), i == 0) for i, x in enumerate(sets)], "node long, grp long, n long, settled boolean")
+    docs = spark.createDataFrame(rows, DOC).withColumnRenamed("doc_id", "node")
+    met = {}
+    for r in neardup._spread(members, keys, docs, 1, 80, 300).collect():
+        met.setdefault(r.task, set()).add(r.node)
+    close = [(i, j) for i in range(200) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert all(any({i, j} <= m for m in met.values()) for i, j in close)
+
+
+def test_bands_follow_from_the_percentage(spark):
+    assert neardup.n_bands(80) == 28 and neardup.n_bands(100) == 1 and neardup.n_bands(50) > 200
+    rows = corpus(60, 12)
+    assert got(spark, rows, shingle=2, percent=55) == brute(rows, 2, 55)
+    assert got(spark, rows, shingle=2, percent=55, task_shingles=300) == brute(rows, 2, 55)
+
+
+def test_words_that_collide_in_polynomials_modulo_a_power_of_two(spark):
+    word = lambda a, b: "".join(b if bin(i).count("1") % 2 else a for i in range(1024))
+    rows = [(1, word("a", "b")), (2, word("b", "a")), (3, word("a", "b")), (4, word("B", "A"))]
+    assert got(spark, rows, shingle=2) == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 2)}
+
+
+def test_sets_are_exact(spark):
+    data, offsets = string_bytes(pa.array(["a b a b c", "A B", "", "b", "a b c d e f"]))
+    for k in (1, 2, 3, 5):
+        grams, counts, hashes = neardup.shingle_sets(data, offsets, k, hashed=True)
+        want = [shingles(t, k) for t in ["a b a b c", "A B", "", "b", "a b c d e f"]]
+        assert counts.tolist() == [len(w) for w in want] and hashes.shape == (2, counts.sum())
+        sets = [set(g.tolist()) for g in np.split(grams, np.cumsum(counts)[:-1])]
+        assert [[len(x & y) for y in sets] for x in sets] == [[len(x & y) for y in want] for x in want]
+
+
+def test_storage_wants_a_shared_folder_on_a_cluster():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs:///shared"}
+    assert storage.shared_dir(Session) == "hdfs:///shared"
+
+
+def test_written_tables_are_deleted_when_told(spark):
+    before = storage.kept_tables()
+    neardup.classes(spark.createDataFrame(corpus(30), DOC)).count()
+    mine = [p for p in storage.kept_tables() if p not in before]
+    assert mine and os.path.isdir(mine[0].removeprefix("file://"))
+    storage.discard_written(spark, but=before)
+    assert storage.kept_tables() == before and not os.path.isdir(mine[0].removeprefix("file://"))
 
 
 def test_bins_hold_a_task_or_two_however_large_the_group(spark):
