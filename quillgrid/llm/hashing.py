@@ -133,20 +133,50 @@ def coded_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, brea
     return words.indices.to_numpy(), np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2), starts, ends, counts
 
 
-def gram_hashes(values: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hash of values[p : p + k] for every p, by doubling; mixed at every step, so no algebra carries through."""
-    join = lambda a, b: mix(a * np.uint64(_R) + b * np.uint64(_Q1), salt)
+def joined_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order, mixed at every step, so no algebra carries through."""
+    x = a * np.uint64(_R)
+    x += b * np.uint64(_Q1)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of values[p : p + k] for every p, by doubling."""
     n = len(values) - k + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
     out, done, power, width = None, 0, values, 1
     while True:
         if k & width:
-            out = power if out is None else join(out[: len(power) - done], power[done:])
+            out = power if out is None else joined_hashes(out[: len(power) - done], power[done:])
             done += width
         if done == k:
             return out[:n]
-        power, width = join(power[:-width], power[width:]), width * 2
+        power, width = joined_hashes(power[:-width], power[width:]), width * 2
+
+
+def repeated(hashes: np.ndarray) -> np.ndarray:
+    """Which of these occur more than once."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    same = ordered[1:] == ordered[:-1]
+    out = np.zeros(len(hashes), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def within(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of these are among ``known``; sorted first, which searches faster than one by one."""
+    out = np.zeros(len(hashes), dtype=bool)
+    if len(known) and len(hashes):
+        order, known = np.argsort(hashes), np.sort(known)
+        ordered = hashes[order]
+        out[order] = known[np.minimum(np.searchsorted(known, ordered), len(known) - 1)] == ordered
+    return out
 
 
 def gram_codes(codes: np.ndarray, k: int) -> np.ndarray:

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.hashing import coded_words, gram_hashes, string_bytes
+from quillgrid.llm.hashing import coded_words, gram_hashes, joined_hashes, repeated, string_bytes, within, word_spans
 
 WINDOW = 20
 PERIOD = 13
@@ -67,7 +67,7 @@ _COVERED = np.isin(np.arange(PERIOD), COVER)
 
 
 class _Words:
-    """Sequences of words, in their order: a number, its two hashes, and the place of each word."""
+    """Sequences of words, in their order: the bytes and the place of each word, its number and its hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
@@ -76,14 +76,23 @@ class _Words:
         self.sequence = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
         self.position = (np.arange(len(self.code)) - self.first[self.sequence]).astype(np.int32)
         self.left = self.counts[self.sequence].astype(np.int32) - self.position
+        self.grams = self.gram_levels(0)
 
-    def hashed(self, lane: int) -> np.ndarray:
-        return self.lanes[self.code, lane] if len(self.code) else np.zeros(0, np.uint64)
+    def gram_levels(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the 4 and of the 8 words that start at each word."""
+        words = self.lanes[self.code, lane] if len(self.code) else np.zeros(0, np.uint64)
+        four = gram_hashes(words, 4)
+        return four, joined_hashes(four[:-4], four[4:])
 
-    def anchors(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of each anchor at a cover position of a sequence long enough to have a window."""
         starts = np.flatnonzero((self.left >= ANCHOR) & _COVERED[self.position % PERIOD] & (self.left + self.position >= WINDOW))
-        return starts, gram_hashes(hashes, ANCHOR)[starts]
+        return starts, self.grams[1][starts]
+
+    def windows(self, starts: np.ndarray, grams: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Hashes of the windows of 20 words that start here."""
+        four, eight = grams or self.grams
+        return joined_hashes(joined_hashes(eight[starts], eight[starts + 8]), four[starts + 16])
 
     def extended(self, anchors: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold one of these anchors at a shift below ``PERIOD``."""
@@ -94,39 +103,34 @@ class _Words:
         return starts[upto[starts + PERIOD] > upto[starts]]
 
 
-def _repeated(hashes: np.ndarray) -> np.ndarray:
-    """Which of these occur more than once."""
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    out = np.zeros(len(hashes), dtype=bool)
-    out[order[1:]] |= same
-    out[order[:-1]] |= same
-    return out
-
-
-def earlier_windows(words: _Words, hashes: np.ndarray) -> np.ndarray:
+def earlier_windows(words: _Words) -> np.ndarray:
     """Starts of the windows whose 20 words also start earlier, found through anchors, decided word by word."""
-    anchors, h = words.anchors(hashes)
-    starts = words.extended(anchors[_repeated(h)])
-    key = gram_hashes(hashes, WINDOW)[starts]
-    twice = _repeated(key)
+    anchors, h = words.anchors()
+    starts = words.extended(anchors[repeated(h)])
+    key = words.windows(starts)
+    twice = repeated(key)
     starts, key = starts[twice], key[twice]
     late, todo = np.zeros(len(starts), dtype=bool), np.arange(len(starts))
     while len(todo):
-        order = todo[np.argsort(key[todo], kind="stable")]
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        order = todo[np.argsort(key[todo])]
+        new = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        head = np.repeat(np.minimum.reduceat(order, new), np.diff(np.concatenate([new, [len(order)]])))
         alike = np.ones(len(order), dtype=bool)
         for i in range(WINDOW):
             alike &= words.code[starts[order] + i] == words.code[starts[head] + i]
-        late[order] = alike & ~new
-        todo = np.sort(order[~alike])  # equal hashes of unequal words are compared again among themselves
+        late[order] = alike & (order != head)
+        todo = order[~alike]  # equal hashes of unequal words are compared again among themselves
     return starts[late]
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """The rows of a block in the order of documents; rows alike in place and tie have one text."""
+    return table.select(["row", "place", "tie", "text"]).sort_by([("place", "ascending"), ("tie", "ascending")])
+
+
 def _block(table: pa.Table) -> tuple[pa.ChunkedArray, np.ndarray, _Words]:
-    """Row numbers, their place in the order of documents, and the words of a block, in that order."""
-    table = table.select(["row", "place", "tie", "text"]).sort_by([("place", "ascending"), ("tie", "ascending")])
+    """doc_ids, their place in the order of documents, and the words of a block, in that order."""
+    table = _ordered(table)
     place = table.column("place").combine_chunks().fill_null(_LAST).to_numpy()
     order = np.stack([place, table.column("tie").to_numpy()], 1)
     return table.column("row"), order, _Words(*string_bytes(table.column("text")))
@@ -163,16 +167,16 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())])
 _ANSWER_ROWS = pa.schema([("block", pa.int32()), ("hashes", pa.binary())])
-_WINDOW_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary()), ("runs", pa.binary())])
-_ASKED_ROWS = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("to", pa.binary())])
+_WINDOW_ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("starts", pa.binary()), ("places", pa.binary()), ("runs", pa.binary())])
+_ASKED_ROWS = pa.schema([("block", pa.int32()), ("starts", pa.binary()), ("to", pa.binary())])
 _SHOWN_ROWS = pa.schema([("block", pa.int32()), ("words", pa.binary())])
 _ddl = lambda schema: ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
 
 def _send_anchors(n_buckets: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        words = _block(docs)[2]
-        h = np.unique(words.anchors(words.hashed(0))[1])
+        h = np.sort(_block(docs)[2].anchors()[1])
+        h = h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
         return _table(_ANCHOR_ROWS, [(b, key[0].as_py(), _pack48(h[at])) for b, at in _buckets(h, n_buckets)])
 
     return run
@@ -180,26 +184,27 @@ def _send_anchors(n_buckets: int):
 
 def _answer_anchors(rows: pa.Table) -> pa.Table:
     packs = [_unpack48(x) for x in rows.column("hashes").to_pylist()]
-    every = np.sort(np.concatenate(packs))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    answers = [(block, pack[np.isin(pack, twice)]) for block, pack in zip(rows.column("block").to_pylist(), packs, strict=True)]
+    twice = np.split(repeated(np.concatenate(packs)), np.cumsum([len(p) for p in packs])[:-1])
+    answers = [(block, pack[known]) for block, pack, known in zip(rows.column("block").to_pylist(), packs, twice, strict=True)]
     return _table(_ANSWER_ROWS, [(block, _pack48(mine)) for block, mine in answers if len(mine)])
 
 
 def _send_windows(n_buckets: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         _, order, words = _block(docs)
-        hashes = words.hashed(0)
-        anchors, h = words.anchors(hashes)
+        anchors, h = words.anchors()
         known = _unpack48(b"".join(answers.column("hashes").to_pylist()))
-        starts = np.setdiff1d(words.extended(anchors[np.isin(h & _LOW48, known)]), earlier_windows(words, hashes), assume_unique=True)
-        h, check = gram_hashes(hashes, WINDOW)[starts], (gram_hashes(words.hashed(1), WINDOW)[starts] >> np.uint64(32)).astype(np.uint32)
+        sent = np.zeros(len(words.code), dtype=bool)
+        sent[words.extended(anchors[within(h & _LOW48, known)])] = True
+        sent[earlier_windows(words)] = False
+        starts = np.flatnonzero(sent)
+        h, check = words.windows(starts), (words.windows(starts, words.gram_levels(1)) >> np.uint64(32)).astype(np.uint32)
         of, out = words.sequence[starts], []
         for b, at in _buckets(h, n_buckets):
             mine = of[at]
             runs = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             lengths = np.diff(np.concatenate([runs, [len(mine)]])).astype(np.uint32)
-            out.append((b, key[0].as_py(), h[at].tobytes(), check[at].tobytes(), order[mine[runs]].tobytes(), lengths.tobytes()))
+            out.append((b, key[0].as_py(), h[at].tobytes(), check[at].tobytes(), starts[at].astype(np.int32).tobytes(), order[mine[runs]].tobytes(), lengths.tobytes()))
         return _table(_WINDOW_ROWS, out)
 
     return run
@@ -207,25 +212,28 @@ def _send_windows(n_buckets: int):
 
 def _chain_windows(rows: pa.Table) -> pa.Table:
     """For each window but the last of equal ones: its block is to show it to the block of the next one."""
-    packs = {c: rows.column(c).to_pylist() for c in ("hashes", "checks", "places", "runs")}
-    h, check = _joined(packs["hashes"], np.uint64), _joined(packs["checks"], np.uint32)
-    place = np.repeat(_joined(packs["places"], np.int64).reshape(-1, 2), _joined(packs["runs"], np.uint32), axis=0)
-    block = np.repeat(rows.column("block").to_numpy(), [len(x) // 8 for x in packs["hashes"]]).astype(np.int32)
+    packs = {c: rows.column(c).to_pylist() for c in ("hashes", "checks", "starts", "places", "runs")}
+    h, check, start = _joined(packs["hashes"], np.uint64), _joined(packs["checks"], np.uint32), _joined(packs["starts"], np.int32)
+    row = np.repeat(np.arange(len(packs["runs"])), [len(x) // 8 for x in packs["hashes"]])
+    run = np.repeat(np.arange(sum(len(x) // 4 for x in packs["runs"])), _joined(packs["runs"], np.uint32))
+    some = np.flatnonzero(repeated(h))
+    place = _joined(packs["places"], np.int64).reshape(-1, 2)[run[some]]
+    block, h, check, start = rows.column("block").to_numpy()[row[some]], h[some], check[some], start[some]
     order = np.lexsort((place[:, 1], place[:, 0], check, h))
     a, b = order[:-1], order[1:]
     linked = (h[a] == h[b]) & (check[a] == check[b]) & (block[a] != block[b])
     a, b = a[linked], b[linked]
-    return _table(_ASKED_ROWS, [(source, h[a[at]].tobytes(), block[b[at]].tobytes()) for source, at in _groups(block[a])])
+    return _table(_ASKED_ROWS, [(source, start[a[at]].tobytes(), block[b[at]].astype(np.int32).tobytes()) for source, at in _groups(block[a])])
 
 
-def _runs_of_words(words: _Words, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _runs_of_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Bytes of runs of words: a space after each word, a line feed after the last of a run."""
     upto = np.cumsum(lengths)
     word = np.arange(upto[-1]) + np.repeat(starts - (upto - lengths), lengths)
-    size = words.ends[word] - words.starts[word] + 1
+    size = ends[word] - begins[word] + 1
     after = np.cumsum(size)
-    source = np.arange(after[-1]) + np.repeat(words.starts[word] - (after - size), size)
-    out = words.data[np.minimum(source, len(words.data) - 1)]
+    source = np.arange(after[-1]) + np.repeat(begins[word] - (after - size), size)
+    out = data[np.minimum(source, len(data) - 1)]
     out[after - 1] = 0x20
     out[after[upto - 1] - 1] = 0x0A
     return out
@@ -234,19 +242,15 @@ def _runs_of_words(words: _Words, starts: np.ndarray, lengths: np.ndarray) -> np
 def _show_words(docs: pa.Table, asked: pa.Table) -> pa.Table:
     if not asked.num_rows or not docs.num_rows:
         return _table(_SHOWN_ROWS, [])
-    words = _block(docs)[2]
-    h, to = _joined(asked.column("hashes").to_pylist(), np.uint64), _joined(asked.column("to").to_pylist(), np.int32)
-    starts = np.flatnonzero(words.left >= WINDOW)
-    mine = gram_hashes(words.hashed(0), WINDOW)[starts]
-    wanted = np.isin(mine, h)
-    starts, mine = starts[wanted], mine[wanted]
-    mine, first = np.unique(mine, return_index=True)  # the first window of the block with a hash was sent
-    out, at = [], starts[first[np.searchsorted(mine, h)]]
+    data, offsets = string_bytes(_ordered(docs).column("text"))
+    begins, ends, _ = word_spans(data, offsets)
+    at, to = _joined(asked.column("starts").to_pylist(), np.int32), _joined(asked.column("to").to_pylist(), np.int32)
+    out = []
     for block, i in _groups(to):
-        run = np.sort(at[i])
+        run = np.sort(at[i]).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], np.diff(run) != 1]))
         lengths = np.diff(np.concatenate([new, [len(run)]])) + WINDOW - 1
-        out.append((block, _runs_of_words(words, run[new], lengths).tobytes()))
+        out.append((block, _runs_of_words(data, begins, ends, run[new], lengths).tobytes()))
     return _table(_SHOWN_ROWS, out)
 
 
@@ -259,7 +263,7 @@ def _cut(docs: pa.Table, shown: pa.Table) -> pa.Table:
         lines = np.concatenate([[0], np.flatnonzero(before == 0x0A) + 1])
         words = _Words(np.concatenate([before, data]), np.concatenate([lines[:-1], offsets + len(before)]))
         upto = int(words.first[len(lines) - 1])
-    gone = earlier_windows(words, words.hashed(0)) - upto
+    gone = earlier_windows(words) - upto
     gone = gone[gone >= 0]
     step = np.zeros(int(first[-1]) + 1, dtype=np.int64)
     np.add.at(step, gone, 1)
@@ -279,9 +283,9 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grown = min(GROW_MOST, max(1.0, math.sqrt(total / GROW_FROM)))
     block_bytes, bucket_bytes = block_bytes * grown, bucket_bytes * grown
     n_blocks = max(1, math.ceil(total / block_bytes))
-    # a cover position takes 6 bytes, a candidate window about 14, of some 6.5 bytes of text
+    # a cover position takes 6 bytes, a candidate window about 18, of some 6.5 bytes of text
     anchor_buckets = max(1, math.ceil(total * len(COVER) / PERIOD * 6 / 6.5 / bucket_bytes))
-    window_buckets = max(1, math.ceil(total * 14 / 6.5 / 3 / bucket_bytes))
+    window_buckets = max(1, math.ceil(total * 18 / 6.5 / 3 / bucket_bytes))
     block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block")
     ids = F.col(id_col)
     docs = documents.select(ids.alias("row"), ids.cast("long").alias("place"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), block)
