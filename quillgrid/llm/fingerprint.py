@@ -1,9 +1,9 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text becomes words (runs of anything but ASCII white space) and its k-mers of
-``K`` consecutive words; a text of fewer than ``SHORT`` characters, where a word
-is too coarse a unit, becomes characters and k-mers of ``SHORT_K``. A text of
-fewer units is one k-mer. Each k-mer is numbered by
+A text becomes units (runs of anything but ASCII white space, longer ones in
+pieces of ``PIECE`` characters, so texts without spaces have units too) and its
+k-mers of ``K`` consecutive units; a text of fewer units is one k-mer. Units are
+the same for texts of every length. Each k-mer is numbered by
 its occurrence, so repeats count. Numbered k-mers are hashed once; the hash
 deals them to ``SKETCHES`` sketches and orders them within each. A sketch keeps
 its ``KEPT`` smallest, puts them back in text order and hashes the tuple: what
@@ -12,17 +12,19 @@ share of equal sketches falls with edit distance, not only with set overlap.
 
 A fingerprint is 8 hex digits a sketch, "--------" for a sketch without k-mers.
 ``likeness`` is the share of equal sketches among those that either text has;
-two texts without words are alike (1.0).
+two texts without units are alike (1.0).
 
 Everything is computed within the row on packed 64-bit integers (sorted arrays
-of hash and position), so no k-mer is ever shuffled.
+of hash and position), so no k-mer is ever shuffled. A position takes 30 bits:
+a string holds no more units than that.
 
-Defined results: null is an empty text; texts of any length are taken whole
-(beyond 2**24 words positions wrap, equal texts still agree); repeated rows get
+Defined results: null is an empty text; texts of any length are taken whole;
+repeated rows get
 equal fingerprints; in ``edited`` a row with a null doc_id stands outside the
 order and has an empty next document, rows that share a doc_id share its next
-document, which is the smallest text of the next greater doc_id; an empty table
-gives no rows; other columns are ignored.
+document, which is the smallest text of the next greater doc_id; doc_id may be
+of any type that has an order; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +36,13 @@ from quillgrid.llm.storage import materialise
 from quillgrid.llm.text import let
 
 K = 2
-SHORT = 64
-SHORT_K = 3
+PIECE = 8
 SKETCHES = 32
 KEPT = 2
 NONE = "--------"
 
-# A packed k-mer: sketch in bits 58 to 62, its order in bits 24 to 57, position of the k-mer below.
-_POS_BITS = 24
+# A packed k-mer: sketch in bits 58 to 62, its order in bits 30 to 57, position of the k-mer below.
+_POS_BITS = 30
 _SKETCH_SHIFT = 58
 _POS = (1 << _POS_BITS) - 1
 _HASH = ((1 << 63) - 1) ^ _POS
@@ -77,9 +78,9 @@ def _numbered(packed: Column) -> Column:
     return let(repeats, lambda d: F.when(F.size(d) == 0, packed).otherwise(merged(d)))
 
 
-def _sketches(units: Column, k: Column) -> Column:
-    kmer = lambda i: F.xxhash64(F.slice(units, i + 1, k))
-    last = F.greatest(F.size(units) - k, F.lit(0))
+def _sketches(units: Column) -> Column:
+    kmer = lambda i: F.xxhash64(F.slice(units, i + 1, K))
+    last = F.greatest(F.size(units) - K, F.lit(0))
     packed = F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: _bits(kmer(i), _HASH).bitwiseOR(_bits(i.cast("long"), _POS))))
 
     def smallest(s: Column) -> Column:
@@ -105,11 +106,8 @@ def _sketches(units: Column, k: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The Order MinHash fingerprint of a text."""
-    text = F.coalesce(text, F.lit(""))
-    short = F.length(text) < SHORT
-    units = F.array_remove(F.when(short, F.split(text, "")).otherwise(F.split(text, r"[\x20\x09-\x0D]+")), "")
-    k = F.when(short, F.lit(SHORT_K)).otherwise(F.lit(K))
-    return let(units, lambda u: F.when(F.size(u) == 0, F.lit(NONE * SKETCHES)).otherwise(let(k, lambda n: _sketches(u, n))))
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
+    return let(units, lambda u: F.when(F.size(u) == 0, F.lit(NONE * SKETCHES)).otherwise(_sketches(u)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -141,21 +139,21 @@ def edited(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, text, edited, fingerprint, edited_fingerprint, next_fingerprint for every row.
 
     ``edited`` is the text with its last quarter of characters replaced by the
-    first as many of the next document. Texts are dealt once by doc_id; of the
-    next document only the characters needed travel.
+    first as many of the next document. Texts are dealt once by doc_id, with
+    their fingerprints; of the next document only the characters needed travel.
     """
     # an alias that changes nothing would keep the planner from seeing that both exchanges are one
     ident = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")
-    texts = documents.select(ident, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # both joins read one exchange of plain texts; fingerprints are computed behind it
+    texts = documents.select(ident, F.coalesce(F.col(text_col), F.lit("")).alias("text"), fingerprint(F.col(text_col)).alias("fingerprint"))
+    # both joins read one exchange of texts and fingerprints
     placed = texts.where("doc_id IS NOT NULL")
     heads = placed.join(_order(documents, id_col, text_col), "doc_id")
-    heads = heads.select("prev_id", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), fingerprint(F.col("text")).alias("next"))
+    heads = heads.select("prev_id", F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"), F.col("fingerprint").alias("next"))
     heads = heads.groupBy("prev_id").agg(F.min(F.struct("head", "next")).alias("n"))
-    with_next = placed.join(heads, F.col("doc_id") == F.col("prev_id"), "left").select("doc_id", "text", "n.head", F.col("n.next").alias("next_fingerprint"))
+    with_next = placed.join(heads, F.col("doc_id") == F.col("prev_id"), "left").select("doc_id", "text", "fingerprint", "n.head", F.col("n.next").alias("next_fingerprint"))
     outside = texts.where("doc_id IS NULL").select("*", F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("next_fingerprint"))
     rows = with_next.union(outside)
     quarter = F.floor(F.length("text") / 4).cast("int")
     new = F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter))
-    rows = rows.select("doc_id", "text", new.alias("edited"), F.coalesce("next_fingerprint", F.lit(NONE * SKETCHES)).alias("next_fingerprint"))
-    return rows.select("doc_id", "text", "edited", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    rows = rows.select("doc_id", "text", "fingerprint", new.alias("edited"), F.coalesce("next_fingerprint", F.lit(NONE * SKETCHES)).alias("next_fingerprint"))
+    return rows.select("doc_id", "text", "edited", "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")

@@ -10,7 +10,7 @@ from quillgrid.llm import fingerprint as fp
 
 DOC = "doc_id long, text string"
 M64 = (1 << 64) - 1
-HASH, POS = ((1 << 63) - 1) ^ ((1 << 24) - 1), (1 << 24) - 1
+HASH, POS = ((1 << 63) - 1) ^ ((1 << 30) - 1), (1 << 30) - 1
 
 
 def h_strings(items, seed=42):
@@ -27,10 +27,7 @@ def h_ints(items, size, seed=42):
 
 def brute(text):
     """The fingerprint by plain loops over numbered k-mers."""
-    text = text or ""
-    short = len(text) < fp.SHORT
-    units = list(text) if short else re.findall(r"[^\x20\x09-\x0D]+", text)
-    k = fp.SHORT_K if short else fp.K
+    units, k = re.findall(r"[^\x20\x09-\x0D]{1,8}", text or ""), fp.K
     if not units:
         return fp.NONE * fp.SKETCHES
     kmers = [h_strings(units[i : i + k]) for i in range(max(1, len(units) - k + 1))]
@@ -83,6 +80,23 @@ def test_likeness_follows_order_and_edits(spark):
     assert like[4] == 1.0 and like[3] == 0.0 and 0.15 < like[1] < 0.7 and 0.2 < like[2] < 0.8
 
 
+def test_units_are_the_same_at_every_length(spark):
+    text = "the quick brown fox jumps over the lazy dog while apples fall down slowly"
+    pairs = [(text[:64], text[:63]), (text, text + " x"), ("x" * 40 + "y" * 24, "x" * 40 + "y" * 23), (LONG, LONG[:-5])]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).alias("l")).collect()
+    assert all(0.5 < r.l <= 1 for r in rows) and rows[0].l < 1, rows
+
+
+def test_no_python_node_and_two_fingerprints(spark):
+    plan = fp.edited(odd(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ids_of_other_types(spark):
+    rows = fp.edited(spark.createDataFrame([("a", "one two three four"), ("b", "five six")], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.edited for r in rows} == {"a": "one two three five", "b": "five sone"[:6] + "on"}
+
+
 def test_odd_rows(spark):
     rows = fp.edited(clashing(odd(spark)).union(clashing(odd(spark))))
     assert rows.count() == 18
