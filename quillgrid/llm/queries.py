@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quillgrid.llm import chat, decontam, fingerprint, neardup, quality, secrets, sentencepieces, substring_dedup, token_counts, toxicity
 
 
+#: The public vocabulary file that operators 1 and 3 read.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -22,7 +26,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(_documents(spark, sf_dir))
+    return token_counts.count(_documents(spark, sf_dir), MODEL)
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentencepieces.round_trip(_documents(spark, sf_dir))
+    rows = sentencepieces.round_trip(_documents(spark, sf_dir), MODEL)
     return rows.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),

@@ -10,12 +10,13 @@ Decoding joins the bytes of pieces and takes off the leading space, so encoding
 and decoding give back every text exactly.
 
 Defined results: null has null ids and decodes to null; an empty text has no
-ids; texts of any length are encoded whole; repeated rows agree; an empty table
-gives no rows; other columns are ignored by ``encode`` and ``decode``.
+ids; texts of any length are encoded whole; repeated rows agree; doc_id may be of
+any type; an empty table gives no rows; other columns are ignored by ``encode`` and ``decode``.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,16 +28,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from quillgrid.llm.hashing import slices
-from quillgrid.llm.unigram import DEFAULT_MODEL, MARK, Memory, Vocabulary, load, marked_words
+from quillgrid.llm.unigram import MARK, Memory, Vocabulary, load, marked_words
 
 
 _NO_ENDING = object()
 
 
+def _end_to_end(parts: list[bytes], most: int = 4096) -> bytes:
+    """All parts joined; in steps, because a join takes 80 bytes for each of its parts."""
+    if len(parts) <= most:
+        return b"".join(parts)
+    return b"".join([b"".join(parts[i : i + most]) for i in range(0, len(parts), most)])
+
+
 def best_paths(words: list[str], v: Vocabulary) -> dict[str, bytes]:
     """Packed little-endian 32-bit ids of the best path of each word."""
     out: dict[str, bytes] = {}
-    forward, came, before = [0.0], [0], ""
+    forward, came, before = array("d", [0.0]), array("i", [0]), ""  # 12 bytes a character of the longest word
     ending, packed, unknown = v.ending, v.packed, v.unknown
     for word in sorted(words):
         shared = 0
@@ -60,10 +68,10 @@ def best_paths(words: list[str], v: Vocabulary) -> dict[str, bytes]:
         while end:
             start = came[end]
             piece = word[start:end]
-            pieces.append(packed[piece] if piece in packed else v.pack(piece))
+            pieces.append(packed.get(piece) or v.pack(piece))
             end = start
         pieces.reverse()
-        out[word] = b"".join(pieces)
+        out[word] = _end_to_end(pieces)
         before = word
     return out
 
@@ -74,7 +82,7 @@ def _computer(v: Vocabulary):
 
 def spell(ids: list[int], spelled: list[bytes]) -> str:
     """The text of a sequence of ids."""
-    raw = b"".join(map(spelled.__getitem__, ids))
+    raw = _end_to_end(list(map(spelled.__getitem__, ids)))
     return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
@@ -90,7 +98,7 @@ def _encoded_parts(texts: pa.Array, memory: Memory) -> Iterator[tuple[int, int,
         part = texts.slice(i, j - i).to_pylist()
         words = [marked_words(t or "") for t in part]
         known = memory.of(list(chain.from_iterable(words)))
-        packed = [b"".join(map(known.__getitem__, w)) for w in words]
+        packed = [_end_to_end(list(map(known.__getitem__, w))) for w in words]
         ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
         yield i, j, pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([t is None for t in part], pa.bool_()))
@@ -109,21 +117,21 @@ def _encode(documents: DataFrame, model: str, id_col: str, text_col: str, decode
                     columns, names = [*columns, _spell_column(ids, shared.value.spelled)], [*names, "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>" + ", decoded string" * decoded)
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>" + ", decoded string" * decoded)
 
 
-def encode(documents: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, ids for every row."""
     return _encode(documents, model, id_col, text_col, False)
 
 
-def round_trip(documents: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(documents: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, ids and decoded, the text of the ids, for every row, in one pass."""
     return _encode(documents, model, id_col, text_col, True)
 
 
-def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """All columns and ``decoded``, the text of ``ids_col``."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(model).spelled)
     at = encoded.columns.index(ids_col)
