@@ -20,7 +20,7 @@ text.
 
 Defined results: null text and null role are empty strings; turns that tie are
 ordered by role, then text; repeated rows are repeated turns; a null conv_id is
-a conversation of its own; an empty table gives no rows; other columns are
+a conversation of its own; conv_id and turn are whole numbers; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.text import whole_numbers
+
 TITLES = {"user": "User", "assistant": "Assistant", "system": "System"}
 _ROLES = {v: k for k, v in TITLES.items()}
 _CONFLICTS = re.compile(r"\\|### |</turn>")
@@ -97,7 +99,7 @@ def render_turn(role: str | None, text: str | None) -> tuple[str, int, int]:
 
 def format_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, formatted, and the range of formatted under the loss mask (null: none)."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(whole_numbers(conversations, "conv_id").alias("conv_id"), whole_numbers(conversations, "turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -55,6 +55,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.hashing import coded_words, gram_codes, gram_hashes, mix, slices, string_bytes
 from quillgrid.llm.storage import discard, materialise
+from quillgrid.llm.text import whole_numbers
 
 ROWS = 4
 MISSED = 4.2e-7
@@ -148,7 +149,7 @@ def _sketch_batches(shingle: int, bands: int, rows: int):
 
 def sketches(documents: DataFrame, shingle: int, bands: int, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, the set's hash (set_a, set_b) and band keys of every row."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(whole_numbers(documents, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_sketch_batches(shingle, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
@@ -385,7 +386,7 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     members = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("node", "grp").agg(F.min("n").alias("n"))
     members, members_path = materialise(members, "members")
     # rows of one rep are equal sets or share a doc_id: one text a node is enough
-    docs = documents.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    docs = documents.select(whole_numbers(documents, id_col).alias("node"), F.col(text_col).alias("text"))
 
     def compared(tasks: DataFrame, links, *more: str) -> DataFrame:
         # a merge join at every size: what is broadcast would grow with the input, and the plan would turn over at some size

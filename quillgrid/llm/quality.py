@@ -16,7 +16,7 @@ Defined results: null and empty texts have no words and the score of that;
 several ratings of one document count as their least; without ratings of at
 least two grades the expected grade is that grade (0 if none) and the tail
 probability 0 or 1 accordingly; if rated documents that are there have fewer than
-two grades, every text has the shares of the ratings; repeated rows agree; an empty table gives no
+two grades, every text has the shares of the ratings; repeated rows agree; doc_id may be of any type; an empty table gives no
 rows; other columns are ignored by ``rate`` and kept by ``select``.
 """
 
@@ -135,7 +135,7 @@ def _learn(model: Model, x: tuple, y: np.ndarray, share: np.ndarray, rounds: int
 
 def fit(documents: DataFrame, ratings: DataFrame, grade: Column, grades: int, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of grades 0 to grades - 1 from a bounded sample of rated documents."""
-    known = ratings.select(F.col(id_col).cast("long").alias("doc_id"), grade.cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
+    known = ratings.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = Model(np.zeros(BUCKETS), np.zeros(MEASURES), np.zeros(MEASURES), np.ones(MEASURES), 0.0, np.zeros(grades - 2), grades)
     if len(share) < 2:
@@ -170,8 +170,8 @@ def rate(documents: DataFrame, model: Model, at_least: int = 1, id_col: str = "d
                 tail = tails(model, _score(model, *read(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(tail.sum(1)), pa.array(tail[:, at_least - 1])], ["doc_id", "expected_grade", "tail_probability"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, expected_grade double, tail_probability double")
 
 
 def select(documents: DataFrame, model: Model, at_least: int = 1, probability: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

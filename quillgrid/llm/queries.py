@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import chat, decontam, fingerprint, neardup, quality, secrets, sentencepieces, substring_dedup, token_counts, toxicity
@@ -81,12 +81,16 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_documents(spark, sf_dir), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def grade() -> Column:
+    """0 poor and toxic, 1 one of both, 2 neither; null without a rating of quality. A missing mark of toxicity is none."""
+    return F.when(F.col("quality").isNotNull(), F.col("quality") + F.when(F.col("toxic") == 1, 0).otherwise(1))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 poor, 1 good but toxic, 2 good. A document is kept if it is likelier good than poor."""
+    """Grades count what is right with a document: it is of quality, it is not toxic. Kept if both is likelier than not."""
     documents = _documents(spark, sf_dir)
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    model = quality.fit(documents, _read(spark, sf_dir, "labels"), F.when(F.col("quality").isNotNull(), grade), 3)
-    rated = quality.rate(documents, model, at_least=1)
+    model = quality.fit(documents, _read(spark, sf_dir, "labels"), grade(), 3)
+    rated = quality.rate(documents, model, at_least=2)
     return rated.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("kept"))
 
 

@@ -20,7 +20,7 @@ def draw(documents: DataFrame, known: DataFrame, most: dict[int, int], id_col: s
     over; if none fits, the shortest stands for its class.
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     usable = texts.select("doc_id", F.length("text").cast("long").alias("size")).join(known, "doc_id").groupBy("doc_id", "y").agg(F.sum("size").alias("size"))
     usable, path = materialise(usable, "usable")
     picked = []
@@ -32,5 +32,5 @@ def draw(documents: DataFrame, known: DataFrame, most: dict[int, int], id_col: s
                 taken.append((r["doc_id"], y))
         picked += taken or [(r["doc_id"], y) for r in mine.orderBy("size", "doc_id").limit(1).collect()]
     discard(spark, path)
-    ids = spark.createDataFrame(picked, "doc_id long, y int")
+    ids = spark.createDataFrame(picked, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, y int")
     return texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sum(most.values())).toArrow()

@@ -11,7 +11,7 @@ each span, overlapping ones together, by ``[secret]``.
 
 Defined results: null text is an empty text and has no spans; each row is
 scanned by itself, so ties and repeated rows get equal results; texts of any
-length are scanned whole; an empty table gives an empty result; other columns
+length are scanned whole; doc_id may be of any type; an empty table gives an empty result; other columns
 are ignored by ``scan`` and kept by ``redact``.
 """
 
@@ -52,7 +52,7 @@ _KEYWORDS = {
 }
 _EXPRESSIONS = {"assign": ASSIGN, "access": ACCESS, "checked": CHECKED}
 
-SCHEMA = "doc_id long, n_chars long, spans array<struct<kind:string,start:int,end:int>>"
+SCHEMA = "n_chars long, spans array<struct<kind:string,start:int,end:int>>"
 
 
 def crc_valid(token: str) -> bool:
@@ -148,8 +148,8 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, spans for every row."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan_batches, SCHEMA)
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_scan_batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]") -> str:

@@ -52,6 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.hashing import coded_words, gram_hashes, joined_hashes, repeated, string_bytes, within, word_spans
+from quillgrid.llm.text import whole_numbers
 
 WINDOW = 20
 PERIOD = 13
@@ -288,7 +289,7 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     window_buckets = max(1, math.ceil(total * 18 / 6.5 / 3 / bucket_bytes))
     block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block")
     ids = F.col(id_col)
-    docs = documents.select(ids.alias("row"), ids.cast("long").alias("place"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), block)
+    docs = documents.select(ids.alias("row"), whole_numbers(documents, id_col).alias("place"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), block)
     anchors = docs.groupBy("block").applyInArrow(_send_anchors(anchor_buckets), _ddl(_ANCHOR_ROWS))
     repeated = anchors.groupBy("bucket").applyInArrow(_answer_anchors, _ddl(_ANSWER_ROWS))
     windows = docs.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_send_windows(window_buckets), _ddl(_WINDOW_ROWS))

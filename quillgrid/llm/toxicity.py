@@ -24,8 +24,8 @@ exclusive).
 Defined results: null and empty texts have no tokens and the score of that;
 without any usable label (none, or one class only) every score is the share of
 toxic labels, 0 if there are none; several labels of one document count as the
-greatest; rows are scored by themselves, so repeated rows agree; an empty table
-gives no rows; other columns are ignored.
+greatest; rows are scored by themselves, so repeated rows agree; doc_id may be of
+any type; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = Model(np.zeros(BUCKETS + 1), np.zeros(2), np.zeros((2, 2)), np.zeros(4))
     if len(share) < 2:
@@ -260,8 +260,8 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[hit], np.arange(j - i + 1)), pa.int32()), spans)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(_scores(model, p, counts)), lists], ["doc_id", "score", "spans"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
 def reject(documents: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from helpers import clashing, empty, odd
 from pyspark.sql import functions as F
 
-from quillgrid.llm import neardup, storage
+from quillgrid.llm import neardup, storage, substring_dedup
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.hashing import string_bytes
 
@@ -200,3 +200,9 @@ def test_odd_rows_and_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 7, 8]
     null = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (None, "a b c")], DOC)
     assert sorted((r.component_id or 0, r.kept) for r in neardup.classes(null).collect()) == [(0, True), (0, True), (1, True)]
+
+
+def test_ids_have_to_be_whole_numbers(spark):
+    for f in (neardup.classes, substring_dedup.dedup):
+        with pytest.raises(TypeError, match="whole number"):
+            f(spark.createDataFrame([("a", "x")], "doc_id string, text string"))

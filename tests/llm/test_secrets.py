@@ -75,3 +75,8 @@ def test_odd_rows(spark):
     assert len(got) == 9 and got[1].n_chars == got[2].n_chars == 0 and got[5].spans == got[6].spans
     assert secrets.scan(empty(spark)).count() == 0
     assert secrets.redact(clashing(odd(spark))).columns == clashing(odd(spark)).columns
+
+
+def test_ids_of_other_types(spark):
+    rows = secrets.scan(spark.createDataFrame([("a", "token=abcdef12"), (None, None)], "doc_id string, text string")).collect()
+    assert {r.doc_id: len(r.spans) for r in rows} == {"a": 1, None: 0}

@@ -103,3 +103,10 @@ def test_long_and_absent_documents_leave_a_sample(spark):
     scores = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
     mean = lambda y: np.mean([scores[i] for i, _, toxic in labels if toxic == y])
     assert mean(1) > mean(0) + 0.2
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(f"d{i}", "grotvile words" if i % 3 == 0 else "plain words") for i in range(200)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(200)], "doc_id string, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert scores["d0"] > 0.3 > scores["d1"] and len(scores) == 200
