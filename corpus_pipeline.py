@@ -1,8 +1,17 @@
 """Corpus pipeline: from raw documents to encoded training text.
 
 Every stage takes the documents its predecessor kept, all rows and whole texts,
-and is written as Parquet and read again before the next one starts. All but the
-last return the columns of ``documents``.
+and is written as Parquet and read again before the next one starts; what a
+stage wrote on its way is deleted once its own table is there. All but the last
+return the columns of ``documents``, and extra columns of any name as they were.
+
+Defined results: a null or empty text is not toxic, no copy of another, holds no
+benchmark window and no secret, and passes all stages; it has no ids, and null
+ids decode to null. Rows that share a doc_id are judged each by its own text,
+but one that is a later copy of another document's text goes with its doc_id.
+Rows that repeat doc_id and text pass together. A null doc_id is nobody's copy.
+Texts are taken whole at any length. An empty ``documents`` gives no rows;
+without labels no document is toxic, without benchmark items none contaminated.
 """
 
 from __future__ import annotations
@@ -13,16 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import decontam, neardup, secrets, sentencepieces, toxicity
-from quillgrid.llm.storage import materialise
-
-#: A document is rejected if it is more likely toxic than not.
-REJECT_FROM = 0.5
+from quillgrid.llm.queries import MODEL
+from quillgrid.llm.storage import discard_written, kept_tables, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labels, does not reject."""
+    """Documents that the toxicity model, learned from the labels, does not reject, at the operator's own threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.reject(docs, toxicity.fit(docs, labels), REJECT_FROM)
+    return toxicity.reject(docs, toxicity.fit(docs, labels))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text exactly."""
-    rows = sentencepieces.round_trip(docs)
+    rows = sentencepieces.round_trip(docs, MODEL)
     return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
@@ -62,6 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The encoded documents after all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = kept_tables()
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), name)
+        docs, path = materialise(stage(spark, docs, sf_dir), name)
+        discard_written(spark, but=[*others, path])
     return STAGES[-1][1](spark, docs, sf_dir)
