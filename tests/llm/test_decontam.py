@@ -60,6 +60,17 @@ def test_shuffled_join_equals_broadcast(spark, monkeypatch):
     first = sorted(map(str, decontam.scan(a, b).collect()))
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     assert sorted(map(str, decontam.scan(a, b).collect())) == first
+    monkeypatch.setattr(decontam, "BROADCAST_HASHES", 0)
+    assert sorted(map(str, decontam.scan(a, b).collect())) == first
+
+
+def test_a_window_of_many_items_is_one_row_a_position(spark):
+    items = spark.createDataFrame([(i, PASSAGE) for i in range(50)], ITEMS)
+    docs = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string")
+    assert decontam.hits(docs, items).count() == len(norm(PASSAGE)) - 9
+    assert len(decontam.scan(docs, items).first()["items"]) == 50
+    plan = decontam.scan(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_removal(spark):
