@@ -2,9 +2,10 @@ import random
 
 import corpus_pipeline
 import pytest
+from helpers import clashing, empty, odd
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontam, neardup, secrets, toxicity
+from quillgrid.llm import decontam, neardup, secrets, storage, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,3 +74,44 @@ def test_run(spark, folder):
     assert rows[900].n_tokens == rows[901].n_tokens == 0
     model = toxicity.fit(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
     assert model.constant is None and decontam.WINDOW == 10 and secrets.BASE == 3
+
+
+def tables(spark, path, docs, labels=(), bench=()):
+    docs.write.parquet(f"file://{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
+    spark.createDataFrame(list(bench), "item_id long, text string").write.parquet(f"file://{path}/benchmark.parquet")
+    return f"file://{path}"
+
+
+def test_empty_tables(spark, tmp_path):
+    path = tables(spark, tmp_path / "a", empty(spark))
+    assert corpus_pipeline.run(spark, path).count() == 0
+    path = tables(spark, tmp_path / "b", empty(spark), [(1, 1, 1), (2, 0, 0)], [(1, "a b c")])
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs = clashing(odd(spark))
+    path = tables(spark, tmp_path / "a", docs, [(1, 1, 0), (4, 0, 0)], [(1, "same " * 10)])
+    kept = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, path)
+        assert sorted(kept.columns) == sorted(docs.columns)
+        kept = spark.createDataFrame(kept.collect(), docs.schema)
+    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, path).collect()}
+    # 6 and 9 are copies of 5 and 4, 7 holds the benchmark's window
+    assert set(rows) == {1, 2, 3, 4, 5, 8} == {r.doc_id for r in kept.collect()}
+    assert all(r.round_trip for r in rows.values()) and rows[1].ids is None and rows[5].n_tokens > 20_000
+
+
+def test_repeated_rows_pass_together(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three", "en", "s", 13), (1, "one two three", "en", "s", 13), (None, "one two three", "en", "s", 13), (2, "one two three", "en", "s", 13)], DOCS)
+    rows = corpus_pipeline.run(spark, tables(spark, tmp_path / "a", docs)).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 1]
+
+
+def test_tables_of_stages_are_deleted(spark, folder):
+    before = storage.kept_tables()
+    corpus_pipeline.run(spark, folder[0])
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in storage.kept_tables() if p not in before]
+    assert left == ["secrets"]
