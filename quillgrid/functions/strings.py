@@ -113,8 +113,10 @@ def wiki_links(text: Column) -> Column:
     return F.transform(inner, lambda x: F.substring_index(x, "|", 1))
 
 
-def render_hits(ordinal: Column, name: Column, path: Column) -> Column:
-    return F.concat(ordinal.cast("string"), F.lit(". "), name, F.lit(" ("), path, F.lit(")"))
+def render_hits(ordinal: Column, name: Column, path: Column, score: Column | None = None) -> Column:
+    """A hit as a line; with a score, to two decimals, where there is one."""
+    line = F.concat(ordinal.cast("string"), F.lit(". "), name, F.lit(" ("), path, F.lit(")"))
+    return line if score is None else F.concat(line, F.coalesce(F.format_string(" [score: %.2f]", score), F.lit("")))
 
 
 def is_provider_id(text: Column) -> Column:

@@ -125,39 +125,42 @@ def headers(text: Column) -> Column:
     return F.when(blank, F.create_map().cast("map<string,string>")).otherwise(plain)
 
 
+def _number(digits: str) -> int | float:
+    """A JSON number with a fraction or exponent; a whole one is written without, as in JSON of other languages."""
+    value = float(digits)
+    return int(value) if value.is_integer() and abs(value) < 1e21 else value
+
+
+def _read(raw: str) -> object:
+    return json.loads(raw, parse_float=_number)
+
+
 def _pretty(value: object) -> str:
-    return json.dumps(value, indent=2, ensure_ascii=False)
+    return value if isinstance(value, str) else json.dumps(value, indent=2, ensure_ascii=False)
 
 
-def render_output(value: object) -> str:
-    """A tool output for reading: text blocks line by line, nested content opened, other values as JSON."""
-    if value is None:
-        return ""
-    if isinstance(value, str):
-        return value
-    if isinstance(value, list):
-        lines = []
-        for x in value:
-            if isinstance(x, dict) and x.get("type") == "text" and "text" in x:
-                lines.append(render_value(x["text"]))
-            elif isinstance(x, dict) and x.get("type") == "json" and "data" in x:
-                lines.append(_pretty(x["data"]))
-        if any(lines):
-            return "\n".join(x for x in lines if x)
-    if isinstance(value, dict):
-        if value.get("type") == "text" and "text" in value:
-            return render_value(value["text"])
-        if "content" in value:
-            return render_output(value["content"])
-    return _pretty(value)
+def _block(value: object) -> str:
+    """What a block of an output shows; '' for blocks of other kinds."""
+    match value:
+        case {"type": "text", "text": shown}:
+            return _pretty(shown)
+        case {"type": "json", "data": shown}:
+            return json.dumps(shown, indent=2, ensure_ascii=False)
+    return ""
 
 
-def render_value(value: object) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    return value if isinstance(value, str) else _pretty(value) if isinstance(value, (dict, list)) else str(value)
+def render_output(value: object) -> str:
+    """A tool output for reading: text as it is, the blocks of a list line by line, content in place of its wrapping, else JSON."""
+    match value:
+        case None:
+            return ""
+        case {"type": "text", "text": _}:
+            return _block(value)
+        case {"content": inner}:
+            return render_output(inner)
+        case list():
+            return "\n".join(filter(None, map(_block, value))) or _pretty(value)
+    return _pretty(value)
 
 
 @F.pandas_udf(StringType())
@@ -166,14 +169,13 @@ def tool_output(values: pd.Series) -> pd.Series:
 
     def one(raw):
         try:
-            return render_output(None if raw is None else json.loads(raw))
+            return render_output(None if raw is None else _read(raw))
         except ValueError:
             return raw
 
     return values.map(one)
 
 
-
 def _block_text(value: object) -> str:
     if isinstance(value, str):
         return value

@@ -5,7 +5,7 @@ Sides are left to the optimiser, which broadcasts only what it knows is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import strings
@@ -40,9 +40,9 @@ def configured_first(rows: DataFrame, order: str) -> DataFrame:
 
 
 def grouped(options: DataFrame, group: str, order: str) -> DataFrame:
-    """Groups in the order they are first seen, with their size and place."""
+    """Groups in the order they are first seen (a sort over all tasks, no ranking in one), with their size and first place."""
     rows = options.groupBy(F.coalesce(group, F.lit("")).alias("grp")).agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("first_seen", "grp")).cast("long"))
+    return rows.orderBy("first_seen", "grp")
 
 
 def selected(models: DataFrame, provider: str, model: str, order: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +47,10 @@ def _equals(term: str) -> Callable[[Column], Column]:
 def bm25(notes: DataFrame, query: str, most: int = CAP, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Ranked search by BM25 over lower-cased words (our own scorer: the plugin that ranks is outside the reference)."""
     terms = sorted({w for w in query.lower().split() if w})
-    split = notes.select("path", "name", "ord", F.split(F.lower("content"), r"[^\p{L}\p{N}]+").alias("words"))
-    words = F.col("words")
-    counted = split.select("path", "name", "ord", F.size(words).alias("len"), *[F.size(F.filter(words, _equals(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    words = F.split(F.lower("content"), r"[^\p{L}\p{N}]+")
+    counts = lambda w: F.struct(F.size(w).alias("len"), *[F.size(F.filter(w, _equals(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    # a text is split once: its counts are kept, narrow, for the totals and for the scores (lost ones are counted again)
+    counted = notes.select("path", "name", "ord", F.transform(F.array(words), counts)[0].alias("c")).select("path", "name", "ord", "c.*").persist(StorageLevel.DISK_ONLY)
     # one row of totals comes back to the driver and goes into the plan as numbers
     stats = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
     docs, mean = stats["docs"], stats["mean"] or 1.0
@@ -58,7 +60,10 @@ def bm25(notes: DataFrame, query: str, most: int = CAP, k1: float = 1.2, b: floa
         tf = F.col(f"tf_{i}")
         score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / mean))
     scored = counted.withColumn("score", score).where("score > 0")
-    return scored.select("ord", "path", "name", "score").orderBy(F.desc("score"), "ord").limit(limit_of(most))
+    top = scored.select("ord", "path", "name", "score").orderBy(F.desc("score"), "ord").limit(limit_of(most))
+    found = notes.sparkSession.createDataFrame(top.collect(), top.schema)  # ``CAP`` rows at most
+    counted.unpersist()
+    return found
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -78,12 +83,17 @@ def vector_search(vectors: DataFrame, query: Column, most: int = 100, threshold:
 
 
 def search(notes: DataFrame, query: str, algorithm: str = "grep", most: int = CAP, rank: Callable[[str], DataFrame] | None = None) -> DataFrame:
-    """Search by name of algorithm; where a ranked backend is missing or fails, and for vectors, substring search serves."""
+    """Search by name of algorithm; where a ranked backend is missing or fails, and for vectors, substring search serves.
+
+    The backend's hits, ``CAP`` at most, are fetched here, so it also counts as failed if it fails when it runs.
+    """
     if algorithm == "ranked" and rank is not None:
         try:
-            return ranked_hits(rank(query), notes, most)
+            top = rank(query).orderBy(F.desc("score"), "path").limit(limit_of(most))
+            hits = notes.sparkSession.createDataFrame(top.collect(), top.schema)
         except Exception:  # noqa: BLE001  the backend is someone else's
-            pass
+            return grep(notes, query, most)
+        return ranked_hits(hits, notes, most)
     return grep(notes, query, most)
 
 

@@ -35,13 +35,22 @@ def merged_content() -> Column:
     return F.when(F.count_if(said) == 1, F.coalesce(only, F.lit(""))).otherwise(F.coalesce(last, F.lit("")))
 
 
+def merged_calls() -> Column:
+    """The tool calls of all assistant messages of a pair end to end, in order; null if there are none."""
+    said = F.when(F.col("role") == "assistant", F.struct("seq", F.col("tool_calls").alias("calls")))
+    calls = F.flatten(F.transform(F.array_sort(F.collect_list(said)), lambda x: F.coalesce(x["calls"], F.array())))
+    return F.when(F.size(calls) > 0, calls)
+
+
 def pairs(messages: DataFrame) -> DataFrame:
-    """One row per pair: thread_id, pair, first_seq, user_text, n_assistant, content."""
+    """One row per pair: thread_id, pair, first_seq, user_text, n_assistant, content, and tool_calls if messages have them."""
+    calls = [merged_calls().alias("tool_calls")] if "tool_calls" in messages.columns else []
     rows = paired(messages).groupBy("thread_id", "pair", "orphan").agg(
         F.min("seq").alias("first_seq"),
         F.coalesce(F.max(F.when(F.col("role") == "user", F.col("text"))), F.lit("")).alias("user_text"),
         F.count_if(F.col("role") == "assistant").alias("n_assistant"),
         merged_content().alias("content"),
+        *calls,
     )
     return rows.drop("orphan")
 
@@ -146,10 +155,15 @@ def merge_metadata(existing: Column, added: Column) -> Column:
     return F.map_concat(kept, added)
 
 
-def joined_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens of each run in order, as one text; a run's text has to fit a row."""
+#: Places of a thread that go into one row of joined tokens.
+TOKEN_SPAN = 100_000
+
+
+def joined_tokens(tokens: DataFrame, span: int = TOKEN_SPAN) -> DataFrame:
+    """thread_id, part, text: tokens of each thread in order, joined ``span`` places at a time, so no row grows with its thread."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "token")))
-    return tokens.groupBy("thread_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("text"))
+    part = F.floor(F.col("seq") / span).alias("part")
+    return tokens.groupBy("thread_id", part).agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("text"))
 
 
 def write_snapshots(index: DataFrame, snapshots: DataFrame) -> DataFrame:

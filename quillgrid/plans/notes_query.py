@@ -7,6 +7,10 @@ conditions come before lists are flattened.
 
 Our rules where none are written down: a missing property is null, comparisons
 with null are false, sorts put nulls last.
+
+Groups stay rows: a grouped query gives the rows of each group in order, with the
+group's key, so a group of any size is spread over tasks. Its sort, limit and
+offset are those of the keys.
 """
 
 from __future__ import annotations
@@ -60,15 +64,18 @@ class NotesQuery:
             name, values = self.flatten
             rows = rows.select("*", F.explode(values).alias(name))
         if self.group is not None:
-            # rows of a group are listed in scan order; what is listed is bounded by the group
-            listed = F.array_sort(F.collect_list(F.struct("ord", F.col("path").alias("link"), *[c.alias(n) for n, c in self.fields.items()])))
-            rows = rows.groupBy(self.group.alias("key")).agg(listed.alias("rows"))
-            out = ["key", "rows"]
-        else:
-            rows = rows.select("*", *[c.alias(f"_{n}") for n, c in self.fields.items()])
-            out = [F.col("path").alias("link"), *[F.col(f"_{n}").alias(n) for n in self.fields]]
-        if self.sort:
-            rows = rows.orderBy(*self.sort)
+            return self._grouped(rows)
+        rows = rows.select("*", *[c.alias(f"_{n}") for n, c in self.fields.items()])
+        return self._cut(rows).select(F.col("path").alias("link"), *[F.col(f"_{n}").alias(n) for n in self.fields])
+
+    def _cut(self, rows: DataFrame) -> DataFrame:
+        rows = rows.orderBy(*self.sort) if self.sort else rows
         rows = rows.offset(self.offset) if self.offset else rows
-        rows = rows if self.limit is None else rows.limit(self.limit)
-        return rows.select(*out)
+        return rows if self.limit is None else rows.limit(self.limit)
+
+    def _grouped(self, rows: DataFrame) -> DataFrame:
+        """key, n (rows of the group), ord, link and fields, in order of key and then of the scan."""
+        rows = rows.select(self.group.alias("key"), "ord", F.col("path").alias("link"), *[c.alias(n) for n, c in self.fields.items()])
+        keys = self._cut(rows.groupBy("key").agg(F.count("*").alias("n")))
+        joined = rows.join(keys.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")))
+        return joined.select("key", "n", "ord", "link", *self.fields).orderBy(F.asc_nulls_last("key"), "ord")

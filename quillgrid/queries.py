@@ -372,19 +372,13 @@ def default_merge(spark, d):
     return catalog.merge_defaults(defaults, own, "key", "value")
 
 
-@_query("SELECT doc_id, doc_id % 3 = 0 AS is_configured FROM documents ORDER BY is_configured DESC, doc_id LIMIT 50")
-def configured_first_sort(spark, d):
-    rows = tables.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3 == 0).alias("is_configured"))
-    return catalog.configured_first(rows, "doc_id").limit(50)
-
-
 @_query("SELECT doc_id, doc_id % 3 = 0 AS is_configured FROM documents ORDER BY is_configured DESC, doc_id")
-def configured_first_whole(spark, d):
+def configured_first_sort(spark, d):
     rows = tables.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3 == 0).alias("is_configured"))
     return catalog.configured_first(rows, "doc_id")
 
 
-@_query("SELECT lang AS grp, count(*) AS n, min(doc_id) AS first_seen, row_number() OVER (ORDER BY min(doc_id)) AS place FROM documents GROUP BY lang")
+@_query("SELECT lang AS grp, count(*) AS n, min(doc_id) AS first_seen FROM documents GROUP BY lang")
 def grouped_options(spark, d):
     return catalog.grouped(tables.table(spark, d, "documents"), "lang", "doc_id")
 
@@ -426,24 +420,13 @@ def wildcard_match(spark, d):
     return tables.table(spark, d, "documents").where(strings.wildcard(F.col("text"), "th*ing")).select("doc_id")
 
 
-@_query("SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
-def slugify(spark, d):
-    return _documents(spark, d, strings.slug(F.left("text", F.lit(40))).alias("slug"))
-
-
 @_query("SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
-def slugify_whole(spark, d):
+def slugify(spark, d):
     return _documents(spark, d, strings.slug(F.col("text")).alias("slug"))
 
 
-@_query("SELECT c_custkey, CASE WHEN length(left(c_name, n)) > 9 THEN left(left(c_name, n), 3) || '...' || right(left(c_name, n), 4) ELSE left(c_name, n) END AS masked FROM (SELECT *, CAST(c_custkey % 15 AS INTEGER) AS n FROM customer)")
-def mask_secret(spark, d):
-    name = F.left("c_name", (F.col("c_custkey") % 15).cast("int"))
-    return tables.table(spark, d, "customer").select("c_custkey", strings.mask_secret(name).alias("masked"))
-
-
 @_query("SELECT c_custkey, CASE WHEN length(c_name) > 9 THEN left(c_name, 3) || '...' || right(c_name, 4) ELSE c_name END AS masked FROM customer")
-def mask_secret_whole(spark, d):
+def mask_secret(spark, d):
     return tables.table(spark, d, "customer").select("c_custkey", strings.mask_secret(F.col("c_name")).alias("masked"))
 
 
@@ -455,13 +438,8 @@ def title_case(spark, d):
     return tables.table(spark, d, "part").select("p_partkey", strings.title_from_snake(name).alias("title"))
 
 
-@_query("""SELECT doc_id, left(trim(regexp_replace(regexp_replace(left(text, 160), '[<>:"/|?*\\\\]', '-', 'g'), '\\s+', ' ', 'g')), 100) AS name FROM documents""")
-def sanitize_filename(spark, d):
-    return _documents(spark, d, strings.file_name(F.left("text", F.lit(160))).alias("name"))
-
-
 @_query("""SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '[<>:"/|?*\\\\]', '-', 'g'), '\\s+', ' ', 'g')), 100) AS name FROM documents""")
-def sanitize_filename_whole(spark, d):
+def sanitize_filename(spark, d):
     return _documents(spark, d, strings.file_name(F.col("text")).alias("name"))
 
 
@@ -477,9 +455,10 @@ def uuid7_timestamp(spark, d):
     return _events(spark, d).select("event_id", dates.uuid7_millis(value).alias("millis"), dates.is_uuid7(value).alias("valid"))
 
 
-@_query("SELECT doc_id, lang AS language, source || '=x' AS origin, CAST(2 AS BIGINT) AS n FROM documents")
+@_query("SELECT doc_id, lang || '/' || coalesce(trim(regexp_extract(text, '^[^\\n=]*')), '') AS language, source || '=x' AS origin, CAST(2 AS BIGINT) AS n FROM documents")
 def parse_kv_lines(spark, d):
-    lines = F.concat(F.lit("LANG=first\n\n no separator\n =blank\nLANG = "), F.col("lang"), F.lit("\nSRC="), F.col("source"), F.lit("=x "))
+    first = F.regexp_replace(F.regexp_extract(F.coalesce("text", F.lit("")), "^[^\\n=]*", 0), "^ +| +$", "")
+    lines = F.concat(F.lit("LANG=first\n\n no separator\n =blank\nLANG = "), F.col("lang"), F.lit("/"), first, F.lit("\nSRC="), F.col("source"), F.lit("=x "))
     found = strings.key_values(lines, "=")
     return _documents(spark, d, found["LANG"].alias("language"), found["SRC"].alias("origin"), F.size(found).cast("long").alias("n"))
 
@@ -490,14 +469,8 @@ def names_and_keys(spark, d):
     return _documents(spark, d, strings.last_segment(F.concat(F.lit("a:"), F.col("lang"))).alias("tail"), strings.thread_name(name).alias("thread"), strings.composite_key(F.col("source"), F.col("lang")).alias("key"))
 
 
-@_query("""SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN left(text, 20) || left(text, 5) ELSE left(text, 20) END AS text FROM conversations WHERE turn % 5 <> 4""")
-def message_normalization(spark, d):
-    """Turns in the four serialized shapes, back to roles and texts; those of an unknown type drop out."""
-    return _normalized(spark, d, F.left("text", F.lit(20)), F.left("text", F.lit(5)))
-
-
 @_query("""SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN text || text ELSE text END AS text FROM conversations WHERE turn % 5 <> 4""")
-def message_normalization_whole(spark, d):
+def message_normalization(spark, d):
     return _normalized(spark, d, F.col("text"), F.col("text"))
 
 
@@ -532,10 +505,9 @@ def notes_query_table(spark, d):
     return query.run(_notes(spark, d))
 
 
-@_query("SELECT source AS key, count(*) AS n, string_agg('doc-' || doc_id, ' ' ORDER BY doc_id) AS names FROM documents WHERE lang = 'es' GROUP BY source")
+@_query(f"SELECT source AS key, count(*) OVER (PARTITION BY source) AS n, doc_id AS ord, {_PATH} AS link, 'doc-' || doc_id AS name FROM documents WHERE lang = 'es'")
 def notes_query_group_by(spark, d):
-    grouped = NotesQuery({"name": F.col("name")}, source=tag("es"), group=prop("source")).run(_notes(spark, d))
-    return grouped.select("key", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["name"]), " ").alias("names"))
+    return NotesQuery({"name": F.col("name")}, source=tag("es"), group=prop("source")).run(_notes(spark, d))
 
 
 @_query(f"SELECT {_PATH} AS link, t AS tag FROM (SELECT *, unnest(['#' || lang, '#' || source]) AS t FROM documents) ORDER BY t, doc_id LIMIT 25 OFFSET 5")
@@ -546,11 +518,13 @@ def notes_query_flatten(spark, d):
 # Streams
 
 
-def _stream_events(spark, d):
-    e = _events(spark, d)
+def _stream_events(spark, d, events=None):
+    """A table of events, or a stream of them, as chat events."""
+    e = _events(spark, d) if events is None else events
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in (("click", "tool_start"), ("view", "tool_end"), ("purchase", "token"), ("error", "result")) for x in pair]), F.col("event_type"))
     return e.select(
         F.col("user_id").cast("string").alias("thread_id"),
+        F.floor(F.col("event_id") / 1000).cast("string").alias("run_id"),
         F.col("event_id").alias("seq"),
         F.coalesce(kind, F.lit("checkpoint_message")).alias("type"),
         F.concat(F.lit("t"), (F.col("event_id") % 10).cast("string")).alias("token"),
@@ -562,35 +536,40 @@ def _stream_events(spark, d):
 
 
 _STREAM = """
-WITH e AS (SELECT CAST(user_id AS VARCHAR) AS thread_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'tool_start' WHEN 'view' THEN 'tool_end' WHEN 'purchase' THEN 'token' WHEN 'error' THEN 'result' ELSE 'checkpoint_message' END AS type,
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS thread_id, CAST(event_id // 1000 AS VARCHAR) AS run_id, event_id AS seq, event_type, props, CASE event_type WHEN 'click' THEN 'tool_start' WHEN 'view' THEN 'tool_end' WHEN 'purchase' THEN 'token' WHEN 'error' THEN 'result' ELSE 'checkpoint_message' END AS type,
                   't' || (event_id % 10) AS token, CAST(event_id % 60 AS VARCHAR) AS tool_call_id FROM events),
-tool AS (SELECT thread_id, tool_call_id, min(seq) AS first_seq, CASE WHEN bool_or(type = 'tool_end') THEN 'completed' ELSE 'running' END AS status FROM e WHERE type IN ('tool_start', 'tool_end') GROUP BY ALL)
+tool AS (SELECT thread_id, run_id, tool_call_id, min(seq) AS first_seq, 'tool' AS tool_name, CASE WHEN bool_or(type = 'tool_end') THEN 'completed' ELSE 'running' END AS status,
+                coalesce(arg_max(props, seq) FILTER (WHERE type = 'tool_start'), '{}') AS input, arg_max(event_type, seq) FILTER (WHERE type = 'tool_end') AS output
+         FROM e WHERE type IN ('tool_start', 'tool_end') GROUP BY thread_id, run_id, tool_call_id)
 """
 
 
-@_query(_STREAM + "SELECT thread_id, string_agg(token, '' ORDER BY seq) AS text FROM e WHERE type = 'token' GROUP BY thread_id")
+@_query(_STREAM + "SELECT thread_id, seq // 4000 AS part, string_agg(token, '' ORDER BY seq) AS text FROM e WHERE type = 'token' GROUP BY thread_id, part")
 def token_concat(spark, d):
-    return threads.joined_tokens(folds.forwarded(_stream_events(spark, d)).where("type = 'token'"))
+    return threads.joined_tokens(folds.forwarded(_stream_events(spark, d)).where("type = 'token'"), span=4000)
 
 
-@_query(_STREAM + "SELECT thread_id, tool_call_id, first_seq, status FROM tool")
+@_query(_STREAM + "SELECT * FROM tool")
 def tool_correlation(spark, d):
-    return folds.correlated(_stream_events(spark, d)).select("thread_id", "tool_call_id", "first_seq", "status")
+    return folds.correlated(_stream_events(spark, d))
 
 
-@_query(
+_FOLDED = (
     _STREAM
-    + """, n AS (SELECT thread_id, count(*) AS n_tools, count(*) FILTER (WHERE status = 'running') AS n_running FROM tool GROUP BY thread_id)
-SELECT thread_id, coalesce(string_agg(token, '' ORDER BY seq) FILTER (WHERE type = 'token'), '') AS content, coalesce(any_value(n_tools), 0) AS n_tools, coalesce(any_value(n_running), 0) AS n_running, bool_or(type = 'result') AS has_result
-FROM e LEFT JOIN n USING (thread_id) WHERE type <> 'checkpoint_message' GROUP BY thread_id"""
+    + """, n AS (SELECT thread_id, run_id, count(*) AS n_tools, count(*) FILTER (WHERE status = 'running') AS n_running FROM tool GROUP BY thread_id, run_id)
+SELECT thread_id, run_id, coalesce(string_agg(token, '' ORDER BY seq) FILTER (WHERE type = 'token'), '') AS content, coalesce(any_value(n_tools), 0) AS n_tools, coalesce(any_value(n_running), 0) AS n_running, bool_or(type = 'result') AS has_result
+FROM e LEFT JOIN n USING (thread_id, run_id) WHERE type <> 'checkpoint_message' GROUP BY thread_id, run_id"""
 )
+
+
+@_query(_FOLDED)
 def stream_fold(spark, d):
     return folds.folded(_stream_events(spark, d))
 
 
-@_query(_STREAM + "SELECT thread_id, arg_max(seq, seq) FILTER (WHERE type = 'result') IS NULL AS failed FROM e GROUP BY thread_id")
+@_query(_STREAM + "SELECT thread_id, arg_max(event_type, seq) FILTER (WHERE type = 'result') AS output, arg_max(seq, seq) FILTER (WHERE type = 'result') IS NULL AS failed FROM e GROUP BY thread_id")
 def latest_output(spark, d):
-    return folds.latest_output(_stream_events(spark, d)).select("thread_id", "failed")
+    return folds.latest_output(_stream_events(spark, d))
 
 
 # Settings, stores and rendering
@@ -738,9 +717,15 @@ def metadata_merge(spark, d):
     return merged.select("thread_id", F.col("m")["own"].alias("own"), F.col("m")["lastRunId"].alias("last_run"), F.col("m")["lastMessageRole"].alias("role"))
 
 
-@_query(_PAIRS.format(and_="") + "SELECT thread_id, pair, CASE WHEN n_assistant > 0 THEN content ELSE '> [!Warning] stopped by user' END AS shown FROM p")
+@_query(
+    _PAIRS.format(and_="")
+    + """, e AS (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND value > 150 GROUP BY user_id),
+o AS (SELECT p.*, sum(CASE WHEN n_assistant = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY first_seq) AS open FROM p)
+SELECT thread_id, pair, CASE WHEN n_assistant > 0 THEN content WHEN open <= coalesce(errors, 0) THEN '> [!Error] an error occured' ELSE '> [!Warning] stopped by user' END AS shown
+FROM o LEFT JOIN e ON user_id = thread_id"""
+)
 def pair_text_shown(spark, d):
-    errors = spark.createDataFrame([], "thread_id long, error_count long")
+    errors = _events(spark, d).where("event_type = 'error' AND value > 150").groupBy(F.col("user_id").alias("thread_id")).agg(F.count("*").alias("error_count"))
     states = threads.pair_states(threads.pairs(_messages(spark, d)), errors)
     return states.select("thread_id", "pair", threads.state_text(F.col("state"), F.col("content")).alias("shown"))
 
@@ -757,13 +742,8 @@ def search_rendered(spark, d):
     return hits.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
 
 
-@_query("SELECT doc_id, trim(left(text, 30), ' \t\n\r') AS title FROM documents")
-def title_cleanup(spark, d):
-    return _documents(spark, d, strings.clean_title(F.concat(F.lit('"'), F.left("text", F.lit(30)), F.lit("'"))).alias("title"))
-
-
 @_query("SELECT doc_id, trim(text, ' \t\n\r') AS title FROM documents")
-def title_cleanup_whole(spark, d):
+def title_cleanup(spark, d):
     return _documents(spark, d, strings.clean_title(F.concat(F.lit('"'), F.col("text"), F.lit("'"))).alias("title"))
 
 
@@ -773,19 +753,25 @@ def time_and_percent(spark, d):
     return tables.table(spark, d, "orders").select("o_orderkey", dates.minutes_left(price).alias("left_"), dates.percent(price / 1000 / 100).alias("percent"))
 
 
-@_query("SELECT item_id, links FROM (SELECT item_id, 'note-' || item_id || ' note' AS links FROM benchmark)")
+@_query("SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ' ')[:-2], lambda w: 'x' || regexp_replace(w, '[\\]\\[|\\n]', '', 'g')), ' ') AS links FROM documents")
 def wiki_links(spark, d):
-    text = F.concat(F.lit("see [[note-"), F.col("item_id").cast("string"), F.lit("|alias]] and [[note]] but not [[open\n]]"))
-    return tables.table(spark, d, "benchmark").select("item_id", F.array_join(strings.wiki_links(text), " ").alias("links"))
+    """Every word but the last of a text as a link with an alias."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    plain = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.concat(F.lit("[[x"), F.regexp_replace(w, r"[\]\[|\n]", ""), F.lit("|alias]] and [[open\n]]")))
+    return _documents(spark, d, F.array_join(strings.wiki_links(F.array_join(plain, " ")), " ").alias("links"))
 
 
-@_query(None)
+@_query("""
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n, array_to_string(a, '|') AS joined FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '(?:"[^"]*(?:"|\\z)|''[^'']*(?:''|\\z)|[^ "''])+'),
+                             lambda w: regexp_replace(w, '"([^"]*)(?:"|\\z)|''([^'']*)(?:''|\\z)', '\\1\\2', 'g')), lambda w: w <> '') AS a FROM documents)""")
 def command_arguments(spark, d):
-    """Pandas UDF with a state machine; tests hold it against a scan by character."""
     return _documents(spark, d, scripts.arguments(F.col("text")).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.array_join("a", "|").alias("joined"))
 
 
-@_query(None)
+@_query(f"""
+SELECT path, 4 / length(regexp_extract(lower(path), 'f.*?s.*?1.*?d')) AS score FROM (SELECT {_PATH} AS path FROM documents)
+WHERE regexp_matches(lower(path), 'f.*?s.*?1.*?d') ORDER BY score DESC, length(path), path LIMIT 10""")
 def fuzzy_paths(spark, d):
-    """Our own scorer, tested on fixtures: the reference's is outside it."""
+    """Our own scorer: the reference's is outside it."""
     return search.fuzzy(_notes(spark, d).select("path"), "fs1d").select("path", "score")

@@ -33,7 +33,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
     Files that cannot be read are skipped; bytes that are not UTF-8 are replaced.
     """
-    files = (
+    return parsed_notes(
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.md")
         .option("recursiveFileLookup", "true")
@@ -41,7 +41,11 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
         .option("ignoreCorruptFiles", "true")
         .load(folder)
     )
-    content = F.decode(F.col("content"), "UTF-8")
+
+
+def parsed_notes(files: DataFrame) -> DataFrame:
+    """Notes of files (path, modificationTime, length, content as bytes)."""
+    content = F.make_valid_utf8(F.col("content").cast("string"))
     front = F.nullif(F.regexp_extract(content, r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)", 1), F.lit(""))
     body = F.regexp_replace(content, r"^---\r?\n[\s\S]*?\r?\n---(?:\r?\n|$)", "")
     return files.select(
@@ -76,6 +80,11 @@ def chat_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.json(folder).where("_bad IS NULL AND threadId IS NOT NULL").drop("_bad")
 
 
+def parsed_threads(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Threads of the JSON texts of chat files; what is no JSON, or has no thread id, is left out."""
+    return texts.select(F.from_json(text, THREAD).alias("t")).select("t.*").where("threadId IS NOT NULL")
+
+
 def thread_index(threads: DataFrame) -> DataFrame:
     """The index row of each thread."""
     return threads.select(F.col("threadId").alias("thread_id"), "title", "metadata", F.timestamp_millis("createdAt").alias("created_at"), F.timestamp_millis("updatedAt").alias("updated_at"))
@@ -112,9 +121,20 @@ def chat_path(files: DataFrame, thread: str, known: str | None = None) -> DataFr
 
 def discovered_models(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Model ids of discovery answers, in the ``data[].id`` or the ``models[].name`` form; blank and null ones dropped."""
-    parsed = F.from_json(F.col(body), "data array<struct<id:string>>, models array<struct<name:string>>")
+    return payloads.select("provider", F.explode(_model_ids(F.col(body))).alias("model"))
+
+
+def _model_ids(body: Column) -> Column:
+    parsed = F.from_json(body, "data array<struct<id:string>>, models array<struct<name:string>>")
     ids = F.coalesce(F.transform(parsed["data"], lambda x: x["id"]), F.transform(parsed["models"], lambda x: x["name"]))
-    return payloads.select("provider", F.explode(ids).alias("model")).where(~strings.is_blank(F.col("model")))
+    return F.filter(ids, lambda x: ~strings.is_blank(x))
+
+
+def models_or_none(providers: DataFrame, payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Every provider with the models of its answer; none where the answer is missing, no JSON or of another form."""
+    answers = payloads.select("provider", _model_ids(F.col(body)).alias("_models"))
+    found = F.coalesce("_models", F.array().cast("array<string>"))
+    return providers.join(answers, "provider", "left").select("provider", found.alias("models"))
 
 
 def save_threads(threads: DataFrame, path: str) -> None:

@@ -1,14 +1,14 @@
 """Folding of chat events into message state, as a batch and as a stream.
 
-Events have thread_id, seq, type (token, tool_start, tool_end, result), token,
-tool_call_id, tool_name, input, output. The batch fold is a set of aggregates;
-the stream keeps one small state per thread and gives the same rows once it has
-seen all events.
+Events have thread_id, run_id, seq, type (token, tool_start, tool_end, result),
+token, tool_call_id, tool_name, input, output. A run is one answer; messages are
+folded by thread and run. The batch fold is a set of aggregates. The stream gives
+the same rows once it has seen all events of a run; its state is that of open
+runs alone: a run's state ends with its result, or when nothing came for an hour.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: The kinds that are passed on; others, stored messages among them, are dropped.
 FORWARDED = ("token", "tool_start", "tool_end", "result")
 
-FOLDED = "thread_id string, content string, n_tools long, n_running long, has_result boolean"
-_STATE = "fold string"
+FOLDED = "thread_id string, run_id string, content string, n_tools long, n_running long, has_result boolean"
+#: Parallel lists, appended to: places and texts of tokens, ids and states of tool calls.
+_STATE = "seqs array<long>, tokens array<string>, tools array<string>, running array<boolean>"
+TIMEOUT_MILLIS = 3_600_000
 
 
 def forwarded(events: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def correlated(events: DataFrame) -> DataFrame:
     """Each tool call with its start and last end: an end without a start is a completed call with empty input, a start without an end runs on."""
     of = lambda kind, column: F.max_by(F.when(F.col("type") == kind, F.col(column)), F.when(F.col("type") == kind, F.col("seq")))
     ended = F.count_if(F.col("type") == "tool_end") > 0
-    rows = events.where(F.col("type").isin("tool_start", "tool_end")).groupBy("thread_id", "tool_call_id")
+    rows = events.where(F.col("type").isin("tool_start", "tool_end")).groupBy("thread_id", "run_id", "tool_call_id")
     return rows.agg(
         F.min("seq").alias("first_seq"),
         F.coalesce(of("tool_start", "tool_name"), of("tool_end", "tool_name")).alias("tool_name"),
@@ -42,13 +44,13 @@ def correlated(events: DataFrame) -> DataFrame:
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """One row per thread: joined tokens, tool calls, those still running, whether a result came."""
-    rows = forwarded(events)
+    """One row per run: joined tokens, tool calls, those still running, whether a result came."""
+    rows, run = forwarded(events), ["thread_id", "run_id"]
     ordered = F.array_sort(F.collect_list(F.when(F.col("type") == "token", F.struct("seq", "token"))))
-    base = rows.groupBy("thread_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("content"), (F.count_if(F.col("type") == "result") > 0).alias("has_result"))
-    tools = correlated(rows).groupBy("thread_id").agg(F.count("*").alias("n_tools"), F.count_if(F.col("status") == "running").alias("n_running"))
+    base = rows.groupBy(run).agg(F.array_join(F.transform(ordered, lambda x: x["token"]), "").alias("content"), (F.count_if(F.col("type") == "result") > 0).alias("has_result"))
+    tools = correlated(rows).groupBy(run).agg(F.count("*").alias("n_tools"), F.count_if(F.col("status") == "running").alias("n_running"))
     zero = F.lit(0).cast("long")
-    return base.join(tools, "thread_id", "left").select("thread_id", "content", F.coalesce("n_tools", zero).alias("n_tools"), F.coalesce("n_running", zero).alias("n_running"), "has_result")
+    return base.join(tools, run, "left").select(*run, "content", F.coalesce("n_tools", zero).alias("n_tools"), F.coalesce("n_running", zero).alias("n_running"), "has_result")
 
 
 def latest_output(events: DataFrame) -> DataFrame:
@@ -57,35 +59,54 @@ def latest_output(events: DataFrame) -> DataFrame:
     return events.groupBy("thread_id").agg(F.max_by(F.when(got, F.col("output")), F.when(got, F.col("seq"))).alias("output"), (F.count_if(got) == 0).alias("failed"))
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fold = json.loads(state.get[0]) if state.exists else {"tokens": [], "tools": {}, "result": False}
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for r in rows.itertuples():
-        if r.type == "token":
-            fold["tokens"].append([int(r.seq), r.token])
-        elif r.type == "tool_start":
-            fold["tools"].setdefault(r.tool_call_id, "running")
-        elif r.type == "tool_end":
-            fold["tools"][r.tool_call_id] = "completed"
-        else:
-            fold["result"] = True
-    fold["tokens"].sort()
-    state.update((json.dumps(fold),))
-    tools = list(fold["tools"].values())
-    yield pd.DataFrame({"thread_id": [key[0]], "content": ["".join(t for _, t in fold["tokens"])], "n_tools": [len(tools)], "n_running": [tools.count("running")], "has_result": [fold["result"]]})
+def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, timeout_millis: int | None = TIMEOUT_MILLIS) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    seqs, tokens, tools, running = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+    calls, finished = dict(zip(tools, running, strict=True)), False
+    for rows in batches:
+        said = rows[rows.type == "token"]
+        seqs += said.seq.astype(int).tolist()
+        tokens += said.token.tolist()
+        for kind, call in rows[rows.type.isin(["tool_start", "tool_end"])].sort_values("seq")[["type", "tool_call_id"]].itertuples(index=False):
+            calls[call] = calls.get(call, True) and kind == "tool_start"
+        finished = finished or bool((rows.type == "result").any())
+    if finished:
+        state.remove()
+    else:
+        state.update((seqs, tokens, list(calls), list(calls.values())))
+        if timeout_millis is not None:
+            state.setTimeoutDuration(timeout_millis)
+    content = "".join(t for _, t in sorted(zip(seqs, tokens, strict=True)))
+    yield pd.DataFrame({"thread_id": [key[0]], "run_id": [key[1]], "content": [content], "n_tools": [len(calls)], "n_running": [sum(calls.values())], "has_result": [finished]})
 
 
-def folding_stream(events: DataFrame) -> DataFrame:
-    """The fold as a stateful streaming query (update mode): the row of a thread each time it changes."""
-    rows = forwarded(events).select("thread_id", "seq", "type", "token", "tool_call_id")
-    return rows.groupBy("thread_id").applyInPandasWithState(_fold, FOLDED, _STATE, "update", GroupStateTimeout.NoTimeout)
+def folding_stream(events: DataFrame, timeout_millis: int | None = TIMEOUT_MILLIS) -> DataFrame:
+    """The fold as a stateful streaming query (update mode): the row of a run each time it changes.
 
+    Without a timeout the state of runs without a result stays; a query that is to
+    end when it has read all there is (``availableNow``) has to go without, as
+    timeouts keep a query running.
+    """
+    kind = GroupStateTimeout.NoTimeout if timeout_millis is None else GroupStateTimeout.ProcessingTimeTimeout
 
-def last_per_key(stream: DataFrame, path: str, key: str, checkpoint: str, every: str = "1 second"):
-    """A debounced sink: each micro-batch appends the last row of each key, with its batch number."""
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _fold(key, batches, state, timeout_millis)
+
+    rows = forwarded(events).select("thread_id", "run_id", "seq", "type", "token", "tool_call_id")
+    return rows.groupBy("thread_id", "run_id").applyInPandasWithState(fold, FOLDED, _STATE, "update", kind)
+
+
+def last_per_key(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, every: str | None = "1 second"):
+    """A debounced sink: each micro-batch writes the row of the greatest ``order`` of each key, whole, under its batch number.
+
+    A batch that is run again replaces what it wrote. Without ``every`` the query ends when it has read all there is.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy(key).agg(*[F.last(c).alias(c) for c in batch.columns if c != key])
-        last.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.outputMode("update").foreachBatch(save).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -36,6 +36,8 @@ def test_search(spark):
         raise RuntimeError(query)
 
     assert paths(search.search(n, "dune", "ranked", rank=broken)) == ["Books/a.md", "Templates/c.md"]
+    late = lambda q: n.select("path", F.raise_error(F.lit("no index")).cast("double").alias("score"))
+    assert paths(search.search(n, "dune", "ranked", rank=late)) == ["Books/a.md", "Templates/c.md"]
     hits = spark.createDataFrame([("Books/b.md", 2.0), ("gone.md", 9.0), ("Books/a.md", 1.0)], "path string, score double")
     assert sorted(paths(search.search(n, "x", "ranked", 2, lambda q: hits))) == ["Books/b.md"]
     assert paths(search.bm25(n, "dune"))[0] == "Templates/c.md"
@@ -66,8 +68,10 @@ def test_notes_query(spark):
     query = NotesQuery({"Title": prop("Title")}, source=tag("library") & ~folder("Templates"), where=prop("Rating", "int") > 3, sort=(F.desc("ord"),), limit=10)
     assert [tuple(r) for r in query.run(n).collect()] == [("Books/a.md", "A")]
     assert [r.link for r in NotesQuery(where=has("tags")).run(n).collect()] == ["Books/b.md"]
-    groups = {r.key: [x.link for x in r.rows] for r in NotesQuery(group=choice(prop("Rating", "int") > 3, "high", "low"), where=has("Rating")).run(n).collect()}
-    assert groups == {"high": ["Books/a.md", "Templates/c.md"], "low": ["Books/b.md"]}
+    grouped = NotesQuery(group=choice(prop("Rating", "int") > 3, "high", "low"), where=has("Rating"))
+    assert [(r.key, r.n, r.link) for r in grouped.run(n).collect()] == [("high", 2, "Books/a.md"), ("high", 2, "Templates/c.md"), ("low", 1, "Books/b.md")]
+    last = NotesQuery(group=grouped.group, where=has("Rating"), sort=(F.desc("key"),), limit=1)
+    assert [r.link for r in last.run(n).collect()] == ["Books/b.md"]
     assert [r.t for r in NotesQuery({"t": F.col("one")}, flatten=("one", F.col("tags")), sort=(F.col("ord"), F.col("one")), offset=1, limit=2).run(n).collect()] == ["#x", "#library"]
 
 
@@ -145,7 +149,10 @@ def test_markdown(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "n.md").write_text("---\ntags: [a]\n---\n# Head\nText #tag/x and [[Other|o]].\n#two\n")
     (tmp_path / "skip.txt").write_text("no")
-    r = tables.markdown(spark, f"file://{tmp_path}").first()
+    (tmp_path / "latin.md").write_bytes("# Caf\xe9\nx".encode("latin-1"))
+    every = {r.name: r for r in tables.markdown(spark, f"file://{tmp_path}").collect()}
+    assert every["latin"].headings == ["Caf\ufffd"] and len(every) == 2
+    r = every["n"]
     assert (r.name, r.front_matter, r.tags, r.links, r.headings) == ("n", "tags: [a]", ["#tag/x", "#two"], ["Other"], ["Head"])
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quillgrid.functions import scripts
+import quillgrid.file_queries  # noqa: F401  registers its queries
 from quillgrid.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,13 +42,13 @@ def test_whole_texts_reach_the_operators(spark, duck):
     for r in QUERIES["command_arguments"](spark, FOLDER).collect():
         want = scripts.split_arguments(texts[r.doc_id])
         assert (r.n, r.joined) == (len(want), "|".join(want))
-    whole = {"slugify_whole": "slug", "title_cleanup_whole": "title", "message_normalization_whole": "text"}
+    whole = {"slugify": "slug", "title_cleanup": "title", "message_normalization": "text"}
     for name, column in whole.items():
         assert max(len(r[column]) for r in QUERIES[name](spark, FOLDER).collect()) > 160
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are elsewhere")
 def test_unconfigured_rows_follow_the_configured(spark, duck):
-    got = [tuple(r) for r in QUERIES["configured_first_whole"](spark, FOLDER).collect()]
-    assert got == duck.execute(ORACLE_SQL["configured_first_whole"]).fetchall()
+    got = [tuple(r) for r in QUERIES["configured_first_sort"](spark, FOLDER).collect()]
+    assert got == duck.execute(ORACLE_SQL["configured_first_sort"]).fetchall()
     assert not got[-1][1] and len(got) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]

@@ -1,35 +1,61 @@
 import random
 
+import pandas as pd
+
 from quillgrid.streaming import folds
 
-EVENT = "thread_id string, seq long, type string, token string, tool_call_id string, tool_name string, input string, output string"
+EVENT = "thread_id string, run_id string, seq long, type string, token string, tool_call_id string, tool_name string, input string, output string"
 
 
 def events():
     rng = random.Random(6)
-    rows = [("only-end", 0, "tool_end", None, "x", "t", None, "o"), ("only-start", 1, "tool_start", None, "y", "t", "{}", None), ("blank", 2, "token", "", None, None, None, None)]
+    rows = [("only-end", "r", 0, "tool_end", None, "x", "t", None, "o"), ("only-start", "r", 1, "tool_start", None, "y", "t", "{}", None), ("blank", "r", 2, "token", "", None, None, None, None)]
     for i in range(3, 300):
-        kind = rng.choice(["token", "token", "tool_start", "tool_end", "result", "checkpoint_message"])
-        rows.append((f"t{rng.randrange(8)}", i, kind, rng.choice(["a", "b", ""]), str(rng.randrange(6)), "t", "{}", "o"))
-    return rows
+        kind = rng.choice(["token", "token", "tool_start", "tool_end", "checkpoint_message"])
+        rows.append((f"t{rng.randrange(8)}", f"r{i // 120}", i, kind, rng.choice(["a", "b", ""]), str(rng.randrange(6)), "t", "{}", "o"))
+    return rows + [("t1", "r0", 300, "result", None, None, None, None, "done")]
 
 
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     rows = events()
     folder = f"{tmp_path}/in"
-    for part in range(3):
+    for part in range(4):
         spark.createDataFrame(rows[part * 100 : (part + 1) * 100], EVENT).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = folds.folding_stream(stream).writeStream.format("memory").queryName("folded").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    stream = folds.folding_stream(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(folder), timeout_millis=None)
+    query = folds.last_per_key(stream.selectExpr("*", "thread_id || run_id AS run", "length(content) + n_tools AS seen"), f"{tmp_path}/out", "run", "seen", f"{tmp_path}/c", every=None)
+    assert query.awaitTermination(120)
     last = {}
-    for r in spark.table("folded").collect():
-        if r.thread_id not in last or (len(r.content), r.n_tools, r.has_result) >= (len(last[r.thread_id][1]), last[r.thread_id][2], last[r.thread_id][4]):
-            last[r.thread_id] = tuple(r)
-    batch = {r.thread_id: tuple(r) for r in folds.folded(spark.createDataFrame(rows, EVENT)).collect()}
-    # the last state of a thread is the one with all its tokens, tools and results
-    for t, want in batch.items():
-        assert last[t][1:3] == want[1:3] and last[t][4] == want[4]
+    for r in spark.read.parquet(f"{tmp_path}/out").orderBy("batch").collect():
+        last[r.thread_id, r.run_id] = (r.content, r.n_tools, r.n_running, r.has_result)
+    batch = {(r.thread_id, r.run_id): (r.content, r.n_tools, r.n_running, r.has_result) for r in folds.folded(spark.createDataFrame(rows, EVENT)).collect()}
+    done = ("t1", "r0")
+    assert {k: v for k, v in last.items() if k != done} == {k: v for k, v in batch.items() if k != done}
+    assert last[done][3] and batch[done][3]
+
+
+class State:
+    def __init__(self, value=None, timed_out=False):
+        self.get, self.exists, self.hasTimedOut, self.timeout = value, value is not None, timed_out, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, millis):
+        self.timeout = millis
+
+
+def test_state_of_a_run_ends_with_its_result_or_by_time():
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["seq", "type", "token", "tool_call_id"])])
+    state = State()
+    out = next(folds._fold(("t", "r"), rows((2, "token", "b", None), (1, "token", "a", None), (3, "tool_start", None, "x")), state))
+    assert out.content[0] == "ab" and out.n_running[0] == 1 and state.timeout == folds.TIMEOUT_MILLIS
+    out = next(folds._fold(("t", "r"), rows((4, "tool_end", None, "x"), (5, "result", None, None)), state))
+    assert (out.content[0], out.n_tools[0], out.n_running[0], out.has_result[0]) == ("ab", 1, 0, True) and not state.exists
+    late = State(([1], ["a"], [], []), timed_out=True)
+    assert list(folds._fold(("t", "r"), iter([]), late)) == [] and not late.exists
 
 
 def test_batch_fold(spark):
@@ -40,10 +66,9 @@ def test_batch_fold(spark):
 
 
 def test_sink_keeps_the_last_row_of_each_key(spark, tmp_path):
-    rows = [("a", 1), ("a", 2), ("b", 3)]
-    spark.createDataFrame(rows, "k string, v long").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("k string, v long").parquet(f"{tmp_path}/in")
-    query = folds.last_per_key(stream, f"{tmp_path}/out", "k", f"{tmp_path}/c")
-    query.processAllAvailable()
-    query.stop()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 2), ("b", 3)]
+    rows = [("a", 2, "late"), ("a", 1, None), ("b", 3, None)]
+    spark.createDataFrame(rows, "k string, v long, x string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, v long, x string").parquet(f"{tmp_path}/in")
+    for again in ("c", "d"):  # a second query reads the same and writes the same batch again
+        folds.last_per_key(stream, f"{tmp_path}/out", "k", "v", f"{tmp_path}/{again}", every=None).awaitTermination(60)
+        assert sorted((r.k, r.v, r.x) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 2, "late"), ("b", 3, None)]
