@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.components import connected_components
+from quillgrid.llm.components import HOT, SALTS, connected_components
 from quillgrid.llm.hashing import coded_words, gram_codes, gram_hashes, mix, slices, string_bytes
 from quillgrid.llm.storage import discard, materialise
 from quillgrid.llm.text import whole_numbers
@@ -366,11 +366,23 @@ def _spread(members: DataFrame, keys: DataFrame, docs: DataFrame, shingle: int,
     return by_parts.join(best.where("way <> 'parts'"), "grp", "left_anti").select("node", "n", "task").union(by_keys)
 
 
-def _binned(tasks: DataFrame, task_shingles: int) -> DataFrame:
-    """tasks with the bin of each: about four bins for each ``task_shingles`` that are sent, copies counted."""
-    load = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _dealt(tasks: DataFrame, docs: DataFrame, task_shingles: int) -> DataFrame:
+    """tasks with the text of each node and the bin of each task: about four bins for each ``task_shingles`` that are sent, copies counted.
+
+    A node with more than one in ``HOT`` rows, as the hub of a large group, meets
+    its text under ``SALTS`` keys, so that no one task copies it to all its tasks;
+    it has more rows than keys, so its text is sent less often than it is needed.
+    """
+    load, rows = tasks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bins = max(1, math.ceil(load / task_shingles) * 4)
-    return tasks.withColumn("bin", F.pmod(F.xxhash64("task"), F.lit(bins)))
+    # fewer than HOT rows, whatever the size of the table
+    hot = F.broadcast(tasks.groupBy("node").agg(F.count("*").alias("c")).where((F.col("c") * HOT > rows) & (F.col("c") > SALTS)).select(F.col("node").alias("hot")))
+    salt = F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("task"), F.lit(SALTS))).cast("int")
+    salts = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    sent = tasks.join(hot, F.col("node") == F.col("hot"), "left").select(*tasks.columns, salt.alias("salt"), F.pmod(F.xxhash64("task"), F.lit(bins)).alias("bin"))
+    texts = docs.join(hot, F.col("node") == F.col("hot"), "left").select("node", "text", F.explode(salts).alias("salt"))
+    # a merge join at every size: what is broadcast would grow with the input, and the plan would turn over at some size
+    return sent.hint("merge").join(texts, ["node", "salt"])
 
 
 def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
@@ -389,8 +401,7 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     docs = documents.select(whole_numbers(documents, id_col).alias("node"), F.col(text_col).alias("text"))
 
     def compared(tasks: DataFrame, links, *more: str) -> DataFrame:
-        # a merge join at every size: what is broadcast would grow with the input, and the plan would turn over at some size
-        dealt = _binned(tasks, task_shingles).hint("merge").join(docs, "node").select("bin", "task", "node", *more, "text")
+        dealt = _dealt(tasks, docs, task_shingles).select("bin", "task", "node", *more, "text")
         return dealt.groupBy("bin").applyInArrow(links(shingle, percent), "u long, v long")
 
     largest = members.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]

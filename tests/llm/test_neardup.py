@@ -166,10 +166,22 @@ def test_written_tables_are_deleted_when_told(spark):
 
 def test_bins_hold_a_task_or_two_however_large_the_group(spark):
     members = spark.createDataFrame([(i, 0, 100, False) for i in range(600)], "node long, grp long, n long, settled boolean")
-    loads = [r.load for r in neardup._binned(neardup._tasks(members, 1000), 1000).groupBy("bin").agg(F.sum("n").alias("load")).collect()]
+    texts = spark.createDataFrame([(i, "x") for i in range(600)], "node long, text string")
+    loads = [r.load for r in neardup._dealt(neardup._tasks(members, 1000), texts, 1000).groupBy("bin").agg(F.sum("n").alias("load")).collect()]
     assert sum(loads) > 40 * 60_000 and max(loads) < 15_000  # bins by the members' own load: over 15,000 on the mean
 
 
+def test_the_copies_of_a_hub_are_dealt_to_many_keys(spark):
+    tasks = spark.createDataFrame([(0, 10, f"0:{i}") for i in range(500)] + [(i, 10, f"0:{i % 500}") for i in range(1, 900)], "node long, n long, task string")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(1000)], "node long, text string")
+    rows = neardup._dealt(tasks, texts, 1000).collect()
+    assert sorted((r.node, r.task) for r in rows) == sorted((r.node, r.task) for r in tasks.collect())  # each once
+    assert all(r.text == f"text {r.node}" for r in rows)
+    hub = [r.salt for r in rows if r.node == 0]
+    assert len(set(hub)) > 40 and max(map(hub.count, hub)) < 30
+    assert {r.salt for r in rows if r.node} == {0}
+
+
 def test_a_task_is_hashed_by_itself(monkeypatch):
     calls, plain = [], neardup.shingle_sets
     monkeypatch.setattr(neardup, "shingle_sets", lambda data, offsets, k: calls.append(len(offsets) - 1) or plain(data, offsets, k))
