@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, decontam, fingerprint, neardup, quality, secrets, sentencepieces, substring_dedup, token_counts, toxicity
+from quillgrid.llm import chat, codebooks, decontam, fingerprint, language, merkle, neardup, quality, secrets, sentencepieces, substring_dedup, token_counts, toxicity
 
 
 #: The public vocabulary file that operators 1 and 3 read.
@@ -114,6 +114,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of(k) for k in secrets.KINDS[: secrets.BASE]], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other document's text has lost its line feeds; its proof no longer leads to the root, unless there were none."""
+    doc_id = F.col("doc_id").cast("string")
+    tampered = F.when(F.crc32(doc_id) % 2 == 0, merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), merkle.without_line_ends(F.col("text"))]))
+    proved = merkle.prove(_read(spark, sf_dir, "documents"), carry={"tampered": tampered})
+    folded = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir)
+    model = language.fit(documents.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(documents, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(_read(spark, sf_dir, "embeddings"))
+    return codebooks.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -125,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -201,5 +225,87 @@ WITH dw AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+      lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 2 = 0 AS hit
+  FROM documents
+), e AS (
+  SELECT doc_id, source, hit, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         text, replace(text, chr(10), '') AS cut FROM d
+), l AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || CASE WHEN hit THEN coalesce(strlen(cut) || ':' || cut, '-') ELSE coalesce(strlen(text) || ':' || text, '-') END) AS seen FROM e
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l
+), up(tree, lvl, pos, h) AS (
+  SELECT tree, 0, pos, leaf FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM up) WHERE n > 1 GROUP BY tree, lvl, pos // 3
+), sub AS (
+  SELECT tree, max(lvl) AS depth, arg_max(h, lvl) AS h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM up GROUP BY tree
+), top(lvl, pos, h) AS (
+  SELECT 0, pos, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY lvl, pos // 3
+), ends AS (
+  SELECT max(lvl) AS depth, arg_max(h, lvl) AS h FROM top
+), runs AS (
+  SELECT tree, lvl, pos // 3 AS run, string_agg(h, '' ORDER BY pos) AS t FROM up GROUP BY ALL
+), tops AS (
+  SELECT lvl, pos // 3 AS run, string_agg(h, '' ORDER BY pos) AS t FROM top GROUP BY ALL
+), fold(doc_id, tree, leaf, pos, place, lvl, depth, seen, proof) AS (
+  SELECT doc_id, tree, leaf, pos, pos, 0, depth, seen, '' FROM (SELECT leaves.*, depth FROM leaves JOIN sub USING (tree))
+  UNION ALL
+  SELECT doc_id, fold.tree, leaf, fold.pos, place // 3, fold.lvl + 1, depth, sha256(substr(t, 1, 64 * (place % 3)) || seen || substr(t, 64 * (place % 3) + 65)), proof || substr(t, 1, 64 * (place % 3)) || substr(t, 64 * (place % 3) + 65)
+  FROM fold JOIN runs ON runs.tree = fold.tree AND runs.lvl = fold.lvl AND runs.run = place // 3 WHERE fold.lvl < depth
+), inner_ AS (
+  SELECT fold.*, sub.h AS subroot, sub.pos AS top_pos FROM fold JOIN sub USING (tree) WHERE lvl = fold.depth
+), outer_(doc_id, leaf, tree, pos, subroot, place, lvl, seen, proof) AS (
+  SELECT doc_id, leaf, tree, pos, subroot, top_pos, 0, seen, proof FROM inner_
+  UNION ALL
+  SELECT doc_id, leaf, tree, pos, subroot, place // 3, outer_.lvl + 1, sha256(substr(t, 1, 64 * (place % 3)) || seen || substr(t, 64 * (place % 3) + 65)), proof || substr(t, 1, 64 * (place % 3)) || substr(t, 64 * (place % 3) + 65)
+  FROM outer_ JOIN tops ON tops.lvl = outer_.lvl AND tops.run = place // 3, ends WHERE outer_.lvl < ends.depth
+)
+SELECT doc_id, leaf, subroot, ends.h AS root, sha256(proof) AS proof_sha256, seen AS folded_root, seen = ends.h AS verified FROM outer_, ends WHERE lvl = ends.depth
+""",
+    "op13_vector_codes": r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), parts AS (
+  SELECT vec_id, part, list_slice(q, part * (len(q) // 16) + 1, (part + 1) * (len(q) // 16)) AS v FROM kept, unnest(range(16)) t(part)
+), b0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)
+), a0 AS MATERIALIZED (
+  SELECT vec_id, part, v, entry, d FROM (
+    SELECT x.vec_id, x.part, x.v, b.entry, list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+           row_number() OVER (PARTITION BY x.vec_id, x.part ORDER BY list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.entry) AS r
+    FROM parts x JOIN b0 b USING (part)) WHERE r = 1
+), b1 AS MATERIALIZED (
+  SELECT part, entry, coalesce(u.c, b0.c) AS c FROM b0 LEFT JOIN (
+    SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT part, entry, i, sum(CAST(x AS BIGINT))::DOUBLE AS s, count(*) AS n FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a0) GROUP BY ALL) GROUP BY ALL) u USING (part, entry)
+), a1 AS MATERIALIZED (
+  SELECT vec_id, part, v, entry, d FROM (
+    SELECT x.vec_id, x.part, x.v, b.entry, list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+           row_number() OVER (PARTITION BY x.vec_id, x.part ORDER BY list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.entry) AS r
+    FROM parts x JOIN b1 b USING (part)) WHERE r = 1
+), b2 AS MATERIALIZED (
+  SELECT part, entry, coalesce(u.c, b1.c) AS c FROM b1 LEFT JOIN (
+    SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT part, entry, i, sum(CAST(x AS BIGINT))::DOUBLE AS s, count(*) AS n FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a1) GROUP BY ALL) GROUP BY ALL) u USING (part, entry)
+), a2 AS MATERIALIZED (
+  SELECT vec_id, part, v, entry, d FROM (
+    SELECT x.vec_id, x.part, x.v, b.entry, list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+           row_number() OVER (PARTITION BY x.vec_id, x.part ORDER BY list_sum(list_transform(list_zip(x.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.entry) AS r
+    FROM parts x JOIN b2 b USING (part)) WHERE r = 1
+), codes AS (
+  SELECT vec_id, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+), books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN codes USING (vec_id), books
 """,
 }

@@ -62,3 +62,5 @@ def test_contract(spark, duck, name):
             assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest() and set(listed) <= set(r.spans.split(",") if r.spans else [])
         elif name.startswith("op1_"):
             assert r.n_chars == len(t) and r.n_tokens >= r.n_pretokens
+        elif name.startswith("op12_"):
+            assert 0 <= r.score <= 1 and (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", t))
