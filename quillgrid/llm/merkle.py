@@ -13,7 +13,8 @@ Executors run DuckDB over Arrow batches of whole blocks: a level is an ordered
 ``string_agg`` of each run and the ``sha256`` of that. One pass up gives the
 blocks' roots, which are nodes of the next, 2,187 times smaller round; one pass
 down gives the siblings of every node, to which those of its block are added.
-Spark combines the rounds and joins the outer proofs, once a block. Memory is
+Spark combines the rounds and joins the outer proofs, one row a block that meets
+the block's nodes in the exchange which deals them, so no node repeats it on the way. Memory is
 that of an Arrow batch and a block; the number of rounds grows with the
 logarithm of the largest group. All tables between are written to the shared
 folder, so lost executors cost their own tasks.
@@ -33,6 +34,7 @@ from collections.abc import Iterator, Sequence
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +117,15 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _last_rows(rows: pa.Table) -> np.ndarray:
     """The last row of each block; a block starts where ``place`` does not go on."""
-    at = rows.column("place").to_numpy()
-    return np.append(np.flatnonzero(at[1:] != at[:-1] + 1), len(at) - 1)
+    place = rows.column("place").to_numpy()
+    return np.append(np.flatnonzero(place[1:] != place[:-1] + 1), len(place) - 1)
 
 
 def _numbered(rows: pa.Table, ends: np.ndarray) -> pa.Table:
+    last = rows.take(pa.array(ends)).select(["n", "block", "place"])
+    n, block, place = (last.column(c).to_numpy() for c in ("n", "block", "place"))
+    if (place + 1 != np.minimum(FAN**LEVELS, n - block * FAN**LEVELS)).any() or (np.diff(ends, prepend=-1) < place + 1).any():
+        raise RuntimeError("a block came in pieces")
     k = np.searchsorted(ends, np.arange(rows.num_rows))
     return rows.append_column("k", pa.array(k)).append_column("row", pa.array(np.arange(rows.num_rows)))
 
@@ -144,26 +150,36 @@ def _down_sql() -> str:
         at = f"(nodes.place // {FAN**i} % {FAN})::BIGINT * {_HEX}"
         steps.append(f"CASE WHEN r{i}.run IS NULL THEN [] ELSE [{{'left': substr(r{i}.run, 1, {at}), 'right': substr(r{i}.run, {at} + {_HEX + 1})}}] END")
         joins.append(f"LEFT JOIN r{i} ON r{i}.k = nodes.k AND r{i}.place = nodes.place // {FAN ** (i + 1)}")
-    return f"{_levels_sql()} SELECT {' || '.join(steps)} || coalesce(above.above, []) AS proof FROM nodes JOIN (SELECT k, above FROM nodes WHERE place = 0) above ON above.k = nodes.k {' '.join(joins)} ORDER BY nodes.row"
+    return f"{_levels_sql()} SELECT {' || '.join(steps)} || coalesce(above.above, []) AS proof FROM nodes JOIN above ON above.k = nodes.k {' '.join(joins)} ORDER BY nodes.row"
 
 
-def _asked(sql: str, rows: pa.Table) -> pa.Table:
+def _asked(sql: str, **tables: pa.Table) -> pa.Table:
     with duckdb.connect(config={"threads": 1}) as con:
-        con.register("nodes", rows)
+        for name, rows in tables.items():
+            con.register(name, rows)
         return con.sql(sql).to_arrow_table()
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sql = _up_sql()
     for rows in _whole_blocks(batches):
-        yield from _asked(sql, rows).to_batches()
+        yield from _asked(sql, nodes=rows).to_batches()
 
 
-def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sql = _down_sql()
-    for rows in _whole_blocks(batches):
-        proof = _asked(sql, rows.select(["k", "row", "place", "levels", "hash", "above"])).column("proof").cast(_ARROW_STEPS)
-        yield from rows.drop_columns(["k", "row", "place", "levels", "above"]).append_column("proof", proof).to_batches()
+def _proofs(inherited: list[str]):
+    """Of blocks that each begin with what their nodes share (place -1): the nodes with that and their proofs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sql = _down_sql()
+        for rows in _whole_blocks(batches):
+            first = pc.equal(rows.column("place"), -1)
+            head, rows = rows.filter(first), rows.filter(pc.invert(first))
+            proof = _asked(sql, nodes=rows.select(["k", "row", "place", "levels", "hash"]), above=head.select(["k", "above"])).column("proof").cast(_ARROW_STEPS)
+            for c in inherited:
+                rows = rows.set_column(rows.column_names.index(c), c, head.column(c).take(rows.column("k")))
+            yield from rows.drop_columns(["k", "row", "place", "block", "levels", "above"]).append_column("proof", proof).to_batches()
+
+    return run
 
 
 def _climbed(nodes: DataFrame, most: int, name: str) -> list[DataFrame]:
@@ -183,11 +199,10 @@ def _descended(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
     inherited = [c for c in above.columns if c not in ("tree", "proof")]
     proved = rounds[-1].join(above, "tree")
     for nodes in reversed(rounds[:-1]):
-        parents = proved.select("tree", F.col("pos").alias("block"), F.col("proof").alias("above"), *inherited)
-        rows = _in_blocks(nodes).join(parents, ["tree", "block"]).withColumn("above", F.when(F.col("place") == 0, F.col("above")))
-        kept = [*nodes.columns, *inherited]
-        fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-        proved = _dealt(rows).select(*kept, "place", "levels", "above").mapInArrow(_proofs, f"{fields}, proof {_STEPS}")
+        parents = proved.select("tree", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("place"), F.col("proof").alias("above"), *inherited)
+        kinds = {f.name: f.dataType.simpleString() for f in [*nodes.schema, *parents.schema] if f.name in (*nodes.columns, *inherited)}
+        rows = _dealt(_in_blocks(nodes).unionByName(parents, allowMissingColumns=True)).select(*kinds, "place", "block", "levels", "above")
+        proved = rows.mapInArrow(_proofs(inherited), ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()) + f", proof {_STEPS}")
     return proved
 
 
