@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import dates, scripts, strings, values
 from quillgrid.operators import catalog, search, stores, threads
-from quillgrid.queries import _FOLDED, _PAIRS, _documents, _events, _messages, _notes, _query, _stream_events
+from quillgrid.queries import _FOLDED, _PAIRS, _STREAM, _documents, _events, _messages, _notes, _query, _stream_events
 from quillgrid.sources import tables
-from quillgrid.streaming import folds
+from quillgrid.streaming import folds, log
 
 # Files
 
@@ -74,29 +74,71 @@ def chat_file_of_thread(spark, d):
 
 
 def _scratch(spark) -> str:
-    """A folder that the driver and executors share; of our own only where the session names none and all runs in this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local"):
+    """A folder that the driver and executors share; of our own only where the session names none and all tasks run in this process."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if named is None and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{named or 'file://' + tempfile.mkdtemp(prefix='quillgrid-')}/streams/{uuid.uuid4().hex}"
 
 
-def _event_stream(spark, d):
-    """The events table as a stream."""
-    path = f"{d}/events.parque[t]"  # a pattern: a path without one has to be a folder, and the table may be a file
-    return _stream_events(spark, d, spark.readStream.schema(_events(spark, d).schema).parquet(path))
+def _event_files(spark, d, out: str):
+    """The events as a stream of files, a range of time each, one of them a micro-batch."""
+    events = _stream_events(spark, d, _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+    cuts = events.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):  # one after another: the stream takes files by age
+        part = events if low is None else events.where(F.col("seq") >= low)
+        (part if high is None else part.where(F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+
+
+def _change_log(spark, d, **how):
+    out = _scratch(spark)
+    folds.with_rocksdb(spark)
+    events = _event_files(spark, d, out)
+    if "quiet" in how:  # where runs end, an event of none of the other kinds is a cancellation
+        events = events.withColumn("type", F.when(F.col("type") == "checkpoint_message", "cancel").otherwise(F.col("type")))
+    query = folds.log_changes(folds.changes(events, **how), f"{out}/log", f"{out}/state")
+    query.awaitTermination()
+    return folds.logged(spark, f"{out}/log")
 
 
 @_query(_FOLDED)
 def streamed_fold(spark, d):
-    """The stateful fold run to its end, its rows kept by the sink, a batch number each."""
-    out = _scratch(spark)
-    folded = folds.folding_stream(_event_stream(spark, d), timeout_millis=None).withColumns({"run": F.struct("thread_id", "run_id"), "seen": F.length("content") + F.col("n_tools")})
-    query = folds.last_per_key(folded, f"{out}/rows", "run", "seen", f"{out}/state", every=None)
-    query.awaitTermination(3600)
-    rows = spark.read.parquet(f"{out}/rows")
-    kept = F.struct("thread_id", "run_id", "content", "n_tools", "n_running", "has_result")
-    return rows.groupBy("run").agg(F.max_by(kept, "batch").alias("r")).select("r.*")
+    """The stateful fold over four micro-batches: runs, of which some get their result in the middle."""
+    return folds.runs_of(_change_log(spark, d))
+
+
+@_query(_STREAM + "SELECT * FROM tool")
+def streamed_calls(spark, d):
+    """The same log's calls: starts wait in the state until their end takes them out."""
+    return folds.calls_of(_change_log(spark, d))
+
+
+@_query("""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS thread_id, CAST(event_id // 1000 AS VARCHAR) AS run_id, event_id AS seq, ts,
+  CASE event_type WHEN 'click' THEN 'tool_start' WHEN 'view' THEN 'tool_end' WHEN 'purchase' THEN 'token' WHEN 'error' THEN 'result' ELSE 'cancel' END AS type FROM events),
+n AS (SELECT *, ts > lag(ts) OVER (PARTITION BY thread_id, run_id ORDER BY ts, seq) + INTERVAL 2 HOURS AS new FROM e),
+s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id, run_id ORDER BY ts, seq) AS session FROM n),
+o AS (SELECT thread_id, run_id, max(ts) AS last, min(seq) FILTER (WHERE type = 'result') AS r, min(seq) FILTER (WHERE type = 'cancel') AS c FROM s GROUP BY thread_id, run_id, session)
+SELECT thread_id, run_id, epoch_us(last) // 1000 AS last_at, CASE WHEN c IS NOT NULL AND (r IS NULL OR c < r) THEN 'cancelled' WHEN r IS NULL THEN 'error' ELSE 'success' END AS outcome
+FROM o WHERE epoch_us(last) // 1000 + 7200000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM e)""")
+def streamed_endings(spark, d):
+    """Runs that went silent for two hours, each told once, by timers on the events' own time."""
+    log = _change_log(spark, d, quiet="2 hours", delay="10 minutes")
+    return folds.endings_of(log).select("thread_id", "run_id", F.unix_millis("last_at").alias("last_at"), "outcome")
+
+
+@_query("SELECT conv_id AS thread_id, turn AS checkpoint_id, coalesce(text, '') AS entry FROM conversations")
+def logged_checkpoints(spark, d):
+    """Checkpoints in a log of buckets: a first version of all, the last of each after eight batches and a repeated one."""
+    path = f"{_scratch(spark)}/checkpoints"
+    rows = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("checkpoint_id"), F.coalesce("text", F.lit("")).alias("entry"))
+    key = ["thread_id", "checkpoint_id"]
+    log.append(rows.withColumn("entry", F.lit("draft")), 0, path, key)
+    for number in range(1, 9):
+        log.append(rows.where(F.col("thread_id") % 8 == number - 1), number, path, key)
+    log.append(rows.withColumn("entry", F.lit("again")), 8, path, key)
+    return log.read(spark, path, key)
 
 
 # Messages and events
@@ -358,11 +400,11 @@ def server_id_conflicts(spark, d):
     return catalog.slug_conflicts(tables.table(spark, d, "part").select(F.concat_ws("! ", "p_brand", "p_size").alias("name")))
 
 
-@_query("SELECT conv_id % 10 AS thread_id, count(*) AS n FROM conversations WHERE conv_id % 10 <> 3 GROUP BY conv_id % 10 UNION ALL SELECT 3, 1")
+@_query("SELECT conv_id AS thread_id, count(*) AS n FROM conversations WHERE conv_id % 10 <> 3 GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, 1 FROM conversations WHERE conv_id % 10 = 3")
 def saved_threads(spark, d):
-    """Threads written by id, one of them written again."""
+    """All threads saved, then a tenth of them again, with one row each."""
     path = f"{_scratch(spark)}/threads"
-    rows = tables.table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("thread_id"), "turn")
+    rows = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), "turn")
     tables.save_threads(rows, path)
-    tables.save_threads(spark.createDataFrame([(3, 0)], "thread_id long, turn long"), path)
-    return spark.read.schema("turn long, thread_id long").parquet(path).groupBy("thread_id").agg(F.count("*").alias("n"))
+    tables.save_threads(rows.where("thread_id % 10 = 3").groupBy("thread_id").agg(F.max("turn").alias("turn")), path)
+    return tables.saved_threads(spark, path).groupBy("thread_id").agg(F.count("*").alias("n"))

@@ -518,7 +518,7 @@ def notes_query_flatten(spark, d):
 # Streams
 
 
-def _stream_events(spark, d, events=None):
+def _stream_events(spark, d, events=None, *more):
     """A table of events, or a stream of them, as chat events."""
     e = _events(spark, d) if events is None else events
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in (("click", "tool_start"), ("view", "tool_end"), ("purchase", "token"), ("error", "result")) for x in pair]), F.col("event_type"))
@@ -532,6 +532,7 @@ def _stream_events(spark, d, events=None):
         F.lit("tool").alias("tool_name"),
         F.col("props").alias("input"),
         F.col("event_type").alias("output"),
+        *more,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import strings
+from quillgrid.streaming import log
 
 #: A chat file: checkpoints and writes stay JSON text, as their content is open.
 THREAD = "threadId string, title string, metadata string, createdAt bigint, updatedAt bigint, checkpoints map<string,string>, writes map<string,array<string>>"
@@ -138,8 +139,12 @@ def models_or_none(providers: DataFrame, payloads: DataFrame, body: str = "body"
 
 
 def save_threads(threads: DataFrame, path: str) -> None:
-    """Write threads by id; a thread that is written again replaces only its own partition."""
-    threads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("thread_id").parquet(path)
+    """Write threads to a log of buckets; one that is written again replaces all its rows. Files don't grow with threads."""
+    log.append(threads, log.next_number(threads.sparkSession, path), path, ["thread_id"])
+
+
+def saved_threads(spark: SparkSession, path: str) -> DataFrame:
+    return log.read(spark, path, ["thread_id"])
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:

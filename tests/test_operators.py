@@ -165,7 +165,7 @@ def test_stores(spark, tmp_path):
     path = f"file://{tmp_path}/threads"
     tables.save_threads(now, path)
     tables.save_threads(spark.createDataFrame([("b", 9)], "thread_id string, v long"), path)
-    assert sorted((r.thread_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 9)]
+    assert sorted((r.thread_id, r.v) for r in tables.saved_threads(spark, path).collect()) == [("a", 1), ("b", 9)]
     files = spark.createDataFrame([("x/a.chat",), ("x/Taken.chat",), ("x/b - 2024.chat",)], "path string")
     wanted = spark.createDataFrame([("x/a.chat", "New: name"), ("x/b - 2024.chat", "Taken"), ("x/Taken.chat", " ")], "path string, title string")
     assert [tuple(r) for r in tables.renamed(files, wanted).collect()] == [("x/a.chat", "x/New- name.chat")]
