@@ -2,32 +2,154 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillgrid.functions import dates, scripts, strings, values
-from quillgrid.operators import catalog, search, stores, threads
+from quillgrid.operators import catalog, metadata, search, stores, threads
+from quillgrid.plans.notes_query import NotesQuery, folder, prop, tag
 from quillgrid.queries import _FOLDED, _PAIRS, _STREAM, _documents, _events, _messages, _notes, _query, _stream_events
-from quillgrid.sources import tables
+from quillgrid.sources import chats, index, markdown, tables
+from quillgrid.sources.scratch import new_path
 from quillgrid.streaming import folds, log
 
 # Files
 
 
 @_query("""
-SELECT doc_id, 'doc-' || doc_id AS name, 'lang: ' || lang AS front_matter, '#' || source AS tag, 'doc-' || (doc_id + 1) AS link, 'Head ' || doc_id AS heading, CAST(strlen(text) AS BIGINT) AS body_bytes
-FROM (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents)""")
+SELECT doc_id, 'doc-' || doc_id AS name, 'lang: ' || lang AS front_matter, '#' || source AS tag, 'doc-' || (doc_id + 1) AS link, 'Head ' || doc_id AS heading, sha256(text) AS body
+FROM (SELECT doc_id, lang, source, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM documents)""")
 def markdown_notes(spark, d):
     """Documents as bytes of markdown files, each with a byte that is not UTF-8, read back."""
     ident = F.col("doc_id").cast("string")
     head = F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\n---\n# Head "), ident, F.lit("\n#"), F.col("source"), F.lit(" [[doc-"), (F.col("doc_id") + 1).cast("string"), F.lit("|next]]\n"))
     raw = F.concat(head.cast("binary"), F.coalesce("text", F.lit("")).cast("binary"), F.unhex(F.lit("0AE9")))
     files = tables.table(spark, d, "documents").select(F.concat(F.lit("notes/doc-"), ident, F.lit(".md")).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).alias("length"), raw.alias("content"))
-    body = F.octet_length(F.regexp_extract("content", r"\|next\]\]\n([\s\S]*)\n�$", 1)).cast("long")
-    out = tables.parsed_notes(files)
-    return out.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("doc_id"), "name", "front_matter", F.get("tags", F.lit(0)).alias("tag"), F.get("links", F.lit(0)).alias("link"), F.get("headings", F.lit(0)).alias("heading"), body.alias("body_bytes"))
+    body = F.sha2(F.regexp_extract("content", r"\|next\]\]\n([\s\S]*)\n�$", 1), 256)
+    out = markdown.parsed_notes(files)
+    return out.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("doc_id"), "name", "front_matter", F.get("tags", F.lit(0)).alias("tag"), F.get("links", F.lit(0)).alias("link"), F.get("headings", F.lit(0)).alias("heading"), body.alias("body"))
+
+
+def _built_notes(spark, d):
+    """Documents as markdown files with front matter (every 7th malformed, every 11th without), a fence and code that hold no tags, and tags that count."""
+    ident, text = F.col("doc_id").cast("string"), F.regexp_replace(F.coalesce("text", F.lit("")), "[`#~]", "")
+    front = F.concat(
+        F.lit("---\nlang: "), "lang", F.lit("\nsize: "), F.length(text).cast("string"), F.lit("\n\"quoted key\": 'it''s: "), ident, F.lit("' # said\ntags:\n  - "), "source", F.lit("\n  - \"two words\"\nnested: {list: [1, "), ident,
+        F.lit("], flag: true}\nposition:\n  line: 0\n---\n"),
+    )
+    front = F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 7 == 0, "---\nlang: [open\nlang: x\n---\n").otherwise(front)
+    body = F.concat(F.lit("# Head "), ident, F.lit(" ##\n#"), "lang", F.lit(" and #2024 `#code`\n\n````md\n#fenced [[no]]\n```\n# no head\n\n````\n~~~\n#closed\n~~~\n"), text, F.lit("\n#end/"), "source", F.lit(" [[doc-"), (F.col("doc_id") + 1).cast("string"), F.lit("|next]]\n```\n#open"))
+    path = F.concat_ws("/", "lang", "source", F.concat(F.lit("doc-"), ident, F.lit(".md")))
+    files = tables.table(spark, d, "documents").select(path.alias("path"), F.timestamp_seconds("doc_id").alias("modificationTime"), F.lit(1).cast("long").alias("length"), F.concat(front.cast("binary"), body.cast("binary")).alias("content"))
+    return markdown.parsed_notes(files)
+
+
+_BUILT = r"""
+WITH n AS (SELECT doc_id, lang, source, lang || '/' || source || '/doc-' || doc_id || '.md' AS path, 'doc-' || doc_id AS name, doc_id % 11 <> 0 AND doc_id % 7 <> 0 AS fine,
+  CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 7 = 0 THEN 'lang: [open lang: x' ELSE 'lang: size: "quoted key": said tags: "two words" nested: list: flag: true position: line: 0' END AS head,
+  length(regexp_replace(coalesce(text, ''), '[`#~]', '', 'g')) AS size, regexp_replace(coalesce(text, ''), '[`#~]', '', 'g') AS text FROM documents),
+t AS (SELECT doc_id, unnest(['#' || lang, '#end/' || source] || CASE WHEN fine THEN ['#' || source, '#two words'] ELSE [] END) AS tag FROM n)
+"""
+
+
+@_query(_BUILT + """SELECT path, name, '["' || array_to_string(['#' || lang, '#end/' || source] || CASE WHEN fine THEN ['#' || source, '#two words'] ELSE [] END, '","') || '"]' AS tags,
+  '["Head ' || doc_id || '"]' AS headings, '["doc-' || (doc_id + 1) || '"]' AS links, CASE WHEN fine THEN '{"lang":"' || lang || '","size":' || size || ',"quoted key":"it''s: ' || doc_id || '","tags":["' || source || '","two words"],"nested":{"list":[1,' || doc_id || '],"flag":true},"position":{"line":0}}' END AS properties FROM n""")
+def folder_notes(spark, d):
+    """What is read from each file: no tag, heading or link of a fence or code; malformed front matter gives none and ends nothing."""
+    notes = _built_notes(spark, d)
+    return notes.select("path", "name", *[F.to_json(c).alias(c) for c in ("tags", "headings", "links")], "properties")
+
+
+@_query(_BUILT + "SELECT path, name, row_number() OVER (ORDER BY path) AS n FROM (SELECT * FROM n WHERE contains(lower(text), 'license') OR contains(name, 'license') ORDER BY path LIMIT 10)")
+def folder_grep(spark, d):
+    return search.numbered(search.grep(_built_notes(spark, d), "LICENSE")).select("path", "name", "n")
+
+
+@_query(_BUILT + "SELECT tag, count(*) AS n_notes FROM t GROUP BY tag")
+def folder_tags(spark, d):
+    return metadata.tag_counts(_built_notes(spark, d))
+
+
+@_query("SELECT unnest(['lang', 'size', 'quoted key', 'tags', 'nested']) AS key FROM (SELECT 1 FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 LIMIT 1)")
+def folder_property_keys(spark, d):
+    return metadata.property_keys(_built_notes(spark, d))
+
+
+@_query(_BUILT + "SELECT path AS link, size, 'it''s: ' || doc_id AS said, doc_id AS last, epoch_us(make_timestamp(doc_id * 1000000)) // 1000000 AS mtime FROM n WHERE fine AND lang = 'en' AND source <> 'src0' AND size > 500 ORDER BY size DESC, path LIMIT 50")
+def folder_note_query(spark, d):
+    """A table of notes by tag, folder, nested and quoted properties, and file time."""
+    notes = _built_notes(spark, d)
+    fields = {"size": prop("size", "long"), "said": prop("['quoted key']"), "last": prop("nested.list[1]", "long"), "mtime": F.unix_seconds("mtime")}
+    return NotesQuery(fields, tag("en") & ~folder("en/src0"), F.col("properties").isNotNull() & (prop("size", "long") > 500), sort=(F.desc("_size"), F.asc("path")), limit=50).run(notes)
+
+
+@_query("SELECT path, name FROM (SELECT 'en/src1/doc-' || min(doc_id) || '.md' AS path, 'doc-' || min(doc_id) AS name FROM documents WHERE lang = 'en' AND source = 'src1') WHERE path IS NOT NULL")
+def folder_point_read(spark, d):
+    """The note of a path, read whole."""
+    notes = _built_notes(spark, d)
+    wanted = tables.table(spark, d, "documents").where("lang = 'en' AND source = 'src1'").agg(F.concat(F.lit("en/src1/doc-"), F.min("doc_id").cast("string"), F.lit(".md")).alias("path")).first()["path"]
+    return metadata.find_note(notes, wanted or "").select("path", "name")
+
+
+@_query("""
+WITH c AS (SELECT c_custkey AS k, 's' || (c_custkey // 2) AS t, c_custkey % 6 AS m FROM customer),
+th AS (SELECT DISTINCT CASE WHEN k % 5 = 0 THEN t ELSE 'Chat ' || t END AS id, t FROM c),
+f AS (SELECT 'chats/' || CASE m WHEN 0 THEN 'Chat ' || t WHEN 1 THEN 'Title ' || k || ' - ' || t WHEN 2 THEN 'old Chat ' || t || ' copy' WHEN 3 THEN 'A - B - ' || t WHEN 4 THEN t ELSE 'x ' || t || 'y' END || CASE WHEN k % 13 = 0 THEN '.txt' ELSE '.chat' END AS path FROM c),
+p AS (SELECT id, path, CASE WHEN path = 'chats/' || id || '.chat' THEN 1 WHEN contains(path, id) THEN 2 WHEN path LIKE '% - ' || t || '.chat' THEN 3 END AS r FROM th, f WHERE path LIKE '%.chat')
+SELECT id AS thread_id, (SELECT arg_min(path, {'r': r, 'path': path}) FROM p WHERE p.id = th.id AND r IS NOT NULL) AS path FROM th""")
+def chat_files_of_threads(spark, d):
+    """The file of every thread at once."""
+    k = F.col("c_custkey")
+    c = tables.table(spark, d, "customer").select(k.alias("k"), F.concat(F.lit("s"), F.floor(k / 2).cast("string")).alias("t"), (k % 6).alias("m"), k.cast("string").alias("id"))
+    text = lambda *parts: F.concat(*[F.lit(p) if not isinstance(p, str) or p not in ("t", "id") else F.col(p) for p in parts])
+    name = F.when(F.col("m") == 0, text("Chat ", "t")).when(F.col("m") == 1, text("Title ", "id", " - ", "t")).when(F.col("m") == 2, text("old Chat ", "t", " copy")).when(F.col("m") == 3, text("A - B - ", "t")).when(F.col("m") == 4, F.col("t")).otherwise(text("x ", "t", "y"))
+    files = c.select(F.concat(F.lit("chats/"), name, F.when(F.col("k") % 13 == 0, ".txt").otherwise(".chat")).alias("path"))
+    return chats.chat_paths(files, c.select(F.when(F.col("k") % 5 == 0, F.col("t")).otherwise(text("Chat ", "t")).alias("thread_id")))
+
+
+@_query("""
+WITH RECURSIVE c AS (SELECT c_custkey AS k, CASE WHEN c_custkey < 120 THEN 'chats/T' || (c_custkey % 3) ELSE 'chats/x' || c_custkey END || ' - s' || (c_custkey % 40) || '.chat' AS path,
+  CASE WHEN c_custkey % 17 = 0 THEN '' ELSE 'chats/T' || ((c_custkey // 3) % 4) || '- - s' || (c_custkey % 40) || '.chat' END AS wanted FROM customer),
+r AS (SELECT path, CASE WHEN k % 2 = 0 THEN replace(wanted, '- -', ' -') ELSE wanted END AS new_path, row_number() OVER (ORDER BY (k * 7919) % 100003, k) AS i FROM c WHERE wanted <> ''),
+s(i, names, done) AS (
+  SELECT 0, (SELECT list(path) FROM c), []::STRUCT(path VARCHAR, new_path VARCHAR)[]
+  UNION ALL
+  SELECT r.i, CASE WHEN list_contains(names, new_path) THEN names ELSE list_append(list_filter(names, lambda x: x <> r.path), new_path) END,
+         CASE WHEN list_contains(names, new_path) THEN done ELSE list_append(done, {'path': r.path, 'new_path': new_path}) END
+  FROM s JOIN r ON r.i = s.i + 1)
+SELECT d.path, d.new_path FROM (SELECT unnest(done) AS d FROM s WHERE i = (SELECT max(i) FROM s))""")
+def rename_collisions(spark, d):
+    """A batch of renames with conflicts, freed names and chains, held to one after the other."""
+    k = F.col("c_custkey")
+    stamp = F.concat(F.lit("s"), (k % 40).cast("string"))
+    head = F.when(k < 120, F.concat(F.lit("T"), (k % 3).cast("string"))).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    title = F.when(k % 17 == 0, "  ").otherwise(F.concat(F.lit(" T"), (F.floor(k / 3) % 4).cast("string"), F.when(k % 2 == 0, " ").otherwise("?")))
+    rows = tables.table(spark, d, "customer").select(F.concat(F.lit("chats/"), head, F.lit(" - "), stamp, F.lit(".chat")).alias("path"), F.concat(F.lit("Chat "), stamp).alias("thread_id"), title.alias("title"), ((k * 7919) % 100003 * 1000000 + k).alias("ord"))
+    return chats.renamed(rows.select("path"), rows)
+
+
+@_query("""
+WITH n AS (SELECT source, count(*) AS rows, 'v1' AS version FROM documents GROUP BY source)
+SELECT source, CASE WHEN source = 'src1' THEN 1 ELSE rows END AS rows, 2 - CAST(source NOT IN ('src1', 'new') AS INT) AS parsed_in FROM (SELECT source, rows FROM n WHERE source <> 'src2' UNION ALL SELECT 'new', 3 FROM (SELECT 1 FROM documents LIMIT 1))""")
+def refreshed_index(spark, d):
+    """An index of files by source: built, then brought up to one changed, one new and one deleted file, of which it parses two."""
+    out = new_path(spark, "index")
+    rows = tables.table(spark, d, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("value"))
+    put = lambda df: df.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").text(f"{out}/files")
+    put(rows)
+    stage = []
+
+    def parse(files):
+        lines = F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: x != ""))
+        return files.select("path", F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), lines.cast("long").alias("rows"), F.lit(len(stage) + 1).alias("parsed_in"))
+
+    index.refresh(spark, f"{out}/files", f"{out}/index", "*.txt", parse)
+    stage.append("changes")
+    some = rows.limit(1)
+    put(some.select(F.lit("src1").alias("source"), "value").unionByName(some.select(F.lit("new").alias("source"), F.explode(F.array_repeat("value", 3)).alias("value"))))
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/files/source=src2")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    found = index.refresh(spark, f"{out}/files", f"{out}/index", "*.txt", parse).rows
+    return found.groupBy("source").agg(F.sum("rows").alias("rows"), F.max("parsed_in").alias("parsed_in"))
 
 
 def _threads(spark, d):
@@ -67,20 +189,12 @@ def chat_file_of_thread(spark, d):
     source = F.col("source")
     files = tables.table(spark, d, "documents").select(source).distinct()
     name = F.when(source == "src2", F.concat(F.lit("chats/"), source, F.lit(" - Chat 7.chat"))).otherwise(F.concat(F.lit("chats/"), source, F.lit(".chat")))
-    return tables.chat_path(files.select(name.alias("path")), "Chat 7")
+    return chats.chat_path(files.select(name.alias("path")), "Chat 7")
 
 
 # Streams
 
 
-def _scratch(spark) -> str:
-    """A folder that the driver and executors share; of our own only where the session names none and all tasks run in this process."""
-    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if named is None and master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or 'file://' + tempfile.mkdtemp(prefix='quillgrid-')}/streams/{uuid.uuid4().hex}"
-
-
 def _event_files(spark, d, out: str):
     """The events as a stream of files, a range of time each, one of them a micro-batch."""
     events = _stream_events(spark, d, _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts")
@@ -92,7 +206,7 @@ def _event_files(spark, d, out: str):
 
 
 def _change_log(spark, d, **how):
-    out = _scratch(spark)
+    out = new_path(spark, "streams")
     folds.with_rocksdb(spark)
     events = _event_files(spark, d, out)
     if "quiet" in how:  # where runs end, an event of none of the other kinds is a cancellation
@@ -131,7 +245,7 @@ def streamed_endings(spark, d):
 @_query("SELECT conv_id AS thread_id, turn AS checkpoint_id, coalesce(text, '') AS entry FROM conversations")
 def logged_checkpoints(spark, d):
     """Checkpoints in a log of buckets: a first version of all, the last of each after eight batches and a repeated one."""
-    path = f"{_scratch(spark)}/checkpoints"
+    path = new_path(spark, "checkpoints")
     rows = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("checkpoint_id"), F.coalesce("text", F.lit("")).alias("entry"))
     key = ["thread_id", "checkpoint_id"]
     log.append(rows.withColumn("entry", F.lit("draft")), 0, path, key)
@@ -403,7 +517,7 @@ def server_id_conflicts(spark, d):
 @_query("SELECT conv_id AS thread_id, count(*) AS n FROM conversations WHERE conv_id % 10 <> 3 GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, 1 FROM conversations WHERE conv_id % 10 = 3")
 def saved_threads(spark, d):
     """All threads saved, then a tenth of them again, with one row each."""
-    path = f"{_scratch(spark)}/threads"
+    path = new_path(spark, "threads")
     rows = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), "turn")
     tables.save_threads(rows, path)
     tables.save_threads(rows.where("thread_id % 10 = 3").groupBy("thread_id").agg(F.max("turn").alias("turn")), path)

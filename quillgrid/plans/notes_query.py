@@ -31,8 +31,8 @@ def folder(name: str) -> Column:
 
 
 def prop(name: str, kind: str = "string") -> Column:
-    """A property of the note, null where it is missing or of another kind."""
-    return F.try_variant_get(F.try_parse_json(F.col("properties")), f"$.{name}", kind)
+    """A property of the note, null where it is missing or of another kind; ``a.b``, ``a[0]`` and ``['a b']`` reach into it."""
+    return F.try_variant_get(F.try_parse_json(F.col("properties")), f"${name}" if name.startswith("[") else f"$.{name}", kind)
 
 
 def has(name: str) -> Column:

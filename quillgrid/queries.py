@@ -652,18 +652,6 @@ def thread_delete(spark, d):
     return tables.delete(_messages(spark, d).select("thread_id").distinct(), gone, "thread_id")
 
 
-@_query("""
-WITH f AS (SELECT DISTINCT 'chats/' || source || '.chat' AS path, source FROM documents),
-w AS (SELECT path, CASE WHEN source LIKE '%1' THEN ' ' WHEN source LIKE '%2' THEN 'src0' ELSE 'new: ' || source END AS title FROM f),
-n AS (SELECT path, 'chats/' || replace(title, ':', '-') || '.chat' AS new_path FROM w WHERE trim(title) <> '')
-SELECT * FROM n WHERE path <> new_path AND new_path NOT IN (SELECT path FROM f)""")
-def rename_collisions(spark, d):
-    source = F.col("source")
-    files = tables.table(spark, d, "documents").select("source").distinct().withColumn("path", F.concat(F.lit("chats/"), source, F.lit(".chat")))
-    title = F.when(source.endswith("1"), " ").when(source.endswith("2"), "src0").otherwise(F.concat(F.lit("new: "), source))
-    return tables.renamed(files, files.select("path", title.alias("title")))
-
-
 @_query("SELECT n_name AS provider, s_name AS model FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0")
 def discovered_models(spark, d):
     """Discovery answers of both forms with blank, missing and null ids, read back."""

@@ -29,39 +29,6 @@ def notes(documents: DataFrame) -> DataFrame:
     )
 
 
-def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of a folder and those below it: content, front matter (YAML text), inline tags, links and headings.
-
-    Files that cannot be read are skipped; bytes that are not UTF-8 are replaced.
-    """
-    return parsed_notes(
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.md")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-        .load(folder)
-    )
-
-
-def parsed_notes(files: DataFrame) -> DataFrame:
-    """Notes of files (path, modificationTime, length, content as bytes)."""
-    content = F.make_valid_utf8(F.col("content").cast("string"))
-    front = F.nullif(F.regexp_extract(content, r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)", 1), F.lit(""))
-    body = F.regexp_replace(content, r"^---\r?\n[\s\S]*?\r?\n---(?:\r?\n|$)", "")
-    return files.select(
-        "path",
-        F.regexp_extract("path", r"([^/]*)\.md$", 1).alias("name"),
-        content.alias("content"),
-        front.alias("front_matter"),
-        F.transform(F.regexp_extract_all(body, F.lit(r"(?:^|\s)#([\p{L}\p{N}_/-]+)"), 1), lambda t: F.concat(F.lit("#"), t)).alias("tags"),
-        strings.wiki_links(body).alias("links"),
-        F.regexp_extract_all(body, F.lit(r"(?m)^#{1,6} +(.+)$"), 1).alias("headings"),
-        F.col("modificationTime").alias("mtime"),
-        F.col("length").alias("size"),
-    )
-
-
 def folders(paths: DataFrame, path: str = "path") -> DataFrame:
     """Every folder above a path, once."""
     parts = F.split(path, "/")
@@ -112,14 +79,6 @@ def writes(threads: DataFrame) -> DataFrame:
     )
 
 
-def chat_path(files: DataFrame, thread: str, known: str | None = None) -> DataFrame:
-    """The file of a thread: the remembered one, else one with the thread's id in its name, else one that ends in its time."""
-    stamp = thread[5:] if thread.startswith("Chat ") else thread
-    name = F.element_at(F.split("path", "/"), -1)
-    rank = F.when(F.col("path") == F.lit(known), 0).when(name == f"{thread}.chat", 1).when(F.contains(name, F.lit(thread)), 2).when(F.endswith(name, F.lit(f" - {stamp}.chat")), 3)
-    return files.where(F.endswith("path", F.lit(".chat"))).withColumn("rank", rank).where("rank IS NOT NULL").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
-
-
 def discovered_models(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Model ids of discovery answers, in the ``data[].id`` or the ``models[].name`` form; blank and null ones dropped."""
     return payloads.select("provider", F.explode(_model_ids(F.col(body))).alias("model"))
@@ -156,10 +115,3 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> Data
 
 def delete(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return current.join(gone.select(key).distinct(), key, "left_anti")
-
-
-def renamed(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """path and new_path of files to rename: blank titles, unchanged names and names in use are left out."""
-    folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
-    new = wanted.where(~strings.is_blank(F.col("title"))).select("path", F.concat(folder, strings.file_name(F.col("title")), F.lit(".chat")).alias("new_path")).where("new_path <> path")
-    return new.join(files.select(F.col("path").alias("new_path")), "new_path", "left_anti").select("path", "new_path")

@@ -8,7 +8,7 @@ run again finds its number in the manifest and does nothing. A manifest is
 created, never overwritten: of two writers at once, one fails and loses nothing.
 
 The rows of a key are those of the last batch that had it: a batch replaces a key
-as a whole. Compaction writes that state as one part, so neither files nor
+as a whole, and can take keys out. Compaction writes that state as one part, so neither files nor
 manifests grow with the number of batches or keys. Parts are rebalanced by bucket,
 which splits a bucket that a hot key fills.
 """
@@ -74,13 +74,19 @@ def _write(rows: DataFrame, path: str, key: list[str], buckets: int) -> str:
     return part
 
 
-def append(batch: DataFrame, number: int, path: str, key: list[str], order: str | None = None, buckets: int = BUCKETS) -> bool:
-    """Commit a batch under its number, once; False if it was there. With ``order``, the last row of a key stands for it."""
+def append(batch: DataFrame, number: int, path: str, key: list[str], order: str | None = None, buckets: int = BUCKETS, gone: DataFrame | None = None) -> bool:
+    """Commit a batch under its number, once; False if it was there. With ``order``, the last row of a key stands for it.
+
+    The keys of ``gone`` have no rows any more.
+    """
     spark = batch.sparkSession
     version, manifest = _manifest(spark, path)
     if number <= manifest["batch"]:
         return False
     rows = batch if order is None else batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+    rows = rows.withColumn("_gone", F.lit(False))
+    if gone is not None:
+        rows = rows.unionByName(gone.select(*key).withColumn("_gone", F.lit(True)), allowMissingColumns=True)
     rows = rows.withColumn("_batch", F.lit(number).cast("long"))
     part = _write(rows, path, key, buckets)
     _commit(spark, path, version + 1, {"batch": number, "parts": [*manifest["parts"], part], "schema": json.loads(rows.schema.json())})
@@ -101,7 +107,7 @@ def _live(spark: SparkSession, path: str, manifest: dict, key: list[str]) -> Dat
     same = F.col("_batch") == F.col("_last")
     for i, k in enumerate(key):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(last, same, "left_semi")
+    return rows.join(last, same, "left_semi").where("NOT _gone")
 
 
 def read(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
@@ -109,7 +115,7 @@ def read(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     manifest = _manifest(spark, path)[1]
     if not manifest["parts"]:
         raise FileNotFoundError(f"no log at {path}")
-    return _live(spark, path, manifest, key).drop("_batch")
+    return _live(spark, path, manifest, key).drop("_batch", "_gone")
 
 
 def compact(spark: SparkSession, path: str, key: list[str], buckets: int = BUCKETS) -> None:
@@ -128,6 +134,12 @@ def compact(spark: SparkSession, path: str, key: list[str], buckets: int = BUCKE
             fs.delete(status.getPath(), True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a log with all it has."""
+    fs, kind = _files(spark, path)
+    fs.delete(kind(path), True)
+
+
 def sink(stream: DataFrame, path: str, key: list[str], checkpoint: str, order: str | None = None, every: str | None = None, numbered: bool = False):
     """Start a query that commits each micro-batch to the log; without ``every`` it ends when all is read.
 

@@ -145,17 +145,6 @@ def test_chat_files(spark, tmp_path):
     assert tuple(threads.errors(flat, "i").first())[1:] == (3, "late")
 
 
-def test_markdown(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "n.md").write_text("---\ntags: [a]\n---\n# Head\nText #tag/x and [[Other|o]].\n#two\n")
-    (tmp_path / "skip.txt").write_text("no")
-    (tmp_path / "latin.md").write_bytes("# Caf\xe9\nx".encode("latin-1"))
-    every = {r.name: r for r in tables.markdown(spark, f"file://{tmp_path}").collect()}
-    assert every["latin"].headings == ["Caf\ufffd"] and len(every) == 2
-    r = every["n"]
-    assert (r.name, r.front_matter, r.tags, r.links, r.headings) == ("n", "tags: [a]", ["#tag/x", "#two"], ["Other"], ["Head"])
-
-
 def test_stores(spark, tmp_path):
     now = spark.createDataFrame([("a", 1), ("b", 1)], "thread_id string, v long")
     new = spark.createDataFrame([("b", 2, 1), ("c", 3, 1), ("b", 4, 2)], "thread_id string, v long, n long")
@@ -166,10 +155,6 @@ def test_stores(spark, tmp_path):
     tables.save_threads(now, path)
     tables.save_threads(spark.createDataFrame([("b", 9)], "thread_id string, v long"), path)
     assert sorted((r.thread_id, r.v) for r in tables.saved_threads(spark, path).collect()) == [("a", 1), ("b", 9)]
-    files = spark.createDataFrame([("x/a.chat",), ("x/Taken.chat",), ("x/b - 2024.chat",)], "path string")
-    wanted = spark.createDataFrame([("x/a.chat", "New: name"), ("x/b - 2024.chat", "Taken"), ("x/Taken.chat", " ")], "path string, title string")
-    assert [tuple(r) for r in tables.renamed(files, wanted).collect()] == [("x/a.chat", "x/New- name.chat")]
-    assert tables.chat_path(files, "Chat 2024").first().path == "x/b - 2024.chat"
     models = spark.createDataFrame([("o", '{"data":[{"id":"m"},{"id":" "},{"id":null},{}]}'), ("l", '{"models":[{"name":"n"}]}'), ("e", "{}")], "provider string, body string")
     assert sorted(map(tuple, tables.discovered_models(models).collect())) == [("l", "n"), ("o", "m")]
     assert sorted(r.folder for r in tables.folders(spark.createDataFrame([("a/b/c.md",), ("d.md",)], "path string")).collect()) == ["a", "a/b"]
