@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm.components import HOT, SALTS, connected_components
 from quillgrid.llm.hashing import coded_words, gram_codes, gram_hashes, mix, slices, string_bytes
-from quillgrid.llm.storage import discard, materialise
+from quillgrid.llm.storage import materialise, run
 from quillgrid.llm.text import whole_numbers
 
 ROWS = 4
@@ -256,8 +256,19 @@ def _with_hubs(members: DataFrame, task_shingles: int) -> DataFrame:
     return dealt.union(hubs).select("grp", "node", "n", F.concat_ws(":", "grp", "part").alias("task"))
 
 
-def _placed(members: DataFrame, task_shingles: int, percent: int = PERCENT) -> DataFrame:
-    """members (node, grp, n, settled) with the tasks, none or more, in which each has to be compared.
+def _levels(key: Column) -> tuple[Column, Column]:
+    """The keys that members of a key meet: open members of three levels, and, if they are open themselves, settled ones too."""
+    level = F.floor(key / 2).cast("int") * 2
+    settled = F.when(key % 2 != 0, F.array(*[level + d for d in (-2, 0, 2)])).otherwise(F.array().cast("array<int>"))
+    return F.array(*[level + d for d in (-1, 1, 3)]), settled
+
+
+def _parts(key: Column) -> Column:
+    return F.coalesce(F.element_at("parts", key), F.lit(0))
+
+
+def _cut(members: DataFrame, task_shingles: int, percent: int = PERCENT) -> DataFrame:
+    """members (node, grp, n, settled) with their key, the parts into which each key of their group is cut, and ``times``, in how many tasks they are.
 
     A key is a size level, doubled, and one more for open members.
     """
@@ -265,24 +276,20 @@ def _placed(members: DataFrame, task_shingles: int, percent: int = PERCENT) -> D
     keyed = members.select("node", "grp", "n", key)
     keys = keyed.groupBy("grp", "key").agg(F.sum("n").alias("load"))
     parts = F.map_from_entries(F.collect_list(F.struct("key", F.ceil(F.col("load") / task_shingles).cast("int").alias("parts"))))
-    groups = keys.groupBy("grp").agg(F.sum("load").alias("load"), parts.alias("parts"))  # some hundred keys at most
-    placed = keyed.join(groups, "grp")
-    whole = placed.where(F.col("load") <= task_shingles).select("node", "grp", "n", F.array(F.col("grp").cast("string")).alias("tasks"))
-    count = lambda k: F.coalesce(F.element_at("parts", k), F.lit(0))
-    own = F.pmod(F.xxhash64("node"), count(F.col("key"))).cast("int")
-    cut = placed.where(F.col("load") > task_shingles).select("node", "grp", "n", "key", "parts", own.alias("part"))
-    level = F.floor(F.col("key") / 2).cast("int") * 2
-    near = F.array(*[level + d for d in (-1, 1, 3)])  # open members of three levels
-    settled = F.when(F.col("key") % 2 != 0, F.array(*[level + d for d in (-2, 0, 2)])).otherwise(F.array().cast("array<int>"))
-    part = lambda k, i: F.concat_ws(".", k.cast("string"), i.cast("string"))
-    pair = lambda k, i: F.concat_ws(":", F.col("grp").cast("string"), F.sort_array(F.array(part(F.col("key"), F.col("part")), part(k, i))))
-    met = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count(k), F.lit(1)) - 1), lambda i: i < count(k)), lambda i: pair(k, i))
-    return whole.union(cut.select("node", "grp", "n", F.flatten(F.transform(F.concat(near, settled), met)).alias("tasks")))
+    groups = keys.groupBy("grp").agg((F.sum("load") <= task_shingles).alias("whole"), parts.alias("parts"))  # some hundred keys at most
+    times = F.aggregate(F.concat(*_levels(F.col("key"))), F.lit(0), lambda s, k: s + _parts(k))
+    return keyed.join(groups, "grp").withColumn("times", F.when(F.col("whole"), 1).otherwise(times))
 
 
 def _tasks(members: DataFrame, task_shingles: int, percent: int = PERCENT) -> DataFrame:
-    """node, n, task of every member and each of its tasks."""
-    return _placed(members, task_shingles, percent).select("node", "n", F.explode("tasks").alias("task"))
+    """node, n, task of every member and each of the tasks, none or more, in which it has to be compared."""
+    cut = _cut(members, task_shingles, percent)
+    own = F.pmod(F.xxhash64("node"), _parts(F.col("key"))).cast("int")
+    part = lambda k, i: F.concat_ws(".", k.cast("string"), i.cast("string"))
+    pair = lambda k, i: F.concat_ws(":", F.col("grp").cast("string"), F.sort_array(F.array(part(F.col("key"), own), part(k, i))))
+    met = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(_parts(k), F.lit(1)) - 1), lambda i: i < _parts(k)), lambda i: pair(k, i))
+    tasks = F.when(F.col("whole"), F.array(F.col("grp").cast("string"))).otherwise(F.flatten(F.transform(F.concat(*_levels(F.col("key"))), met)))
+    return cut.select("node", "n", F.explode(tasks).alias("task"))
 
 
 def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -340,12 +347,11 @@ def _spread(members: DataFrame, keys: DataFrame, docs: DataFrame, shingle: int,
     least: a task has the members with one of some keys that an open member and
     another one share, and a task too large is cut into pairs of parts as groups are.
     """
-    direct = _placed(members, task_shingles, percent)
-    sent = direct.groupBy("grp").agg(F.sum("n").alias("load"), F.sum(F.col("n") * F.size("tasks")).alias("sent"))
+    # what is sent is reckoned from the parts of each key: a member's tasks are listed only where it is compared in them
+    sent = _cut(members, task_shingles, percent).groupBy("grp").agg(F.sum("n").alias("load"), F.sum(F.col("n") * F.col("times")).alias("sent"))
     costly, _ = materialise(sent.where(F.col("sent") > F.col("load") * MOST_SENT), "costly")
-    by_parts = direct.select("node", "grp", "n", F.explode("tasks").alias("task"))
     if costly.isEmpty():
-        return by_parts.drop("grp")
+        return _tasks(members, task_shingles, percent)
     # merge joins: costly groups grow in number with the input
     large, _ = materialise(members.join(costly.select("grp").hint("merge"), "grp").select("node", "grp", "n", "settled"), "large")
     rare, _ = materialise(_rare_shingles(large.hint("merge").join(docs, "node"), shingle, percent).distinct(), "rare")
@@ -356,14 +362,18 @@ def _spread(members: DataFrame, keys: DataFrame, docs: DataFrame, shingle: int,
     buckets = keyed.groupBy("way", "grp").agg(F.ceil(F.sum("n") / task_shingles).alias("buckets"))
     bucket = F.pmod(F.xxhash64("key"), F.col("buckets"))
     dealt = keyed.join(buckets, ["way", "grp"]).select("node", "n", "settled", F.concat_ws("/", "grp", "way", bucket).alias("grp")).distinct()
+    dealt, _ = materialise(dealt, "dealt")
     named = F.split("grp", "/")
-    pieces, _ = materialise(_placed(dealt, task_shingles, percent).select("node", "n", "tasks", named[0].cast("long").alias("grp"), named[1].alias("way")), "pieces")
-    # a way in which nobody meets anybody has no pieces, and sends nothing
-    found = pieces.groupBy("grp").pivot("way", ["band", "rare"]).agg(F.sum(F.col("n") * F.size("tasks")))
+    of = named[0].cast("long"), named[1]
+    # a way in which nobody meets anybody has no rows, and sends nothing
+    sums = _cut(dealt, task_shingles, percent).groupBy(of[0].alias("of"), of[1].alias("way")).agg(F.sum(F.col("n") * F.col("times")).alias("sent"))
+    found = sums.groupBy(F.col("of").alias("grp")).pivot("way", ["band", "rare"]).agg(F.sum("sent"))
     by = costly.join(found, "grp", "left").select("grp", "sent", F.coalesce("band", F.lit(0)).alias("band"), F.coalesce("rare", F.lit(0)).alias("rare"))
     best = by.select("grp", F.when(F.col("sent") <= F.least("band", "rare"), "parts").when(F.col("band") < F.col("rare"), "band").otherwise("rare").alias("way"))
-    by_keys = pieces.join(best, ["grp", "way"], "left_semi").select("node", "n", F.explode("tasks").alias("task"))
-    return by_parts.join(best.where("way <> 'parts'"), "grp", "left_anti").select("node", "n", "task").union(by_keys)
+    best, _ = materialise(best.where("way <> 'parts'"), "ways")
+    by_keys = dealt.join(best.select(F.col("grp").alias("of"), "way"), (of[0] == F.col("of")) & (of[1] == F.col("way")), "left_semi")
+    by_parts = members.join(best, "grp", "left_anti")
+    return _tasks(by_parts, task_shingles, percent).union(_tasks(by_keys, task_shingles, percent))
 
 
 def _dealt(tasks: DataFrame, docs: DataFrame, task_shingles: int) -> DataFrame:
@@ -391,12 +401,6 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
     sets = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     reps, _ = materialise(reps, "vertices")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    smallest = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1").select("key", "least")
-    ties = keys.join(smallest, "key").where("rep <> least").select("rep", "least")
-    groups = connected_components(ties, "rep", "least").withColumnRenamed("component", "grp")
-    members = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("node", "grp").agg(F.min("n").alias("n"))
-    members, members_path = materialise(members, "members")
     # rows of one rep are equal sets or share a doc_id: one text a node is enough
     docs = documents.select(whole_numbers(documents, id_col).alias("node"), F.col(text_col).alias("text"))
 
@@ -404,18 +408,25 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
         dealt = _dealt(tasks, docs, task_shingles).select("bin", "task", "node", *more, "text")
         return dealt.groupBy("bin").applyInArrow(links(shingle, percent), "u long, v long")
 
-    largest = members.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    if largest > task_shingles:
-        stars, _ = materialise(compared(_with_hubs(members, task_shingles), _hub_links, "grp"), "stars")
-        settled = stars.select(F.col("v").alias("node")).distinct().withColumn("hit", F.lit(True))
-        marked = members.join(settled, "node", "left").withColumn("settled", F.col("hit").isNotNull() | (F.col("node") == F.col("grp"))).drop("hit")
-        marked, _ = materialise(marked, "marked")
-        tasks, _ = materialise(_spread(marked, keys, docs, shingle, percent, task_shingles), "tasks")
-        links = compared(tasks, _link_tasks).union(stars)
-    else:
-        links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles, percent), _link_tasks)
-    found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
-    discard(documents.sparkSession, members_path)  # the links are found and written
+    with run(documents.sparkSession) as steps:
+        keys = reps.select("rep", F.explode("bands").alias("key"))
+        smallest = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1").select("key", "least")
+        ties = keys.join(smallest, "key").where("rep <> least").select("rep", "least")
+        groups = connected_components(ties, "rep", "least").withColumnRenamed("component", "grp")
+        members = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node").groupBy("node", "grp").agg(F.min("n").alias("n"))
+        members, _ = materialise(members, "members")
+        largest = members.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        if largest > task_shingles:
+            stars, _ = materialise(compared(_with_hubs(members, task_shingles), _hub_links, "grp"), "stars")
+            settled = stars.select(F.col("v").alias("node")).distinct().withColumn("hit", F.lit(True))
+            marked = members.join(settled, "node", "left").withColumn("settled", F.col("hit").isNotNull() | (F.col("node") == F.col("grp"))).drop("hit")
+            marked, _ = materialise(marked, "marked")
+            tasks, _ = materialise(_spread(marked, keys, docs, shingle, percent, task_shingles), "tasks")
+            links = compared(tasks, _link_tasks).union(stars)
+        else:
+            links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles, percent), _link_tasks)
+        found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
+        steps.discard(but=steps.paths[-1:])  # the links are found and written
     named = reps.select("set_a", "set_b", "rep").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("linked", "rep").alias("component"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["set_a", "set_b"])
     alone = sketch.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").withColumn("component", F.col("doc_id"))

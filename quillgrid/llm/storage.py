@@ -1,14 +1,50 @@
-"""Written tables in the folder that the driver and all executors share."""
+"""Written tables in the folder that the driver and all executors share.
+
+Whoever writes several steps opens a ``run``: it knows the tables written inside,
+its own alone, whatever else the session does meanwhile in other threads.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-_written: list[str] = []
+
+
+class Run:
+    """The tables that a run wrote and has not deleted yet, in the order they were written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def discard(self, but: Sequence[str] = ()) -> None:
+        """Delete them, but these: to be called once nothing that is still to be computed reads them."""
+        for path in [p for p in self.paths if p not in but]:
+            discard(self.spark, path)
+
+
+_runs: ContextVar[tuple[Run, ...]] = ContextVar("runs", default=())
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[Run]:
+    """Gather the tables written inside, those of inner runs too; if it fails, they are deleted."""
+    mine = Run(spark)
+    token = _runs.set((*_runs.get(), mine))
+    try:
+        yield mine
+    except BaseException:
+        mine.discard()
+        raise
+    finally:
+        _runs.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +68,8 @@ def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgrid/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    for each in _runs.get():
+        each.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -41,17 +78,6 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
-
-
-def kept_tables() -> list[str]:
-    """Tables of this application that are not deleted yet, in the order they were written."""
-    return list(_written)
-
-
-def discard_written(spark: SparkSession, but: list[str]) -> None:
-    """Delete all tables of this application but these: to be called once the results that read them are written."""
-    for path in kept_tables():
-        if path not in but:
-            discard(spark, path)
+    for each in _runs.get():
+        if path in each.paths:
+            each.paths.remove(path)

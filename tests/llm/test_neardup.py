@@ -1,6 +1,7 @@
 import os
 import random
 import re
+import threading
 
 import numpy as np
 import pyarrow as pa
@@ -155,13 +156,53 @@ def test_storage_wants_a_shared_folder_on_a_cluster():
     assert storage.shared_dir(Session) == "hdfs:///shared"
 
 
-def test_written_tables_are_deleted_when_told(spark):
-    before = storage.kept_tables()
-    neardup.classes(spark.createDataFrame(corpus(30), DOC)).count()
-    mine = [p for p in storage.kept_tables() if p not in before]
-    assert mine and os.path.isdir(mine[0].removeprefix("file://"))
-    storage.discard_written(spark, but=before)
-    assert storage.kept_tables() == before and not os.path.isdir(mine[0].removeprefix("file://"))
+def there(path):
+    return os.path.isdir(path.removeprefix("file://"))
+
+
+@pytest.mark.parametrize("task_shingles", [neardup.TASK_SHINGLES, 300])
+def test_only_what_the_result_reads_stays_and_goes_when_told(spark, task_shingles):
+    with storage.run(spark) as mine:
+        rows = neardup.classes(spark.createDataFrame(corpus(30), DOC), task_shingles=task_shingles)
+        assert [p.rsplit("/", 1)[1].split("-")[0] for p in mine.paths] == ["sketches", "vertices", "edges"] and all(map(there, mine.paths))
+        assert rows.count() == 30
+        paths = list(mine.paths)
+        mine.discard()
+    assert not any(map(there, paths)) and not mine.paths
+
+
+def test_runs_side_by_side_delete_their_own_tables_alone(spark):
+    go, done, other = threading.Event(), threading.Event(), []
+
+    def second():
+        with storage.run(spark) as mine:
+            other.append(storage.materialise(spark.range(5), "second"))
+            done.set()
+            go.wait(60)
+            assert mine.paths == [other[0][1]]
+
+    thread = threading.Thread(target=second)
+    thread.start()
+    done.wait(60)
+    with storage.run(spark) as mine:
+        first = storage.materialise(spark.range(3), "first")[1]
+        with pytest.raises(ZeroDivisionError), storage.run(spark):
+            failed = storage.materialise(spark.range(2), "failed")[1]
+            raise ZeroDivisionError
+        assert mine.paths == [first] and not there(failed)
+        mine.discard()
+    go.set()
+    thread.join()
+    assert not there(first) and other[0][0].count() == 5
+
+
+def test_what_is_sent_is_reckoned_as_it_is_listed(spark):
+    rng = random.Random(8)
+    members = spark.createDataFrame([(i, i % 3, rng.choice([10, 40, 41, 50, 64, 80, 200]), rng.random() < 0.4) for i in range(400)], "node long, grp long, n long, settled boolean")
+    for size in (100, 700, 10**6):
+        times = {r.node: r.times for r in neardup._cut(members, size).collect()}
+        listed = {r.node: r["count"] for r in neardup._tasks(members, size).groupBy("node").count().collect()}
+        assert {k: v for k, v in times.items() if v} == listed and len(times) == 400
 
 
 def test_bins_hold_a_task_or_two_however_large_the_group(spark):

@@ -111,7 +111,17 @@ def test_repeated_rows_pass_together(spark, tmp_path):
 
 
 def test_tables_of_stages_are_deleted(spark, folder):
-    before = storage.kept_tables()
-    corpus_pipeline.run(spark, folder[0])
-    left = [p.rsplit("/", 1)[1].split("-")[0] for p in storage.kept_tables() if p not in before]
-    assert left == ["secrets"]
+    with storage.run(spark) as mine:
+        corpus_pipeline.run(spark, folder[0])
+        assert [p.rsplit("/", 1)[1].split("-")[0] for p in mine.paths] == ["secrets"]
+
+
+def test_a_failing_pipeline_leaves_nothing(spark, folder, monkeypatch):
+    def fail(*_):
+        raise ZeroDivisionError
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("broken", fail), corpus_pipeline.STAGES[-1]])
+    with storage.run(spark) as mine:
+        with pytest.raises(ZeroDivisionError):
+            corpus_pipeline.run(spark, folder[0])
+        assert mine.paths == []
