@@ -21,9 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontam, neardup, secrets, sentencepieces, toxicity
+from quillgrid.llm import decontam, neardup, secrets, sentencepieces, storage, toxicity
 from quillgrid.llm.queries import MODEL
-from quillgrid.llm.storage import discard_written, kept_tables, materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The encoded documents after all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    others = kept_tables()
-    for name, stage in STAGES[:-1]:
-        docs, path = materialise(stage(spark, docs, sf_dir), name)
-        discard_written(spark, but=[*others, path])
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with storage.run(spark) as steps:  # what it wrote goes if it fails
+        for name, stage in STAGES[:-1]:
+            docs, path = storage.materialise(stage(spark, docs, sf_dir), name)
+            steps.discard(but=[path])
+        return STAGES[-1][1](spark, docs, sf_dir)
