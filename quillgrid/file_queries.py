@@ -10,7 +10,7 @@ from quillgrid.plans.notes_query import NotesQuery, folder, prop, tag
 from quillgrid.queries import _FOLDED, _PAIRS, _STREAM, _documents, _events, _messages, _notes, _query, _stream_events
 from quillgrid.sources import chats, index, markdown, tables
 from quillgrid.sources.scratch import new_path
-from quillgrid.streaming import folds, log
+from quillgrid.streaming import folds, log, views
 
 # Files
 
@@ -255,6 +255,23 @@ def logged_checkpoints(spark, d):
     return log.read(spark, path, key)
 
 
+@_query("""
+WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE c_nationkey END AS nation FROM customer WHERE c_custkey % 5 <> 0)
+SELECT id, nation, nation IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 1) AS matched FROM c""")
+def kept_matches(spark, d):
+    """A semi and an anti join of customers with suppliers' nations, kept while rows of both are inserted, changed and deleted."""
+    view = views.MatchedView(spark, new_path(spark, "views"), ["nation"], ["id"])
+    left = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("nation"), F.lit("insert").alias("op"))
+    right = tables.table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"), "s_suppkey", F.lit("insert").alias("op"))
+    view.apply(0, left, right.drop("s_suppkey"))
+    moved = left.where("id % 7 = 0").withColumn("nation", F.lit(3).cast("long"))
+    gone = left.where("id % 5 = 0").withColumn("op", F.lit("delete"))
+    less = right.where("s_suppkey % 2 = 0").select("nation", F.lit("delete").alias("op"))
+    for _ in range(2):  # run again, it changes nothing
+        view.apply(1, moved.unionByName(gone), less)
+    return view.matched().withColumn("matched", F.lit(True)).unionByName(view.unmatched().withColumn("matched", F.lit(False)))
+
+
 # Messages and events
 
 
@@ -420,8 +437,7 @@ def settings_sections(spark, d):
     part = tables.table(spark, d, "part").select(F.col("p_brand").alias("section"), F.col("p_size").cast("string").alias("name"), "p_partkey", "p_type", "p_name")
     defaults = part.groupBy("section", "name").agg(F.min("p_type").alias("value"))
     own = part.where("p_partkey % 7 = 0").groupBy("section", "name").agg(F.max("p_name").alias("value"))
-    deep = [r["section"] for r in part.select("section").distinct().where("section < 'Brand#3'").collect()]  # names of sections: a fixed list in use
-    return stores.merge_sections(defaults, own, deep)
+    return stores.merge_sections(defaults, own, part.select("section").where("section < 'Brand#3'").distinct())
 
 
 @_query("SELECT n_name AS agent, 'on' AS search, CASE WHEN n_nationkey % 3 = 0 THEN 'on' ELSE 'off' END AS read, CASE WHEN n_nationkey % 3 = 1 THEN n_name END AS own FROM nation")
@@ -446,6 +462,20 @@ def auth_answers(spark, d):
     return _events(spark, d).select("event_id", answer.alias("a")).select("event_id", "a.kind", "a.error")
 
 
+@_query("""
+WITH a AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN ' ' ELSE 'https://' || source END AS c, [200, 401, 500, 403][1 + doc_id % 4] AS s, doc_id % 3 AS b, doc_id % 13 = 0 AS lost FROM documents)
+SELECT doc_id, CASE WHEN c = '' THEN 'Base URL is required' WHEN lost THEN 'Connection failed: ' || source WHEN s = 200 THEN NULL WHEN b = 0 THEN 'told ' || lang || ' ' || source WHEN s IN (401, 403) THEN 'Authentication failed' ELSE 'Request failed with status ' || s END AS error FROM a""")
+def compatible_sign_in(spark, d):
+    """Answers of servers that are compatible with another's: a URL is needed, a key is not; only the message of an error counts."""
+    ident = F.col("doc_id")
+    told = F.to_json(F.struct(F.struct(F.concat_ws(" ", F.lit("told"), "lang", "source").alias("message")).alias("error")))
+    body = F.when(ident % 3 == 0, told).when(ident % 3 == 1, "plain text").otherwise("")
+    url = F.when(ident % 7 == 0, F.when(ident % 2 == 0, "")).when(ident % 7 == 1, " ").otherwise(F.concat(F.lit("https://"), "source"))
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 401, 500, 403)]), (ident % 4 + 1).cast("int"))
+    answer = stores.auth_answer(F.lit("openai-compatible"), url, status, body, F.when(ident % 13 == 0, F.col("source")))
+    return tables.table(spark, d, "documents").select("doc_id", answer["error"].alias("error"))
+
+
 @_query("""
 SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Name is required' WHEN 1 THEN 'Name must contain at least one letter or number' WHEN 2 THEN 'A server with this name already exists' WHEN 4 THEN 'Command is required for stdio transport'
   WHEN 5 THEN 'URL is required for HTTP/SSE transport' WHEN 6 THEN 'Invalid URL format' END AS error FROM customer""")

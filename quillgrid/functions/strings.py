@@ -116,7 +116,27 @@ def wiki_links(text: Column) -> Column:
 def render_hits(ordinal: Column, name: Column, path: Column, score: Column | None = None) -> Column:
     """A hit as a line; with a score, to two decimals, where there is one."""
     line = F.concat(ordinal.cast("string"), F.lit(". "), name, F.lit(" ("), path, F.lit(")"))
-    return line if score is None else F.concat(line, F.coalesce(F.format_string(" [score: %.2f]", score), F.lit("")))
+    return line if score is None else F.concat(line, F.coalesce(F.concat(F.lit(" [score: "), two_decimals(score), F.lit("]")), F.lit("")))
+
+
+def two_decimals(number: Column) -> Column:
+    """A double to two decimals, by its exact binary value; the half of a hundredth goes away from zero.
+
+    The fraction is exact. Twice its hundreds are compared with the odd number between two
+    hundredths: the fraction is cut in two halves of few bits, whose products are exact.
+    Numbers beyond whole 64-bit ones have no fraction, and are null here.
+    """
+    x = F.abs(number.cast("double"))
+    whole = F.floor(x)
+    part = x - whole.cast("double")
+    low = F.floor(part * 100)
+    wide = part * F.lit(134217729.0)
+    high = wide - (wide - part)
+    beyond = (high * 200 - (low * 2 + 1).cast("double")) + (part - high) * 200
+    cents = low + F.when(beyond >= 0, 1).otherwise(0)
+    sign = F.when(number < 0, "-").otherwise("")
+    shown = F.concat(sign, (whole + F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(x < F.lit(9.2e18), shown)
 
 
 def is_provider_id(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrid.functions import fuzzy as alignment
 from quillgrid.functions import strings
 
 #: No search returns more than this, whatever is asked for.
@@ -111,8 +112,8 @@ def filter_options(options: DataFrame, query: str) -> DataFrame:
 
 
 def fuzzy(paths: DataFrame, query: str, most: int = 10) -> DataFrame:
-    """Paths that have the query's characters in order, best first (our own score: shorter spans and paths first)."""
+    """Paths that have the query's characters in order, best first, by the score of their best alignment (our own, ``functions.fuzzy``)."""
     quoted = ["\\" + c if c in r"\.^$|()[]{}+*?" else c for c in query.lower()]
-    span = F.length(F.regexp_extract(F.lower("path"), ".*?".join(quoted), 0))
-    hits = paths.where(F.lower("path").rlike(".*?".join(quoted))) if query else paths
-    return hits.withColumn("score", F.lit(0.0) if not query else len(query) / span).orderBy(F.desc(F.coalesce("score", F.lit(0.0))), F.length("path"), "path").limit(most)
+    hits = paths.where(F.lower("path").rlike("(?s)" + ".*?".join(quoted))) if query else paths  # the rest never leaves the JVM
+    scored = hits.withColumn("score", alignment.score(F.col("path"), query) if query else F.lit(0).cast("long"))
+    return scored.orderBy(F.desc(F.coalesce("score", F.lit(0))), F.length("path"), "path").limit(most)

@@ -51,11 +51,11 @@ def cleared(chosen: DataFrame, left: DataFrame, key: list[str]) -> DataFrame:
     return chosen.join(there, key, "left").select(*[F.when(F.col("_there"), F.col(c)).alias(c) if c in key else F.col(c) for c in chosen.columns])
 
 
-def merge_sections(defaults: DataFrame, own: DataFrame, deep: list[str]) -> DataFrame:
-    """Settings (section, name, value) over defaults. A section of ``deep`` is merged by name; any other is replaced whole by one's own."""
+def merge_sections(defaults: DataFrame, own: DataFrame, deep: DataFrame) -> DataFrame:
+    """Settings (section, name, value) over defaults. A section of ``deep`` (section) is merged by name; any other is replaced whole by one's own."""
     mine = own.select("section", "name", F.col("value").alias("_own"), F.lit(True).alias("_set"))
     base = defaults.join(own.select("section").distinct().withColumn("_has", F.lit(True)), "section", "left")
-    base = base.where(F.col("section").isin(*deep) | F.col("_has").isNull()).drop("_has")
+    base = base.join(deep.select("section").distinct().withColumn("_deep", F.lit(True)), "section", "left").where("_deep OR _has IS NULL").drop("_has", "_deep")
     return base.join(mine, ["section", "name"], "full_outer").select("section", "name", F.when(F.col("_set"), F.col("_own")).otherwise(F.col("value")).alias("value"))
 
 
@@ -66,16 +66,17 @@ def with_entry_defaults(entries: Column, defaults: Column) -> Column:
 
 
 # What an answer says; these are shown to users.
-_NO_KEY, _NO_URL, _DENIED, _FAILED, _LOST = "API key is required", "Server URL is required", "Authentication failed (%d)", "Request failed with status %d", "Connection failed: %s"
+_NO_KEY, _NO_URL, _NO_BASE, _DENIED_BARE, _DENIED, _FAILED, _LOST = "API key is required", "Server URL is required", "Base URL is required", "Authentication failed", "Authentication failed (%d)", "Request failed with status %d", "Connection failed: %s"
 # Where each provider's error body has its message, and what marks a failed sign-in there whatever the status is.
-_MESSAGE = {"openai": "$.error.message", "anthropic": "$.error.message", "openrouter": "$.error.message"}
+_MESSAGE = {"openai": "$.error.message", "anthropic": "$.error.message", "openrouter": "$.error.message", "openai-compatible": "$.error.message"}
 _MARKS = {"openai": ("$.error.code", "invalid_api_key"), "anthropic": ("$.error.type", "authentication_error")}
 
 
 def auth_answer(provider: Column, credential: Column, status: Column, body: Column, failure: Column) -> Column:
     """kind, error: what the answer of a provider to a sign-in says.
 
-    ``credential`` is the key, or the URL of a server without keys; ``failure`` is
+    ``credential`` is the key, or the URL of a server without keys or of one that is
+    compatible with another's (``openai-compatible``: keys are optional there); ``failure`` is
     why there was no answer (null: there was one). kind is valid, missing,
     unreachable, denied or failed; error is null for valid.
     """
@@ -93,18 +94,19 @@ def auth_answer(provider: Column, credential: Column, status: Column, body: Colu
     own = F.nullif(at(_MESSAGE), F.lit(""))
     text = F.nullif(body, F.lit(""))
     bare = ~provider.isin(*_MESSAGE)  # a provider without messages answers with plain text
+    like = provider == "openai-compatible"
     kind = (
-        F.when(strings.is_blank(F.coalesce(credential, F.lit(""))), "missing")
+        F.when(F.when(like, F.coalesce(credential, F.lit("")) == "").otherwise(strings.is_blank(F.coalesce(credential, F.lit("")))), "missing")
         .when(failure.isNotNull(), "unreachable")
         .when(status.between(200, 299), "valid")
         .when(status.isin(401, 403) | mark, "denied")
         .otherwise("failed")
     )
     error = (
-        F.when(kind == "missing", F.when(provider == "ollama", _NO_URL).otherwise(_NO_KEY))
+        F.when(kind == "missing", F.when(provider == "ollama", _NO_URL).when(like, _NO_BASE).otherwise(_NO_KEY))
         .when(kind == "unreachable", F.format_string(_LOST, failure))
-        .when(kind == "denied", F.coalesce(F.when(bare, text).otherwise(own), F.format_string(_DENIED, status)))
-        .when(kind == "failed", F.coalesce(own, text, F.format_string(_FAILED, status)))
+        .when(kind == "denied", F.coalesce(F.when(bare, text).otherwise(own), F.when(like, _DENIED_BARE).otherwise(F.format_string(_DENIED, status))))
+        .when(kind == "failed", F.coalesce(own, F.when(~like, text), F.format_string(_FAILED, status)))
     )
     return F.struct(kind.alias("kind"), error.alias("error"))
 

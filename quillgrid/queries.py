@@ -758,9 +758,23 @@ def command_arguments(spark, d):
     return _documents(spark, d, scripts.arguments(F.col("text")).alias("a")).select("doc_id", F.size("a").cast("long").alias("n"), F.array_join("a", "|").alias("joined"))
 
 
-@_query(f"""
-SELECT path, 4 / length(regexp_extract(lower(path), 'f.*?s.*?1.*?d')) AS score FROM (SELECT {_PATH} AS path FROM documents)
-WHERE regexp_matches(lower(path), 'f.*?s.*?1.*?d') ORDER BY score DESC, length(path), path LIMIT 10""")
+def _fuzzy_sql(query: str) -> str:
+    """Every alignment's score, a character at a time, as joins of places."""
+    steps = "".join(
+        f""", d{n} AS (SELECT c.path, c.i, max(w + CASE WHEN d.i = c.i - 1 THEN d.s + 8 ELSE d.s - (c.i - d.i - 1) END) AS s FROM c JOIN d{n - 1} d ON c.path = d.path AND d.i < c.i WHERE c.c = '{x}' GROUP BY ALL)"""
+        for n, x in enumerate(query)
+        if n
+    )
+    return f"""
+WITH p AS (SELECT DISTINCT {_PATH} AS path FROM documents),
+c AS (SELECT path, i, substr(lower(path), i, 1) AS c,
+        16 + CASE WHEN regexp_matches(substr(lower(path), i, 1), '[\\p{{L}}\\p{{N}}]') AND (i = 1 OR NOT regexp_matches(substr(lower(path), i - 1, 1), '[\\p{{L}}\\p{{N}}]')) THEN 8 ELSE 0 END AS w
+      FROM (SELECT path, unnest(range(1, length(path) + 1)) AS i FROM p)),
+d0 AS (SELECT path, i, w AS s FROM c WHERE c = '{query[0]}'){steps}
+SELECT path, CAST(max(s) AS BIGINT) AS score FROM d{len(query) - 1} GROUP BY path ORDER BY score DESC, length(path), path LIMIT 10"""
+
+
+@_query(_fuzzy_sql("fs1d"))
 def fuzzy_paths(spark, d):
-    """Our own scorer: the reference's is outside it."""
+    """Our own scorer: the best of all alignments."""
     return search.fuzzy(_notes(spark, d).select("path"), "fs1d").select("path", "score")

@@ -1,11 +1,12 @@
 import json
+import random
 
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillgrid.functions import dates, scripts, strings, values
+from quillgrid.functions import dates, fuzzy, scripts, strings, values
 
 
 def column(spark, items, expression, kind="string"):
@@ -117,3 +118,36 @@ def test_arguments_equal_a_scan_by_character(text):
         else:
             word += c
     assert scripts.split_arguments(text) == ([*out, word] if word else out)
+
+
+def test_two_decimals_are_those_of_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(7)
+    numbers = [1.005, 0.125, 0.375, 2.675, 1.115, 0.995, 0.994999, 99.995, -1.005, -0.125, 0.0, 7.0, 0.285, 1e15 + 0.125, 123456.785] + [rng.choice([1, 10, 1e6]) * rng.random() for _ in range(300)] + [rng.randrange(10**6) / 200 for _ in range(300)]
+    got = [r.s for r in spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").orderBy("i").select(strings.two_decimals(F.col("x")).alias("s")).collect()]
+    want = [str(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP)) for x in numbers]
+    assert got == want
+
+
+def plain_score(text, query):
+    """The best of all alignments, one by one."""
+    from itertools import combinations
+
+    top = None
+    for places in combinations(range(len(text)), len(query)):
+        if all(text[p] == c for p, c in zip(places, query, strict=True)):
+            s = sum(fuzzy.MATCH + fuzzy.BOUNDARY * (text[p].isalnum() and (p == 0 or not text[p - 1].isalnum())) for p in places)
+            s += sum(fuzzy.RUN if b == a + 1 else a + 1 - b for a, b in zip(places, places[1:], strict=False))
+            top = s if top is None else max(top, s)
+    return top
+
+
+def test_fuzzy_score_is_that_of_the_best_alignment(spark):
+    rng = random.Random(2)
+    texts = ["f----s1d/fs1d.md", "fs--1d", "", "é/é", "ab"] + ["".join(rng.choice("ab/ 1") for _ in range(rng.randrange(1, 11))) for _ in range(120)]
+    for query in ("a", "ab", "aba", "fs1d", "é", "1a", "  "):
+        assert fuzzy.best(texts, query) == [plain_score(t, query) for t in texts]
+    assert fuzzy.best(["f----s1d/fs1d.md"], "fs1d")[0] > fuzzy.best(["fs--1d"], "fs1d")[0]
+    rows = spark.createDataFrame([("Ab/aB",), (None,), ("x" * 100_000 + "ab",), ("",)], "t string").select(fuzzy.score(F.col("t"), "AB").alias("s")).collect()
+    assert [r.s for r in rows] == [48, None, 40, None]
