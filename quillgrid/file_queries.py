@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.functions import dates, scripts, strings, values
-from quillgrid.operators import catalog, metadata, search, stores, threads
+from quillgrid.operators import catalog, metadata, search, sql_tools, stores, threads
+from quillgrid.operators.ranked_index import RankedIndex
 from quillgrid.plans.notes_query import NotesQuery, folder, prop, tag
-from quillgrid.queries import _FOLDED, _PAIRS, _STREAM, _documents, _events, _messages, _notes, _query, _stream_events
+from quillgrid.queries import _FOLDED, _PAIRS, _PATH, _STREAM, _documents, _events, _messages, _notes, _query, _stream_events
 from quillgrid.sources import chats, index, markdown, tables
 from quillgrid.sources.scratch import new_path
 from quillgrid.streaming import folds, log, views
@@ -552,3 +553,58 @@ def saved_threads(spark, d):
     tables.save_threads(rows, path)
     tables.save_threads(rows.where("thread_id % 10 = 3").groupBy("thread_id").agg(F.max("turn").alias("turn")), path)
     return tables.saved_threads(spark, path).groupBy("thread_id").agg(F.count("*").alias("n"))
+
+
+# Search: a kept index, and tools in SQL
+
+
+_KEPT_SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'License; the license. ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0),
+w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w FROM d),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'license')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b FROM w),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c),
+r AS (SELECT doc_id, ln((docs - da + 0.5) / (da + 0.5) + 1) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean))
+                   + ln((docs - db + 0.5) / (db + 0.5) + 1) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM c, s)
+SELECT doc_id AS ord, round(score, 4) AS score FROM r WHERE score > 0 ORDER BY r.score DESC, doc_id LIMIT 10"""
+
+
+@_query(_KEPT_SQL)
+def kept_ranked_index(spark, d):
+    """Ranked hits of an index that was built once and then took changed and deleted notes."""
+    index = RankedIndex(spark, new_path(spark, "ranked"))
+    notes = _notes(spark, d)
+    index.apply(0, notes)
+    changed = notes.where("ord % 7 = 0").withColumn("content", F.concat(F.lit("License; the license. "), F.coalesce("content", F.lit(""))))
+    index.apply(1, changed, notes.where("ord % 5 = 0").select("path"))
+    return index.search("the license").select("ord", F.round("score", 4).alias("score"))
+
+
+def _sql(spark, d, text: str):
+    sql_tools.register(_notes(spark, d), "kept_notes")
+    return spark.sql(text)
+
+
+@_query(f"SELECT doc_id AS ord, {_PATH} AS path, 'doc-' || doc_id AS name, row_number() OVER (ORDER BY doc_id) AS n FROM (SELECT * FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 10)")
+def sql_search_notes(spark, d):
+    return _sql(spark, d, "SELECT ord, path, name, n FROM search_notes('The', 10)")
+
+
+@_query("""
+WITH h AS (SELECT * FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 5), t AS (SELECT doc_id, '#' || lang AS tag FROM documents UNION ALL SELECT doc_id, '#' || source FROM documents)
+SELECT tag, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM h)) AS n_hits, count(*) AS n_notes FROM t GROUP BY tag""")
+def sql_tags_of_hits(spark, d):
+    """Tags with how many of a search's hits and how many notes have them: three calls in one plan."""
+    return _sql(spark, d, """
+        SELECT a.tag, count(h.tag) AS n_hits, any_value(a.n_notes) AS n_notes
+        FROM all_tags() a LEFT JOIN (SELECT tag FROM search_notes('LICENSE', 5) JOIN kept_notes USING (path) LATERAL VIEW explode(tags) t AS tag) h ON a.tag = h.tag GROUP BY a.tag""")
+
+
+@_query("SELECT k AS key, CASE k WHEN 'lang' THEN lang WHEN 'source' THEN source ELSE CAST(n_chars AS VARCHAR) END AS value FROM (SELECT *, unnest(['lang', 'source', 'n_chars']) AS k FROM documents WHERE doc_id = 7)")
+def sql_note_properties(spark, d):
+    return _sql(spark, d, "SELECT p.key, p.value FROM note_properties('doc-7') p JOIN property_keys() k ON p.key = k.key")
+
+
+@_query("SELECT left(text, 100) || CASE WHEN length(text) > 100 THEN chr(10) || chr(10) || '... [Content truncated at 100 characters]' ELSE '' END AS content, text AS whole FROM documents WHERE doc_id = 3")
+def sql_read_note(spark, d):
+    path = _notes(spark, d).where("ord = 3").first()["path"]
+    return _sql(spark, d, f"SELECT a.content, b.content AS whole FROM read_note('{path}', 100) a, read_note('{path}', 0) b WHERE a.path = b.path")
