@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators.search import CAP, limit_of
-from quillgrid.sources.scratch import written
 from quillgrid.streaming import log
 
 BLOCK = 1024
@@ -96,6 +95,11 @@ class RankedIndex:
         except FileNotFoundError:
             return None
 
+    def _step(self, df: DataFrame, name: str) -> DataFrame:
+        """A table between two steps of a change, in the index's folder until the change is done or failed."""
+        df.write.mode("overwrite").parquet(f"{self.path}/steps/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/steps/{name}")
+
     # Changes
 
     def apply(self, number: int, changed: DataFrame | None = None, gone: DataFrame | None = None) -> bool:
@@ -105,6 +109,12 @@ class RankedIndex:
         """
         if number <= log._manifest(self.spark, self._log())[1]["batch"]:
             return False
+        try:
+            return self._applied(number, changed, gone)
+        finally:
+            log.remove(self.spark, f"{self.path}/steps")
+
+    def _applied(self, number: int, changed: DataFrame | None, gone: DataFrame | None) -> bool:
         known = self.notes()
         paths = None if gone is None else gone.select("path").distinct()
         rows = None
@@ -133,14 +143,14 @@ class RankedIndex:
     def _placed(self, notes: DataFrame) -> DataFrame:
         """Notes with block and slot, written once: bands of lengths, cut by a hash into blocks of some ``block`` notes."""
         band = F.floor(F.log2(F.greatest(F.col("len"), F.lit(1)).cast("double")) * 4)
-        rows = written(notes.withColumn("band", F.coalesce(band, F.lit(-1)).cast("long")), "ranked")
+        rows = self._step(notes.withColumn("band", F.coalesce(band, F.lit(-1)).cast("long")), "bands")
         sizes = {r["band"]: -(-r["count"] // self.block) for r in rows.groupBy("band").count().collect()}  # 130 bands at most
         parts = F.lit(1)
         for b, n in sizes.items():
             parts = F.when(F.col("band") == b, n).otherwise(parts)
         placed = rows.withColumn("block", (F.col("band") + 1) * 2**40 + F.pmod(F.xxhash64("path"), parts.cast("long")))
         slots = placed.select("path", "block", F.row_number().over(Window.partitionBy("block").orderBy("path")).alias("slot"))  # narrow, a block at a time
-        return written(placed.drop("band", "block").join(slots, "path"), "ranked")
+        return self._step(placed.drop("band", "block").join(slots, "path"), "placed")
 
     def _write(self, sort: str, number: int, slots: DataFrame, words: DataFrame, old: DataFrame | None) -> None:
         folder = f"{self.path}/segments/{sort}-{number}"
@@ -152,7 +162,7 @@ class RankedIndex:
         if old is None:
             dead = slots.where("false").select(F.lit(0).cast("long").alias("of"), "block", F.col("slot").cast("int").alias("slot"))
         else:
-            old = written(old, "ranked")
+            old = self._step(old, "old")
             less = old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))
             lists = lists.unionByName(less, allowMissingColumns=True)
             dead = old.select(F.col("segment").alias("of"), "block", F.col("slot").cast("int").alias("slot"))
@@ -162,10 +172,22 @@ class RankedIndex:
         put(grown, "totals")
 
     def merged(self) -> None:
-        """All segments as one, without what is dead; the texts are not needed."""
-        known = self.notes()
-        if known is None or len(self._segments()) < 2:
+        """All segments as one, without what is dead; the texts are not needed. The segments of now stay for their readers until the next call."""
+        before = {folder for _, folder in self._segments()}
+        if len(before) < 2:
             return
+        try:
+            self._merged()
+        finally:
+            log.remove(self.spark, f"{self.path}/steps")
+        fs, kind = log._files(self.spark, self.path)
+        kept = before | {folder for _, folder in self._segments()}
+        for status in fs.listStatus(kind(f"{self.path}/segments")):
+            if f"{self.path}/segments/{status.getPath().getName()}" not in kept:
+                fs.delete(status.getPath(), True)
+
+    def _merged(self) -> None:
+        known = self.notes()
         number = log.next_number(self.spark, self._log())
         noted = self._placed(known.select(*_NOTE, "terms", *[F.col(c).alias(f"old_{c}") for c in _PLACE]))
         each = self._postings().where("block IS NOT NULL").select("segment", "block", "term", F.inline("list"))
@@ -173,11 +195,6 @@ class RankedIndex:
         words = each.join(place, _PLACE).select(F.col("to_block").alias("block"), F.col("to_slot").alias("slot"), "len", "term", "tf")  # dead slots meet none
         self._write("whole", number, noted.select(*_NOTE, "block", "slot"), words, None)
         log.append(noted.select(*_NOTE, F.lit(number).cast("long").alias("segment"), "block", "slot", "terms"), number, self._log(), ["path"])
-        fs, kind = log._files(self.spark, self.path)
-        counted = {folder for _, folder in self._segments()}
-        for status in fs.listStatus(kind(f"{self.path}/segments")):
-            if f"{self.path}/segments/{status.getPath().getName()}" not in counted:
-                fs.delete(status.getPath(), True)
 
     # Search
 

@@ -35,7 +35,8 @@ def test_hits_are_those_of_a_scan_after_changes_repeats_and_a_merge(spark, tmp_p
     now = {p: r for p, r in {**now, **moved}.items() if p not in ("n5", "n9", "empty")}
     same(spark, index, now)
     index.merged()
-    assert len(index._segments()) == 1
+    assert len(index._segments()) == 1 and not (tmp_path / "i" / "steps").exists()
+    assert len(list((tmp_path / "i" / "segments").iterdir())) == 3  # readers that began before still have theirs
     same(spark, index, now)
     index.apply(3, None, spark.createDataFrame([(p,) for p in list(now)[:30]], "path string"))
     same(spark, index, dict(list(now.items())[30:]))
