@@ -241,6 +241,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 5), (101, 100)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+    none = spark.createDataFrame([(5, 5)], "a long, b long")
+    assert connected_components(none, "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 17])
+def test_components_of_random_graphs_in_parts(spark, chunk):
+    rng = random.Random(chunk)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 90)] + [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)]
+    least = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    rows = connected_components(table, "a", "b", chunk).collect()
+    assert len(rows) == len(least) and {r.node: r.component for r in rows} == least
 
 
 def test_odd_rows_and_keep_one(spark):
