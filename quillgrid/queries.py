@@ -739,7 +739,7 @@ def title_cleanup(spark, d):
 @_query("SELECT o_orderkey, CAST(floor(o_totalprice / 60) AS BIGINT) || ' min ' || (CAST(floor(o_totalprice) AS BIGINT) % 60) || ' sec' AS left_, CAST(least(round(o_totalprice / 1000), 100) AS BIGINT) AS percent FROM orders")
 def time_and_percent(spark, d):
     price = F.col("o_totalprice")
-    return tables.table(spark, d, "orders").select("o_orderkey", dates.minutes_left(price).alias("left_"), dates.percent(price / 1000 / 100).alias("percent"))
+    return tables.table(spark, d, "orders").select("o_orderkey", dates.minutes_left(price).alias("left_"), dates.percent(price, 100_000).alias("percent"))
 
 
 @_query("SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), ' ')[:-2], lambda w: 'x' || regexp_replace(w, '[\\]\\[|\\n]', '', 'g')), ' ') AS links FROM documents")

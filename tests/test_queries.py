@@ -52,3 +52,13 @@ def test_unconfigured_rows_follow_the_configured(spark, duck):
     got = [tuple(r) for r in QUERIES["configured_first_sort"](spark, FOLDER).collect()]
     assert got == duck.execute(ORACLE_SQL["configured_first_sort"]).fetchall()
     assert not got[-1][1] and len(got) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+
+
+def test_percent_of_prices_between_two_percents(spark, tmp_path):
+    prices = [(i, i * 500.0 + c / 100) for i in range(210) for c in (-1, 0, 1)]
+    spark.createDataFrame([(3 * k + j, p) for j, (k, p) in enumerate(prices)], "o_orderkey long, o_totalprice double").where("o_totalprice >= 0").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = QUERIES["time_and_percent"](spark, str(tmp_path))
+    want = con.execute(ORACLE_SQL["time_and_percent"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in want.description], want.fetchall())
