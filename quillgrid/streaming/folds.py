@@ -4,35 +4,23 @@ Events have thread_id, run_id, seq, type (token, tool_start, tool_end, result;
 cancel where runs end), token, tool_call_id, tool_name, input, output, and a time
 ``ts`` where they stream. A run is one answer; messages are folded by thread and run.
 
-The batch fold is a set of aggregates. The stream keeps only what later events
-need, a run's pending calls, and sends what each micro-batch adds (``changes``) to
-an append-only log (``streaming.log``); the folded runs and calls are views of that
-log (``runs_of``, ``calls_of``). They equal the batch's after any micro-batches, whatever
+The batch fold is a set of aggregates. The stream sends what each event adds
+(``changes``) to an append-only log (``streaming.log``); the folded runs and calls are
+views of that log (``runs_of``, ``calls_of``), where a call's start meets its end. So runs need no
+state; where they end by silence, it is their open sessions. They equal the batch's after any micro-batches, whatever
 order events come in and wherever a result stands; a batch that is run again adds nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from quillgrid.streaming import log as keyed
 
 #: The kinds that are passed on; others, stored messages among them, are dropped.
 FORWARDED = ("token", "tool_start", "tool_end", "result")
 
-#: A change: tokens with their places; a call with what is known of its start and end; a result; how a session ended.
-CHANGES = (
-    "thread_id string, run_id string, kind string, seqs array<long>, tokens array<string>, tool_call_id string, start_seq long, start_name string, input string, "
-    "end_seq long, end_name string, output string, last_at long, outcome string"
-)
-_CHANGE_FIELDS = [f.split()[0] for f in CHANGES.split(", ")]
-
 
 def forwarded(events: DataFrame, kinds: tuple[str, ...] = FORWARDED) -> DataFrame:
     return events.where(F.col("type").isin(*kinds) & ((F.col("type") != "token") | (F.col("token") != "")))
@@ -72,125 +60,52 @@ def latest_output(events: DataFrame) -> DataFrame:
     return events.groupBy("thread_id").agg(F.max_by(F.when(got, F.col("output")), F.when(got, F.col("seq"))).alias("output"), (F.count_if(got) == 0).alias("failed"))
 
 
-class _Fold(StatefulProcessor):
-    """What each micro-batch adds to a run: its tokens, its calls as they change, its result, and how a session of it ended.
-
-    State of a run: its pending calls (a map: a start is put, its end takes it
-    out) and, where runs end by time, the session at hand. Neither holds tokens
-    or closed calls, so state and what a batch sends don't grow with a run.
-    """
-
-    def __init__(self, quiet: int | None):
-        self.quiet = quiet
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getMapState("pending", "call string", "seq long, name string, input string")
-        self.session = handle.getValueState("session", "last long, result long, cancel long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["at", "seq"], kind="stable")
-        out = self._content(frame[frame.type == "token"].sort_values("seq")) + self._calls(frame[frame.type.isin(["tool_start", "tool_end"])].sort_values("seq"))
-        out += [{"kind": "result", "end_seq": int(r.seq), "output": _text(r.output)} for r in frame[frame.type == "result"].itertuples(index=False)]
-        if self.quiet is not None:
-            out += self._sessions(frame)
-        if out:
-            yield _frame(key, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        session = self.session.get()
-        self.session.clear()
-        self.pending.clear()
-        if session:
-            yield _frame(key, [_outcome(session)])
-
-    def close(self) -> None:
-        pass
-
-    def _content(self, said: pd.DataFrame) -> list[dict]:
-        return [{"kind": "tokens", "seqs": said.seq.tolist(), "tokens": said.token.tolist()}] if len(said) else []
-
-    def _calls(self, events: pd.DataFrame) -> list[dict]:
-        out = []
-        for r in events.itertuples(index=False):
-            at, start, end = ("1" + r.tool_call_id if isinstance(r.tool_call_id, str) else "0",), None, None
-            if r.type == "tool_start":
-                start = (int(r.seq), _text(r.tool_name), _text(r.input))
-                self.pending.updateValue(at, start)
-            else:
-                end = (int(r.seq), _text(r.tool_name), _text(r.output))
-                if self.pending.containsKey(at):
-                    start = self.pending.getValue(at)
-                    self.pending.removeKey(at)
-            call = {"kind": "call", "tool_call_id": _text(r.tool_call_id)}
-            call |= dict(zip(("start_seq", "start_name", "input"), start, strict=True)) if start else {}
-            out.append(call | (dict(zip(("end_seq", "end_name", "output"), end, strict=True)) if end else {}))
-        return out
-
-    def _sessions(self, frame: pd.DataFrame) -> list[dict]:
-        """Outcomes of sessions that a later event of the same batch shows to have ended; a timer for the one at hand."""
-        out, known = [], self.session.get()
-        session = list(known) if known else None
-        if session:
-            self.handle.deleteTimer(session[0] + self.quiet + 1)
-        for at, seq, kind in frame[["at", "seq", "type"]].itertuples(index=False):
-            if session and at - session[0] > self.quiet:
-                out.append(_outcome(session))
-                session = None
-            session = session or [at, None, None]
-            session[0] = int(max(at, session[0]))
-            for place, name in ((1, "result"), (2, "cancel")):
-                if kind == name and (session[place] is None or seq < session[place]):
-                    session[place] = int(seq)
-        self.session.update(tuple(session))
-        self.handle.registerTimer(session[0] + self.quiet + 1)
-        return out
-
-
-def _outcome(session) -> dict:
-    """Cancelled if that came before any result, a success if there is a result, else an error."""
-    last, result, cancel = session
-    cancelled = cancel is not None and (result is None or cancel < result)
-    return {"kind": "end", "last_at": last, "outcome": "cancelled" if cancelled else "error" if result is None else "success"}
-
-
-def _frame(key: tuple, rows: list[dict]) -> pd.DataFrame:
-    column = lambda c: [r.get(c) for r in rows]
-    numbers = ("start_seq", "end_seq", "last_at")
-    table = {c: pd.array(column(c), dtype="Int64") if c in numbers else pd.Series(column(c), dtype=object) for c in _CHANGE_FIELDS[2:]}
-    return pd.DataFrame({"thread_id": [key[0]] * len(rows), "run_id": [key[1]] * len(rows), **table})
-
-
-def _text(value) -> str | None:
-    return value if isinstance(value, str) else None
-
-
 def changes(events: DataFrame, quiet: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """What a stream of events (with a time ``ts``) adds to its runs, micro-batch by micro-batch: rows for an append-only log.
+    """What a stream of events (with a time ``ts``) adds to its runs: one row an event, for an append-only log.
 
-    With ``quiet``, a run that is silent for longer has ended: a row says so once
-    for each of its sessions, when the watermark (``delay`` behind the latest
-    event) has passed, and its state goes. Events later than the watermark are then
-    dropped. Without, runs never end and no event is late. Needs RocksDB as state store, see ``with_rocksdb``.
+    A row says by itself what its event adds, so runs need no state. With ``quiet``, a run that
+    is silent for longer has ended: a row says so once for each of its sessions (session windows,
+    merged whatever order events come in), when the watermark (``delay`` behind the latest event)
+    has reached its end, and its state goes. An event later than that opens no session; what it adds to its run is kept. Without, nothing is held and no event is late. State is best kept in RocksDB, see ``with_rocksdb``.
     """
-    millis = F.unix_millis(F.col("ts").cast("timestamp"))
-    kept = forwarded(events, FORWARDED if quiet is None else (*FORWARDED, "cancel")).withColumn("at", millis)
-    rows = kept.select("thread_id", "run_id", "seq", "type", "token", "tool_call_id", "tool_name", "input", "output", "at", F.col("ts").cast("timestamp").alias("ts"))
-    span = None if quiet is None else _millis(events, quiet)
-    if quiet is not None:
-        rows = rows.withWatermark("ts", delay)
-    return rows.groupBy("thread_id", "run_id").transformWithStateInPandas(_Fold(span), CHANGES, "Update", "None" if quiet is None else "EventTime")
+    kind = F.col("type")
+    of = lambda name, value: F.when(kind == name, F.col(value))
+    added = forwarded(events).select(
+        "thread_id",
+        "run_id",
+        F.when(kind.isin("tool_start", "tool_end"), "call").when(kind == "token", "tokens").otherwise("result").alias("kind"),
+        F.when(kind == "token", F.array(F.col("seq").cast("long"))).alias("seqs"),
+        F.when(kind == "token", F.array("token")).alias("tokens"),
+        F.when(kind.isin("tool_start", "tool_end"), F.col("tool_call_id")).alias("tool_call_id"),
+        of("tool_start", "seq").cast("long").alias("start_seq"),
+        of("tool_start", "tool_name").alias("start_name"),
+        of("tool_start", "input").alias("input"),
+        F.when(kind.isin("tool_end", "result"), F.col("seq")).cast("long").alias("end_seq"),
+        of("tool_end", "tool_name").alias("end_name"),
+        F.when(kind.isin("tool_end", "result"), F.col("output")).alias("output"),
+        F.lit(None).cast("long").alias("last_at"),
+        F.lit(None).cast("string").alias("outcome"),
+    )
+    if quiet is None:
+        return added
+    timed = forwarded(events, (*FORWARDED, "cancel")).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    ended = _sessions(timed, quiet).select("thread_id", "run_id", F.lit("end").alias("kind"), F.unix_millis("last_at").alias("last_at"), "outcome")
+    return added.unionByName(ended, allowMissingColumns=True)
 
 
-def _millis(df: DataFrame, interval: str) -> int:
-    """An interval in milliseconds, as Spark reads it."""
-    start = F.timestamp_millis(F.lit(0))
-    return df.sparkSession.range(1).select(F.unix_millis(start + F.expr(f"INTERVAL {interval}"))).first()[0]
+def _sessions(rows: DataFrame, quiet: str) -> DataFrame:
+    """thread_id, run_id, last_at and outcome of sessions: cancelled if that came before any result, a success if there is a result, else an error."""
+    window = F.session_window("ts", quiet)
+    first = lambda kind: F.min(F.when(F.col("type") == kind, F.col("seq")))
+    found = rows.groupBy("thread_id", "run_id", window).agg(F.max("ts").alias("last_at"), first("result").alias("r"), first("cancel").alias("c"))
+    outcome = F.when(F.col("c").isNotNull() & (F.col("r").isNull() | (F.col("c") < F.col("r"))), "cancelled").when(F.col("r").isNull(), "error").otherwise("success")
+    return found.select("thread_id", "run_id", "last_at", outcome.alias("outcome"))
 
 
 def with_rocksdb(spark: SparkSession) -> None:
-    """Let queries that start from now on keep their state in RocksDB: map state and timers need it."""
+    """Let queries that start from now on keep their state in RocksDB: sessions that are open grow with the runs at hand, not on the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch saves what it changed
 
 
 _KEY = ["thread_id", "run_id", "batch"]
@@ -198,7 +113,7 @@ _KEY = ["thread_id", "run_id", "batch"]
 
 def log_changes(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Start a query that appends ``changes`` to the log at ``path``, each micro-batch under its number."""
-    return keyed.sink(stream, path, _KEY, checkpoint, every=every, numbered=True)
+    return keyed.sink(stream, path, _KEY, checkpoint, every=every, numbered=True, mode="append")
 
 
 def logged(spark: SparkSession, path: str) -> DataFrame:
@@ -234,12 +149,8 @@ def endings_of(log: DataFrame) -> DataFrame:
 
 
 def endings(events: DataFrame, quiet: str) -> DataFrame:
-    """The same of all events at once, by session windows; sessions that a stream would still hold open are there too."""
-    window = F.session_window(F.col("ts").cast("timestamp"), quiet)
-    first = lambda kind: F.min(F.when(F.col("type") == kind, F.col("seq")))
-    rows = forwarded(events, (*FORWARDED, "cancel")).groupBy("thread_id", "run_id", window).agg(F.max(F.col("ts").cast("timestamp")).alias("last_at"), first("result").alias("r"), first("cancel").alias("c"))
-    outcome = F.when(F.col("c").isNotNull() & (F.col("r").isNull() | (F.col("c") < F.col("r"))), "cancelled").when(F.col("r").isNull(), "error").otherwise("success")
-    return rows.select("thread_id", "run_id", "last_at", outcome.alias("outcome"))
+    """The same of all events at once; sessions that a stream would still hold open are there too."""
+    return _sessions(forwarded(events, (*FORWARDED, "cancel")).withColumn("ts", F.col("ts").cast("timestamp")), quiet)
 
 
 def last_per_key(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, every: str | None = "1 second"):

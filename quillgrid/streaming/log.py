@@ -140,7 +140,7 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(kind(path), True)
 
 
-def sink(stream: DataFrame, path: str, key: list[str], checkpoint: str, order: str | None = None, every: str | None = None, numbered: bool = False):
+def sink(stream: DataFrame, path: str, key: list[str], checkpoint: str, order: str | None = None, every: str | None = None, numbered: bool = False, mode: str = "update"):
     """Start a query that commits each micro-batch to the log; without ``every`` it ends when all is read.
 
     ``numbered`` adds the number as column ``batch``: with it in the key, batches add to each other.
@@ -152,5 +152,5 @@ def sink(stream: DataFrame, path: str, key: list[str], checkpoint: str, order: s
         if not append(rows, number, path, key, order):
             batch.write.format("noop").mode("overwrite").save()
 
-    writer = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
