@@ -199,10 +199,11 @@ def chat_file_of_thread(spark, d):
 def _event_files(spark, d, out: str):
     """The events as a stream of files, a range of time each, one of them a micro-batch."""
     events = _stream_events(spark, d, _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts")
-    cuts = events.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
+    at = F.coalesce(F.unix_micros("ts"), F.lit(0))  # not by id: ids may begin again with an older time
+    cuts = events.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):  # one after another: the stream takes files by age
-        part = events if low is None else events.where(F.col("seq") >= low)
-        (part if high is None else part.where(F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+        part = events if low is None else events.where(at >= low)
+        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(f"{out}/in")
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
 
 
@@ -219,13 +220,13 @@ def _change_log(spark, d, **how):
 
 @_query(_FOLDED)
 def streamed_fold(spark, d):
-    """The stateful fold over four micro-batches: runs, of which some get their result in the middle."""
+    """The fold over four micro-batches: runs, of which some get their result in the middle."""
     return folds.runs_of(_change_log(spark, d))
 
 
 @_query(_STREAM + "SELECT * FROM tool")
 def streamed_calls(spark, d):
-    """The same log's calls: starts wait in the state until their end takes them out."""
+    """The same log's calls: starts wait in the log until their end comes."""
     return folds.calls_of(_change_log(spark, d))
 
 
@@ -238,7 +239,7 @@ o AS (SELECT thread_id, run_id, max(ts) AS last, min(seq) FILTER (WHERE type = '
 SELECT thread_id, run_id, epoch_us(last) // 1000 AS last_at, CASE WHEN c IS NOT NULL AND (r IS NULL OR c < r) THEN 'cancelled' WHEN r IS NULL THEN 'error' ELSE 'success' END AS outcome
 FROM o WHERE epoch_us(last) // 1000 + 7200000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM e)""")
 def streamed_endings(spark, d):
-    """Runs that went silent for two hours, each told once, by timers on the events' own time."""
+    """Runs that went silent for two hours, each told once, by session windows on the events' own time."""
     log = _change_log(spark, d, quiet="2 hours", delay="10 minutes")
     return folds.endings_of(log).select("thread_id", "run_id", F.unix_millis("last_at").alias("last_at"), "outcome")
 

@@ -4,6 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import quillgrid.file_queries  # noqa: F401  registers its queries
+from quillgrid.queries import QUERIES
 from quillgrid.streaming import folds, log
 
 EVENT = "thread_id string, run_id string, seq long, type string, token string, tool_call_id string, tool_name string, input string, output string, ts timestamp_ntz"
@@ -89,6 +91,23 @@ def test_each_session_ends_once_as_in_the_batch(spark, tmp_path, most):
     assert {r[3] for r in closed} == {"success", "error", "cancelled"}
 
 
+def test_streams_run_without_python_and_runs_without_state(spark, tmp_path):
+    written(spark, events(), f"{tmp_path}/in", 1)
+    source = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+    for n, (how, states) in enumerate([({}, 0), ({"quiet": "10 minutes"}, 1)]):
+        query = folds.log_changes(folds.changes(source, **how), f"{tmp_path}/log{n}", f"{tmp_path}/state{n}")
+        assert query.awaitTermination(200)
+        assert len(query.lastProgress["stateOperators"]) == states
+        assert "Python" not in query._jsq.explainInternal(True) and "Pandas" not in query._jsq.explainInternal(True)
+
+
+def test_events_of_two_copies_of_one_time_are_not_late(spark, tmp_path):
+    rows = [(100_000 * c + i, START + datetime.timedelta(hours=i), c, "click", 1.0, None) for c in range(4) for i in range(40)] + [(900_000, START + datetime.timedelta(hours=100), 9, "click", 1.0, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["streamed_endings"](spark, str(tmp_path)).groupBy("thread_id").count().collect()
+    assert {r["thread_id"]: r["count"] for r in got} == dict.fromkeys("0123", 1)
+
+
 def test_batch_fold(spark):
     rows = {r.thread_id: r for r in folds.folded(spark.createDataFrame(events(), EVENT)).collect()}
     assert (rows["only-end"].n_tools, rows["only-end"].n_running) == (1, 0)
