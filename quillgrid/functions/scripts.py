@@ -1,12 +1,11 @@
-"""Functions with a state machine per text, as Pandas UDFs."""
+"""Functions that read a text from left to right: the rule in plain Python for one text, and as columns, which need no Python worker."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 _WORDS = re.compile(r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^ "'])+""")
 _QUOTED = re.compile(r""""([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)""")
@@ -42,18 +41,33 @@ def link_at(text: str | None, cursor: int) -> dict | None:
     return {"start": begin, "end": end + 2, "file": file, "alias": alias if bar else None}
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def arguments(texts: pd.Series) -> pd.Series:
-    return texts.map(split_arguments)
+def arguments(text: Column | str) -> Column:
+    """``split_arguments`` as columns; the quantifiers are possessive, so a long word needs no stack."""
+    words = F.regexp_extract_all(F.coalesce(_column(text), F.lit("")), F.lit(r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^ "']++)++"""), 0)
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r""""([^"]*+)(?:"|\z)|'([^']*+)(?:'|\z)""", "$1$2"))
+    return F.filter(bare, lambda w: w != "")
 
 
-@F.pandas_udf(LongType())
-def query_fence(texts: pd.Series) -> pd.Series:
-    return texts.map(open_query_fence).astype("Int64")
+def query_fence(text: Column | str) -> Column:
+    """``open_query_fence`` as columns."""
+    fences, behind = F.regexp_extract_all(_column(text), F.lit(r"```\w*"), 0), F.element_at(F.split(_column(text), r"```\w*", -1), -1)
+    last = F.get(fences, F.size(fences) - 1)
+    is_open = (F.size(fences) % 2 == 1) & F.lower(F.substring(last, F.lit(4), F.length(last))).isin(*_QUERY_LANGUAGES)
+    return F.when(is_open, F.length(_column(text)) - F.length(behind) - F.length(last)).cast("long")
 
 
-@F.pandas_udf(StructType().add("start", LongType()).add("end", LongType()).add("file", StringType()).add("alias", StringType()))
-def link_at_cursor(texts: pd.Series, cursors: pd.Series) -> pd.DataFrame:
-    none = {"start": None, "end": None, "file": None, "alias": None}
-    rows = [link_at(t, int(c)) or none for t, c in zip(texts, cursors, strict=True)]
-    return pd.DataFrame(rows, columns=list(none)).astype({"start": "Int64", "end": "Int64"})
+def link_at_cursor(text: Column | str, cursor: Column | str) -> Column:
+    """``link_at`` as columns: a struct of start, end, file and alias, its fields null where there is no link."""
+    text, cursor = F.coalesce(_column(text), F.lit("")), _column(cursor).cast("int")
+    head, tail = F.left(text, cursor), F.substring(text, cursor + 1, F.length(text))
+    opened, closed, close = F.substring_index(head, "[[", -1), F.substring_index(head, "]]", -1), F.instr(tail, "]]")
+    inner = F.concat(opened, F.left(tail, close - 1))
+    file = F.substring_index(inner, "|", 1)
+    inside = F.contains(head, F.lit("[[")) & (close > 0) & ~(F.contains(head, F.lit("]]")) & (F.length(closed) < F.length(opened))) & ~F.contains(inner, F.lit("\n"))
+    start, end = F.length(head) - F.length(opened) - 2, cursor + close + 1
+    alias = F.when(F.contains(inner, F.lit("|")), F.substring(inner, F.length(file) + 2, F.length(inner)))
+    return F.struct(*[F.when(inside, v).alias(n) for n, v in (("start", start.cast("long")), ("end", end.cast("long")), ("file", file), ("alias", alias))])
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
