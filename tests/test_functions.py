@@ -151,3 +151,18 @@ def test_fuzzy_score_is_that_of_the_best_alignment(spark):
     assert fuzzy.best(["f----s1d/fs1d.md"], "fs1d")[0] > fuzzy.best(["fs--1d"], "fs1d")[0]
     rows = spark.createDataFrame([("Ab/aB",), (None,), ("x" * 100_000 + "ab",), ("",)], "t string").select(fuzzy.score(F.col("t"), "AB").alias("s")).collect()
     assert [r.s for r in rows] == [48, None, 40, None]
+
+
+def test_script_columns_are_the_rules_without_python(spark):
+    rng = random.Random(8)
+    pieces = ["a", " ", '"', "'", "\n", "[[", "]]", "[", "|", "```", "`", "dataview", "DataviewJS", "é", "😀", "\t", "\x00x"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(0, 14))) for _ in range(600)] + [None, "", "[[[a|b|c]]]", '"' + "x y" * 40_000, "ab" * 60_000 + "''" * 60_000]
+    rows = [(i, t, rng.randrange(0, len(t or "") + 2)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, t string, c int")
+    out = df.select("i", scripts.arguments("t").alias("a"), scripts.query_fence("t").alias("f"), scripts.link_at_cursor("t", "c").alias("l"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r for r in out.collect()}
+    none = {"start": None, "end": None, "file": None, "alias": None}
+    for i, t, c in rows:
+        assert (got[i].a, got[i].f, got[i].l.asDict()) == (scripts.split_arguments(t), scripts.open_query_fence(t), scripts.link_at(t, c) or none), (t, c)
+    assert {r.f is None for r in got.values()} == {r.l.start is None for r in got.values()} == {True, False}
