@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,10 @@ from quillgrid.sources.scratch import written
 
 #: Longest name that file systems take: a longer thread id is in no name.
 NAME = 255
+#: Characters by which a place in a name is known as one where an id may begin.
+HEAD = 4
+#: Tasks a core that names are dealt over.
+TASKS_A_CORE = 4
 
 
 def time_of(thread: Column) -> Column:
@@ -27,30 +29,36 @@ def chat_path(files: DataFrame, thread: str, known: str | None = None) -> DataFr
     return files.where(F.endswith("path", F.lit(".chat"))).withColumn("rank", rank).where("rank IS NOT NULL").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
 
 
-def _cut(n: int) -> Callable[[Column], Column]:
-    return lambda i: F.substr("name", i, F.lit(n))
+def _names(files: DataFrame) -> DataFrame:
+    """path and name of chat files, dealt over all tasks: a row becomes many, and one file of names may be one task."""
+    n = files.sparkSession.sparkContext.defaultParallelism * TASKS_A_CORE
+    return files.where(F.endswith("path", F.lit(".chat"))).select("path").repartition(n, "path").withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
 def chat_paths(files: DataFrame, threads: DataFrame) -> DataFrame:
     """thread_id and path of all threads by the same rules, null where there is no file.
 
-    No thread meets every file: names are cut into all substrings that are as long
-    as some thread's id (few lengths are in use) and into what follows each `` - ``;
-    the first path of each such key is taken before the threads join on it, so a key
-    that a third of all files share is one row.
+    No thread meets every file: names are cut where a thread's id may begin, known by
+    the first ``HEAD`` characters of all ids, into substrings as long as ids of that beginning are (few
+    lengths are in use), and into what follows each `` - ``. Of each such substring a task sends the first path
+    alone, before the threads join on it, so a key that a third of all files share is a row a task.
     """
     ids = threads.select("thread_id").distinct()
-    sizes = [r[0] for r in ids.select(F.length("thread_id").alias("n")).distinct().where(f"n BETWEEN 1 AND {NAME}").collect()]
-    named = files.where(F.endswith("path", F.lit(".chat"))).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
-    none = F.array().cast("array<string>")
-    cuts = [F.when(F.length("name") >= n, F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), _cut(n))).otherwise(none) for n in sizes]
-    inside = named.select("path", "name", F.explode(F.array_distinct(F.flatten(F.array(*cuts))) if cuts else none).alias("thread_id"))
-    inside = inside.join(ids, "thread_id", "left_semi").withColumn("rank", F.when(F.col("name") == F.concat("thread_id", F.lit(".chat")), 1).otherwise(2))
+    heads = ids.where(F.length("thread_id").between(1, NAME)).groupBy(F.left("thread_id", F.lit(HEAD)).alias("head")).agg(F.collect_set(F.length("thread_id")).alias("sizes"))
+    short = [r[0] for r in heads.where(F.length("head") < HEAD).select(F.length("head")).distinct().collect()]
+    named, none = _names(files), F.array().cast("array<string>")
+    size = F.length("name")
+    begun = named.select("path", "name", F.explode(F.sequence(F.lit(1), size)).alias("at")).where(size > 0)
+    head = F.array(*[F.substr("name", "at", F.lit(n)) for n in sorted({*short, HEAD})])
+    begun = begun.select("path", "name", "at", F.explode(F.array_distinct(head)).alias("head")).join(heads, "head")
+    inside = begun.select("path", "name", "at", F.explode("sizes").alias("n")).where(F.col("at") + F.col("n") - 1 <= size)
+    whole = (F.col("at") == 1) & (F.col("n") == size - len(".chat"))
+    inside = inside.select(F.substr("name", "at", "n").alias("thread_id"), F.when(whole, 1).otherwise(2).alias("rank"), "path")
     tails = F.split(F.regexp_replace("name", r"\.chat$", ""), " - ", -1)
     ends = F.transform(F.sequence(F.lit(2), F.size(tails)), lambda i: F.array_join(F.slice(tails, i, F.size(tails)), " - "))
     behind = named.select("path", F.explode(F.when(F.size(tails) > 1, ends).otherwise(none)).alias("stamp")).groupBy("stamp").agg(F.min("path").alias("path"))
     by_time = ids.withColumn("stamp", time_of(F.col("thread_id"))).join(behind, "stamp").select("thread_id", F.lit(3).alias("rank"), "path")
-    found = inside.select("thread_id", "rank", "path").unionByName(by_time).groupBy("thread_id").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    found = inside.unionByName(by_time).groupBy("thread_id").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
     return ids.join(found, "thread_id", "left")
 
 

@@ -198,3 +198,18 @@ def test_index_of_many_changes_scans(spark, tmp_path, monkeypatch):
         (folder / f"n{i}.md").write_text(f"#t{i}")
     done = index.refresh(spark, f"file://{folder}", f"file://{tmp_path}/i", "*.md", parse)
     assert done.parsed == 5 and done.rows.agg(F.count("*")).first()[0] == 6
+
+
+def test_names_of_one_task_are_dealt_and_cut_only_where_an_id_may_begin(spark):
+    rng = random.Random(4)
+    ids = {"".join(rng.choices("ab- ", k=rng.randrange(1, 8))) for _ in range(60)} | {"Chat 7", "x.chat"}
+    names = {"".join(rng.choices("ab- ", k=rng.randrange(0, 14))) for _ in range(150)} | {"a - 7", "Chat 7", "x"} | set(list(ids)[:9])
+    files = spark.createDataFrame([(f"f/{n}.chat",) for n in names], "path string").coalesce(1)
+    assert chats._names(files).rdd.getNumPartitions() > 1
+    want = {}
+    for i in ids:
+        stamp = i.removeprefix("Chat ")
+        ranked = [(1 if n == i else 2 if i in f"{n}.chat" else 3, f"f/{n}.chat") for n in names if i in f"{n}.chat" or f"{n}.chat".endswith(f" - {stamp}.chat")]
+        want[i] = min(ranked)[1] if ranked else None
+    found = chats.chat_paths(files, spark.createDataFrame([(i,) for i in ids], "thread_id string"))
+    assert {r.thread_id: r.path for r in found.collect()} == want
