@@ -5,7 +5,7 @@ The index is a folder of segments, one a batch, and a keyed log of the notes in
 than the log, or belongs to a batch that failed half way, does not count and is
 written again. A segment has
 
-* ``slots``: its notes, each with a block and a slot in it. A block holds some
+* ``slots``: its notes, each with a block and a slot in it, and its words with their counts. A block holds some
   ``BLOCK`` notes of about one length: its band of lengths, and in it a hash of the path. So blocks
   need no global order, and a word that all notes have is split as the notes are.
 * ``postings``: a row for each word and block: how many notes have it (``n``), the highest
@@ -46,6 +46,14 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
+def _counted(text: Column) -> Column:
+    """The words of a text, once each and in order, with their counts; no row a word, so nothing moves to count them."""
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates the value once
+    begins = lambda s: F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.struct(F.transform(at, lambda i: F.get(s, i)).alias("terms"), F.transform(at, lambda i, j: F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tfs"))
+    return let(F.array_sort(F.filter(_words(text), lambda x: x != "")), lambda s: let(begins(s), lambda at: runs(s, at)))
+
+
 class RankedIndex:
     """The index at ``path``; notes are known by their path, a note of a null path is not indexed."""
 
@@ -89,7 +97,7 @@ class RankedIndex:
         return self._part("dead", "of long, block long, slot int").select(F.col("of").alias("segment"), "block", "slot")
 
     def notes(self) -> DataFrame | None:
-        """The notes in the index, with their words once each."""
+        """The notes in the index and their places."""
         try:
             return log.read(self.spark, self._log(), ["path"])
         except FileNotFoundError:
@@ -106,6 +114,7 @@ class RankedIndex:
         """Take a batch: notes (path, ord, name, content) that are new or changed, and paths that are gone; False if it was there.
 
         A path in both is gone. Of a path that a batch has twice, the row of the highest ``ord`` counts.
+        The batch is read more than once, and has to be the same each time.
         """
         if number <= log._manifest(self.spark, self._log())[1]["batch"]:
             return False
@@ -119,57 +128,67 @@ class RankedIndex:
         paths = None if gone is None else gone.select("path").distinct()
         rows = None
         if changed is not None:
-            last = changed.where("path IS NOT NULL").groupBy("path").agg(F.max_by(F.struct("ord", "name", "content"), "ord").alias("r")).select("path", "r.*")
+            last = self._last(changed.where("path IS NOT NULL").select("path", "ord", "name", "content"))
             rows = last if paths is None else last.join(paths, "path", "left_anti")
         touched = [p for p in (None if rows is None else rows.select("path"), paths) if p is not None]
         old = None
         if known is not None and touched:
-            old = known.join(reduce(DataFrame.union, touched), "path", "left_semi")
+            old = self._step(known.join(reduce(DataFrame.union, touched), "path", "left_semi").select("len", *_PLACE), "old")
         if rows is not None:
-            split = rows.select("path", "ord", "name", _words("content").alias("w"))
-            terms = F.filter(F.array_distinct("w"), lambda x: x != "")
-            noted = self._placed(split.select("path", "ord", "name", F.size("w").alias("len"), terms.alias("terms"), "w"))
-            words = noted.select("block", "slot", "len", F.explode("w").alias("term")).where("term <> ''").groupBy("block", "slot", "term").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
-            self._write("part", number, noted.select(*_NOTE, "block", "slot"), words, old)
-            log.append(noted.select(*_NOTE, F.lit(number).cast("long").alias("segment"), "block", "slot", "terms"), number, self._log(), ["path"], gone=paths)
+            self._write("part", number, rows.withColumn("len", F.size(_words("content"))), old, paths)
         elif known is not None and paths is not None:
-            empty = known.where("false")
-            self._write("part", number, empty.select(*_NOTE, "block", "slot"), empty.select("block", "slot", "len", F.lit("").alias("term"), F.lit(0).alias("tf")), old)
-            log.append(empty, number, self._log(), ["path"], gone=paths)
+            self._write("part", number, known.where("false").select(*_NOTE, F.lit("").alias("content")), old, paths)
         else:
             return False
         return True
 
+    def _last(self, changed: DataFrame) -> DataFrame:
+        """Of each path its row of the highest ``ord``; only texts of paths that are there twice move for it."""
+        twice = self._step(changed.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path"), "twice")
+        if not twice.limit(1).count():
+            return changed
+        again = changed.join(twice, "path", "left_semi").groupBy("path").agg(F.max_by(F.struct("ord", "name", "content"), "ord").alias("r")).select("path", "r.*")
+        return changed.join(twice, "path", "left_anti").unionByName(again)
+
     def _placed(self, notes: DataFrame) -> DataFrame:
-        """Notes with block and slot, written once: bands of lengths, cut by a hash into blocks of some ``block`` notes."""
+        """Notes with block and slot: bands of lengths, cut by a hash into blocks of some ``block`` notes. One exchange, by block."""
         band = F.floor(F.log2(F.greatest(F.col("len"), F.lit(1)).cast("double")) * 4)
-        rows = self._step(notes.withColumn("band", F.coalesce(band, F.lit(-1)).cast("long")), "bands")
+        rows = notes.withColumn("band", F.coalesce(band, F.lit(-1)).cast("long"))
         sizes = {r["band"]: -(-r["count"] // self.block) for r in rows.groupBy("band").count().collect()}  # 130 bands at most
         parts = F.lit(1)
         for b, n in sizes.items():
             parts = F.when(F.col("band") == b, n).otherwise(parts)
-        placed = rows.withColumn("block", (F.col("band") + 1) * 2**40 + F.pmod(F.xxhash64("path"), parts.cast("long")))
-        slots = placed.select("path", "block", F.row_number().over(Window.partitionBy("block").orderBy("path")).alias("slot"))  # narrow, a block at a time
-        return self._step(placed.drop("band", "block").join(slots, "path"), "placed")
+        block = (F.col("band") + 1) * 2**40 + F.pmod(F.xxhash64("path"), parts.cast("long"))
+        dealt = rows.withColumn("block", block).drop("band").repartition("block")
+        return dealt.withColumn("slot", F.row_number().over(Window.partitionBy("block").orderBy("path")))  # a block at a time
 
-    def _write(self, sort: str, number: int, slots: DataFrame, words: DataFrame, old: DataFrame | None) -> None:
+    def _write(self, sort: str, number: int, notes: DataFrame, old: DataFrame | None, gone: DataFrame | None) -> None:
+        """Write a segment of notes, with their text or their counted words, and commit it; ``old`` are the places that it makes dead."""
         folder = f"{self.path}/segments/{sort}-{number}"
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        put(slots.repartitionByRange("block").sortWithinPartitions("block", "slot"), "slots")
-        entry = F.struct(F.col("slot").cast("int").alias("slot"), F.col("len").cast("int").alias("len"), F.col("tf").cast("int").alias("tf"))
-        lists = words.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").cast("long").alias("max_tf"), F.min("len").cast("long").alias("min_len"), F.collect_list(entry).alias("list"))
+        placed = self._placed(notes)
+        if "content" in notes.columns:
+            placed = placed.withColumn("c", _counted(F.col("content"))).select(*_NOTE, "block", "slot", "c.terms", "c.tfs")
+        put(placed.select(*_NOTE, "block", "slot", "terms", "tfs").sortWithinPartitions("block", "slot"), "slots")
+        slots = self.spark.read.parquet(f"{folder}/slots")
+        each = slots.select("block", F.col("slot").cast("int").alias("slot"), F.col("len").cast("int").alias("len"), F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("term", "tf"))
+        each = each.withColumn("n", F.lit(1).cast("long"))
         grown = slots.agg(F.count("*").alias("docs"), F.count("len").alias("lens"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
         if old is None:
             dead = slots.where("false").select(F.lit(0).cast("long").alias("of"), "block", F.col("slot").cast("int").alias("slot"))
         else:
-            old = self._step(old, "old")
-            less = old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))
-            lists = lists.unionByName(less, allowMissingColumns=True)
+            less = self._slots().select(*_PLACE, "terms").join(old.select(*_PLACE), _PLACE).select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("n"))
+            each = each.unionByName(less, allowMissingColumns=True)
             dead = old.select(F.col("segment").alias("of"), "block", F.col("slot").cast("int").alias("slot"))
             grown = grown.unionByName(old.agg((-F.count("*")).alias("docs"), (-F.count("len")).alias("lens"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("words")))
-        put(lists.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
+        entry = F.when(F.col("block").isNotNull(), F.struct("slot", "len", "tf"))
+        # the one exchange of postings: their range is their group, and the order of the files
+        lists = each.repartitionByRange("term", "block").groupBy("term", "block")
+        lists = lists.agg(F.sum("n").alias("n"), F.max("tf").cast("long").alias("max_tf"), F.min("len").cast("long").alias("min_len"), F.collect_list(entry).alias("list"))
+        put(lists.sortWithinPartitions("term", "block"), "postings")
         put(dead, "dead")
         put(grown, "totals")
+        log.append(slots.select(*_NOTE, F.lit(number).cast("long").alias("segment"), "block", "slot"), number, self._log(), ["path"], gone=gone)
 
     def merged(self) -> None:
         """All segments as one, without what is dead; the texts are not needed. The segments of now stay for their readers until the next call."""
@@ -187,14 +206,8 @@ class RankedIndex:
                 fs.delete(status.getPath(), True)
 
     def _merged(self) -> None:
-        known = self.notes()
-        number = log.next_number(self.spark, self._log())
-        noted = self._placed(known.select(*_NOTE, "terms", *[F.col(c).alias(f"old_{c}") for c in _PLACE]))
-        each = self._postings().where("block IS NOT NULL").select("segment", "block", "term", F.inline("list"))
-        place = noted.select(*[F.col(f"old_{c}").alias(c) for c in _PLACE], F.col("block").alias("to_block"), F.col("slot").alias("to_slot"))
-        words = each.join(place, _PLACE).select(F.col("to_block").alias("block"), F.col("to_slot").alias("slot"), "len", "term", "tf")  # dead slots meet none
-        self._write("whole", number, noted.select(*_NOTE, "block", "slot"), words, None)
-        log.append(noted.select(*_NOTE, F.lit(number).cast("long").alias("segment"), "block", "slot", "terms"), number, self._log(), ["path"])
+        living = self._slots().join(self.notes().select(*_PLACE), _PLACE, "left_semi")  # dead slots meet none
+        self._write("whole", log.next_number(self.spark, self._log()), living.select(*_NOTE, "terms", "tfs"), None, None)
 
     # Search
 
@@ -224,7 +237,8 @@ class RankedIndex:
         asked = bounds.where(F.col("bound") >= best[-1]["score"]) if len(best) == most and most else bounds
         named = asked.limit(MOST_NAMED + 1).collect()
         scored = self._scored(mine, terms, part, named if len(named) <= MOST_NAMED else asked)
-        found = scored.join(self._in(self._slots(), named).drop("len") if len(named) <= MOST_NAMED else self._slots().drop("len"), _PLACE)
+        notes = self._slots().drop("len", "terms", "tfs")
+        found = scored.join(self._in(notes, named) if len(named) <= MOST_NAMED else notes, _PLACE)
         top = found.select("ord", "path", "name", "score").orderBy(F.desc("score"), "ord").limit(most)
         return top, {"blocks": n_blocks, "scored": len(named) if len(named) <= MOST_NAMED else asked.count()}
 

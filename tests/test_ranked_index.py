@@ -2,7 +2,9 @@
 
 import random
 
-from quillgrid.operators import search
+from pyspark.sql import functions as F
+
+from quillgrid.operators import ranked_index, search
 from quillgrid.operators.ranked_index import RankedIndex
 
 NOTE = "path string, ord int, name string, content string"
@@ -78,3 +80,16 @@ def test_an_index_that_is_not_there_or_has_nothing(spark, tmp_path):
     index.apply(0, spark.createDataFrame([], NOTE))
     assert hits(index.search("a")) == []
     assert not index.apply(0, spark.createDataFrame([("p", 1, "P", "a")], NOTE))
+
+
+def test_words_are_counted_in_their_row_and_stay_with_their_block(spark, tmp_path):
+    texts = ["b a b", "", None, "?!", "Ä ä x1 x1 x1", "w " * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", ranked_index._counted(F.col("t")).alias("c"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.c for r in df.collect()}
+    want = [([["a", "b"], [1, 2]]), [[], []], None, [[], []], [["x1", "ä"], [3, 2]], [["w"], [3000]]]
+    assert [got[i] and [got[i].terms, got[i].tfs] for i in range(4)][:2] == want[:2] and [list(got[i]) for i in (3, 4, 5)] == want[3:]
+    index = RankedIndex(spark, f"file://{tmp_path}/i")
+    index.apply(0, spark.createDataFrame([("p", 1, "P", "a"), ("p", 3, "P", "b b"), ("p", 2, "P", "a"), ("q", 4, "Q", "a b")], NOTE))  # a path thrice
+    assert "terms" not in index.notes().columns and {r.path: sorted(r.terms) for r in index._slots().collect()} == {"p": ["b"], "q": ["a", "b"]}
+    same(spark, index, {"p": (3, "P", "b b"), "q": (4, "Q", "a b")})
