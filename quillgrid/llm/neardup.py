@@ -425,6 +425,8 @@ def classes(documents: DataFrame, shingle: int = 5, percent: int = PERCENT, id_c
             links = compared(tasks, _link_tasks).union(stars)
         else:
             links = compared(_tasks(members.withColumn("settled", F.lit(False)), task_shingles, percent), _link_tasks)
+        # written first: contracting them in the tasks that find them would keep two Python workers a core
+        links, _ = materialise(links, "links")
         found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), F.col("component").alias("linked"))
         steps.discard(but=steps.paths[-1:])  # the links are found and written
     named = reps.select("set_a", "set_b", "rep").join(found, "rep", "left").select("set_a", "set_b", F.coalesce("linked", "rep").alias("component"))

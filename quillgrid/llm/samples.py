@@ -21,16 +21,17 @@ def draw(documents: DataFrame, known: DataFrame, most: dict[int, int], id_col: s
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    usable = texts.select("doc_id", F.length("text").cast("long").alias("size")).join(known, "doc_id").groupBy("doc_id", "y").agg(F.sum("size").alias("size"))
+    usable = texts.select("doc_id", F.length("text").cast("long").alias("size")).join(known.select("doc_id", F.col("y").cast("int")), "doc_id").groupBy("doc_id", "y").agg(F.sum("size").alias("size"))
     usable, path = materialise(usable, "usable")
     picked = []
     for y, n in sorted(most.items()):
         mine, left, taken = usable.where(F.col("y") == y), n * MEAN_CHARS, []
-        for r in mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect():
-            if r["size"] <= left:
-                left -= r["size"]
-                taken.append((r["doc_id"], y))
-        picked += taken or [(r["doc_id"], y) for r in mine.orderBy("size", "doc_id").limit(1).collect()]
+        rows = mine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).toArrow()
+        for i, size in enumerate(rows.column("size").to_pylist()):
+            if size <= left:
+                left -= size
+                taken.append(i)
+        picked.append((rows.take(pa.array(taken)) if taken else mine.orderBy("size", "doc_id").limit(1).toArrow()).select(["doc_id", "y"]))
     discard(spark, path)
-    ids = spark.createDataFrame(picked, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, y int")
+    ids = spark.createDataFrame(pa.concat_tables(picked))  # of a list, Python workers of their own would make it
     return texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sum(most.values())).toArrow()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.hashing import string_bytes
+from quillgrid.llm.hashing import slices, string_bytes
 
 # The base kinds and their expressions.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -166,18 +166,23 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]
     return "".join([*out, mask, text[reach:]])
 
 
-def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, each secret in ``text_col`` replaced; null stays null."""
-    at = documents.columns.index(text_col)
+def _redact_batches(at: int):
+    """Batches with the text of column ``at`` redacted, in pieces of about 1 MB of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         for batch in batches:
             data, offsets = string_bytes(batch.column(at))
             hexed = rows_with_hex(data, offsets)
-            texts = [v.as_py() for v in batch.column(at)]
-            new = [t if not t else redacted(t, find_spans(t, automaton, bool(hexed[i]))) for i, t in enumerate(texts)]
-            columns = [pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for i, j in slices(offsets):
+                part = batch.slice(i, j - i)
+                new = [t if not t else redacted(t, find_spans(t, automaton, bool(x))) for t, x in zip(part.column(at).to_pylist(), hexed[i:j], strict=True)]
+                columns = [pa.array(new, pa.string()) if k == at else c for k, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return run
 
-    return documents.mapInArrow(run, documents.schema)
+
+def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows and columns, each secret in ``text_col`` replaced; null stays null."""
+    return documents.mapInArrow(_redact_batches(documents.columns.index(text_col)), documents.schema)

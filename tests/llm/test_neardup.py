@@ -9,7 +9,7 @@ import pytest
 from helpers import clashing, empty, odd
 from pyspark.sql import functions as F
 
-from quillgrid.llm import neardup, storage, substring_dedup
+from quillgrid.llm import components, neardup, storage, substring_dedup
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.hashing import string_bytes
 
@@ -259,6 +259,19 @@ def test_components_of_random_graphs_in_parts(spark, chunk):
     assert len(rows) == len(least) and {r.node: r.component for r in rows} == least
 
 
+def test_no_task_needs_two_python_workers(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name, written=storage.materialise):
+        plans.append((name, len(re.findall("InArrow", df._jdf.queryExecution().executedPlan().toString()))))
+        return written(df, name)
+
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "materialise", kept)
+    neardup.classes(odd(spark), 2, 80).collect()
+    assert ("links", 1) in plans and max(n for _, n in plans) == 1
+
+
 def test_odd_rows_and_keep_one(spark):
     rows = {r.doc_id: r for r in neardup.classes(clashing(odd(spark)), shingle=2).collect()}
     assert [rows[i].n_shingles for i in (1, 2, 3, 4)] == [0, 0, 0, 1]

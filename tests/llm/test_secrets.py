@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 from helpers import clashing, empty, odd
 
 from quillgrid.llm import secrets
@@ -70,6 +71,16 @@ def test_redact(spark):
     assert got == {1: "a [secret] b [secret] c", 2: None, 3: "clean", 4: "[secret]!"}
 
 
+def test_redaction_holds_pieces_of_a_batch():
+    texts = ["x" * 400_000, None, "", "token = abcdef123 " + "y" * 900_000, "z" * 3_000_000, "token = abcdef123"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    pieces = list(secrets._redact_batches(1)([batch]))
+    assert len(pieces) == 4 and max(p.num_rows for p in pieces) == 3
+    got = pa.Table.from_batches(pieces).to_pydict()
+    assert got["doc_id"] == [*range(6)]
+    assert got["text"] == [*texts[:3], "[secret] " + "y" * 900_000, texts[4], "[secret]"]
+
+
 def test_odd_rows(spark):
     got = {r.doc_id: r for r in secrets.scan(clashing(odd(spark))).collect()}
     assert len(got) == 9 and got[1].n_chars == got[2].n_chars == 0 and got[5].spans == got[6].spans

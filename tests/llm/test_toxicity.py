@@ -5,7 +5,7 @@ import numpy as np
 from helpers import clashing, empty, odd
 from pyspark.sql import functions as F
 
-from quillgrid.llm import toxicity
+from quillgrid.llm import samples, toxicity
 from quillgrid.llm.hashing import string_bytes
 
 DOC, LABEL = "doc_id long, text string", "doc_id long, quality int, toxic int"
@@ -110,3 +110,16 @@ def test_ids_of_other_types(spark):
     labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(200)], "doc_id string, toxic int")
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert scores["d0"] > 0.3 > scores["d1"] and len(scores) == 200
+
+
+def test_a_sample_is_drawn_without_python_workers(spark, monkeypatch):
+    docs = spark.range(40).selectExpr("'d' || id AS doc_id", "repeat('x ', CAST(id AS INT)) AS text")
+    known = docs.selectExpr("doc_id", "length(text) % 4 AS y").where("y = 0 OR y = 2")
+
+    def refused(*_, **__):
+        raise AssertionError("rows of a list go through Python workers")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    rows = samples.draw(docs, known, {0: 5, 2: 7, 3: 1}, "doc_id", "text").to_pylist()
+    assert sorted(r["y"] for r in rows) == [0] * 5 + [2] * 7
+    assert all(len(r["text"]) == 2 * int(r["doc_id"][1:]) and len(r["text"]) % 4 == r["y"] for r in rows)
