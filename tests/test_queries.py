@@ -62,3 +62,14 @@ def test_percent_of_prices_between_two_percents(spark, tmp_path):
     df = QUERIES["time_and_percent"](spark, str(tmp_path))
     want = con.execute(ORACLE_SQL["time_and_percent"])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in want.description], want.fetchall())
+
+
+def test_arguments_of_odd_texts_without_python(spark, tmp_path):
+    texts = [None, "", "  ", "a 'b c'\"d\" e|f", "x 'open y", "\"\" ''", "'a\nb' c\td\r\ne", "é '😀 \" x' $1 \\2", "'" * 7, '"' + "x y" * 40_000, "ab''" * 40_000, "'a' " * 40_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES["command_arguments"](spark, str(tmp_path))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    want = con.execute(ORACLE_SQL["command_arguments"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in want.description], want.fetchall())
